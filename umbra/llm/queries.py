@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encoded
+from .decontaminate import contamination
+from .quality_rules import COUNTS, judged
 from .simhash import near_duplicates
 
 
@@ -19,9 +23,40 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judged(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), *COUNTS, "base_failed", "kept", "p_quality")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op6_benchmark_decontamination, op8_byte_bpe, op10_quality_rules)}
+
+
+_WORDS6 = r"list_filter(string_split_regex(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+_OP6 = f"""
+WITH i AS (SELECT item_id, {_WORDS6.format(t="text")} AS w FROM benchmark),
+iw AS (SELECT item_id, least(13, len(w)) AS n, unnest(list_transform(generate_series(1, len(w) - least(13, len(w)) + 1), lambda k: array_to_string(w[k:k + least(13, len(w)) - 1], ' '))) AS win FROM i WHERE len(w) > 0),
+d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS6.format(t="text")} AS w FROM documents),
+places AS (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n),
+hits AS (SELECT r, k, places.n, item_id FROM places JOIN iw ON places.n = iw.n AND array_to_string(w[k:k + places.n - 1], ' ') = win),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(k, k + n - 1)) AS p FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS items_sha256 FROM (SELECT DISTINCT r, CAST(item_id AS varchar) AS i FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_benchmark_decontamination": _OP6}
