@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .bpe import encoded
 from .decontaminate import contamination
+from .language import identified
+from .quality_model import scored
 from .quality_rules import COUNTS, judged
 from .simhash import near_duplicates
 
@@ -28,6 +30,14 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return found.withColumnRenamed("id", "doc_id")
@@ -39,7 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op6_benchmark_decontamination, op8_byte_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op6_benchmark_decontamination, op7_quality_classifier, op8_byte_bpe, op9_language_id, op10_quality_rules)}
 
 
 _WORDS6 = r"list_filter(string_split_regex(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
