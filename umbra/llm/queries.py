@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from .bpe import encoded
 from .decontaminate import contamination
 from .language import identified
+from .passages import repeated_passages
 from .quality_model import scored
 from .quality_rules import COUNTS, judged
+from . import token_store, url_rules
 from .simhash import near_duplicates
 
 
@@ -25,6 +27,22 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(_table(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"id": "doc_id", "first_id": "first_doc_id"})
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    store = token_store.write(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, vocabulary_size=49_408)
+    return store.lookup(docs, "doc_id").select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_rules.rule_table(spark, [*url_rules.SITES, *url_rules.OTHERS])
+    return url_rules.judged(_table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
@@ -49,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op6_benchmark_decontamination, op7_quality_classifier, op8_byte_bpe, op9_language_id, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_repeated_passages, op4_token_store, op5_url_filter, op6_benchmark_decontamination, op7_quality_classifier, op8_byte_bpe, op9_language_id, op10_quality_rules)}
 
 
 _WORDS6 = r"list_filter(string_split_regex(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -68,5 +86,18 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
 
+_OP5 = """
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS r FROM pages),
+s(rule, host, path, verdict) AS (VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'),
+  ('net/de/', 'net', '/de/', 'allow'), ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
+fit AS (SELECT r, arg_max(s.rule, length(s.rule)) AS rule, arg_max(s.verdict, length(s.rule)) AS verdict FROM p JOIN s
+  ON (p.host = s.host OR ends_with(p.host, '.' || s.host)) AND starts_with(p.path, s.path) GROUP BY r)
+SELECT page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, CASE WHEN regexp_matches(p.host || '|', '(^|[.])(cheap-pills|spam-farm)[.]')
+  OR regexp_matches(p.host || '|' || p.path, '(?i)(^|[^a-z0-9])(casino|viagra|torrent|xxx|porn)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": _OP6}
+    return {"op5_url_filter": _OP5, "op6_benchmark_decontamination": _OP6}
