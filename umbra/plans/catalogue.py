@@ -4,16 +4,713 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import checks, tokens
+from ..functions.kinds import DETECTIONS, TYPE_LETTERS
+from ..operators import detect, mapping, ner, overlaps, report, rewrite
+from ..sources import formats, layout, text
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+#: The public test salt of all registered queries.
+SALT = bytes(16)
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _exploded(frame: DataFrame, keys: list[str], found: str = "d") -> DataFrame:
+    return frame.select(*keys, F.explode(found).alias("_d")).select(*keys, F.col("_d.start").alias("start"), F.col("_d.end").alias("end"), F.col("_d.text").alias("text"))
+
+
+# ---------------------------------------------------------------- detection over the tables' own data
+
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_PATTERNS = {
+    "EMAIL_ADDRESS": (r"[\p{L}\p{N}._%+\-]+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?\.)+\p{L}{2,}", r"[\p{L}\p{N}._%+\-]", r"[\p{L}\p{N}]", r"(?:[^\p{L}\p{N}]|$)", "@", 120),
+    "IP_ADDRESS": (rf"(?:{_OCTET}\.){{3}}{_OCTET}", "[0-9]", r"[\p{L}\p{N}.]", r"(?:[^\p{L}\p{N}.]|\.[^0-9]|\.$|$)", r"[0-9]\.[0-9]", 40),
+    "CREDIT_CARD": (r"[0-9](?:[ \-\x{00A0}]?[0-9]){12,18}", "[0-9]", r"[\p{L}\p{N}]", r"(?:[^\p{L}\p{N}]|$)", "[0-9]", 60),
+}
+
+
+def _scan(kind: str, where: str = "TRUE") -> str:
+    """Spans of a pattern: every place is tried, and what starts inside an earlier span goes."""
+    pattern, first, before, after, hint, cap = _PATTERNS[kind]
+    return rf"""
+  SELECT doc_id, CAST(i - 1 AS integer) AS start, CAST(i - 1 + length(m) AS integer) AS "end", m AS text FROM (
+    SELECT doc_id, i, m, max(i + length(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM (
+      SELECT doc_id, i, regexp_extract(substr(t, i, {cap}), '^({pattern}){after}', 1) AS m FROM (
+        SELECT doc_id, text AS t, unnest(generate_series(1, length(text))) AS i FROM documents WHERE regexp_matches(text, '{hint}'))
+      WHERE regexp_matches(substr(t, i, 1), '{first}') AND (i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '{before}')))
+    WHERE m <> '' AND {where}) WHERE past IS NULL OR i >= past"""
+
+
+_LUHN = "list_sum(list_transform(generate_series(1, length(x)), lambda k: CASE WHEN k % 2 = 1 THEN CAST(substr(reverse(x), k, 1) AS integer) ELSE (2 * CAST(substr(reverse(x), k, 1) AS integer)) // 10 + (2 * CAST(substr(reverse(x), k, 1) AS integer)) % 10 END)) % 10 = 0"
+
+
+def _rule_query(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _table(spark, sf_dir, "documents")
+        return _exploded(docs.select("doc_id", detect.rule_detections(F.col("text"), only=[name]).alias("d")), ["doc_id"])
+
+    return run
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_CARD_OK = f"regexp_matches(m, '^[2-6]') AND (regexp_matches(m, '^[0-9]+$') OR regexp_matches(m, '^([0-9]{{4}}[ -])+[0-9]{{1,4}}$') OR regexp_matches(m, '^[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{4,5}}$')) AND {_LUHN.replace('(x)', '(' + _DIGITS + ')').replace('(x,', '(' + _DIGITS + ',')}"
+for _name, _kind, _where in (("email", "EMAIL_ADDRESS", "TRUE"), ("ipv4", "IP_ADDRESS", "TRUE"), ("card", "CREDIT_CARD", _CARD_OK)):
+    _QUERIES[f"detect_{_name}"] = _rule_query(_name)
+    _SQL[f"detect_{_name}"] = _scan(_kind, _where)
+
+
+@query(" UNION ALL ".join(f"SELECT *, '{k}' AS type FROM ({_scan(k, w)})" for k, w in (("EMAIL_ADDRESS", "TRUE"), ("IP_ADDRESS", "TRUE"), ("CREDIT_CARD", _CARD_OK))))
+def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.detected(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.start", "d.end", "d.text", "d.type")
+
+
+@query("SELECT page_id, CAST(4 AS integer) AS start, CAST(4 + length(url) AS integer) AS \"end\", url AS text FROM pages")
+def detect_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("see "), "url", F.lit("), \"more\".")).alias("t"))
+    return _exploded(pages.select("page_id", detect.rule_detections(F.col("t"), only=["url"]).alias("d")), ["page_id"])
+
+
+# ---------------------------------------------------------------- detection over values made from keys
+
+
+def _made(spark: SparkSession, sf_dir: str, value, rule: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", value.alias("t"))
+    return _exploded(rows.select("c_custkey", detect.rule_detections(F.col("t"), only=[rule]).alias("d")), ["c_custkey"])
+
+
+def _iban() -> F.Column:
+    number = F.col("c_custkey") * 7919
+    key = 98 - (number * 1000000 + 131400) % 97
+    key = F.when(F.col("c_custkey") % 2 == 0, key).otherwise(key % 97 + 1)
+    return F.concat(F.lit("DE"), F.lpad(key.cast("string"), 2, "0"), F.lpad(number.cast("string"), 18, "0"))
+
+
+_IBAN_SQL = """(SELECT c_custkey, n, k, 'DE' || lpad(CAST(k AS varchar), 2, '0') || lpad(CAST(n AS varchar), 18, '0') AS iban FROM (
+  SELECT c_custkey, n, CASE WHEN c_custkey % 2 = 0 THEN good ELSE good % 97 + 1 END AS k FROM (
+    SELECT c_custkey, c_custkey * 7919 AS n, 98 - (c_custkey * 7919 * 1000000 + 131400) % 97 AS good FROM customer)))"""
+
+
+@query(f"SELECT c_custkey, 4 AS start, 26 AS \"end\", iban AS text FROM {_IBAN_SQL} WHERE c_custkey % 2 = 0")
+def detect_iban(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made(spark, sf_dir, F.concat(F.lit("Ref "), _iban(), F.lit(" fin")), "iban")
+
+
+@query(f"SELECT c_custkey, iban, c_custkey % 2 = 0 AS valid FROM {_IBAN_SQL}")
+def iban_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", _iban().alias("iban"))
+    return rows.withColumn("valid", checks.iban_valid(F.col("iban")))
+
+
+@query(f"""SELECT c_custkey, 0 AS start, CAST(length(m) AS integer) AS "end", m AS text FROM (SELECT c_custkey,
+  CASE WHEN ((n * 100 + 33) * 1000000 + 131400 + k) % 97 = 1 THEN iban || ' X' WHEN c_custkey % 2 = 0 THEN iban END AS m FROM {_IBAN_SQL}) WHERE m IS NOT NULL""")
+def prefix_shorten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made(spark, sf_dir, F.concat(_iban(), F.lit(" X")), "iban")
+
+
+def _nir() -> F.Column:
+    body = F.lit(1850578006000) + F.col("c_custkey") % 1000
+    key = 97 - body % 97
+    key = F.when(F.col("c_custkey") % 2 == 0, key).otherwise(key % 97 + 1)
+    return F.concat(body.cast("string"), F.lpad(key.cast("string"), 2, "0"))
+
+
+_NIR_SQL = """(SELECT c_custkey, CAST(b AS varchar) || lpad(CAST(CASE WHEN c_custkey % 2 = 0 THEN 97 - b % 97 ELSE (97 - b % 97) % 97 + 1 END AS varchar), 2, '0') AS nir
+  FROM (SELECT c_custkey, 1850578006000 + c_custkey % 1000 AS b FROM customer))"""
+
+
+@query(f"SELECT c_custkey, 4 AS start, 19 AS \"end\", nir AS text FROM {_NIR_SQL} WHERE c_custkey % 2 = 0")
+def detect_nir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made(spark, sf_dir, F.concat(F.lit("NIR "), _nir(), F.lit(".")), "nir")
+
+
+@query(f"SELECT c_custkey, nir, c_custkey % 2 = 0 AS valid FROM {_NIR_SQL}")
+def nir_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select("c_custkey", _nir().alias("nir")).withColumn("valid", checks.nir_valid(F.col("nir")))
+
+
+_PHONE_SQL = "'0' || CAST(1 + c_custkey % 9 AS varchar) || ' 12 34.56-' || lpad(CAST(c_custkey % 100 AS varchar), 2, '0')"
+
+
+@query(f"SELECT c_custkey, 4 AS start, 18 AS \"end\", {_PHONE_SQL} AS text FROM customer")
+def detect_phone_fr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.concat(F.lit("tel 0"), (1 + F.col("c_custkey") % 9).cast("string"), F.lit(" 12 34.56-"), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"), F.lit(" ok"))
+    return _made(spark, sf_dir, value, "phone_french")
+
+
+@query("""SELECT c_custkey, 4 AS start, CAST(4 + length(m) AS integer) AS "end", m AS text FROM (SELECT c_custkey, CASE c_custkey % 3
+  WHEN 0 THEN '+33 1 23 45 67 ' || lpad(CAST(c_custkey % 100 AS varchar), 2, '0') WHEN 1 THEN '0044 (0)20 7946 ' || lpad(CAST(c_custkey % 10000 AS varchar), 4, '0') END AS m FROM customer) WHERE m IS NOT NULL""")
+def detect_phone_intl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    value = F.when(key % 3 == 0, F.concat(F.lit("+33 1 23 45 67 "), F.lpad((key % 100).cast("string"), 2, "0"))).when(key % 3 == 1, F.concat(F.lit("0044 (0)20 7946 "), F.lpad((key % 10000).cast("string"), 4, "0"))).otherwise("+33 12")
+    return _made(spark, sf_dir, F.concat(F.lit("tel "), value, F.lit(".")), "phone_international")
+
+
+@query("""SELECT c_custkey, 5 AS start, CAST(5 + length(m) AS integer) AS "end", m AS text FROM (SELECT c_custkey, '2001:db8::' || lower(to_hex(c_custkey % 65536)) || ':1' AS m FROM customer WHERE c_custkey % 2 = 0)""")
+def detect_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    value = F.when(key % 2 == 0, F.concat(F.lit("2001:db8::"), F.lower(F.hex(key % 65536)), F.lit(":1"))).otherwise(F.concat(F.lit("10:30:"), F.lpad((key % 60).cast("string"), 2, "0")))
+    return _made(spark, sf_dir, F.concat(F.lit("host "), value, F.lit(" std::vector")), "ipv6")
+
+
+# ---------------------------------------------------------------- names, cells, overlaps
+
+_TERMS = ["of the", "The and", "and the that", "réé", "de la"]
+
+
+def _names_sql(source: str, key: str) -> str:
+    terms = "|".join(sorted((t.replace(" ", r"[\p{Zs}\t]+") for t in _TERMS), key=len, reverse=True))
+    return rf"""SELECT {key}, CAST(i - 1 AS integer) AS start, CAST(i - 1 + length(m) AS integer) AS "end", m AS text FROM (
+  SELECT {key}, i, m, max(i + length(m)) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM (
+    SELECT {key}, i, regexp_extract(substr(t, i, 40), '(?i)^({terms})(?:[^\p{{L}}\p{{N}}\p{{M}}_]|$)', 1) AS m FROM (SELECT {key}, text AS t, unnest(generate_series(1, length(text))) AS i FROM {source})
+    WHERE regexp_matches(substr(t, i, 1), '(?i)[otadr]') AND (i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '[\p{{L}}\p{{N}}\p{{M}}_]'))) WHERE m <> '') WHERE past IS NULL OR i >= past"""
+
+
+@query(_names_sql("(SELECT item_id, text FROM benchmark)", "item_id"))
+def detect_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "benchmark")
+    return _exploded(rows.select("item_id", detect.rule_detections(F.col("text"), names=_TERMS, names_only=True).alias("d")), ["item_id"])
+
+
+@query("SELECT DISTINCT doc_id, term FROM documents, (VALUES " + ", ".join(f"('{t}')" for t in _TERMS) + r") v(term) WHERE regexp_matches(text, '(?i)(^|[^\p{L}\p{N}\p{M}_])' || replace(term, ' ', '[\p{Zs}\t]+') || '([^\p{L}\p{N}\p{M}_]|$)')")
+def names_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = spark.createDataFrame([(t,) for t in _TERMS], "term string")
+    return detect.names_joined(_table(spark, sf_dir, "documents"), terms, ["doc_id"])
+
+
+@query("SELECT c_custkey, 2 AS start, CAST(2 + length(c_name) AS integer) AS \"end\", c_name AS text FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0")
+def whole_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    cell = F.when(key % 7 == 0, F.lit(" \t")).when(key % 5 == 0, F.lit(" ⟦P-ABCDE⟧ ")).otherwise(F.concat(F.lit("  "), "c_name", F.lit(" \n")))
+    return _exploded(_table(spark, sf_dir, "customer").select("c_custkey", detect.whole_cell(cell).alias("d")), ["c_custkey"])
+
+
+@query("SELECT count(*) AS n_shared FROM (SELECT c_mktsegment FROM customer GROUP BY c_mktsegment HAVING count(DISTINCT c_nationkey) > 1)")
+def shared_string_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = _table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.countDistinct("c_nationkey").alias("n"))
+    return used.filter("n > 1").agg(F.count("*").alias("n_shared"))
+
+
+@query("""SELECT o_orderkey, a AS start, b AS "end", t AS type FROM (SELECT o_orderkey, o_orderkey % 10 AS k FROM orders), LATERAL (
+  SELECT * FROM (VALUES (0, CAST(10 + k AS integer), 'URL'), (1, CAST(12 + k AS integer), 'PERSON')) x(n, b, t), (VALUES (0, 0), (1, 11)) y(m, a0), LATERAL (SELECT CAST(CASE WHEN n = 0 THEN 0 ELSE 11 + k END AS integer) AS a) WHERE n = m)""")
+def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long span that holds one, is overhung by another, and leaves a third one alone."""
+    k = (F.col("o_orderkey") % 10).cast("int")
+    one = lambda a, b, t, s: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit("").alias("text"), F.lit(t).alias("type"), F.lit("regex").alias("source"), F.lit(s).alias("score"))
+    found = F.array(one(F.lit(2), F.lit(4), "IP_ADDRESS", 1.0), one(F.lit(5), 10 + k, "EMAIL_ADDRESS", 1.0), one(F.lit(0), F.lit(6) + k, "URL", 1.0), one(11 + k, 12 + k, "PERSON", 0.5)).cast(DETECTIONS)
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", found.alias("f"), F.repeat(F.lit("x"), 40).alias("t"))
+    out = rows.select("o_orderkey", F.explode(overlaps.resolved(F.col("f"), F.col("t"))).alias("d"))
+    return out.select("o_orderkey", "d.start", "d.end", "d.type")
+
+
+@query("""SELECT c_custkey, start, "end", text FROM (SELECT c_custkey, CAST(3 AS integer) AS start, CAST(3 + length(c_name) AS integer) AS "end", c_name AS text FROM customer
+  UNION ALL SELECT c_custkey, CAST(7 + length(c_name) AS integer), CAST(7 + length(c_name) + length(c_mktsegment) AS integer), c_mktsegment FROM customer)""")
+def normalize_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.lit(" («"), "c_name", F.lit("»)\t:"), "c_mktsegment", F.lit(".\n"))
+    found = F.array(F.struct(F.lit(0).alias("start"), F.length(t).alias("end"), t.alias("text"), F.lit("PERSON").alias("type"), F.lit("ner").alias("source"), F.lit(0.9).alias("score")))
+    return _exploded(_table(spark, sf_dir, "customer").select("c_custkey", detect.normalized(found).alias("d")), ["c_custkey"])
+
+
+@query("SELECT c_custkey, CAST(length(c_name) + 12 AS integer) AS start, CAST(length(c_name) + 25 AS integer) AS \"end\", 'ab.c@site.org' AS text FROM customer WHERE c_custkey % 2 = 0")
+def token_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text has a token, and half of them an address that a token touches."""
+    t = F.concat(F.col("c_name"), F.lit(" ⟦P-ABCDE⟧ "), F.when(F.col("c_custkey") % 2 == 0, F.lit(" ab.c@site.org")).otherwise("none"))
+    covering = F.array(F.struct((F.length("c_name") + 2).alias("start"), (F.length("c_name") + 5).alias("end"), F.lit("x").alias("text"), F.lit("PERSON").alias("type"), F.lit("ner").alias("source"), F.lit(1.0).alias("score"))).cast(DETECTIONS)
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", t.alias("t"), covering.alias("c"))
+    found = rows.select("c_custkey", detect.without_tokens(F.concat(detect.rule_detections(F.col("t"), only=["email"]), F.col("c")), detect.token_spans(F.col("t"))).alias("d"))
+    return _exploded(found, ["c_custkey"])
+
+
+# ---------------------------------------------------------------- tokens
+
+_INNER, _OUTER = tokens.pads(SALT)
+
+
+def token_sql(kind: str, value: str) -> str:
+    """The token of a value, in SQL; kind and value are SQL expressions."""
+    digest = f"sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode({kind} || chr(0) || {value}))))"
+    number = "(" + " + ".join(f"(strpos('0123456789abcdef', substr({digest}, {k}, 1)) - 1) * {16 ** (10 - k)}" for k in range(1, 11)) + ")"
+    letter = "CASE " + kind + " " + " ".join(f"WHEN '{t}' THEN '{x}'" for t, x in TYPE_LETTERS.items()) + " END"
+    chars = " || ".join(f"substr('{tokens.ALPHABET}', CAST(n // {31**k} % 31 AS integer) + 1, 1)" for k in range(5))
+    return f"(SELECT '⟦' || {letter} || '-' || {chars} || '⟧' FROM (SELECT {number} AS n))"
+
+
+@query(f"SELECT c_custkey, {token_sql(chr(39) + 'PERSON' + chr(39), 'c_name')} AS token FROM customer")
+def derive_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select("c_custkey", tokens.derive_token(SALT, F.lit("PERSON"), F.col("c_name")).alias("token"))
+
+
+_TOKEN_RE = tokens.TOKEN
+
+
+@query(f"SELECT c_custkey, regexp_full_match('⟦P-ABCD' || substr('EILO1Z29', CAST(c_custkey % 8 AS integer) + 1, 1) || CASE c_custkey % 3 WHEN 0 THEN '' ELSE CAST(c_custkey % 12 AS varchar) END || '⟧', '{_TOKEN_RE}') AS ok FROM customer")
+def is_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    made = F.concat(F.lit("⟦P-ABCD"), F.substring(F.lit("EILO1Z29"), (key % 8).cast("int") + 1, F.lit(1)), F.when(key % 3 == 0, "").otherwise((key % 12).cast("string")), F.lit("⟧"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", tokens.is_token(made).alias("ok"))
+
+
+@query(f"SELECT o_custkey, count(*) AS n, count(DISTINCT token) AS kinds FROM (SELECT o_custkey, {token_sql(chr(39) + 'PERSON' + chr(39), 'CAST(o_custkey AS varchar)')} AS token FROM orders) GROUP BY o_custkey")
+def token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens found again in texts that were written with them."""
+    texts = _table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("to "), tokens.derive_token(SALT, F.lit("PERSON"), F.col("o_custkey").cast("string")), F.lit(" [P-ABCDE] ⟦p-abcde⟧")).alias("t"))
+    found = texts.select("o_custkey", F.explode(tokens.tokens_in(F.col("t"))).alias("token"))
+    return found.groupBy("o_custkey").agg(F.count("*").alias("n"), F.countDistinct("token").alias("kinds"))
+
+
+@query("""SELECT original, CASE WHEN n = 1 THEN b || '⟧' ELSE b || CAST(n AS varchar) || '⟧' END AS token, n > 1 AS collision FROM (
+  SELECT c_name AS original, '⟦P-AAAA' || substr('ABCDEFGHJK', CAST(c_custkey % 10 AS integer) + 1, 1) AS b, row_number() OVER (PARTITION BY c_custkey % 10 ORDER BY c_custkey) AS n FROM customer)""")
+def token_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values with few base tokens, so that nearly all collide."""
+    base = F.concat(F.lit("⟦P-AAAA"), F.substring(F.lit("ABCDEFGHJK"), (F.col("first") % 10).cast("int") + 1, F.lit(1)), F.lit("⟧"))
+    values = _table(spark, sf_dir, "customer").select(F.lit("PERSON").alias("type"), F.col("c_name").alias("original"), F.lit(1).cast("long").alias("occurrences"), F.lit("columns").alias("source"), F.col("c_custkey").alias("first"))
+    return mapping.allocated(values, SALT, token_of=base).select("original", "token", "collision")
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' lines with their detections."""
+    rows = text.lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return detect.detected(rows)
+
+
+def _entities(found: DataFrame) -> DataFrame:
+    return mapping.allocated(mapping.occurrences(found, ["doc_id", "line"]), SALT)
+
+
+_ALL_SQL = _SQL["detect_all"]
+
+
+@query(f"SELECT type, text AS original, count(*) AS occurrences, {token_sql('type', 'text')} AS token FROM ({_ALL_SQL}) GROUP BY type, text")
+def token_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(_found(spark, sf_dir)).select("type", "original", "occurrences", "token")
+
+
+# ---------------------------------------------------------------- rewriting and restoring
+
+
+def _anonymized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found = _found(spark, sf_dir)
+    entities = _entities(found)
+    return rewrite.with_tokens(found, ["doc_id", "line"], entities), entities
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their personal data replaced by tokens, and how many replacements were made."""
+    return anonymize_text(spark, sf_dir)
+
+
+def anonymize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = detect.detected(docs)
+    entities = mapping.allocated(mapping.occurrences(found, ["doc_id"]), SALT)
+    done = rewrite.with_tokens(found, ["doc_id"], entities)
+    return done.select("doc_id", F.col("anonymized").alias("text"), F.size("detections").alias("n"))
+
+
+_PIECES = f"""(SELECT doc_id, start, "end", {token_sql('type', 'text')} AS token, lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS past FROM ({_ALL_SQL}))"""
+_ANONYMIZED = f"""SELECT doc_id, coalesce(head || substr(text, last + 1), text) AS text, coalesce(n, 0) AS n FROM documents LEFT JOIN (
+  SELECT doc_id, string_agg(substr(d.text, past + 1, start - past) || token, '' ORDER BY start) AS head, max("end") AS last, CAST(count(*) AS integer) AS n FROM {_PIECES} JOIN documents d USING (doc_id) GROUP BY doc_id) USING (doc_id)"""
+query(_ANONYMIZED)(anonymize_text)
+
+_EDITS = f"""(SELECT doc_id, start, "end", {token_sql('type', 'text')} AS token FROM ({_ALL_SQL}))"""
+
+
+@query(f"""SELECT doc_id, start, CAST(start + s AS integer) AS final_start, CAST(start + s + length(token) AS integer) AS final_end FROM (
+  SELECT *, coalesce(sum(length(token) - ("end" - start)) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM {_EDITS})""")
+def final_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.detected(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode("detections").alias("d"))
+    edits = found.select("doc_id", "d.start", "d.end", tokens.derive_token(SALT, F.col("d.type"), F.col("d.text")).alias("replacement"))
+    return rewrite.final_spans(edits, ["doc_id"]).select("doc_id", "start", "final_start", "final_end")
+
+
+_CONTEXT = r"""CASE WHEN s > 40 THEN '…' ELSE '' END || regexp_replace(substr(x, greatest(0, s - 40) + 1, s - greatest(0, s - 40)), '\s+', ' ', 'g') AS before, substr(x, s + 1, e - s) AS match,
+  regexp_replace(substr(x, e + 1, least(length(x), e + 40) - e), '\s+', ' ', 'g') || CASE WHEN e + 40 < length(x) THEN '…' ELSE '' END AS after"""
+
+
+@query(f"SELECT doc_id, start, {_CONTEXT} FROM (SELECT doc_id, start, start AS s, \"end\" AS e, d.text AS x FROM ({_ALL_SQL}) f JOIN documents d USING (doc_id))")
+def context_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.detected(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.explode("detections").alias("d"))
+    return found.select("doc_id", F.col("d.start").alias("start"), rewrite.context(F.col("text"), F.col("d.start"), F.col("d.end")).alias("c")).select("doc_id", "start", "c.before", "c.match", "c.after")
+
+
+@query(f"""SELECT token, doc_id, start, before, match, after FROM (SELECT token, doc_id, start, {_CONTEXT}, row_number() OVER (PARTITION BY token ORDER BY doc_id, start) AS n FROM (
+  SELECT token, doc_id, start, start AS s, e.end AS e, d.text AS x FROM {_EDITS} e JOIN documents d USING (doc_id))) WHERE n = 1""")
+def first_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.detected(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.explode("detections").alias("d"))
+    hits = found.select(tokens.derive_token(SALT, F.col("d.type"), F.col("d.text")).alias("token"), "doc_id", F.col("d.start").alias("start"), rewrite.context(F.col("text"), F.col("d.start"), F.col("d.end")).alias("c"))
+    first = hits.groupBy("token").agg(F.min(F.struct("doc_id", "start", "c")).alias("f"))
+    return first.select("token", "f.doc_id", "f.start", "f.c.before", "f.c.match", "f.c.after")
+
+
+@query("SELECT doc_id, text AS written FROM documents")
+def txt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return text.rejoined(docs, text.lines(docs, ["doc_id"]), ["doc_id"]).select("doc_id", "written")
+
+
+@query("SELECT doc_id, text AS restored FROM documents")
+def restore_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are anonymized line by line, written, and restored: what comes out is what went in."""
+    done, entities = _anonymized(spark, sf_dir)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    written = text.rejoined(docs, done.select("doc_id", "line", F.col("anonymized").alias("text")), ["doc_id"])
+    return rewrite.restored(written.select("doc_id", F.col("written").alias("text")), entities, ["doc_id"]).select("doc_id", "restored")
+
+
+@query(f"SELECT token, TRUE AS known, count(*) AS n FROM {_EDITS} GROUP BY token UNION ALL SELECT '⟦P-ZZZZZ⟧', FALSE, count(*) FROM (SELECT DISTINCT doc_id FROM {_EDITS}) HAVING count(*) > 0")
+def restore_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = anonymize_text(spark, sf_dir).filter("n > 0").withColumn("text", F.concat("text", F.lit(" ⟦P-ZZZZZ⟧")))
+    return rewrite.inventory(done, _entities(_found(spark, sf_dir)))
+
+
+@query("SELECT '⟦P-ZZZZZ⟧' AS token, count(*) AS n FROM documents WHERE doc_id % 3 = 0 HAVING count(*) > 0")
+def unknown_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = anonymize_text(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" ⟦P-ZZZZZ⟧"))).otherwise(F.col("text")))
+    return rewrite.unknown_tokens(done, _entities(_found(spark, sf_dir)))
+
+
+@query(f"SELECT type, original FROM (SELECT type, text AS original, bool_or(doc_id % 2 = 0) AS seen FROM ({_ALL_SQL}) GROUP BY type, text) WHERE NOT seen")
+def missing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = anonymize_text(spark, sf_dir).filter("doc_id % 2 = 0")
+    return rewrite.missing_tokens(done, _entities(_found(spark, sf_dir))).select("type", "original")
+
+
+@query("SELECT doc_id, text AS type FROM documents WHERE FALSE")
+def check_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is still found after anonymizing: nothing."""
+    again = detect.detected(anonymize_text(spark, sf_dir).select("doc_id", "text"))
+    return again.select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.type")
+
+
+@query(f"SELECT DISTINCT doc_id, text AS value FROM ({_ALL_SQL}) WHERE doc_id % 2 = 0")
+def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that still occur where half of the documents were left as they are."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("plain"))
+    mixed = anonymize_text(spark, sf_dir).join(docs, "doc_id").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("plain")).otherwise(F.col("text")).alias("text"))
+    return rewrite.leaks(mixed, _entities(_found(spark, sf_dir)), ["doc_id"])
+
+
+@query(f"""SELECT original, token, CASE WHEN late > 0 THEN late ELSE early END AS occurrences FROM (SELECT type, text AS original, {token_sql('type', 'text')} AS token,
+  count(*) FILTER (doc_id % 2 = 0) AS early, count(*) FILTER (doc_id % 2 = 1) AS late FROM ({_ALL_SQL}) GROUP BY type, text)""")
+def mapping_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of the even documents, extended by the odd ones."""
+    found = _found(spark, sf_dir)
+    early = _entities(found.filter("doc_id % 2 = 0"))
+    late = mapping.occurrences(found.filter("doc_id % 2 = 1"), ["doc_id", "line"])
+    return mapping.allocated(late, SALT, existing=early).select("original", "token", "occurrences")
+
+
+_GOOD = '{"schema_version":1,"created_at":"2026-01-01T00:00:00+00:00","source":{"name":"a.txt","sha256":"' + "0" * 64 + '","format":"txt"},"salt":"AAAAAAAAAAAAAAAAAAAAAA==","ner":{"enabled":false,"provider":null,"model":null},"entities":{"⟦P-ABCDE⟧":{"original":"x","type":"PERSON","occurrences":1,"source":"names"}},"warnings":[]}'
+_CASES = {
+    "good": (_GOOD, None),
+    "text": ("not json", "not_json"),
+    "array": ("[1]", "not_object"),
+    "other": ('{"a":1}', "no_version"),
+    "future": ('{"schema_version":2}', "other_version"),
+    "letter": (_GOOD.replace("⟦P-", "⟦E-"), "invalid: letter of ⟦E-ABCDE⟧"),
+    "token": (_GOOD.replace("⟦P-ABCDE⟧", "P-ABCDE"), "invalid: token P-ABCDE"),
+    "salt": (_GOOD.replace("AAAAAAAAAAAAAAAAAAAAAA==", "AAAA"), "invalid: salt size"),
+    "extra": (_GOOD.replace('"warnings":[]', '"warnings":[],"more":1'), "invalid: unknown field"),
+    "count": (_GOOD.replace('"occurrences":1', '"occurrences":-1'), "invalid: occurrences of ⟦P-ABCDE⟧"),
+}
+
+
+@query("SELECT r_regionkey, name, problem FROM region, (VALUES " + ", ".join(f"('{k}', {'NULL' if v is None else chr(39) + v + chr(39)})" for k, (_, v) in _CASES.items()) + ") c(name, problem)")
+def mapping_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = F.array(*(F.struct(F.lit(k).alias("name"), F.lit(j).alias("json")) for k, (j, _) in _CASES.items()))
+    rows = _table(spark, sf_dir, "region").select("r_regionkey", F.explode(cases).alias("c"))
+    return rows.select("r_regionkey", "c.name", mapping.problem(F.col("c.json")).alias("problem"))
+
+
+@query(f"""SELECT type, '{{' || string_agg('"' || token || '":{{"occurrences":' || n || ',"original":"' || text || '","source":"regex","type":"' || type || '"}}', ',' ORDER BY token) || '}}' AS json
+  FROM (SELECT type, text, count(*) AS n, {token_sql('type', 'text')} AS token FROM ({_ALL_SQL}) GROUP BY type, text) GROUP BY type""")
+def mapping_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.entities_json(_entities(_found(spark, sf_dir)).withColumn("kind", F.col("type")), ["kind"]).withColumnRenamed("kind", "type")
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query(r"SELECT doc_id, CAST(i - 1 AS integer) AS line, t[i] AS text FROM (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT doc_id, string_split_regex(text, '\r\n|\n|\r') AS t FROM documents)) WHERE t[i] <> ''")
+def txt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.lines(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+_MARKED = "text || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || '[a](b(c)d) end'"
+
+
+@query(f"""SELECT doc_id, line, start, text FROM (SELECT doc_id, CAST(i - 1 AS integer) AS line, 0 AS start, t[i] AS text FROM (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)) WHERE t[i] <> ''
+  UNION ALL SELECT doc_id, CAST(len(string_split(text, chr(10))) + 3 AS integer), 0, '[a]' FROM documents UNION ALL SELECT doc_id, CAST(len(string_split(text, chr(10))) + 3 AS integer), 10, ' end' FROM documents)""")
+def md_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a code block and a link at their end."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n```\ncode\n```\n[a](b(c)d) end")).alias("text"))
+    return text.markdown_segments(docs, ["doc_id"])
+
+
+@query("""SELECT page_id, CAST(2 + length(CAST(page_id AS varchar)) AS integer) AS start, CAST(7 + length(CAST(page_id AS varchar)) + length(url) AS integer) AS "end" FROM pages
+  UNION ALL SELECT page_id, CAST(11 + length(CAST(page_id AS varchar)) + length(url) AS integer), CAST(14 + length(CAST(page_id AS varchar)) + length(url) AS integer) FROM pages""")
+def md_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("["), F.col("page_id").cast("string"), F.lit("]("), "url", F.lit("(a)"), F.lit(") [i](\\)")).alias("t"))
+    return rows.select("page_id", F.explode(text.protected(F.col("t"))).alias("p")).select("page_id", "p.start", "p.end")
+
+
+_EXTENSIONS = [*formats.ACCEPTED, *formats.REFUSED, "bin"]
+_NAME = "'dir.x/File' || o_orderkey || CASE o_orderkey % 2 WHEN 0 THEN '.' || x[1 + o_orderkey % len(x)] ELSE '.' || upper(x[1 + o_orderkey % len(x)]) END"
+_NAMES = f"(SELECT o_orderkey, {_NAME} AS name, x[1 + o_orderkey % len(x)] AS ext FROM orders, (SELECT {_EXTENSIONS} AS x))"
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = F.element_at(F.array(*(F.lit(x) for x in _EXTENSIONS)), (F.col("o_orderkey") % len(_EXTENSIONS)).cast("int") + 1)
+    name = F.concat(F.lit("dir.x/File"), F.col("o_orderkey").cast("string"), F.lit("."), F.when(F.col("o_orderkey") % 2 == 0, ext).otherwise(F.upper(ext)))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"))
+
+
+@query(f"SELECT o_orderkey, ext, CASE WHEN ext IN ('docx', 'docm') THEN 'docx' WHEN ext IN ('pptx', 'pptm') THEN 'pptx' WHEN ext IN ('xlsx', 'xlsm') THEN 'xlsx' WHEN ext IN ('pdf', 'md', 'txt') THEN ext END AS adapter, ext IN ('xlsx', 'xlsm') AS spreadsheet FROM {_NAMES}")
+def ext_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("name")
+    return _names(spark, sf_dir).select("o_orderkey", formats.extension(name).alias("ext"), formats.adapter(name).alias("adapter"), formats.is_spreadsheet(name).alias("spreadsheet"))
+
+
+@query(f"SELECT o_orderkey, coalesce(reason, 'notAccepted') AS reason, target FROM {_NAMES} LEFT JOIN (VALUES " + ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in formats.REFUSED.items()) + f") r(ext, reason, target) USING (ext) WHERE ext NOT IN {formats.ACCEPTED}")
+def refusal_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir).select("o_orderkey", formats.refusal(F.col("name")).alias("r")).filter("r is not null").select("o_orderkey", "r.reason", "r.target")
+
+
+@query(f"""SELECT o_orderkey, base || '.anonymise.' || CASE ext WHEN 'pdf' THEN 'md' ELSE ext END AS anonymized, base || '.json' AS mapping, base || '.report.md' AS report, base || '.restaure.' || ext AS restored
+  FROM (SELECT o_orderkey, ext, 'dir.x/File' || o_orderkey AS base FROM {_NAMES})""")
+def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir).select("o_orderkey", *(c.alias(k) for k, c in formats.output_names(F.col("name")).items()))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'oldOffice' WHEN 2 THEN 'empty' ELSE 'notReal' END AS problem FROM pages")
+def signature_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.element_at(F.array(F.lit("504B0304"), F.lit("D0CF11E0A1B11AE1"), F.lit(""), F.lit("3C68746D6C")), (F.col("page_id") % 4).cast("int") + 1)
+    content = F.concat(F.unhex(head), F.when(F.col("page_id") % 4 == 2, F.unhex(F.lit(""))).otherwise(F.encode("html", "UTF-8")))
+    return _table(spark, sf_dir, "pages").select("page_id", formats.signature_problem(F.lit("a.docx"), content).alias("problem"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def file_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS place FROM part WHERE p_partkey <= 500")
+def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names such as slide10.xml in the order of their numbers; a document has few parts, so one window is enough."""
+    rows = _table(spark, sf_dir, "part").filter("p_partkey <= 500").select("p_partkey", F.concat(F.lit("ppt/slides/slide"), F.col("p_partkey").cast("string"), F.lit(".xml")).alias("name"))
+    return rows.select("p_partkey", F.row_number().over(Window.orderBy(formats.natural_key(F.col("name")))).cast("long").alias("place"))
+
+
+@query("""SELECT n_nationkey, line, term FROM (SELECT n_nationkey, CAST(0 AS integer) AS line, n_name AS term FROM nation UNION ALL SELECT n_nationkey, 3, 'Jean Dupont' FROM nation)""")
+def names_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit(" "), "n_name", F.lit("  # note\r\n# all\n"), F.lower("n_name"), F.lit("\n Jean \t Dupont\r\rJEAN DUPONT #x"))
+    return text.names_list(_table(spark, sf_dir, "nation").select("n_nationkey", raw.alias("text")), ["n_nationkey"])
+
+
+@query("""SELECT o_orderkey, CASE WHEN i >= 702 THEN chr(CAST(65 + ((i // 26 - 1) // 26 - 1) % 26 AS integer)) ELSE '' END || CASE WHEN i >= 26 THEN chr(CAST(65 + (i // 26 - 1) % 26 AS integer)) ELSE '' END || chr(CAST(65 + i % 26 AS integer)) AS letters, i AS back
+  FROM (SELECT o_orderkey, o_orderkey % 16384 AS i FROM orders)""")
+def column_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", formats.column_letters(F.col("o_orderkey") % 16384).alias("letters"))
+    return rows.withColumn("back", formats.column_index(F.col("letters")))
+
+
+@query("""SELECT o_orderkey, CASE WHEN r >= 0.6 THEN least(1.0, r) ELSE greatest(0.6, r / greatest(0.55, r / 0.6)) END AS stretch, CASE WHEN r >= 0.6 THEN 1.0 ELSE greatest(0.55, r / 0.6) END AS size
+  FROM (SELECT o_orderkey, CAST(o_orderkey % 128 AS double) / 64 AS r FROM orders)""")
+def token_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select("o_orderkey", layout.token_fit((F.col("o_orderkey") % 128).cast("double") / 64).alias("f")).select("o_orderkey", F.round("f.stretch", 6).alias("stretch"), F.round("f.size", 6).alias("size"))
+
+
+_SQL["token_fit"] = _SQL["token_fit"].replace("SELECT o_orderkey, CASE WHEN r >= 0.6 THEN least(1.0, r) ELSE greatest(0.6, r / greatest(0.55, r / 0.6)) END AS stretch, CASE WHEN r >= 0.6 THEN 1.0 ELSE greatest(0.55, r / 0.6) END AS size", "SELECT o_orderkey, round(CASE WHEN r >= 0.6 THEN least(CAST(1.0 AS double), r) ELSE greatest(CAST(0.6 AS double), r / greatest(CAST(0.55 AS double), r / 0.6)) END, 6) AS stretch, round(CASE WHEN r >= 0.6 THEN CAST(1.0 AS double) ELSE greatest(CAST(0.55 AS double), r / CAST(0.6 AS double)) END, 6) AS size")
+
+
+@query("SELECT o_orderkey, CAST(p AS bigint) AS paragraph, 'Order ' || o_orderkey || CASE p WHEN 0 THEN ' of part 0 and' ELSE ' end' END AS text FROM orders, (VALUES (0), (1)) x(p)")
+def pdf_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four lines in two paragraphs; the first line is in three fragments."""
+    key = F.col("o_orderkey").cast("string")
+    item = lambda s, x, y, w: F.struct(s.alias("str"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(w).alias("w"), F.lit(10.0).alias("h"))
+    items = F.array(item(key, 40.0, 100.5, 30.0), item(F.lit("Order"), 0.0, 100.0, 36.0), item(F.lit("of"), 80.0, 100.0, 10.0), item(F.lit("part 0"), 0.0, 88.0, 30.0), item(F.lit(" "), 31.0, 88.0, 5.0), item(F.lit(" and"), 36.0, 88.0, 20.0), item(F.concat(F.lit("Order "), key), 0.0, 60.0, 60.0), item(F.lit("end"), 0.0, 48.0, 15.0))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.explode(items).alias("i")).select("o_orderkey", "i.*")
+    return layout.paragraphs(rows, ["o_orderkey"]).select("o_orderkey", F.col("paragraph").cast("long").alias("paragraph"), "text")
+
+
+@query("SELECT c_custkey, CAST(r AS integer) AS run, CASE r WHEN 0 THEN 'Dear ⟦P-ABCDE⟧' WHEN 1 THEN '' ELSE ', hi ⟦E-ABCDE⟧!' END AS merged FROM customer, (VALUES (0), (1), (2)) x(r)")
+def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name over three runs, and an address in the last."""
+    n = F.length("c_name")
+    made = F.array(F.struct(F.lit(0).alias("run"), F.concat(F.lit("Dear "), F.left("c_name", F.lit(3))).alias("text")), F.struct(F.lit(1).alias("run"), F.substring(F.col("c_name"), F.lit(4), F.lit(5)).alias("text")), F.struct(F.lit(2).alias("run"), F.concat(F.substring(F.col("c_name"), F.lit(9), n), F.lit(", hi a@b.org!")).alias("text")))
+    edit = lambda a, b, r: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(r).alias("replacement"))
+    rows = _table(spark, sf_dir, "customer")
+    runs = rows.select("c_custkey", F.explode(made).alias("r")).select("c_custkey", "r.run", "r.text")
+    edits = rows.select("c_custkey", F.explode(F.array(edit(F.lit(5), 5 + n, "⟦P-ABCDE⟧"), edit(10 + n, 17 + n, "⟦E-ABCDE⟧"))).alias("e")).select("c_custkey", "e.start", "e.end", "e.replacement")
+    return layout.merged_runs(runs, edits, ["c_custkey"]).select("c_custkey", "run", "merged")
+
+
+@query(r"SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) / (1 + doc_id % 5) < 200 AS scanned FROM documents")
+def scanned_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", layout.scanned(F.col("text"), 1 + F.col("doc_id") % 5).alias("scanned"))
+
+
+# ---------------------------------------------------------------- reports
+
+
+@query(f"SELECT type, count(DISTINCT text) AS n FROM ({_ALL_SQL}) GROUP BY type")
+def counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.counts_by_type(_entities(_found(spark, sf_dir)))
+
+
+@query(f"""SELECT token, type, 'regex' AS source, occurrences, replace(before, '|', chr(92) || '|') || '**' || match || '**' || replace(after, '|', chr(92) || '|') AS context FROM (
+  SELECT token, type, count(*) OVER (PARTITION BY token) AS occurrences, {_CONTEXT}, row_number() OVER (PARTITION BY token ORDER BY doc_id, s) AS n
+  FROM (SELECT {token_sql('type', 'f.text')} AS token, type, doc_id, start AS s, f.end AS e, d.text AS x FROM ({_ALL_SQL}) f JOIN documents d USING (doc_id))) WHERE n = 1""")
+def anonymize_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contexts = first_context(spark, sf_dir).select("token", report.context_cell(F.struct("before", "match", "after")).alias("context"))
+    return report.anonymize_rows(_entities(_found(spark, sf_dir)), contexts)
+
+
+@query(f"SELECT source AS \"where\", count(DISTINCT doc_id) AS n FROM ({_ALL_SQL}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY source")
+def notice_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts outside of the body that hold personal data, by where they stand; here documents by source."""
+    notices = detect.detected(_table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("where"), "text"))
+    return notices.filter(F.size("detections") > 0).groupBy("where").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT page_id, replace(replace(chr(92) || '|' || url, chr(92), chr(92) || chr(92)), '|', chr(92) || '|') || ' x' AS cell, '`` `' || url || ' ``' AS code, CASE WHEN page_id > 1 THEN 'pages' ELSE 'page' END AS word FROM pages")
+def report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.concat(F.lit("\\|"), "url", F.lit("\r\nx"))
+    return _table(spark, sf_dir, "pages").select("page_id", report.cell(value).alias("cell"), report.code(F.concat(F.lit("`"), "url")).alias("code"), report.plural(F.col("page_id"), "page", "pages").alias("word"))
+
+
+_MAPPED = f"(SELECT lang AS document, type, source, count(*) AS occurrences FROM (SELECT d.lang, f.type, d.source, f.text FROM ({_ALL_SQL}) f JOIN documents d USING (doc_id)) GROUP BY lang, type, source, text)"
+_NOTED = "(SELECT d.lang AS document, CASE l.doc_id % 3 WHEN 0 THEN 'EMAIL_ADDRESS' WHEN 1 THEN 'IP_ADDRESS' ELSE 'PERSON' END AS type, d.source, CASE WHEN l.quality = 0 THEN 'FP' ELSE 'FN' END AS error FROM labels l JOIN documents d USING (doc_id) WHERE l.doc_id % 11 = 0)"
+
+
+def _calibration(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = _table(spark, sf_dir, "documents")
+    hits = detect.detected(docs.select("doc_id", "lang", "source", "text")).select("lang", "source", F.explode("detections").alias("d"))
+    mapped = hits.groupBy(F.col("lang").alias("document"), F.col("d.type").alias("type"), "source", F.col("d.text").alias("text")).agg(F.count("*").alias("occurrences"))
+    kind = F.when(F.col("doc_id") % 3 == 0, "EMAIL_ADDRESS").when(F.col("doc_id") % 3 == 1, "IP_ADDRESS").otherwise("PERSON")
+    noted = _table(spark, sf_dir, "labels").filter("doc_id % 11 = 0").join(docs.select("doc_id", "lang", "source"), "doc_id").select(F.col("lang").alias("document"), kind.alias("type"), "source", F.when(F.col("quality") == 0, "FP").otherwise("FN").alias("error"))
+    return mapped, noted
+
+
+@query(f"SELECT source, detections, coalesce(fp, 0) AS fp, round((1 - coalesce(fp, 0) / detections) * 100, 1) AS precision FROM (SELECT source, CAST(sum(occurrences) AS bigint) AS detections FROM {_MAPPED} GROUP BY source) LEFT JOIN (SELECT source, count(*) AS fp FROM {_NOTED} WHERE error = 'FP' GROUP BY source) USING (source)")
+def calibration_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.by_source(*_calibration(spark, sf_dir))
+
+
+@query(f"SELECT type, coalesce(detections, 0) AS detections, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM (SELECT type, CAST(sum(occurrences) AS bigint) AS detections FROM {_MAPPED} GROUP BY type) FULL JOIN (SELECT type, count(*) FILTER (error = 'FP') AS fp, count(*) FILTER (error = 'FN') AS fn FROM {_NOTED} GROUP BY type) USING (type)")
+def calibration_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.by_type(*_calibration(spark, sf_dir))
+
+
+@query(f"SELECT document, CAST(sum(e) AS bigint) AS entities, CAST(sum(n) AS bigint) AS occurrences, string_agg(source || ' ' || n, ', ' ORDER BY source) AS by_source FROM (SELECT document, source, count(*) AS e, CAST(sum(occurrences) AS bigint) AS n FROM {_MAPPED} GROUP BY document, source) GROUP BY document")
+def calibration_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.by_document(_calibration(spark, sf_dir)[0], "document")
+
+
+@query(f"SELECT c_custkey, {token_sql(chr(39) + 'PERSON' + chr(39), 'c_name')} AS token, 2 AS expected, CASE c_custkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS intact, CASE c_custkey % 3 WHEN 1 THEN 1 ELSE 0 END AS mangled, CASE c_custkey % 3 WHEN 2 THEN 2 ELSE 0 END AS missing FROM customer")
+def token_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that come back with tokens intact, in other brackets and case, or gone."""
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", tokens.derive_token(SALT, F.lit("PERSON"), F.col("c_name")).alias("token"))
+    broken = F.concat(F.lit("[ "), F.lower(F.substring("token", 2, 7)), F.lit("]"))
+    back = F.when(F.col("c_custkey") % 3 == 0, F.concat("token", F.lit(" x "), "token")).when(F.col("c_custkey") % 3 == 1, F.concat("token", F.lit(" x "), broken)).otherwise("x")
+    out = report.survival(rows.select("c_custkey", back.alias("text")), rows.withColumn("expected", F.lit(2)), "c_custkey")
+    return out.select("c_custkey", "token", "expected", F.col("intact").cast("int").alias("intact"), F.col("mangled").cast("int").alias("mangled"), F.col("missing").cast("int").alias("missing"))
+
+
+# ---------------------------------------------------------------- around named-entity models
+
+
+@query(r"SELECT turn, count(*) AS n FROM conversations WHERE regexp_matches(text, '\p{L}') GROUP BY turn")
+def ner_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").filter(ner.candidates(F.col("text"))).groupBy("turn").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '(^|[^\p{L}\p{N}])(?:The|Les)(?:$|[^\p{L}\p{N}])')) AS n FROM documents WHERE regexp_matches(text, '(^|[^\p{L}\p{N}])(The|Les)($|[^\p{L}\p{N}])') AND NOT regexp_matches(text, '(The|Les)[^\p{L}\p{N}](The|Les)')")
+def ner_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary stands for the model; each distinct text is looked at once."""
+    docs = _table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"(The|Les)[^\p{L}\p{N}](The|Les)")).select("doc_id", "text")
+    found = ner.deduplicated(docs, ner.DictionaryProvider({"The": "PERSON", "Les": "LOCATION"}))
+    return found.filter(F.size("model") > 0).select("doc_id", F.size("model").cast("long").alias("n"))
+
+
+@query("SELECT c_custkey, CAST(k AS integer) AS k, CAST(a AS integer) AS start, CAST(b AS integer) AS \"end\" FROM customer, LATERAL (VALUES (1, 0, 8), (2, 8, 9), (3, 9, length(c_name)), (5, length(c_name) + 1, length(c_name) + 1 + length(c_mktsegment))) x(k, a, b)")
+def ner_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of customers' names; the segment is an unknown word."""
+    pieces = F.array(F.lit("[CLS]"), F.left("c_name", F.lit(8)), F.substring(F.col("c_name"), F.lit(9), F.lit(1)), F.concat(F.lit("##"), F.substring(F.col("c_name"), F.lit(10), F.length("c_name"))), F.lit("zz"), F.lit("[UNK]"), F.lit("[SEP]"))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(ner.aligned(F.concat("c_name", F.lit(" "), "c_mktsegment"), pieces)).alias("k", "s"))
+    return rows.filter("s is not null").select("c_custkey", "k", "s.start", "s.end")
+
+
+@query("SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS integer) AS label, round(1 / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))), 6) AS score FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS double)) AS v FROM embeddings)")
+def ner_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select("vec_id", ner.softmax_best(F.col("embedding")).alias("b")).select("vec_id", "b.label", F.round("b.score", 6).alias("score"))
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as predicted words of their orders: a label and a score from their keys."""
+    items = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    n, q = F.col("l_linenumber").cast("int"), F.col("l_partkey")
+    label = F.when(q % 5 == 0, "O").when(q % 5 == 1, "B-PER").when(q % 5 == 2, "I-PER").when(q % 5 == 3, "B-LOC").otherwise("I-LOC")
+    return items.select("l_orderkey", n.alias("k"), F.concat(F.lit("w"), n.cast("string")).alias("piece"), (n * 3).alias("start"), (n * 3 + 2).alias("end"), label.alias("label"), (F.lit(40) + q % 60).cast("double").alias("score")).withColumn("score", F.col("score") / 100)
+
+
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber AS k, CASE WHEN s < 0.5 OR q = 0 THEN 'O' WHEN q IN (1, 3) THEN 'B' ELSE 'I' END AS p, CASE WHEN s < 0.5 OR q = 0 THEN 'O' WHEN q < 3 THEN 'PER' ELSE 'LOC' END AS tag, s
+  FROM (SELECT l_orderkey, l_linenumber, l_partkey % 5 AS q, CAST(40 + l_partkey % 60 AS double) / 100 AS s FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber))),
+r AS (SELECT *, sum(CASE WHEN p = 'I' AND tag = lt THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY k) AS run FROM (SELECT *, lag(tag) OVER (PARTITION BY l_orderkey ORDER BY k) AS lt FROM w))
+SELECT l_orderkey, CAST(min(k) * 3 AS integer) AS start, CAST(max(k) * 3 + 2 AS integer) AS "end", CASE any_value(tag) WHEN 'PER' THEN 'PERSON' ELSE 'LOCATION' END AS type, round(avg(s), 6) AS score FROM r WHERE tag <> 'O' GROUP BY l_orderkey, run""")
+def ner_bio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = ner.word_labels(_predictions(spark, sf_dir), ["l_orderkey"])
+    return ner.entities(words, ["l_orderkey"]).withColumn("score", F.round("score", 6))
+
+
+@query(r"""WITH d AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n, length(text) AS whole FROM documents)
+SELECT doc_id, greatest(1, CAST(ceil((n - 30) / 90) AS bigint)) AS n, CAST(0 AS bigint) AS first, CAST(whole AS bigint) AS last, TRUE AS tiles FROM d""")
+def ner_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many windows each document has, and whether their cores tile it."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(ner.windows(F.col("text"))).alias("k", "w"))
+    after = F.lead("w.core_start").over(Window.partitionBy("doc_id").orderBy("k"))
+    ok = F.coalesce(after == F.col("w.core_end"), F.lit(True))
+    return rows.withColumn("ok", ok).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("w.core_start").cast("long").alias("first"), F.max("w.core_end").cast("long").alias("last"), F.every("ok").alias("tiles"))
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS integer) AS start, max(CAST(40 + l_partkey % 60 AS double) / 100) AS score FROM lineitem WHERE l_linenumber >= 2 AND l_linenumber < 6 GROUP BY l_orderkey, l_linenumber")
+def ner_window_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each span is found twice; those outside of the core go."""
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("start"), (F.col("l_linenumber") + 1).cast("int").alias("end"), F.lit("PERSON").alias("type"), ((40 + F.col("l_partkey") % 60).cast("double") / 100).alias("score"), F.lit(2).alias("core_start"), F.lit(6).alias("core_end"))
+    return ner.merged_windows(rows.unionByName(rows.withColumn("score", F.lit(0.1))), ["l_orderkey"]).select("l_orderkey", "start", "score")
+
+
+@query("""WITH f AS (SELECT o_custkey AS doc, CASE o_orderkey % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORGANIZATION' ELSE 'LOCATION' END AS type, 'n ' || o_orderkey % 7 AS name FROM orders)
+SELECT doc, type, count(*) AS n FROM (SELECT doc, type FROM f WHERE type <> 'ORGANIZATION' UNION ALL SELECT doc, 'PERSON' FROM f WHERE type = 'ORGANIZATION' AND EXISTS (SELECT 1 FROM f g WHERE g.doc = f.doc AND g.type = 'PERSON' AND g.name = f.name)) GROUP BY doc, type""")
+def ner_org_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    kind = F.when(key % 3 == 0, "PERSON").when(key % 3 == 1, "ORGANIZATION").otherwise("LOCATION")
+    name = F.concat(F.when(key % 2 == 0, "N  ").otherwise("n "), (key % 7).cast("string"))
+    found = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), kind.alias("type"), name.alias("text"))
+    return ner.promoted(found, "doc").groupBy("doc", "type").agg(F.count("*").alias("n"))
