@@ -19,8 +19,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Rounds of expectation-maximisation at most, and the change of any estimate below which it ends.
-ROUNDS, SETTLED = 40, 1e-4
+#: Rounds of expectation-maximisation at most, and the change of any log-odds below which it ends.
+ROUNDS, SETTLED = 40, 1e-3
 #: Pseudo-counts: rows that say a good text gets good votes and a bad one bad votes.
 TRUST = 2.0
 
@@ -93,8 +93,8 @@ def votes() -> dict[str, Column]:
         "v_word_length": _vote((c("word_chars") > 14 * n) | (2 * c("word_chars") < 5 * n), c("word_chars").between(3 * n, 9 * n)),
         "v_symbols": _vote(10 * c("n_symbols") > n, 100 * c("n_symbols") <= n),
         "v_symbol_words": _vote(10 * c("_bare") > n, 100 * c("_bare") <= n),
-        "v_lines": _vote(10 * c("n_dup_lines") > 3 * c("_n_lines"), (c("n_dup_lines") == 0) & (c("_n_lines") > 2)),
-        "v_repeats": _vote(100 * c("n_repeat_words") > 15 * n, 50 * c("n_repeat_words") <= n),
+        "v_lines": _vote((c("n_dup_lines") >= 3) & (10 * c("n_dup_lines") > 3 * c("_n_lines")), (c("n_dup_lines") == 0) & (c("_n_lines") > 2)),
+        "v_repeats": _vote(5 * c("n_repeat_words") > n, 50 * c("n_repeat_words") <= n),
         "v_distinct": _vote((6 * c("_distinct") < n) & (n < 2000), 3 * c("_distinct") > n),
         "v_capitals": _vote(2 * c("_upper") > letters, 8 * c("_upper") < letters),
         "v_shouting": _vote(5 * c("_exclaimed") > n, 50 * c("_exclaimed") <= n),
@@ -102,48 +102,67 @@ def votes() -> dict[str, Column]:
     }
 
 
-def _posterior(names: list[str], model: dict) -> Column:
-    """Probability that the text is good, of its votes under the model."""
-    score = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    for v in names:
-        weigh = [math.log(model[v, 1, x] / model[v, 0, x]) for x in (-1, 0, 1)]
-        score = score + F.when(F.col(v) == -1, weigh[0]).when(F.col(v) == 0, weigh[1]).otherwise(weigh[2])
+def _posterior(weights: list[float]) -> Column:
+    """Probability that the text is good, of its votes; weights: log-odds of each rule's votes -1, 0, 1 in turn, then those of any text.
+
+    The weights are one constant array, so that every round runs the same generated code.
+    """
+    held = F.array(*(F.lit(w) for w in weights))
+    score = F.aggregate(F.transform("votes", lambda v, k: F.get(held, k * 3 + v + 1)), F.get(held, F.lit(len(weights) - 1)), lambda a, x: a + x)
     return 1 / (1 + F.exp(-score))
 
 
-def fit(patterns: DataFrame, names: list[str]) -> dict:
-    """Expectation-maximisation over patterns(votes..., n): the share of good texts, and how often each class gets each vote."""
-    good = F.when(F.least(*(F.col(v) for v in names)) == -1, 0.1).otherwise(0.9)  # where it starts from
-    model: dict = {}
+def _smoothed(counts: dict, rules: int) -> list[float]:
+    """Weights of the expected counts (rule, vote) -> (good, bad)."""
+    out = []
+    for k in range(rules):
+        share = []
+        for y in (1, 0):
+            trust = {-1: TRUST * (1 - y), 0: TRUST / 2, 1: TRUST * y}
+            n = {x: counts.get((k, x), (0.0, 0.0))[1 - y] + trust[x] + 0.05 for x in (-1, 0, 1)}
+            share.append({x: n[x] / sum(n.values()) for x in n})
+        out += [math.log(share[0][x] / share[1][x]) for x in (-1, 0, 1)]
+    good, bad = (sum(counts.get((0, x), (0.0, 0.0))[y] for x in (-1, 0, 1)) + TRUST for y in (0, 1))
+    return [*out, math.log(good / bad)]
+
+
+def fit(patterns: DataFrame, rules: int) -> list[float]:
+    """Expectation-maximisation over patterns(votes, n): each round sums the expected counts of each rule's votes in both classes."""
+    good = F.when(F.array_min("votes") == -1, 0.1).otherwise(0.9)  # where it starts from
+    weights: list[float] = []
     for _ in range(ROUNDS):
-        sums = [F.sum("n").alias("all"), F.sum(F.col("n") * good).alias("good")]
-        for v in names:
-            for x in (-1, 0, 1):
-                sums += [F.sum(F.when(F.col(v) == x, F.col("n") * good)).alias(f"{v}|1|{x}"), F.sum(F.when(F.col(v) == x, F.col("n") * (1 - good))).alias(f"{v}|0|{x}")]
-        got = {k: x or 0.0 for k, x in patterns.agg(*sums).first().asDict().items()}
-        new: dict = {"prior": (got["good"] + TRUST) / (got["all"] + 2 * TRUST)}
-        for v in names:
-            for y in (0, 1):
-                trust = {-1: TRUST * (1 - y), 0: TRUST / 2, 1: TRUST * y}
-                total = sum(got[f"{v}|{y}|{x}"] + trust[x] + 0.05 for x in (-1, 0, 1))
-                new |= {(v, y, x): (got[f"{v}|{y}|{x}"] + trust[x] + 0.05) / total for x in (-1, 0, 1)}
-        change = max((abs(new[k] - model[k]) for k in model), default=1.0)
-        model, good = new, _posterior(names, new)
+        each = patterns.select("n", good.alias("good"), F.posexplode("votes").alias("k", "v")).groupBy("k", "v")
+        rows = each.agg(F.sum(F.col("n") * F.col("good")), F.sum(F.col("n") * (1 - F.col("good")))).collect()  # 3 rows a rule
+        new = _smoothed({(r[0], r[1]): (r[2], r[3]) for r in rows}, rules)
+        change = max((abs(a - b) for a, b in zip(new, weights, strict=True)), default=1.0) if weights else 1.0
+        weights, good = new, _posterior(new)
         if change < SETTLED:
             break
-    return model
+    return weights
+
+
+def _weighed(named: DataFrame) -> DataFrame:
+    """Adds base counts, base_failed, p_quality and kept to named(text, ...), and drops the text."""
+    seen = measured(named)
+    rules, carried = votes(), [c for c in named.columns if c != "text"]
+    voted = stage(seen.select(*carried, *COUNTS, F.array(*rules.values()).alias("votes")), "votes")
+    patterns = stage(voted.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1), "patterns")
+    weights = fit(patterns, len(rules))
+    drop_stage(patterns)
+    out = voted.withColumns({"base_failed": base_failed(), "p_quality": _posterior(weights)})
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_quality") >= 0.5)).drop("votes")
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, base counts, base_failed, p_quality (posterior), kept.
 
-    Null and empty texts have no words, so they fail the base rules. Repeated rows stay repeated, empty tables stay empty.
+    Null and empty texts have no words, so they fail the base rules. Repeated rows stay repeated, empty tables stay empty. Other
+    columns are not read.
     """
-    seen = measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    names = list(votes())
-    voted = stage(seen.select("id", *COUNTS, *(v.cast("byte").alias(k) for k, v in votes().items())), "votes")
-    patterns = stage(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "patterns")
-    model = fit(patterns, names)
-    drop_stage(patterns)
-    out = voted.withColumns({"base_failed": base_failed(), "p_quality": _posterior(names, model)})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_quality") >= 0.5)).select("id", *COUNTS, "base_failed", "p_quality", "kept")
+    return _weighed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", *COUNTS, "base_failed", "p_quality", "kept")
+
+
+def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text is kept, with all their columns."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return _weighed(docs.select(whole, F.col(text_col).alias("text"))).filter("kept").select("row.*")
