@@ -167,6 +167,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns; see contamination()."""
+    items = benchmark.select(F.lit(0).alias("item_id"), F.col(item_text_col).alias("item_text"))
+    if (items.agg(F.sum(F.length("item_text"))).first()[0] or 0) > 2 * most_words:
+        text_key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+        texts = docs.select(text_key.alias("_key"), F.col(text_col).alias("text")).dropDuplicates(["_key"])
+        hit = contamination(texts, benchmark, "_key", "text", benchmark.columns[0], item_text_col, most_words=most_words).filter("contaminated")
+        whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text_key.alias("_key"))
+        return whole.join(hit.select(F.col("id").alias("_key")), "_key", "left_anti").select("_row.*")
+    memo = _Hashes()
+    sent = docs.sparkSession.sparkContext.broadcast(Items([(i, word_hashes(t, memo)) for i, t in items.toLocalIterator()]))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench, memo = sent.value, _Hashes()
+
+        def clean(text: str | None) -> bool:
+            words, hit = word_hashes(text, memo), None
+            for _, start, end in bench.spans(words):
+                hit = np.zeros(len(words), bool) if hit is None else hit
+                hit[start:end] = True
+            return hit is None or 20 * int(hit.sum()) < len(words)
+
+        for batch in batches:
+            yield batch.filter(pa.array((clean(v.as_py()) for v in batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _named(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), F.struct(*(F.col(k) for k in keep)).alias("_kept") if keep else F.lit(0).alias("_kept"))
 

@@ -14,7 +14,7 @@ from .language import identified
 from .passages import repeated_passages
 from .quality_model import scored
 from .quality_rules import COUNTS, judged
-from . import token_store, url_rules
+from . import personal_data, token_store, url_rules
 from .simhash import near_duplicates
 
 
@@ -27,6 +27,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.found(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(_table(spark, sf_dir, "documents"))
     return found.withColumnsRenamed({"id": "doc_id", "first_id": "first_doc_id"})
@@ -67,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_repeated_passages, op4_token_store, op5_url_filter, op6_benchmark_decontamination, op7_quality_classifier, op8_byte_bpe, op9_language_id, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_personal_data, op3_repeated_passages, op4_token_store, op5_url_filter, op6_benchmark_decontamination, op7_quality_classifier, op8_byte_bpe, op9_language_id, op10_quality_rules)}
 
 
 _WORDS6 = r"list_filter(string_split_regex(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"

@@ -336,3 +336,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = connected_components(rows.mapInArrow(run, "a long, b long"))
     of = stage(texts.join(joined, F.col("first") == F.col("node"), "left").select("same", F.coalesce("root", "first").alias("group")), "groups")
     return fps.join(of, "same", "left").select("id", F.when(F.col("id").isNotNull(), F.col("group")).alias("group"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs without all but the first of each group of similar_groups(), with all their columns.
+
+    Rows of equal id and text are one; rows with a null id are compared with each other only, for equality.
+    """
+    gone = similar_groups(docs, id_col, text_col, **how).filter("id <> group").select("id").distinct()
+    whole = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_same"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    left = whole.join(gone, F.col("_id") == F.col("id"), "left_anti")
+    return left.dropDuplicates(["_id", "_same"]).select("_row.*")
