@@ -89,7 +89,7 @@ def problem(json: Column) -> Column:
         F.when(~F.coalesce(m["source"]["sha256"].rlike("^[0-9a-f]{64}$"), F.lit(True)), "source.sha256"),
         F.when(~F.coalesce(m["source"]["format"].isin(*FORMATS), F.lit(True)), "source.format"),
         F.when(F.coalesce(F.length(F.try_to_binary(m["salt"], F.lit("base64"))) != SALT_BYTES, m["salt"].isNotNull()), "salt size"),
-        F.when(F.size(F.array_except(F.json_object_keys(json), F.array(*(F.lit(t) for t in (*tops, "tool_version"))))) > 0, "unknown field"),
+        F.when(F.exists(F.array_except(F.json_object_keys(json), F.array(*(F.lit(t) for t in tops))), lambda k: ~k.endswith("_version")), "unknown field"),
     )
     issues = F.filter(F.concat(fields, F.coalesce(F.transform(entries, entity_problem), F.array().cast("array<string>"))), lambda x: x.isNotNull())
     return (
