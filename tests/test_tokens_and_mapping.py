@@ -41,7 +41,10 @@ def test_round_trip(spark):
     docs = spark.createDataFrame(rows, "id int, text string")
     found = detect.detected(docs, names=["Jean Dupont"]).cache()
     entities = mapping.allocated(mapping.occurrences(found, ["id"]), bytes(16)).cache()
-    done = rewrite.with_tokens(found, ["id"], entities).select("id", F.col("anonymized").alias("text")).cache()
+    done = rewrite.with_tokens(found, ["id"], entities, bytes(16)).select("id", F.col("anonymized").alias("text")).cache()
+    assert sorted(map(repr, done.collect())) == sorted(map(repr, rewrite.with_tokens(found, ["id"], entities).select("id", F.col("anonymized").alias("text")).collect()))
+    numbered = entities.withColumn("token", F.when(F.col("original") == "10.0.0.1", "⟦A-ABCDE2⟧").otherwise(F.col("token")))
+    assert sorted(map(repr, rewrite.with_tokens(found, ["id"], numbered, bytes(16)).select("anonymized").collect())) == sorted(map(repr, rewrite.with_tokens(found, ["id"], numbered).select("anonymized").collect()))
     back = dict(rewrite.restored(done, entities, ["id"]).select("id", "restored").collect())
     assert back == dict(rows)
     assert detect.detected(done, names=["Jean Dupont"]).filter(F.size("detections") > 0).count() == 0

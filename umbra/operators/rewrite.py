@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import BLANK
-from ..functions.tokens import TOKEN, tokens_in
+from ..functions.tokens import TOKEN, derive_token, tokens_in
 
 #: Fixed value: code points of context on either side.
 RADIUS = 40
@@ -41,15 +41,26 @@ def context(text: Column, start: Column, end: Column, radius: int = RADIUS) -> C
     return F.struct(before.alias("before"), F.substring(text, start + 1, end - start).alias("match"), after.alias("after"))
 
 
-def with_tokens(segments: DataFrame, keys: list[str], entities: DataFrame, text_col: str = "text", detections_col: str = "detections") -> DataFrame:
-    """Rows with `anonymized`, edits of each detection's token looked up in entities(type, original, token).
+def with_tokens(segments: DataFrame, keys: list[str], entities: DataFrame, salt: bytes | None = None, text_col: str = "text", detections_col: str = "detections") -> DataFrame:
+    """Rows with `edits` and `anonymized`: each detection replaced by its token in entities(type, original, token).
 
-    Detections meet entities by type and value, as a join on values; a frequent value is many rows of the left side only.
+    With the salt, tokens are computed in the row, and only detections whose token is another one (it has a number, or comes from an
+    earlier table) are looked up; what is joined to the texts is as small as those are few. Without it, all are looked up. Detections
+    meet entities by type and value; a frequent value is many rows of the left side only.
     """
-    hits = segments.select(*keys, F.explode(detections_col).alias("d"))
-    found = hits.join(entities.select(F.col("type").alias("_t"), F.col("original").alias("_o"), "token"), (F.col("d.type") == F.col("_t")) & (F.col("d.text") == F.col("_o")))
-    edits = found.groupBy(*keys).agg(F.collect_list(F.struct(F.col("d.start").alias("start"), F.col("d.end").alias("end"), F.col("token").alias("replacement"))).alias("edits"))
-    return segments.join(edits, keys, "left").withColumn("anonymized", applied(F.col(text_col), F.col("edits")))
+    known = entities.select(F.col("type").alias("_t"), F.col("original").alias("_o"), "token")
+    if salt is not None:
+        known = known.filter(F.col("token") != derive_token(salt, F.col("_t"), F.col("_o")))
+    hits = segments.filter(F.size(detections_col) > 0).select(*keys, F.explode(detections_col).alias("d"))
+    found = hits.join(known, (F.col("d.type") == F.col("_t")) & (F.col("d.text") == F.col("_o")))
+    places = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("d.start").alias("start"), "token"))).alias("_at"))
+
+    def edit(d: Column) -> Column:
+        own = derive_token(salt, d["type"], d["text"]) if salt is not None else F.lit(None).cast("string")
+        return F.struct(d["start"].alias("start"), d["end"].alias("end"), F.coalesce(F.try_element_at("_at", d["start"]), own).alias("replacement"))
+
+    edits = F.when(F.size(detections_col) > 0, F.transform(detections_col, edit))
+    return segments.join(places, keys, "left").withColumn("edits", edits).withColumn("anonymized", applied(F.col(text_col), F.col("edits"))).drop("_at")
 
 
 def restored(texts: DataFrame, entities: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:

@@ -317,7 +317,7 @@ def token_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _anonymized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     found = _found(spark, sf_dir)
     entities = _entities(found)
-    return rewrite.with_tokens(found, ["doc_id", "line"], entities), entities
+    return rewrite.with_tokens(found, ["doc_id", "line"], entities, SALT), entities
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,7 +329,7 @@ def anonymize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = detect.detected(docs)
     entities = mapping.allocated(mapping.occurrences(found, ["doc_id"]), SALT)
-    done = rewrite.with_tokens(found, ["doc_id"], entities)
+    done = rewrite.with_tokens(found, ["doc_id"], entities, SALT)
     return done.select("doc_id", F.col("anonymized").alias("text"), F.size("detections").alias("n"))
 
 

@@ -40,7 +40,7 @@ def anonymized_stream(texts: DataFrame, keys: list[str], salt: bytes, out_path:
         table = mapping.allocated(mapping.occurrences(found, keys), salt, existing=held)
         table.write.mode("overwrite").parquet(f"{mapping_path}/batch={number}")
         entities = spark.read.schema(TABLE).parquet(f"{mapping_path}/batch={number}")
-        done = rewrite.with_tokens(found, keys, entities, text_col).select(*keys, "anonymized")
+        done = rewrite.with_tokens(found, keys, entities, salt, text_col).select(*keys, "anonymized")
         done.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
         found.unpersist()
 
