@@ -122,7 +122,8 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
         yield pa.RecordBatch.from_arrays([pa.array([fit(held).tobytes()], pa.binary())], names=["w"])
 
     bounded = rows.mapInArrow(vectors, "id long, y double, at binary, x binary").dropDuplicates(["id"]).repartition(1).sortWithinPartitions("id")
-    return np.frombuffer(bool(w := bounded.mapInArrow(learn, "w binary").first()) and w[0] or fit([]).tobytes(), np.float32)
+    learned = bounded.mapInArrow(learn, "w binary").first()
+    return np.frombuffer(learned[0], np.float32) if learned else fit([])
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, fold: int = 0, threshold: float = 0.3) -> DataFrame:
