@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces whose ids a worker keeps, and the longest it keeps.
-PIECES, LONGEST = 400_000, 64
+PIECES, LONGEST = 200_000, 64
 #: White_Space characters as the `regex` module and the vocabulary's pattern have them: str.isspace() but for U+001C..U+001F.
 _BIT = [1 << k for k in range(256)]
 _PIECE = re.compile("[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+")
@@ -54,7 +54,7 @@ class Codec:
         #: of the rank queue, empty between words: bit t of `high` says that low[t] has bits, bit x of low[t] that rank 256 t + x waits
         self.low = [0] * ((self.size >> 8) + 1)
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -113,15 +113,16 @@ class Codec:
         """Ids of white space and the word after it, as little-endian 32-bit integers."""
         out, words = [], self.words
         for word in self.split.findall(text):
-            ids = words.get(word)
-            if ids is None:
+            packed = words.get(word)
+            if packed is None:
                 ids = self.merge(word.encode("utf-8", "replace"))
+                packed = struct.pack(f"<{len(ids)}I", *ids)
                 if len(word) <= LONGEST:
                     if len(words) >= PIECES:
                         words.clear()
-                    words[word] = ids
-            out += ids
-        return struct.pack(f"<{len(out)}I", *out)
+                    words[word] = packed
+            out.append(packed)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, as little-endian 32-bit integers; none for null."""
