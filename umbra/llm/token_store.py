@@ -7,6 +7,9 @@ offsets stand in an array. Keys are dealt to shards by range, so the key's shard
 The hash has levels of bit arrays: a key whose position in a level is its own ends there, the others go on to the next level; the
 slot is the number of bits set before the key's. Keys are 64-bit integers and are mixed by a bijection, so no two collide on all levels.
 
+The tokenizer lower-cases, drops white space and never merges across it, so texts are cut at ASCII white space into pieces, and a
+piece that occurs again is not encoded again.
+
 Tasks write under names of their own, and only files listed in the committed manifest are read, so lost and repeated tasks do no harm.
 """
 
@@ -15,6 +18,7 @@ from __future__ import annotations
 import bisect
 import io
 import itertools
+import os
 import re
 import uuid
 import zlib
@@ -32,11 +36,10 @@ from .common import fresh_path, in_chunks, rows_of, stage
 
 #: Bits of a level for each key that is left, and levels before the rest is kept as it is.
 GAMMA, LEVELS = 2, 48
-#: Pieces of text whose ids a worker keeps, and the longest it keeps.
-PIECES, LONGEST = 500_000, 64
+#: Pieces of text whose ids a worker keeps, the longest it keeps, texts that are encoded together, and pieces in a call.
+PIECES, LONGEST, TEXTS, CALL = 600_000, 64, 64, 512
+_CLOSING = b".,;:!?)"
 _SLOT, _MARK = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
-#: The tokenizer drops white space and never merges across it, so text may be cut at blanks and line ends.
-_PIECE = re.compile("[^ \n]+")
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -122,23 +125,55 @@ class Encoder:
 
         self.tokenizer, self.kind, self.known = Tokenizer.from_file(path), f"<u{width}", {}
         self.end = np.array([end_id], self.kind).tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        known, pieces = self.known, _PIECE.findall(text or "")
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if new:
-            if len(known) + len(new) > PIECES:
-                known.clear()
-                new = list(dict.fromkeys(pieces))
-            for piece, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[piece] = np.array(found.ids, self.kind).tobytes()
-        out = b"".join([known[p] for p in pieces]) + self.end
-        for piece in new:
+        #: a special token of the vocabulary keeps pieces apart that are encoded in one call
+        self.mark_id, self.mark = next(((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), (None, ""))
+
+    def _ask(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each piece and its ids from the library."""
+        plain = [p for p in pieces if self.mark_id is not None and b"<" not in p]
+        for k in range(0, len(plain), CALL):
+            part = plain[k : k + CALL]
+            line = self.mark.join([p.decode() for p in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.kind)
+            marks = np.flatnonzero(ids == self.mark_id)
+            bounds = zip([0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)], strict=True)
+            yield from ((p, ids[a:b].tobytes()) for p, (a, b) in zip(part, bounds, strict=True))
+        rest = pieces if self.mark_id is None else [p for p in pieces if b"<" in p]
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False) if rest else []
+        yield from ((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(rest, found, strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, its end included."""
+        known = self.known
+        cut = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+        every = set().union(*cut)
+        new = [p for p in every if p not in known]
+        if len(known) + 2 * len(new) > PIECES:
+            known.clear()
+            new = list(every)
+        # punctuation after an ASCII letter or digit is a token run of its own
+        stems = [s if (s := p.rstrip(_CLOSING)) and s[-1:].isalnum() else p for p in new]
+        asked = [p for p in {*stems, *(p[len(s) :] for p, s in zip(new, stems, strict=True))} if p and p not in known]
+        known.update(self._ask(asked))
+        known.update((p, known[s] + known[p[len(s) :]]) for p, s in zip(new, stems, strict=True) if len(s) < len(p))
+        out = [b"".join([known[p] for p in pieces]) + self.end for pieces in cut]
+        for piece in (*asked, *new):
             if len(piece) > LONGEST:
-                del known[piece]
+                known.pop(piece, None)
         return out
 
 
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def _encoder(name: str, end_id: int, width: int) -> Encoder:
+    """The worker's encoder, kept from task to task. The library must not start threads of its own: Spark deals out the cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if (name, end_id, width) not in _ENCODERS:
+        _ENCODERS[name, end_id, width] = Encoder(SparkFiles.get(name), end_id, width)
+    return _ENCODERS[name, end_id, width]
+
+
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri)) if re.match(r"\w+:", uri) else (pafs.LocalFileSystem(), uri)
 
@@ -229,14 +264,14 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
                 fs, path = _file_system(base)
                 fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 sink = fs.open_output_stream(f"{path}.ids")
-                encoder = Encoder(SparkFiles.get(name), end_id, width)
-            for key, text in rows_of(batch):
-                ids = encoder.encode(text)
-                sink.write(ids)
-                lengths.append(len(ids) // width)
-                nulls += key is None
-                if key is not None:
-                    keys.append(key)
+                encoder = _encoder(name, end_id, width)
+            for part in _parts(rows_of(batch), TEXTS):
+                for (key, _), ids in zip(part, encoder.encode([text for _, text in part]), strict=True):
+                    sink.write(ids)
+                    lengths.append(len(ids) // width)
+                    nulls += key is None
+                    if key is not None:
+                        keys.append(key)
         if base is None:
             return
         sink.close()
