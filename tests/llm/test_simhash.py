@@ -112,3 +112,25 @@ def test_similar_groups_against_brute_force(spark):
         got = dict(simhash.similar_groups(docs(spark, rows), block=block).collect())
         assert [got[k] for k in range(84)] == want
         assert got[501] == 500 and got[None] is None
+
+
+def test_similar_groups_with_blocks_of_new_words(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    rows, shared = [], [word() for _ in range(12)]
+    for k in range(60):
+        n = rng.choice((60, 200, 600))
+        base = [word() for _ in range(n)]
+        at = rng.randrange(10, n - 10)
+        base[at:at] = shared  # a common line in unlike texts
+        extra = [word() for _ in range(int(n * rng.uniform(0.05, 0.24)))]
+        changed = [base + extra, base[: n - len(extra)], base[:at] + extra + base[at:]][k % 3]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(changed))]
+    rows += [(9000, "a b c"), (9001, "a b c"), (9002, "a b d"), (None, rows[0][1])]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for i, t in rows if i is not None}
+    ids = list(sets)
+    alike = [(a, b) for a, b in itertools.combinations(range(len(ids)), 2) if len(sets[ids[a]] & sets[ids[b]]) >= 0.8 * len(sets[ids[a]] | sets[ids[b]])]
+    fps = dict(simhash.fingerprints(docs(spark, rows), shingle=0).collect())
+    assert sum((fps[ids[a]] ^ fps[ids[b]]).bit_count() > 7 for a, b in alike) >= 5
+    got = dict(simhash.similar_groups(docs(spark, rows)).collect())
+    assert [ids.index(got[i]) for i in ids] == roots(len(ids), alike)
