@@ -1,10 +1,11 @@
+import collections
 import itertools
 import random
 
 import numpy as np
 import xxhash
 
-from umbra.llm import simhash
+from umbra.llm import similar, simhash
 from umbra.llm.components import connected_components
 
 
@@ -109,7 +110,7 @@ def test_similar_groups_against_brute_force(spark):
     edges = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = roots(84, edges)
     for block in (256, 3):
-        got = dict(simhash.similar_groups(docs(spark, rows), block=block).collect())
+        got = dict(similar.similar_groups(docs(spark, rows), block=block).collect())
         assert [got[k] for k in range(84)] == want
         assert got[501] == 500 and got[None] is None
 
@@ -132,5 +133,14 @@ def test_similar_groups_with_blocks_of_new_words(spark):
     alike = [(a, b) for a, b in itertools.combinations(range(len(ids)), 2) if len(sets[ids[a]] & sets[ids[b]]) >= 0.8 * len(sets[ids[a]] | sets[ids[b]])]
     fps = dict(simhash.fingerprints(docs(spark, rows), shingle=0).collect())
     assert sum((fps[ids[a]] ^ fps[ids[b]]).bit_count() > 7 for a, b in alike) >= 5
-    got = dict(simhash.similar_groups(docs(spark, rows)).collect())
+    got = dict(similar.similar_groups(docs(spark, rows)).collect())
     assert [ids.index(got[i]) for i in ids] == roots(len(ids), alike)
+
+
+def test_deduplicated_keeps_unlike_texts_of_equal_ids(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven", "quick brown fox jumps over lazy dogs today")
+    rows = [(3, a), (7, a), (7, b), (7, b.upper()), (7, b), (8, c), (8, c), (None, c), (None, "only here and nowhere else at all"), (9, None), (10, "")]
+    got = collections.Counter((r.doc_id, (r.text or "").lower()) for r in similar.deduplicated(docs(spark, rows)).collect())
+    assert got == {(3, a): 1, (7, b): 1, (8, c): 1, (None, "only here and nowhere else at all"): 1, (9, ""): 1}
+    assert similar.deduplicated(docs(spark, [])).count() == 0
+    assert similar.deduplicated(docs(spark, rows)).columns == docs(spark, rows).columns

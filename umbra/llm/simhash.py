@@ -30,8 +30,6 @@ BLOCK = 4096
 #: Cost of sending one row (count, join, shuffle, sort and Arrow: about 2 microseconds) against comparing one pair (about 5 nanoseconds).
 ROW_COST = 400.0
 ONE = np.uint64(1)
-#: One text of so many is looked at for shingles that are often used; bits of the bitmap of those: 2 MB.
-SAMPLE, OFTEN_BITS = 32, 1 << 24
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -182,9 +180,10 @@ def probes(distinct: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
 def blocked(rows: DataFrame, keys: list[str], by: str, block: int) -> DataFrame:
     """Adds x and y: buckets of over `block` rows are cut by a hash of `by`, and a row goes to each pair that has its block.
 
-    The counts are combined before they are shuffled; buckets with a single row are dropped, as nothing meets there.
+    The counts are combined before they are shuffled, and stored, so that Spark can split a hot bucket's rows in the join; buckets
+    with a single row are dropped, as nothing meets there.
     """
-    size = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
+    size = stage(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1"), "sizes")
     cut = F.ceil(F.col("_n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64(by), F.col("_k").cast("long")).cast("int")
     pairs = F.when(F.col("_k") == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(
@@ -267,203 +266,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = stage(rooted.join(least, "root").select("fp", "component_id"), "classes")
     return fps.join(of, "fp").select("id", "fp", "component_id")
-
-
-def prefix_pairs(named: DataFrame, groups: DataFrame, size: int, similarity: float, block: int = 1024) -> DataFrame:
-    """(ga, gb, a, b): texts a, b of different groups ga < gb, among them all pairs whose shingle sets have this Jaccard similarity.
-
-    named(id, text), groups(first, group): the texts to look at and their groups. Shingles have one order: those that a sample
-    of the texts has often come last. Of two similar texts, the first common shingle is among the first n - ceil(similarity * n) + 1
-    of either, and what is left from there is enough for the similarity; so only those prefixes meet. What one text alone has is
-    taken out by counts that are combined before they are shuffled and by a bitmap of fixed size (a full one lets through more,
-    never less), and so is what only one group has. The sample and the first bitmap decide on the order only.
-    """
-    from .decontaminate import _Hashes, run_hashes
-    from .passages import BITS, _bitmap
-
-    context = named.sparkSession.sparkContext
-
-    def hashes(text: str | None, memo: dict) -> np.ndarray:
-        words = words_of(text)
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        return np.unique(run_hashes(h, min(size, len(h)))) if words else h
-
-    def within(h: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
-        def hit(slot: np.ndarray) -> np.ndarray:
-            return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
-
-        return (hit(h & np.uint64(bits - 1)) & hit((h >> np.uint64(32)) & np.uint64(bits - 1))).astype(bool)
-
-    def all_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Hashes()
-        for batch in batches:
-            for (text,) in rows_of(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(hashes(text, memo).view(np.int64))], names=["v"])
-
-    some = named.filter("id is not null and text is not null").select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
-    often = context.broadcast(_bitmap(some.mapInArrow(all_hashes, "v long").groupBy("v").agg(F.count("*").alias("n")).filter("n > 2"), OFTEN_BITS))
-    schema = pa.schema([("h", pa.int64()), ("place", pa.int32()), ("n", pa.int32()), ("id", pa.int64())])
-
-    def prefixes(let=None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            memo, last, repeated = _Hashes(), often.value, let.value if let else None
-            for batch in batches:
-                held, many = [], 0
-                for i, text in rows_of(batch):
-                    own = hashes(text, memo)
-                    if not len(own):
-                        continue
-                    late = within(own, last, OFTEN_BITS)
-                    most = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
-                    own, place = np.concatenate((own[~late], own[late]))[:most], np.arange(min(most, len(own)))
-                    if repeated is not None:
-                        keep = within(own, repeated, BITS)
-                        own, place = own[keep], place[keep]
-                    held.append((own.view(np.int64), place, np.full(len(own), len(late)), np.full(len(own), i)))
-                    many += len(own)
-                    if many >= 8192:
-                        yield filled(held)
-                        held, many = [], 0
-                if held:
-                    yield filled(held)
-
-        return run
-
-    def filled(held: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-
-    looked = named.filter("id is not null and text is not null").select("id", "text")
-    ddl = "h long, place int, n int, id long"
-    met = looked.mapInArrow(prefixes(), ddl).groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    repeated = context.broadcast(_bitmap(met.select(F.col("h").alias("v")), BITS))
-    found = stage(looked.mapInArrow(prefixes(repeated), ddl).join(groups, F.col("id") == F.col("first")).select("h", "place", "n", "id", "group"), "prefixes")
-    mixed = found.groupBy("h").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("h")
-    rows = blocked(stage(found.join(mixed, "h", "left_semi"), "mixed"), ["h"], "id", block)
-    out = pa.schema([(k, pa.int64()) for k in ("ga", "gb", "a", "b")])
-
-    def near(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        place, n, ids, group = np.array([r[3:] for r in rows], np.int64).T
-        need = similarity / (1 + similarity)
-        for k in range(len(rows) - 1):
-            rest = slice(k + 1, None)
-            left = np.minimum(n[k] - place[k], n[rest] - place[rest])
-            hit = (group[rest] != group[k]) & (left >= need * (n[k] + n[rest]) - 1e-6) & (np.minimum(n[k], n[rest]) >= similarity * np.maximum(n[k], n[rest]) - 1e-6)
-            if hit.any():
-                g, i = group[rest][hit], ids[rest][hit]
-                swap = g < group[k]
-                own = np.full(len(i), ids[k])
-                cols = np.minimum(g, group[k]), np.maximum(g, group[k]), np.where(swap, i, own), np.where(swap, own, i)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = (row for batch in batches for row in rows_of(batch))
-        for _, bucket in itertools.groupby(every, key=lambda r: r[:3]):
-            yield from near(list(bucket))
-
-    keys = ["h", "x", "y"]
-    return rows.select(*keys, "place", "n", "id", "group").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "ga long, gb long, a long, b long").distinct()
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 7, block: int = 256) -> DataFrame:
-    """One row per document: id, group (smallest id among texts that links of shingle similarity >= `similarity` connect).
-
-    First candidates are SimHash links: fingerprints over the set of a text's words, within `radius` bits. Their components are
-    compared exactly, by the Jaccard similarity of the sets of `shingle`-word shingles, in blocks of at most `block` texts;
-    a block pair gives a spanning forest of its links. Similar texts that this leaves in different groups are found by
-    prefix_pairs(), which misses none. Equal word sequences are equal without comparison. Blank and null texts
-    equal each other. Rows with a null id form no group with others and keep a null group.
-    """
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("same", pa.binary())])
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(batch):
-            for i, t in rows_of(batch):
-                words = words_of(t)
-                yield i, signed(majority_bits(shingle_hashes(sorted({w.strip(b",.;:!?") for w in words}), 1))), xxhash.xxh3_128_digest(b" ".join(words))
-
-        for batch in batches:
-            yield from in_chunks(rows(batch), schema)
-
-    fps = stage(named.mapInArrow(prints, "id long, fp long, same binary"), "prints")
-    texts = stage(fps.filter("id is not null").groupBy("same").agg(F.min("id").alias("first"), F.min("fp").alias("fp")), "texts")
-    found = connected_components(links(texts.select("fp").distinct(), radius))
-    rooted = texts.join(found, texts.fp == found.node, "left").select("first", "fp", F.coalesce("root", "fp").alias("root"))
-    members = stage(blocked(rooted, ["root"], "first", block), "members")
-    sets = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from in_chunks(((i, np.unique(shingle_hashes(words_of(t), shingle)).tobytes()) for i, t in rows_of(batch)), sets, 256)
-
-    def whole(ids: DataFrame) -> DataFrame:
-        return named.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(shingles, "id long, hashes binary")
-
-    keys = ["root", "x", "y"]
-    rows = members.join(whole(members.select(F.col("first").alias("id"))), F.col("first") == F.col("id")).select(*keys, "first", "fp", "hashes").repartition(*keys).sortWithinPartitions(*keys, "first")
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def alike(a: np.ndarray, b: np.ndarray) -> bool:
-        if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-            return False
-        both = len(a) + len(b) - len(np.union1d(a, b))
-        return both >= similarity * (len(a) + len(b) - both)
-
-    def verified(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        ids, fp = [g[3] for g in group], np.array([g[4] for g in group], np.int64).view(np.uint64)
-        held = [np.frombuffer(g[5], np.uint64) for g in group]
-        left = np.arange(len(group))
-        while left.size:
-            ahead, left = [left[0]], left[1:]
-            while ahead and left.size:
-                x = ahead.pop()
-                near = np.bitwise_count(fp[left] ^ fp[x]) <= radius
-                hit = [k for k in left[near] if alike(held[x], held[k])]
-                if hit:
-                    left = left[~np.isin(left, hit)]
-                    ahead.extend(hit)
-                    yield from ((ids[x], ids[k]) for k in hit)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges():
-            every = (row for batch in batches for row in rows_of(batch))
-            for _, group in itertools.groupby(every, key=lambda r: r[:3]):
-                yield from verified(list(group))
-
-        yield from in_chunks(edges(), out)
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = (row for batch in batches for row in rows_of(batch))
-        yield from in_chunks(((ga, gb) for ga, gb, a, b in every if alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))), out)
-
-    joined = connected_components(rows.mapInArrow(run, "a long, b long"))
-    groups = stage(texts.join(joined, F.col("first") == F.col("node"), "left").select("same", "first", F.coalesce("root", "first").alias("group")), "groups")
-    pairs = stage(prefix_pairs(named, groups.select("first", "group"), shingle, similarity), "pairs")
-    for every in (False, True):  # one pair of any two groups first: most are one group then, and their other pairs need no comparison
-        if pairs.isEmpty():
-            break
-        now = pairs if every else pairs.groupBy("ga", "gb").agg(F.min(F.struct("a", "b")).alias("p")).select("ga", "gb", "p.*")
-        shingled = stage(whole(now.select(F.explode(F.array("a", "b")).alias("id"))), "shingled")
-        sides = now.join(shingled.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(shingled.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
-        moved = stage(connected_components(sides.select("ga", "gb", "ha", "hb").mapInArrow(checked, "a long, b long")), "moved")
-
-        def regrouped(df: DataFrame, name: str, moved: DataFrame = moved) -> DataFrame:
-            to = moved.select(F.col("node").alias(name), F.col("root").alias("_to"))
-            return df.join(to, name, "left").withColumn(name, F.coalesce("_to", name)).drop("_to")
-
-        groups = stage(regrouped(groups, "group"), "groups")
-        if not every:
-            pairs = stage(regrouped(regrouped(pairs.join(now, ["a", "b"], "left_anti"), "ga"), "gb").filter("ga <> gb").select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb"), "a", "b"), "pairs")
-    of = groups.select("same", "group")
-    return fps.join(of, "same", "left").select("id", F.when(F.col("id").isNotNull(), F.col("group")).alias("group"))
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs without all but the first of each group of similar_groups(), with all their columns.
-
-    Rows of equal id and text are one; rows with a null id are compared with each other only, for equality.
-    """
-    gone = similar_groups(docs, id_col, text_col, **how).filter("id <> group").select("id").distinct()
-    whole = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_same"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    left = whole.join(gone, F.col("_id") == F.col("id"), "left_anti")
-    return left.dropDuplicates(["_id", "_same"]).select("_row.*")
