@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm import bpe, decontaminate, personal_data, quality_rules, simhash
+from umbra.llm import bpe, decontaminate, personal_data, quality_rules, similar
 from umbra.llm.common import stage
 
 
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
-    return simhash.deduplicated(docs, shingle=5, similarity=0.8)
+    return similar.deduplicated(docs, shingle=5, similarity=0.8)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
