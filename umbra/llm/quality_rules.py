@@ -35,8 +35,11 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Columns of these names in the input are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("_text", text).withColumn("_words", F.filter(F.split("_text", f"[{BLANKS}]+"), lambda w: w != ""))
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    bare = F.btrim("_text", F.lit(BLANKS))
+    out = docs.withColumn("_text", text).withColumn("_words", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{BLANKS}]+", -1)))
+    lines = F.filter(F.split("_text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    # most characters are small letters: the others are counted in what is left without them
+    out = out.withColumn("_joined", F.array_join("_words", "")).withColumn("_rest", F.regexp_replace("_joined", "[a-z]+", ""))
     windows = F.when(
         F.size("_words") >= WINDOW,
         F.transform(F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))),
@@ -55,25 +58,26 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda a, i: F.struct((i + WINDOW).alias("end"), (a["n"] + i + WINDOW - F.greatest(i, a["end"])).alias("n")),
     )["n"]
-    t = F.col("_text")
+    rest = F.col("_rest")
     out = out.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
-            "n_symbols": _without(t, SYMBOLS).cast("long"),
+            "word_chars": F.length("_joined").cast("long"),
+            "n_symbols": _without(rest, SYMBOLS).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
             "_n_lines": F.size("_lines"),
             "_distinct": F.size(F.array_distinct("_words")),
-            "_bare": F.size(F.filter("_words", lambda w: F.length(F.translate(w, SYMBOLS, "")) < F.length(w))),
-            "_exclaimed": _without(t, "!"),
-            "_stops": _without(t, ".,;:?"),
-            "_upper": _without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-            "_lower": _without(t, "abcdefghijklmnopqrstuvwxyz"),
-            "_digits": _without(t, "0123456789"),
+            "_exclaimed": _without(rest, "!"),
+            "_stops": _without(rest, ".,;:?"),
+            "_upper": _without(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+            "_lower": F.length("_joined") - F.length(rest),
+            "_digits": _without(rest, "0123456789"),
         }
     )
-    return out.drop("_text", "_words", "_lines", "_windows", "_sorted", "_at")
+    with_symbol = F.size(F.filter("_words", lambda w: F.length(F.translate(w, SYMBOLS, "")) < F.length(w)))
+    out = out.withColumn("_bare", F.when(F.col("n_symbols") > 0, with_symbol).otherwise(0))
+    return out.drop("_text", "_words", "_lines", "_windows", "_sorted", "_at", "_joined", "_rest")
 
 
 def base_failed() -> Column:
