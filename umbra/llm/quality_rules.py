@@ -145,28 +145,38 @@ def fit(patterns: DataFrame, rules: int) -> list[float]:
     return weights
 
 
-def _weighed(named: DataFrame) -> DataFrame:
-    """Adds base counts, base_failed, p_quality and kept to named(text, ...), and drops the text."""
-    seen = measured(named)
-    rules, carried = votes(), [c for c in named.columns if c != "text"]
-    voted = stage(seen.select(*carried, *COUNTS, F.array(*rules.values()).alias("votes")), "votes")
+def _judge(named: DataFrame, weights: list[float]) -> DataFrame:
+    out = named.withColumns({"base_failed": base_failed(), "p_quality": _posterior(weights)})
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_quality") >= 0.5)).drop("votes")
+
+
+def _voted(named: DataFrame) -> DataFrame:
+    """Adds base counts and votes to named(text, ...), and drops the text."""
+    return measured(named).select(*(c for c in named.columns if c != "text"), *COUNTS, F.array(*votes().values()).alias("votes"))
+
+
+def _fitted(voted: DataFrame) -> list[float]:
     patterns = stage(voted.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1), "patterns")
-    weights = fit(patterns, len(rules))
+    weights = fit(patterns, len(votes()))
     drop_stage(patterns)
-    out = voted.withColumns({"base_failed": base_failed(), "p_quality": _posterior(weights)})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_quality") >= 0.5)).drop("votes")
+    return weights
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, base counts, base_failed, p_quality (posterior), kept.
 
     Null and empty texts have no words, so they fail the base rules. Repeated rows stay repeated, empty tables stay empty. Other
-    columns are not read.
+    columns are not read. Very long texts are counted whole.
     """
-    return _weighed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", *COUNTS, "base_failed", "p_quality", "kept")
+    voted = stage(_voted(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "votes")  # numbers only, no text
+    return _judge(voted, _fitted(voted)).select("id", *COUNTS, "base_failed", "p_quality", "kept")
 
 
 def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows whose text is kept, with all their columns."""
+    """The rows whose text is kept, with all their columns.
+
+    Texts are read twice, for the votes and for the verdict, and written nowhere.
+    """
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    return _weighed(docs.select(whole, F.col(text_col).alias("text"))).filter("kept").select("row.*")
+    voted = _voted(docs.select(whole, F.col(text_col).alias("text")))
+    return _judge(voted, _fitted(voted)).filter("kept").select("row.*")
