@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,6 +52,12 @@ def drop_stage(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now: it does so when the driver collects its garbage, which may be late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
     """The batch's rows as Python values, one at a time, so that only one text is held besides the batch."""
     columns = [batch.column(k) for k in range(batch.num_columns)]

@@ -6,9 +6,11 @@ in different groups are found by their prefixes: shingles have one order, those
 two similar texts the first common shingle is among the first n - ceil(similarity * n) + 1 of either. Only shingles that stand in
 prefixes of several groups are sent on.
 
-Each text has a sketch: 256 bits, bit j the parity of its shingles that hash to j. Two texts of a and b shingles and the asked
-similarity s differ in at most (a + b)(1 - s)/(1 + s) shingles, so in at most as many bits; what is beyond is no pair, and no pair is
-lost. First one pair of any two groups is checked, as most groups join then, in a second round all pairs of what is still apart.
+Each text has sketches: bit j is the parity of its shingles that hash to j. Two texts of a and b shingles and the asked similarity s
+differ in at most (a + b)(1 - s)/(1 + s) shingles, so in at most as many bits; what is beyond is no pair, and no pair is lost. A
+sketch of 256 bits goes with each place of a prefix, one of at least 4 bits a shingle stays with the text and is looked at before
+whole texts are. First one pair of any two groups is checked, as most groups join then; where that pair fails and others met, all
+others are checked in a second round.
 
 Words and shingles are 64-bit hashes, and texts 128-bit ones of which the links carry 64, taken as equal when equal.
 """
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, in_chunks, rows_of, stage
+from .common import drop_stage, forget_shuffles, in_chunks, rows_of, stage
 from .components import connected_components
 from .decontaminate import _Hashes, run_hashes
 from .passages import BITS, _bitmap
@@ -34,6 +36,8 @@ SAMPLE, OFTEN_BITS = 32, 1 << 24
 #: 64-bit words of a sketch; rows of a bucket that is compared together with others.
 SKETCH, SMALL = 4, 16
 _SKETCHES = [f"s{k}" for k in range(SKETCH)]
+#: What tells rows apart; the first row of a group is the least in this order, so null ids come last.
+ROW = ["none", "id", "raw"]
 
 
 class _Stripped(_Hashes):
@@ -59,19 +63,32 @@ def _within(h: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
     return (hit(h & np.uint64(bits - 1)) & hit((h >> np.uint64(32)) & np.uint64(bits - 1))).astype(bool)
 
 
-def _sketch(shingles: np.ndarray) -> np.ndarray:
-    slot = (shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 6 - (SKETCH - 1).bit_length())
-    return np.packbits(np.bincount(slot.astype(np.int64), minlength=64 * SKETCH) & 1, bitorder="little").view(np.int64)
+def _sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
+    slot = (shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - bits.bit_length())
+    return np.packbits(np.bincount(slot.astype(np.int64), minlength=bits) & 1, bitorder="little")
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ; of the longer one, neighbouring bits are added until they are of one length."""
+    x, y = (np.unpackbits(np.frombuffer(s, np.uint8), bitorder="little") for s in (a, b))
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[::2] ^ x[1::2]
+    return int((x ^ y).sum())
+
+
+def _node(line: bytes) -> int:
+    return int.from_bytes(xxhash.xxh3_128_digest(line)[:8], "big", signed=True)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, raw, text): raw is a hash of the text as it stands; a null text is an empty one."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("raw"), text.alias("text"))
+    """(none, id, raw, text): raw is a hash of the text as it stands; a null text is an empty one, a null id is 0 and none is set."""
+    text, own = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+    return docs.select(own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"), F.xxhash64(text).alias("raw"), text.alias("text"))
 
 
 def _printed(named: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(id, raw, node, fp, n, sketch, prefix) per row: node is the hash of the word sequence, n the number of shingles."""
+    """(none, id, raw, node, fp, n, sketches, prefix) per row: node is the hash of the word sequence, n the number of shingles."""
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
@@ -81,82 +98,99 @@ def _printed(named: DataFrame, size: int, similarity: float) -> DataFrame:
 
     some = named.filter(F.pmod("raw", F.lit(SAMPLE)) == 0).select("text").distinct()
     often = named.sparkSession.sparkContext.broadcast(_bitmap(some.mapInArrow(sampled, "v long").groupBy("v").agg(F.count("*").alias("n")).filter("n > 2"), OFTEN_BITS))
-    names = ["id", "raw", "node", "fp", "n", *_SKETCHES, "prefix"]
+    names = [*ROW, "node", "fp", "n", *_SKETCHES, "whole", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, stripped, last = _Hashes(), _Stripped(), often.value
         for batch in batches:
-            nodes, fps, counts, sketches, prefixes = [], [], [], [], []
-            for value in batch.column(2):
+            nodes, fps, counts, sketches, whole, prefixes = [], [], [], [], [], []
+            for value in batch.column(3):
                 words = words_of(value.as_py())
-                nodes.append(int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words))[:8], "big", signed=True))
+                nodes.append(_node(b" ".join(words)))
                 fps.append(signed(majority_bits(np.unique(np.fromiter(map(stripped.__getitem__, words), np.uint64, len(words))))))
                 own = _shingles(words, size, memo)
                 late = _within(own, last, OFTEN_BITS)
                 most = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
                 counts.append(len(own))
-                sketches.append(_sketch(own))
+                sketches.append(_sketch(own, 64 * SKETCH).view(np.int64))
+                whole.append(_sketch(own, max(64 * SKETCH, 4 << (max(len(own), 1) - 1).bit_length())).tobytes())
                 prefixes.append(np.concatenate((own[~late], own[late]))[:most].view(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)))
             apart = np.array(sketches, np.int64).reshape(-1, SKETCH).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(counts, pa.int32()), *map(pa.array, apart), listed], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(counts, pa.int32()), *map(pa.array, apart), pa.array(whole, pa.binary()), listed], names=names)
 
-    return named.mapInArrow(run, "id long, raw long, node long, fp long, n int, " + ", ".join(f"{s} long" for s in _SKETCHES) + ", prefix array<long>")
+    return named.mapInArrow(run, "none boolean, id long, raw long, node long, fp long, n int, " + ", ".join(f"{s} long" for s in _SKETCHES) + ", whole binary, prefix array<long>")
 
 
-def _first(name: str, id_col: str = "id", raw_col: str = "raw"):
-    """The first row of a group: that of the least id, null ids after all others."""
-    return F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(raw_col).alias("raw"))).alias(name)
+def _first(name: str, of: str = ""):
+    """The first row of a group."""
+    return F.min(F.struct(*(F.col(of + c).alias(c) for c in ROW))).alias(name)
 
 
-def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both)
+def _sketched(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose whole sketches leave room for the similarity."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("whole").alias(f"w{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("ga", "gb", "a", "b", "more", "na", "nb", "wa", "wb")
+    out = pa.schema([(k, pa.int64()) for k in ("ga", "gb", "a", "b")] + [("more", pa.bool_()), ("fits", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from in_chunks(((*r[:5], _apart(r[7], r[8]) <= (r[5] + r[6]) * ((1 - similarity) / (1 + similarity)) + 1e-6) for r in rows_of(batch)), out)
+
+    return both.mapInArrow(run, "ga long, gb long, a long, b long, more boolean, fits boolean")
 
 
 def _checked(named: DataFrame, texts: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs(a, b) of texts, by node, that are as similar as asked. Only texts that a bitmap of the pairs' lets through are cut into shingles."""
+    """The pairs(a, b) of texts, by node, that are as similar as asked. Only texts that a bitmap of the pairs' lets through are sent."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = texts.join(asked, "node").select(F.xxhash64("first.id", "first.raw").alias("v"))
+    keys = texts.join(asked, "node").select(F.xxhash64(*(f"first.{c}" for c in ROW)).alias("v"))
     sent = named.sparkSession.sparkContext.broadcast(_bitmap(keys, BITS))
-    schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("line", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, bitmap = _Hashes(), sent.value
+        bitmap = sent.value
 
         def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
             texts = batch.column(1)
             for k in np.flatnonzero(_within(batch.column(0).to_numpy().view(np.uint64), bitmap, BITS)).tolist():
-                words = words_of(texts[k].as_py())
-                yield int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words))[:8], "big", signed=True), _shingles(words, size, memo).tobytes()
+                line = b" ".join(words_of(texts[k].as_py()))
+                yield _node(line), line
 
         for batch in batches:
             yield from in_chunks(rows(batch), schema, 256)
 
-    shingled = named.select(F.xxhash64("id", "raw").alias("key"), "text").mapInArrow(cut, "node long, hashes binary")
-    held = stage(shingled.dropDuplicates(["node"]), "shingled")
-    sides = pairs.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+    lines = named.select(F.xxhash64(*ROW).alias("key"), "text").mapInArrow(cut, "node long, line binary")
+    held = stage(lines.dropDuplicates(["node"]), "lines")
+    side = lambda x: held.select(F.col("node").alias(x), F.col("line").alias(f"l{x}"))
+    sides = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = _Hashes()
+
+        def alike(line_a: bytes, line_b: bytes) -> bool:
+            a, b = (_shingles(line.split(), size, memo) for line in (line_a, line_b))
+            if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+                return False
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            return both >= similarity * (len(a) + len(b) - both)
+
         for batch in batches:
-            same = ((a, b) for a, b, ha, hb in rows_of(batch) if _alike(np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64), similarity))
-            yield from in_chunks(same, out)
+            yield from in_chunks(((a, b) for a, b, la, lb in rows_of(batch) if alike(la, lb)), out)
 
-    found = stage(sides.select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long"), "similar")
+    found = stage(sides.mapInArrow(compare, "a long, b long"), "similar")
     drop_stage(held)
+    forget_shuffles(named.sparkSession)
     return found
 
 
 def _candidates(rows: DataFrame, similarity: float, block: int, every: bool) -> DataFrame:
-    """(ga, gb, a, b): pairs of texts of different groups ga < gb that meet in a prefix and may be similar: one of any two groups, or every one.
+    """(ga, gb, a, b, more): pairs of texts of different groups ga < gb that meet in a prefix and may be similar: one of any two groups, and whether more met, or every one.
 
     rows(h, place, n, node, group, sketch): the places of prefixes.
     """
-    keys, out = ["h", "x", "y"], pa.schema([(k, pa.int64()) for k in ("ga", "gb", "a", "b")])
+    keys, out = ["h", "x", "y"], pa.schema([(k, pa.int64()) for k in ("ga", "gb", "a", "b")] + [("more", pa.bool_())])
 
     def passes(place: list, n: list, sketch: list) -> np.ndarray:
         """Of two sides: whether places, sizes and sketches leave room for the similarity."""
@@ -167,10 +201,10 @@ def _candidates(rows: DataFrame, similarity: float, block: int, every: bool) ->
         apart = np.bitwise_count(np.broadcast_to(sketch[0], sketch[1].shape)[at] ^ sketch[1][at]).sum(axis=1)
         return at[apart <= total[at] * ((1 - similarity) / (1 + similarity)) + 1e-6]
 
-    def batch_of(ga: np.ndarray, gb: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    def batch_of(ga: np.ndarray, gb: np.ndarray, a: np.ndarray, b: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
         swap = ga > gb
         columns = np.where(swap, gb, ga), np.where(swap, ga, gb), np.where(swap, b, a), np.where(swap, a, b)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=out)
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(more)], schema=out)
 
     def large(place: np.ndarray, n: np.ndarray, node: np.ndarray, group: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Pairs of one bucket. Texts of its largest group come last: they are compared with those of others only."""
@@ -178,16 +212,22 @@ def _candidates(rows: DataFrame, similarity: float, block: int, every: bool) ->
         order = np.lexsort((of, sizes[of]))
         place, n, node, group, sketch, of = place[order], n[order], node[order], group[order], sketch[order], of[order]
         ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of))
-        end, seen = np.repeat(ends, np.diff(np.concatenate(([0], ends)))), set()
+        end, seen, told = np.repeat(ends, np.diff(np.concatenate(([0], ends)))), set(), set()
         for k in range(int(ends[-2]) if len(ends) > 1 else 0):
             rest = slice(int(end[k]), None)
             at = passes([place[k], place[rest]], [n[k], n[rest]], [sketch[k], sketch[rest]]) + rest.start
+            more = np.zeros(len(at), bool)
             if not every and len(at):
-                at = at[np.unique(of[at], return_index=True)[1]]
-                at = at[[(of[k], g) not in seen for g in of[at].tolist()]]
-                seen.update((of[k], g) for g in of[at].tolist())
+                _, first, many = np.unique(of[at], return_index=True, return_counts=True)
+                pairs = [(of[k], g) for g in of[at[first]].tolist()]
+                # a second text of the same group tells once that there are more
+                new = np.array([p not in seen or p not in told for p in pairs])
+                more = (many > 1) | np.array([p in seen for p in pairs])
+                told.update(p for p, m in zip(pairs, more.tolist(), strict=True) if m)
+                seen.update(pairs)
+                at, more = at[first][new], more[new]
             if len(at):
-                yield batch_of(np.full(len(at), group[k]), group[at], np.full(len(at), node[k]), node[at])
+                yield batch_of(np.full(len(at), group[k]), group[at], np.full(len(at), node[k]), node[at], more)
 
     def small(key: np.ndarray, place: np.ndarray, n: np.ndarray, node: np.ndarray, group: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Pairs of buckets of at most SMALL rows, which stand next to each other."""
@@ -195,7 +235,7 @@ def _candidates(rows: DataFrame, similarity: float, block: int, every: bool) ->
             i = np.flatnonzero((key[step:] == key[:-step]) & (group[step:] != group[:-step]))
             if len(i):
                 i = i[passes([place[i], place[i + step]], [n[i], n[i + step]], [sketch[i], sketch[i + step]])]
-                yield batch_of(group[i], group[i + step], node[i], node[i + step])
+                yield batch_of(group[i], group[i + step], node[i], node[i + step], np.zeros(len(i), bool))
 
     def buckets(key: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         columns = [*columns[:4], np.stack(columns[4:], axis=1).view(np.uint64)]
@@ -224,18 +264,21 @@ def _candidates(rows: DataFrame, similarity: float, block: int, every: bool) ->
             yield from buckets(np.zeros(len(held[0]), int), held[3:])
 
     dealt = blocked(rows, ["h"], "node", block).select(*keys, "place", "n", "node", "group", *_SKETCHES)
-    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "ga long, gb long, a long, b long")
-    return found.distinct() if every else found.groupBy("ga", "gb").agg(F.min("a").alias("a"), F.min_by("b", "a").alias("b"))
+    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "ga long, gb long, a long, b long, more boolean")
+    if every:
+        return found.distinct()
+    several = (F.min("a") < F.max("a")) | (F.min("b") < F.max("b")) | F.max("more")
+    return found.groupBy("ga", "gb").agg(F.min("a").alias("a"), F.min_by("b", "a").alias("b"), several.alias("more"))
 
 
-def _regrouped(df: DataFrame, moved: DataFrame) -> DataFrame:
-    to = moved.select(F.col("node").alias("group"), F.col("root").alias("_to"))
-    return df.join(to, "group", "left").withColumn("group", F.coalesce("_to", "group")).drop("_to").select(*df.columns)
+def _regrouped(df: DataFrame, moved: DataFrame, name: str = "group") -> DataFrame:
+    to = moved.select(F.col("node").alias(name), F.col("root").alias("_to"))
+    return df.join(to, name, "left").withColumn(name, F.coalesce("_to", name)).select(*df.columns)
 
 
 def _grouped(named: DataFrame, size: int, similarity: float, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """prints (see _printed) of named(id, raw, text), and (node, first, group) of each distinct text."""
-    context = named.sparkSession.sparkContext
+    """prints (see _printed) of the rows of named, and (node, first, group) of each distinct text."""
+    spark = named.sparkSession
     prints = stage(_printed(named, size, similarity), "prints")
     texts = stage(prints.groupBy("node").agg(_first("first"), F.any_value("fp").alias("fp")), "texts")
     of = stage(texts.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
@@ -244,12 +287,13 @@ def _grouped(named: DataFrame, size: int, similarity: float, radius: int, block:
     linked = stage(equal.unionByName(near.select(F.col("na").alias("a"), F.col("nb").alias("b"))), "linked")
     same = connected_components(_checked(named, texts, linked, size, similarity))
     groups = stage(texts.join(same, "node", "left").select("node", "first", F.coalesce("root", "node").alias("group")), "groups")
-    # the prefixes of one row of each text, that of `first`
-    row = [F.col("p.node") == F.col("g.node"), F.col("p.id").eqNullSafe(F.col("g.first.id")), F.col("p.raw") == F.col("g.first.raw")]
-    sets = prints.alias("p").join(groups.alias("g").hint("merge"), row).select("p.node", "p.id", "p.raw", "group", "n", *_SKETCHES, "prefix").dropDuplicates(["node", "id", "raw"]).drop("id", "raw")
+    # sketches and prefixes of one row of each text, that of `first`
+    keys = ["node", *ROW]
+    sets = prints.join(groups.select("node", "first.*", "group").hint("merge"), keys).select(*keys, "group", "n", *_SKETCHES, "whole", "prefix").dropDuplicates(keys).drop(*ROW)
     sets = stage(sets, "sets")
     mixed = sets.select("group", F.explode("prefix").alias("v")).groupBy("v").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
-    sent = context.broadcast(_bitmap(mixed.select("v"), BITS))
+    sent = spark.sparkContext.broadcast(_bitmap(mixed.select("v"), BITS))
+    forget_shuffles(spark)
     fields = ["h", "place", "n", "node", "group", *_SKETCHES]
 
     def let(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,19 +307,24 @@ def _grouped(named: DataFrame, size: int, similarity: float, radius: int, block:
             others = [pa.array(batch.column(c).to_numpy()[row]) for c in fields[2:]]
             yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array((keep - offsets[row]).astype(np.int32)), *others], names=fields)
 
-    rows = stage(sets.mapInArrow(let, "h long, place int, n int, node long, group long, " + ", ".join(f"{s} long" for s in _SKETCHES)), "places")
-    drop_stage(sets)
+    rows = stage(sets.drop("whole").mapInArrow(let, "h long, place int, n int, node long, group long, " + ", ".join(f"{s} long" for s in _SKETCHES)), "places")
     for every in (False, True):
-        pairs = stage(_candidates(rows, similarity, block, every), "pairs")
-        if pairs.isEmpty():
-            break
-        moved = stage(connected_components(_checked(named, texts, pairs, size, similarity).join(pairs, ["a", "b"]).select(F.col("ga").alias("a"), F.col("gb").alias("b"))), "moved")
+        pairs = stage(_sketched(sets, stage(_candidates(rows, similarity, block, every), "met"), similarity), "pairs")
+        similar = _checked(named, texts, pairs.filter("fits"), size, similarity).withColumn("similar", F.lit(True))
+        known = stage(pairs.join(similar, ["a", "b"], "left"), "known")
+        moved = stage(connected_components(known.filter("similar").select(F.col("ga").alias("a"), F.col("gb").alias("b"))), "moved")
         groups = stage(_regrouped(groups, moved), "groups")
-        if not every:
-            again = _regrouped(rows, moved)
-            apart = again.groupBy("h").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("h")
-            before, rows = rows, stage(again.join(apart, "h", "left_semi"), "places")
-            drop_stage(before)
+        if every:
+            break
+        # groups of which one pair failed and others met
+        still = known.filter("more and similar is null").select("ga", "gb")
+        still = _regrouped(_regrouped(still, moved, "ga"), moved, "gb").filter("ga <> gb")
+        still = stage(still.select(F.explode(F.array("ga", "gb")).alias("group")).distinct(), "still")
+        if still.isEmpty():
+            break
+        rows = stage(_regrouped(rows, moved).join(still, "group", "left_semi").select(*fields), "places")
+    for table in (sets, rows):
+        drop_stage(table)
     return prints, groups
 
 
@@ -287,9 +336,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Very long texts are compared whole. Repeated rows stay repeated; empty tables stay empty; other columns are not read.
     """
     prints, groups = _grouped(_keyed(docs, id_col, text_col), shingle, similarity, radius, block)
-    least = groups.groupBy("group").agg(_first("least", "first.id", "first.raw"))
-    of = stage(groups.join(least, "group").select("node", F.col("least.id").alias("group")), "classes")
-    return prints.join(of, "node").select("id", "group")
+    least = groups.groupBy("group").agg(_first("least", "first."))
+    of = stage(groups.join(least, "group").select("node", F.when(~F.col("least.none"), F.col("least.id")).alias("group")), "classes")
+    return prints.join(of, "node").select(F.when(~F.col("none"), F.col("id")).alias("id"), "group")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 7, block: int = 1024) -> DataFrame:
@@ -298,12 +347,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A text goes only if its own group has an earlier row, whatever other texts have its id. Of equal rows one stays; of rows of equal
     id and text that differ in other columns any one does. A row with a null id stays if no row with an id is in its group.
     """
-    prints, groups = _grouped(_keyed(docs, id_col, text_col), shingle, similarity, radius, block)
-    kept = groups.groupBy("group").agg(_first("k", "first.id", "first.raw")).select(F.coalesce("k.id", F.lit(0)).alias("_id"), F.col("k.none").alias("_none"), F.col("k.raw").alias("_raw"))
-    kept = stage(kept, "kept")
+    named = _keyed(docs, id_col, text_col)
+    prints, groups = _grouped(named, shingle, similarity, radius, block)
+    kept = stage(groups.groupBy("group").agg(_first("k", "first.")).select("k.*"), "kept")
     drop_stage(prints)
-    key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
-    whole = docs.select(F.coalesce(key, F.lit(0)).alias("_id"), key.isNull().alias("_none"), F.xxhash64(text).alias("_raw"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    forget_shuffles(docs.sparkSession)
     # equal rows are combined before the one shuffle of whole texts, which the join takes over
-    keys = ["_id", "_none", "_raw"]
-    return whole.dropDuplicates(keys).join(kept.hint("merge"), keys).select("_row.*")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    whole = whole.select("_row", F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), F.xxhash64("_text").alias("raw"))
+    return whole.dropDuplicates(ROW).join(kept.hint("merge"), ROW).select("_row.*")
