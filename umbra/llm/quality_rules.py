@@ -151,8 +151,13 @@ def _judge(named: DataFrame, weights: list[float]) -> DataFrame:
 
 
 def _voted(named: DataFrame) -> DataFrame:
-    """Adds base counts and votes to named(text, ...), and drops the text."""
-    return measured(named).select(*(c for c in named.columns if c != "text"), *COUNTS, F.array(*votes().values()).alias("votes"))
+    """Adds base counts and votes to named(text, ...), and drops the text.
+
+    They pass through an explode of one element: a filter or grouping above it cannot pull the counting, many times over, into itself.
+    """
+    carried = [c for c in named.columns if c != "text"]
+    counted = measured(named).select(*carried, *COUNTS, F.array(*votes().values()).alias("votes"))
+    return counted.select(*carried, F.explode(F.array(F.struct(*COUNTS, "votes"))).alias("_v")).select(*carried, "_v.*")
 
 
 def _fitted(voted: DataFrame) -> list[float]:
