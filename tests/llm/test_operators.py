@@ -296,6 +296,51 @@ def test_edited_passages_are_one_class(spark):
     assert {r.id for r in got} == {1, 2} and sum(r.removed for r in got) == len(got) / 2
 
 
+# ---------------------------------------------------------------- personal data: the added spans
+
+
+def every_segmentation(window, model):
+    """The best score over all ways to lay disjoint segments, each with a kind, over a short window."""
+    ways = [[] for _ in range(len(window.tokens) + 1)]
+    for i, j in window.segments():
+        f = window.features(i, j)
+        ways[i].append((j, max(sum(model.weights.get((k, x), 0.0) for x in f) for k in personal_data.KINDS)))
+
+    def best(i):
+        return 0.0 if i >= len(window.tokens) else max([best(i + 1), *(s + best(j) for j, s in ways[i])])
+
+    return best(0)
+
+
+def test_segments_are_the_best_of_all():
+    model = personal_data.trained()
+    for text, _ in personal_data.examples(seed=77, many=120):
+        window = personal_data.Window(text, 0, len(text))
+        if len(window.tokens) <= 18:
+            assert abs(sum(x[3] for x in model.best(window)) - every_segmentation(window, model)) < 1e-9
+
+
+def test_added_spans_on_lines_of_another_making():
+    model = personal_data.trained()
+    found = ["write to jane.roe [at] mail.example.org today", "host 10[.]0[.]12[.]7 is down", "call (415) 555-0134 now", "ring 415-555-0134.", "card 4111.1111.1111.1111 expired"]
+    clean = ["see section 3.2.1 and table 14", "on 2024-05-17 at 10:45:02 it rained", "a total of 1,250.75 paid", "isbn 978-3-16-148410-0", "version 1.2.3.4.5 was built", "rows 100 200 300 400", "meet (at) noon with 12 others"]
+    spans = [personal_data.added_spans(t, personal_data.base_spans(t), model) for t in found + clean]
+    assert sum(bool(s) for s in spans[:5]) >= 4 and sum(bool(s) for s in spans[5:]) == 0
+
+
+def test_long_numeric_text_takes_bounded_time_and_memory():
+    import time
+    import tracemalloc
+
+    rng = random.Random(4)
+    text = " ".join(str(rng.randrange(10**5)) for _ in range(4000)) + " a.b@c.org" * 100 + " 12"
+    tracemalloc.start()
+    began = time.process_time()
+    personal_data.added_spans(text, personal_data.base_spans(text), personal_data.trained())
+    assert time.process_time() - began < 30 and tracemalloc.get_traced_memory()[1] < 16e6
+    tracemalloc.stop()
+
+
 # ---------------------------------------------------------------- pipeline
 
 

@@ -4,10 +4,14 @@ The patterns give the base spans, which always stay. Around digits and at-signs
 scores whole candidate segments (their groups of digits, separators, checksums, neighbours). Dynamic programming over segments of at
 most LONGEST tokens chooses boundaries and kinds together; a segment is added if it does not touch a base span and beats leaving its
 tokens alone by MARGIN. The weights are trained here, by gradient ascent on the conditional likelihood, on generated examples.
+
+Bounds of the method: segments lie within AROUND code points of a digit or at-sign, have at most LONGEST tokens, and without an at-sign
+at most DIGITS digits. A text's segments are scored one after the other and not kept, so memory is that of its tokens.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -25,6 +29,8 @@ from .common import in_chunks, rows_of
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of a segment at most, code points looked at around a digit or at-sign, and log-odds that an added span must have.
 LONGEST, AROUND, MARGIN = 20, 40, 2.0
+#: Digits of a segment without at-sign at most: those of the longest card.
+DIGITS = 19
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
@@ -74,25 +80,32 @@ class Window:
     def __init__(self, text: str, begin: int, end: int, taken: list[tuple[int, int]] = ()):
         self.text = text
         self.tokens = [m.span() for m in _TOKEN.finditer(text, begin, end)]
-        self.taken = taken
+        self.taken = taken  # disjoint, ascending
 
     def segments(self) -> Iterator[tuple[int, int]]:
         """First token and token after the last, of stretches with a digit or at-sign and single spaces at most."""
-        text, tokens = self.text, self.tokens
+        text, tokens, taken, t = self.text, self.tokens, self.taken, 0
         for i, (begin, _) in enumerate(tokens):
+            while t < len(taken) and taken[t][1] <= begin:
+                t += 1
+            stop = taken[t][0] if t < len(taken) else len(text)
             c = text[begin]
             if not (c.isalnum() or c in "+("):
                 continue
             if i and tokens[i - 1][1] == begin and text[begin - 1].isalnum() and c.isalnum():
                 continue  # inside a word
-            good = False
+            good, at, digits = False, False, 0
             for j in range(i, min(len(tokens), i + LONGEST)):
                 a, b = tokens[j]
                 if j > i and not (a == tokens[j - 1][1] or a == tokens[j - 1][1] + 1 and text[a - 1] == " "):
                     break
-                if any(x < b and begin < y for x, y in self.taken):
+                if b > stop:
+                    break
+                at = at or text[a] == "@" or text[a:b] == "at"
+                digits += (b - a) * text[a].isdigit()
+                if digits > DIGITS and not at:
                     break
-                good = good or text[a].isdigit() or text[a] == "@" or text[a:b] == "at"
+                good = good or at or digits > 0
                 if good and text[b - 1].isalnum() and (b == len(text) or not (text[b].isalnum() and text[b].isascii())):
                     yield i, j + 1
 
@@ -131,8 +144,9 @@ class Window:
 class Model:
     """Weights of (kind, feature); tokens outside of segments score 0."""
 
-    def __init__(self) -> None:
-        self.weights: dict[tuple[str, str], float] = defaultdict(float)
+    def __init__(self, weights: dict[tuple[str, str], float] | None = None) -> None:
+        self.weights: dict[tuple[str, str], float] = defaultdict(float, weights or {})
+        self._by_feature: dict[str, tuple[float, ...]] = {}
 
     def scored(self, window: Window) -> dict[int, list[tuple[int, str, float, list[str]]]]:
         """Of each end: start, kind, score, features."""
@@ -144,15 +158,27 @@ class Model:
                 out[j].append((i, kind, sum(get((kind, f), 0.0) for f in features), features))
         return out
 
+    def by_feature(self) -> dict[str, tuple[float, ...]]:
+        """Weights of each feature, one for each kind."""
+        if not self._by_feature:
+            for _, f in self.weights:
+                self._by_feature[f] = tuple(self.weights.get((kind, f), 0.0) for kind in KINDS)
+        return self._by_feature
+
     def best(self, window: Window) -> list[tuple[str, int, int, float]]:
-        """The best segmentation's segments: kind, start, end, score."""
-        n, ends = len(window.tokens), self.scored(window)
-        value, back = [0.0] * (n + 1), [None] * (n + 1)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1]
-            for i, kind, score, _ in ends.get(j, ()):
-                if value[i] + score > value[j]:
-                    value[j], back[j] = value[i] + score, (i, kind, score)
+        """The best segmentation's segments: kind, start, end, score. Of equal ones that with fewer, then with earlier segments."""
+        n, of, none = len(window.tokens), self.by_feature(), (0.0,) * len(KINDS)
+        value, back, final = [0.0] + [-math.inf] * n, [None] * (n + 1), 0
+        for i, j in itertools.chain(window.segments(), [(n, n)]):  # by start, so value[i] is final
+            for k in range(final, i):  # a token may stay outside of segments
+                if value[k] >= value[k + 1]:
+                    value[k + 1], back[k + 1] = value[k], None
+            final = i
+            if i < j:
+                held = [of.get(f, none) for f in window.features(i, j)]
+                for kind, score in zip(KINDS, map(sum, zip(*held, strict=True)), strict=True):
+                    if value[i] + score > value[j]:
+                        value[j], back[j] = value[i] + score, (i, kind, score)
         out, j = [], n
         while j:
             if back[j] is None:
@@ -268,12 +294,25 @@ def trained(passes: int = 4) -> Model:
     return _TRAINED[0]
 
 
+def _merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """The stretches that the spans cover, disjoint and ascending."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def added_spans(text: str, base: list[Span], model: Model) -> list[Span]:
-    """What the model finds beside the base spans."""
-    taken = [(a, b) for _, a, b in base]
+    """What the model finds beside the base spans, around seeds (digits and at-signs) that are in none of them."""
+    taken, t = _merged(base), 0
     windows: list[list[int]] = []
     for m in _SEED.finditer(text):
-        if any(a <= m.start() < b for a, b in taken[-8:]) or len(taken) < 64 and any(a <= m.start() < b for a, b in taken):
+        while t < len(taken) and taken[t][1] <= m.start():
+            t += 1
+        if t < len(taken) and taken[t][0] <= m.start():
             continue
         begin, end = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
         begin = max(begin, text.rfind("\n", begin, m.start()) + 1)
@@ -283,10 +322,14 @@ def added_spans(text: str, base: list[Span], model: Model) -> list[Span]:
             windows[-1][1] = max(end, windows[-1][1])
         else:
             windows.append([begin, end])
-    out = []
+    out, t = [], 0
     for begin, end in windows:
-        near = [(a, b) for a, b in taken if a < end and begin < b]
-        out += [(kind, a, b) for kind, a, b, score in model.best(Window(text, begin, end, near)) if score >= MARGIN]
+        while t < len(taken) and taken[t][1] <= begin:
+            t += 1
+        last = t
+        while last < len(taken) and taken[last][0] < end:
+            last += 1
+        out += [(kind, a, b) for kind, a, b, score in model.best(Window(text, begin, end, taken[t:last])) if score >= MARGIN]
     return out
 
 
@@ -313,8 +356,7 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     model = dict(trained().weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model()
-        own.weights = model
+        own = Model(model)
 
         def each(batch):
             for i, text in rows_of(batch):
@@ -337,8 +379,7 @@ def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     model, at = dict(trained().weights), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model()
-        own.weights = model
+        own = Model(model)
 
         def clean(text: str | None) -> str | None:
             if not text:
