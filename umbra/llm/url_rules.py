@@ -1,8 +1,8 @@
 """URL filtering by rules that are indexed by their rarest literal token.
 
-A rule is a regular expression over `host|path`, with the literal tokens that any url it fits must have. Tokens are counted over the
-urls; each rule waits under its rarest one. A url's tokens fetch the rules that wait for them, and only those are tried. Of the rules
-that fit, the longest decides, and at equal length the first by name.
+A rule is a regular expression for the host and one for the path, of which both or either must be found, with the literal tokens that
+any url it fits must have. Tokens are counted over the urls; each rule waits under its rarest one. A url's tokens fetch the rules that
+wait for them, and only those are tried. Of the rules that fit, the longest decides, and at equal length the first by number.
 """
 
 from __future__ import annotations
@@ -18,10 +18,19 @@ from pyspark.sql import functions as F
 class Rule:
     name: str
     verdict: str
-    pattern: str  # Java and RE2 syntax, searched in `host|path`
+    host: str  # Java and RE2 syntax, searched in the host
+    path: str  # and in the path
     tokens: tuple[str, ...]  # lower-case runs of letters and digits that stand whole in every url that the rule fits
     length: int
     named: bool = True  # reported as the url's rule
+    either: bool = False  # one of host and path is enough
+
+
+def _tokens(*texts: str) -> tuple[str, ...]:
+    found = tuple(t for x in texts for t in re.findall(r"[a-z0-9]+", x))
+    if not found:
+        raise ValueError(f"a rule needs a literal token of letters a-z or digits: {texts}")
+    return found
 
 
 def site_rule(verdict: str, site: str) -> Rule:
@@ -29,17 +38,18 @@ def site_rule(verdict: str, site: str) -> Rule:
     host, _, path = site.partition("/")
     path = "/" + path
     whole = re.findall(r"[a-z0-9]+(?=[^a-z0-9])", path.lower())  # what the prefix may cut short is no whole token
-    return Rule(site, verdict, rf"^([^|]*\.)?{re.escape(host)}\|{re.escape(path)}", (*re.findall(r"[a-z0-9]+", host), *whole), len(site))
+    return Rule(site, verdict, rf"^(?:(?s:.*)\.)?{re.escape(host)}\z", rf"^{re.escape(path)}", (*_tokens(host), *whole), len(site))
 
 
 def label_rule(verdict: str, label: str) -> Rule:
-    """A rule for hosts that have this label."""
-    return Rule(label, verdict, rf"(^|\.){re.escape(label)}\.", tuple(re.findall(r"[a-z0-9]+", label)), 0, named=False)
+    """A rule for hosts that have this label before another one."""
+    return Rule(label, verdict, rf"(^|\.){re.escape(label)}\.", "", _tokens(label), 0, named=False)
 
 
 def word_rule(verdict: str, word: str) -> Rule:
     """A rule for urls that have this word in host or path."""
-    return Rule(word, verdict, rf"(^|[^A-Za-z0-9])(?i:{re.escape(word)})([^A-Za-z0-9]|$)", (word.lower(),), 0, named=False)
+    found = rf"(^|[^A-Za-z0-9])(?i:{re.escape(word)})([^A-Za-z0-9]|$)"
+    return Rule(word, verdict, found, found, _tokens(word.lower()), 0, named=False, either=True)
 
 
 #: The rules that a url's verdict is named after.
@@ -59,26 +69,27 @@ def path_of(url: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    return spark.createDataFrame([(k, r.name if r.named else None, r.verdict, r.pattern, list(r.tokens), r.length) for k, r in enumerate(rules)], "rule_no int, rule string, verdict string, pattern string, tokens array<string>, length int")
+    rows = [(k, r.name if r.named else None, r.verdict, r.host, r.path, r.either, list(r.tokens), r.length) for k, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "rule_no int, rule string, verdict string, host_pattern string, path_pattern string, either boolean, tokens array<string>, length int")
 
 
 def judged(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule (null if a rule without name, or none, decided), verdict.
 
     Null urls and those without :// have an empty host and path and are allowed unless a rule fits even that. Repeated rows stay
-    repeated, empty tables stay empty, other columns are not read. Urls are judged once, however often they occur; Spark sends
-    the rules to all tasks only if they are under its broadcast threshold, and joins them otherwise.
+    repeated, empty tables stay empty, other columns are not read. Very long urls are judged whole. Urls are judged once, however often
+    they occur; Spark sends the rules to all tasks only if they are under its broadcast threshold, and joins them otherwise.
     """
     named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     parts = named.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).distinct()
-    target = F.concat_ws("|", "host", "path")
-    tokens = F.array_distinct(F.filter(F.split(F.lower(target), "[^a-z0-9]+"), lambda t: t != ""))
-    urls = parts.select("host", "path", target.alias("target"), F.explode(tokens).alias("token"))
+    tokens = F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", "host", "path")), "[^a-z0-9]+"), lambda t: t != ""))
+    urls = parts.select("host", "path", F.explode(tokens).alias("token"))
     waiting = rules.select("rule_no", F.explode("tokens").alias("token"))
     seen = urls.join(waiting.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
     rarest = waiting.join(seen, "token", "left").groupBy("rule_no").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token"))["token"].alias("token"))
-    index = rules.join(rarest, "rule_no").select("token", "rule", "verdict", "pattern", "length", "rule_no")
-    fits = urls.join(index, "token").filter(F.regexp("target", F.col("pattern")))
+    index = rules.join(rarest, "rule_no").select("token", "rule", "verdict", "host_pattern", "path_pattern", "either", "length", "rule_no")
+    in_host, in_path = F.regexp("host", F.col("host_pattern")), F.regexp("path", F.col("path_pattern"))
+    fits = urls.join(index, "token").filter(F.when(F.col("either"), in_host | in_path).otherwise(in_host & in_path))
     best = fits.groupBy("host", "path").agg(F.max(F.struct("length", (-F.col("rule_no")).alias("first"), "rule", "verdict")).alias("best"))
     whole = named.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     return whole.join(best, ["host", "path"], "left").select("id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
