@@ -116,12 +116,25 @@ class Items:
         self.item = np.array([f[1] for f in found], np.int64)
         self.at = np.array([f[2] for f in found], np.int64)
 
+    def _by_windows(self, words: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) as in spans(), of the given items, by the hashes of all windows."""
+        own = run_hashes(words, SPAN)
+        for i in items.tolist():
+            at = np.flatnonzero(np.isin(own, run_hashes(self.words[i], SPAN)))
+            cuts = np.flatnonzero(np.diff(at) > 1) + 1
+            yield from ((i, int(part[0]), int(part[-1]) + SPAN) for part in np.split(at, cuts) if len(part))
+
     def spans(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, start, end) of each passage of the words that is at least one window of the item."""
         at, h = winnowed(words)
         if len(at) and len(self.keys):
             left = np.searchsorted(self.keys, h)
-            hits = np.flatnonzero(self.keys[np.minimum(left, len(self.keys) - 1)] == h)
+            many = np.searchsorted(self.keys, h, side="right") - left
+            hits = np.flatnonzero(many)
+            if many.sum() > 4 * len(words) + 64:
+                # words said over and over meet at every place: look up the windows themselves, once for each item
+                yield from self._by_windows(words, np.unique(np.concatenate([self.item[a : a + n] for a, n in {*zip(left[hits].tolist(), many[hits].tolist(), strict=True)}])))
+                hits = hits[:0]
             done: dict[tuple[int, int], int] = {}
             for x in hits.tolist():
                 k, p = int(left[x]), int(at[x])
