@@ -38,6 +38,8 @@ from .common import fresh_path, in_chunks, rows_of, stage
 GAMMA, LEVELS = 2, 48
 #: Pieces of text whose ids a worker keeps, the longest it keeps, texts that are encoded together, and pieces in a call.
 PIECES, LONGEST, TEXTS, CALL = 600_000, 64, 64, 512
+#: Code points of a shard's texts, about: its keys and lengths are held while it is written, some 60 bytes a document.
+SHARD = 1 << 24
 _CLOSING = b".,;:!?)"
 _SLOT, _MARK = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
@@ -233,7 +235,8 @@ class TokenStore:
             yield from in_chunks(found, schema, 256)
 
         routed = keys.select(F.col(key_col).cast("long").alias("id")).distinct().mapInArrow(route, "id long, shard int")
-        dealt = routed.repartition("shard", F.expr("id div 16384")).sortWithinPartitions("shard", "id")
+        # as many tasks as shards: the keys are few bytes, what they fetch is not
+        dealt = routed.repartition(max(1, len(shards)), "shard", F.expr("id div 16384")).sortWithinPartitions("shard", "id")
         return dealt.mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
@@ -245,8 +248,8 @@ def _parts(rows: Iterator, most: int = 65536) -> Iterator[list]:
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", vocabulary_size: int = 1 << 16, shards: int | None = None) -> TokenStore:
     """Encodes every text, appends end_id, and stores the ids in ascending key order; documents without key come first.
 
-    Null and empty texts have the end id only. Repeated keys keep all their documents, next to each other. An empty table gives no
-    shard. Other columns are not read.
+    Null and empty texts have the end id only. Repeated keys keep all their documents, next to each other and in one shard. An empty
+    table gives no shard. Other columns are not read. The tokenizer must lower-case, drop white space and not merge across it (see above).
     """
     spark, width = docs.sparkSession, 2 if vocabulary_size <= 1 << 16 else 4
     spark.sparkContext.addFile(tokenizer_path)
@@ -282,7 +285,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    many = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = shards or 1 + (named.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD
     ordered = named.repartitionByRange(many, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
     manifest = stage(ordered.mapInArrow(run, schema), "manifest")
     return TokenStore(spark, width, manifest.orderBy("shard").collect())
