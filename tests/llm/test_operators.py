@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -76,6 +78,20 @@ def brute_hits(text, items):
     return len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
+def test_repeated_words_take_linear_time():
+    rng, memo = random.Random(9), decontaminate._Hashes()
+    texts = [("a " * 500, "a " * 20000), ("a b " * 250, "a b " * 9000 + "c " + "a b " * 20), ("a " * 40 + "b", "b " + "a " * 3000 + "b"), (" ".join(rng.choice("ab") for _ in range(300)), " ".join(rng.choice("ab") for _ in range(2000)))]
+    for item, text in texts:
+        items = decontaminate.Items([("i", decontaminate.word_hashes(item, memo)), ("j", decontaminate.word_hashes("x " + item, memo))])
+        words, hit, found = decontaminate.word_hashes(text, memo), set(), set()
+        began = time.process_time()
+        for i, a, b in items.spans(words):
+            hit |= set(range(a, b))
+            found.add(items.ids[i])
+        assert time.process_time() - began < 2
+        assert (len(words), len(hit), len(found)) == brute_hits(text, [("i", item), ("j", "x " + item)])[:3]
+
+
 @pytest.mark.parametrize("most", [decontaminate.MOST_WORDS, 0])
 def test_contamination(spark, most):
     rng = random.Random(6)
@@ -175,6 +191,11 @@ def test_url_rules(spark):
     assert got == sorted(repr((k % 300, h, p, r and r[0])) for k, u in enumerate(urls) for h, p, r in [brute_url(u)])
     verdicts = {r.host: r.verdict for r in url_rules.judged(spark.createDataFrame([(1, "http://www.cheap-pills.biz/"), (2, "http://a.biz/x-casino?")], "page_id long, url string"), rules).collect()}
     assert verdicts == {"www.cheap-pills.biz": "block", "a.biz": "block"}
+    odd = [(1, "http://a|b.com/en/x"), (2, "http://x|com/en/7"), (3, "http://com\n/en/x"), (4, "http://a|casino/"), (5, "http://a.b/" + "y/" * 30000 + "casino"), (6, "http://x.porn"), (6, "http://x.porn")]
+    got = [(r.id, r.rule, r.verdict) for r in url_rules.judged(spark.createDataFrame(odd, "page_id long, url string"), rules).collect()]
+    assert sorted(got, key=str) == sorted([(1, "com/en/", "block"), (2, None, "allow"), (3, None, "allow"), (4, None, "block"), (5, None, "block"), (6, None, "block"), (6, None, "block")], key=str)
+    with pytest.raises(ValueError, match="literal token"):
+        url_rules.word_rule("block", "日本")
     assert url_rules.judged(frame.limit(0), rules).count() == 0
 
 
@@ -288,6 +309,40 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(docs(spark, []), bits=1 << 16).count() == 0
 
 
+def test_passages_of_short_lines(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    verse = "\n".join(" ".join(word() for _ in range(3)) for _ in range(22))
+    own = lambda: " ".join(word() for _ in range(50))
+    rows = [(k, f"{own()}\n{verse}\n{own()}" if k % 2 else f"{own()}\nshort line\n{own()}") for k in range(12)]
+    got = passages.repeated_passages(docs(spark, rows), bits=1 << 16).collect()
+    assert {r.id for r in got} == set(range(1, 12, 2))
+    assert all(sum(r.n_words for r in got if r.id == k) >= 50 for k in range(1, 12, 2))
+
+
+def test_passage_classes_against_all_pairs(spark):
+    """Classes are components of all paragraph pairs of similarity 0.8 or more, but for pairs that no band finds (recall 0.99)."""
+    rng = random.Random(15)
+    lines = [[f"w{rng.randrange(300)}" for _ in range(30)] for _ in range(15)]
+    rows = []
+    for k in range(60):
+        line = list(lines[k % 15])
+        for _ in range(rng.randrange(3)):
+            line[rng.randrange(30)] = f"w{rng.randrange(300)}"
+        rows.append((k, " ".join(line)))
+    rows += [(100, rows[0][1]), (100, rows[1][1]), (100, rows[1][1]), (101, "x " * 30000)]
+    cutter = passages.Paragraphs(*passages.tuned(0.8, 0.99))
+    sets = []
+    for k, t in sorted(set(rows)):
+        first, last, _, shingles, start, _ = cutter.of(t)
+        sets += [((k, int(n)), set(x.tolist())) for n, x in zip((last - first), np.split(shingles, start[1:]), strict=True)]
+    got = passages.repeated_passages(docs(spark, rows), bits=1 << 16, min_words=5).collect()
+    copied = {i for (i, a), (j, b) in itertools.combinations(enumerate(s for _, s in sets), 2) for i in (i, j) if len(a & b) >= 0.8 * len(a | b)}
+    want = {(sets[i][0]) for i in copied if sets[i][0][1] >= 5}
+    assert {(r.id, r.n_words) for r in got} <= want and len({(r.id, r.n_words) for r in got}) >= 0.97 * len(want)
+    assert all(not r.removed for r in got if (r.id, r.class_id) == (r.first_id, r.class_id) and sum(x.id == r.id and x.class_id == r.class_id for x in got) == 1)
+
+
 def test_edited_passages_are_one_class(spark):
     rng = random.Random(13)
     line = [f"w{rng.randrange(1000)}" for _ in range(60)]
@@ -329,7 +384,6 @@ def test_added_spans_on_lines_of_another_making():
 
 
 def test_long_numeric_text_takes_bounded_time_and_memory():
-    import time
     import tracemalloc
 
     rng = random.Random(4)
