@@ -15,13 +15,9 @@ def iban_valid(compact: Column) -> Column:
 
 
 def nir_valid(compact: Column) -> Column:
-    """Key test of a French social-security number of 15 characters."""
-    upper = F.upper(compact)
-    body = F.regexp_replace(F.regexp_replace(F.left(upper, F.lit(13)), "^(.{5})2A", "$119"), "^(.{5})2B", "$118")
-    known = F.when(body.rlike("^[0-9]{13}$"), body.cast("long"))
-    key = F.when(F.substring(upper, 14, 2).rlike("^[0-9]{2}$"), F.substring(upper, 14, 2).cast("int"))
-    return F.coalesce((F.length(compact) == 15) & (97 - known % 97 == key), F.lit(False))
-
-
-def card_valid(digits: Column) -> Column:
-    return digits.rlike("^[2-6][0-9]{12,18}$") & F.luhn_check(digits)
+    """Key test of a French social-security number of 15 characters; departments 2A and 2B count as 19 and 18."""
+    department = F.upper(F.substring(compact, 6, 2))
+    number = F.when(department == "2A", "19").when(department == "2B", "18").otherwise(department)
+    body = F.concat(F.substring(compact, 1, 5), number, F.substring(compact, 8, 6))
+    whole = (F.length(compact) == 15) & F.concat(body, F.substring(compact, 14, 2)).rlike("^[0-9]{15}$")
+    return F.when(whole, 97 - body.cast("long") % 97 == F.substring(compact, 14, 2).cast("int")).otherwise(False)

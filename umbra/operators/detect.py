@@ -16,7 +16,7 @@ from .overlaps import resolved
 
 #: Characters that are no part of a name or model span's border.
 TRIM_LEFT, TRIM_RIGHT = r".,;:!?«»\"“”(", r".,;:!?«»\"“”)"
-#: Terms that one alternation takes; longer lists are joined by words (see names_joined).
+#: Terms that one alternation takes; longer lists are joined by words (see names_detections).
 MOST_TERMS = 5000
 
 
@@ -32,7 +32,7 @@ def names_pattern(terms: Sequence[str]) -> str | None:
 def rule_detections(text: Column, names: Sequence[str] | None = None, only: Sequence[str] = (), names_only: bool = False) -> Column:
     """Array of what the rules, and the list of names, find outside of tokens; rules in order, each left to right."""
     if names and len(names) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} terms: join the table of terms with names_joined()")
+        raise ValueError(f"more than {MOST_TERMS} terms: find them with names_detections()")
     pattern = names_pattern(list(names or ()))
     rules = [] if names_only else [r.name for r in RULES if not only or r.name in only]
 
@@ -120,12 +120,34 @@ def detected(segments: DataFrame, text_col: str = "text", names: Sequence[str] |
     return found.withColumn(out, disjoint).drop("_found")
 
 
+_WORD = r"([\p{L}\p{N}\p{M}_]+)"
+
+
 def names_joined(texts: DataFrame, terms: DataFrame, id_cols: Sequence[str], text_col: str = "text", term_col: str = "term") -> DataFrame:
-    """Candidate (ids, term) pairs for lists of any length: a term's first word is looked up among a text's words by a join."""
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(r"([\p{L}\p{N}\p{M}_]+)"), F.lit(1)), lambda w: F.lower(w)))
-    first = F.lower(F.regexp_extract(F.col(term_col), r"([\p{L}\p{N}\p{M}_]+)", 1))
-    held = texts.select(*id_cols, F.col(text_col).alias("_text"), F.explode(words).alias("_word"))
+    """(ids, terms): for each text the terms of a list of any length that may stand in it, as their first words do. No text is in the join."""
+    first = F.lower(F.regexp_extract(F.col(term_col), _WORD, 1))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(_WORD), F.lit(1)), lambda w: F.lower(w)))
+    held = texts.select(*id_cols, F.explode(words).alias("_word"))
     met = held.join(terms.select(F.col(term_col).alias("term"), first.alias("_word")).distinct(), "_word")
-    body = F.regexp_replace(F.regexp_replace("term", r"([.*+?^${}()|\[\]\\])", r"\\$1"), " ", r"[\\p{Zs}\\t]+")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}\p{M}_])"), body, F.lit(r"(?![\p{L}\p{N}\p{M}_])"))
-    return met.filter(F.regexp("_text", pattern)).select(*id_cols, "term").distinct()
+    return met.groupBy(*id_cols).agg(F.collect_set("term").alias("terms"))
+
+
+def names_detections(texts: DataFrame, terms: DataFrame, id_cols: Sequence[str], text_col: str = "text", term_col: str = "term", out: str = "names") -> DataFrame:
+    """Adds what a list of names of any length finds in each text, as rule_detections() does for a short one; nothing found is empty.
+
+    names_joined() gives each text its own short list, and one alternation of that, longest first, finds the spans.
+    """
+
+    @F.pandas_udf(DETECTIONS)
+    def find(values: pd.Series, lists: pd.Series) -> pd.Series:
+        def one(t: str | None, own: Sequence[str] | None) -> list | None:
+            if t is None or own is None:
+                return None if t is None else []
+            taken = token_ranges(t)
+            found = regex.finditer(names_pattern(sorted(own)), t)
+            return [(*m.span(), m[0], "PERSON", "names", 1.0) for m in found if clear_of(taken, *m.span())]
+
+        return pd.Series([one(t, own) for t, own in zip(values, lists, strict=True)], dtype=object)
+
+    met = names_joined(texts, terms, id_cols, text_col, term_col)
+    return texts.join(met, list(id_cols), "left").withColumn(out, find(F.col(text_col), F.col("terms"))).drop("terms")

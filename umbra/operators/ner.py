@@ -21,6 +21,8 @@ THRESHOLD = 0.5
 SIZE, OVERLAP = 120, 30
 TAGS = {"PER": "PERSON", "LOC": "LOCATION", "ORG": "ORGANIZATION"}
 FARTHEST = 64
+#: Fixed value: sub-tokens that a model takes at once.
+PIECES = 512
 SPECIAL = ("[CLS]", "[SEP]", "[PAD]", "[MASK]")
 
 
@@ -55,10 +57,12 @@ def candidates(text: Column) -> Column:
 
 
 def deduplicated(segments: DataFrame, provider: Provider, text_col: str = "text", out: str = "model") -> DataFrame:
-    """Adds the provider's detections, asked once for each distinct text."""
-    texts = segments.filter(candidates(F.col(text_col))).select(F.col(text_col).alias("_t")).distinct()
-    found = texts.withColumn(out, provider.detections(F.col("_t")))
-    return segments.join(found, F.col(text_col) == F.col("_t"), "left").drop("_t")
+    """Adds the provider's detections, asked once for each distinct text. Texts meet by their digest; one without a letter meets nothing."""
+    digest = F.when(candidates(F.col(text_col)), F.sha2(F.encode(F.col(text_col), "UTF-8"), 256))
+    named = segments.withColumn("_digest", digest)
+    texts = named.filter("_digest is not null").select("_digest", F.col(text_col).alias("_t")).dropDuplicates(["_digest"])
+    found = texts.select("_digest", provider.detections(F.col("_t")).alias(out))
+    return named.join(found, "_digest", "left").drop("_digest")
 
 
 def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
@@ -84,6 +88,36 @@ def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     return cut(text)
 
 
+def split_windows(cut: DataFrame, keys: list[str], pieces: Column, budget: int = PIECES, rounds: int = 7) -> DataFrame:
+    """Windows of cut(keys, words, start, end, ...) halved until `pieces`, the model's sub-tokens of an array of words, is within the budget.
+
+    words: array of (start, end) of a window's words. A window of one word stays whatever it has. Columns other than words, start and
+    end are kept as they are: the halves share their window's core.
+    """
+    whole = [c for c in cut.columns if c not in ("words", "start", "end")]
+    open_, done = cut, None
+    for _ in range(rounds):
+        large = (pieces > budget) & (F.size("words") > 1)
+        fits = open_.filter(~large)
+        done = fits if done is None else done.unionByName(fits)
+        half = (F.size("words") / 2).cast("int")
+        halves = F.array(F.slice("words", F.lit(1), half), F.slice("words", half + 1, F.size("words") - half))
+        open_ = open_.filter(large).select(*whole, F.explode(halves).alias("words"))
+        open_ = open_.select(*whole, "words", F.element_at("words", 1)["start"].alias("start"), F.element_at("words", -1)["end"].alias("end")).select(*cut.columns)
+    return done.unionByName(open_)
+
+
+def recall_by(found: DataFrame, gold: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """(by, expected, covered, exact): gold spans(keys, by, start, end, type), those that found spans of their type cover, those found as they are."""
+    spans = found.select(*keys, F.col("type").alias("_type"), F.col("start").alias("_a"), F.col("end").alias("_b"))
+    met = gold.withColumn("_gold", F.struct(*keys, "start", "end", "type")).join(spans, keys, "left")
+    of_type = F.col("_type") == F.col("type")
+    covers = of_type & (F.col("_a") <= F.col("start")) & (F.col("_b") >= F.col("end"))
+    same = of_type & (F.col("_a") == F.col("start")) & (F.col("_b") == F.col("end"))
+    each = met.groupBy(by, "_gold").agg(F.max(F.coalesce(covers, F.lit(False)).cast("int")).alias("c"), F.max(F.coalesce(same, F.lit(False)).cast("int")).alias("e"))
+    return each.groupBy(by).agg(F.count("*").alias("expected"), F.sum("c").alias("covered"), F.sum("e").alias("exact"))
+
+
 def merged_windows(found: DataFrame, keys: list[str]) -> DataFrame:
     """Of found(keys, start, end, type, score, core_start, core_end), those that start in their core, the best of equal spans."""
     inside = found.filter((F.col("start") >= F.col("core_start")) & (F.col("start") < F.col("core_end")))

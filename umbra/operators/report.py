@@ -66,6 +66,7 @@ def survival(texts: DataFrame, expected: DataFrame, key: str, text_col: str = "t
 
     Mangled: any kind of bracket, blanks, dash or case around the token's letter and code.
     """
+    # Fixed value: a token as other tools write it.
     loose = r"([⟦\[【〚«(]\s*[A-Za-z]\s*[-‐‑–—_]?\s*[A-Za-z0-9]{5}\s*[⟧\]】〛»)])"
     seen = texts.select(key, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(loose), F.lit(1))).alias("found"))
     bare = F.upper(F.regexp_replace("found", r"[^A-Za-z0-9]", ""))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +54,9 @@ def with_tokens(segments: DataFrame, keys: list[str], entities: DataFrame, salt:
     known = entities.select(F.col("type").alias("_t"), F.col("original").alias("_o"), "token")
     if salt is not None:
         known = known.filter(F.col("token") != derive_token(salt, F.col("_t"), F.col("_o")))
+        if known.isEmpty():  # the usual case: no text is shuffled
+            edits = F.transform(detections_col, lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), derive_token(salt, d["type"], d["text"]).alias("replacement")))
+            return segments.withColumn("edits", F.when(F.size(detections_col) > 0, edits)).withColumn("anonymized", applied(F.col(text_col), F.col("edits")))
     hits = segments.filter(F.size(detections_col) > 0).select(*keys, F.explode(detections_col).alias("d"))
     found = hits.join(known, (F.col("d.type") == F.col("_t")) & (F.col("d.text") == F.col("_o")))
     places = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("d.start").alias("start"), "token"))).alias("_at"))
@@ -91,16 +97,44 @@ def missing_tokens(texts: DataFrame, entities: DataFrame, text_col: str = "text"
     return entities.join(texts.select(F.explode(tokens_in(F.col(text_col))).alias("token")).distinct(), "token", "left_anti")
 
 
-def leaks(texts: DataFrame, values: DataFrame, keys: list[str], text_col: str = "text", value_col: str = "original") -> DataFrame:
+def value_pattern(value: Column) -> Column:
+    """Pattern of a value in a text, both in NFKC: whole words where it starts or ends with a letter or digit, any blanks for blanks."""
+    left = F.when(value.rlike(r"^[\p{L}\p{N}]"), r"(?<![\p{L}\p{N}])").otherwise("")
+    right = F.when(value.rlike(r"[\p{L}\p{N}]$"), r"(?![\p{L}\p{N}])").otherwise("")
+    quoted = F.regexp_replace(value, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+    return F.concat(left, F.regexp_replace(quoted, f"{BLANK}+", r"\\s*"), right)
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility composition; texts of ASCII characters are as they are."""
+
+    @F.pandas_udf("string")
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+    return normal(text)
+
+
+def leaks(texts: DataFrame, values: DataFrame, keys: list[str], text_col: str = "text", value_col: str = "original", normal: bool = False) -> DataFrame:
     """(keys, value): values that still occur in a text, as whole words where they start or end with a letter or digit.
 
-    A value's first run of letters and digits is looked up among the text's by a join, so only texts that have it are searched.
+    A value's first run of letters and digits is looked up among the words of the texts by a join of words and keys; only texts that
+    have such a word are fetched and searched. Values without a letter or digit are not looked for. normal: texts and values are
+    compared in NFKC.
     """
     runs = r"([\p{L}\p{N}]+)"
-    held = texts.select(*keys, F.col(text_col).alias("_text"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(runs), F.lit(1)))).alias("_run"))
-    wanted = values.select(F.col(value_col).alias("value"), F.regexp_extract(value_col, runs, 1).alias("_run")).distinct()
-    left = F.when(F.col("value").rlike(r"^[\p{L}\p{N}]"), r"(?<![\p{L}\p{N}])").otherwise("")
-    right = F.when(F.col("value").rlike(r"[\p{L}\p{N}]$"), r"(?![\p{L}\p{N}])").otherwise("")
-    quoted = F.regexp_replace("value", r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    pattern = F.concat(left, F.regexp_replace(quoted, f"{BLANK}+", r"\\s*"), right)
-    return held.join(wanted, "_run").filter(F.regexp("_text", pattern)).select(*keys, "value").distinct()
+    plain = nfkc if normal else (lambda c: c)
+    wanted = values.select(F.col(value_col).alias("value"), plain(F.col(value_col)).alias("_v")).distinct()
+    wanted = wanted.select("value", value_pattern(F.col("_v")).alias("_pattern"), F.regexp_extract("_v", runs, 1).alias("_run"))
+    named = texts.select(*keys, plain(F.col(text_col)).alias("_text"))
+    words = named.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(runs), F.lit(1)))).alias("_run"))
+    met = words.join(wanted, "_run").select(*keys, "value", "_pattern")
+    return named.join(met, keys).filter(F.regexp("_text", F.col("_pattern"))).select(*keys, "value").distinct()
+
+
+def claimed(found: DataFrame, entities: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value, token) of leaks: of equal values the first token, and of values that hold one another the longest, claims a text."""
+    tokens = entities.groupBy(F.col("original").alias("value")).agg(F.min("token").alias("token"))
+    order = Window.partitionBy(*keys).orderBy(F.length("value").desc(), "value").rowsBetween(Window.unboundedPreceding, -1)
+    longer = found.withColumn("_longer", F.collect_list("value").over(order))
+    return longer.filter(~F.exists("_longer", lambda v: F.contains(v, F.col("value")))).drop("_longer").join(tokens, "value").select(*keys, "value", "token")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, tokens
 from ..functions.kinds import DETECTIONS, TYPE_LETTERS
+from ..functions.rules import OCTET
 from ..operators import detect, mapping, ner, overlaps, report, rewrite
 from ..sources import formats, layout, text
 
@@ -47,10 +48,10 @@ def _exploded(frame: DataFrame, keys: list[str], found: str = "d") -> DataFrame:
 
 # ---------------------------------------------------------------- detection over the tables' own data
 
-_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+# The rules' patterns in RE2 syntax, the characters that may stand first and those that may stand around.
 _PATTERNS = {
     "EMAIL_ADDRESS": (r"[\p{L}\p{N}._%+\-]+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?\.)+\p{L}{2,}", r"[\p{L}\p{N}._%+\-]", r"[\p{L}\p{N}]", r"(?:[^\p{L}\p{N}]|$)", "@", 120),
-    "IP_ADDRESS": (rf"(?:{_OCTET}\.){{3}}{_OCTET}", "[0-9]", r"[\p{L}\p{N}.]", r"(?:[^\p{L}\p{N}.]|\.[^0-9]|\.$|$)", r"[0-9]\.[0-9]", 40),
+    "IP_ADDRESS": (rf"(?:{OCTET}\.){{3}}{OCTET}", "[0-9]", r"[\p{L}\p{N}.]", r"(?:[^\p{L}\p{N}.]|\.[^0-9]|\.$|$)", r"[0-9]\.[0-9]", 40),
     "CREDIT_CARD": (r"[0-9](?:[ \-\x{00A0}]?[0-9]){12,18}", "[0-9]", r"[\p{L}\p{N}]", r"(?:[^\p{L}\p{N}]|$)", "[0-9]", 60),
 }
 
@@ -198,10 +199,15 @@ def detect_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exploded(rows.select("item_id", detect.rule_detections(F.col("text"), names=_TERMS, names_only=True).alias("d")), ["item_id"])
 
 
-@query("SELECT DISTINCT doc_id, term FROM documents, (VALUES " + ", ".join(f"('{t}')" for t in _TERMS) + r") v(term) WHERE regexp_matches(text, '(?i)(^|[^\p{L}\p{N}\p{M}_])' || replace(term, ' ', '[\p{Zs}\t]+') || '([^\p{L}\p{N}\p{M}_]|$)')")
+_MANY = 6000  # more terms than one alternation takes: those above, and numbered ones that stand in no text
+
+
+@query(_names_sql("documents", "doc_id"))
 def names_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = spark.createDataFrame([(t,) for t in _TERMS], "term string")
-    return detect.names_joined(_table(spark, sf_dir, "documents"), terms, ["doc_id"])
+    """The names of a list that is too long for one alternation."""
+    numbered = spark.range(_MANY).select(F.concat(F.lit("of nobody"), F.col("id").cast("string")).alias("term"))
+    terms = spark.createDataFrame([(t,) for t in _TERMS], "term string").unionByName(numbered)
+    return _exploded(detect.names_detections(_table(spark, sf_dir, "documents").select("doc_id", "text"), terms, ["doc_id"]), ["doc_id"], "names")
 
 
 @query("SELECT c_custkey, 2 AS start, CAST(2 + length(c_name) AS integer) AS \"end\", c_name AS text FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0")
@@ -397,7 +403,8 @@ def unknown_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT type, original FROM (SELECT type, text AS original, bool_or(doc_id % 2 = 0) AS seen FROM ({_ALL_SQL}) GROUP BY type, text) WHERE NOT seen")
 def missing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = anonymize_text(spark, sf_dir).filter("doc_id % 2 = 0")
+    """All texts are read; those of odd documents came back with other brackets around their tokens."""
+    done = anonymize_text(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.translate("text", "⟦⟧", "[]")))
     return rewrite.missing_tokens(done, _entities(_found(spark, sf_dir))).select("type", "original")
 
 
@@ -520,11 +527,11 @@ def file_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS place FROM part WHERE p_partkey <= 500")
+@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey // 400 ORDER BY p_partkey) AS place FROM part")
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names such as slide10.xml in the order of their numbers; a document has few parts, so one window is enough."""
-    rows = _table(spark, sf_dir, "part").filter("p_partkey <= 500").select("p_partkey", F.concat(F.lit("ppt/slides/slide"), F.col("p_partkey").cast("string"), F.lit(".xml")).alias("name"))
-    return rows.select("p_partkey", F.row_number().over(Window.orderBy(formats.natural_key(F.col("name")))).cast("long").alias("place"))
+    """Part names such as slide10.xml in the order of their numbers, within packages of 400 parts."""
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.expr("p_partkey div 400").alias("package"), F.concat(F.lit("ppt/slides/slide"), F.col("p_partkey").cast("string"), F.lit(".xml")).alias("name"))
+    return rows.select("p_partkey", F.row_number().over(Window.partitionBy("package").orderBy(formats.natural_key(F.col("name")))).cast("long").alias("place"))
 
 
 @query("""SELECT n_nationkey, line, term FROM (SELECT n_nationkey, CAST(0 AS integer) AS line, n_name AS term FROM nation UNION ALL SELECT n_nationkey, 3, 'Jean Dupont' FROM nation)""")
@@ -606,7 +613,7 @@ def report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MAPPED = f"(SELECT lang AS document, type, source, count(*) AS occurrences FROM (SELECT d.lang, f.type, d.source, f.text FROM ({_ALL_SQL}) f JOIN documents d USING (doc_id)) GROUP BY lang, type, source, text)"
-_NOTED = "(SELECT d.lang AS document, CASE l.doc_id % 3 WHEN 0 THEN 'EMAIL_ADDRESS' WHEN 1 THEN 'IP_ADDRESS' ELSE 'PERSON' END AS type, d.source, CASE WHEN l.quality = 0 THEN 'FP' ELSE 'FN' END AS error FROM labels l JOIN documents d USING (doc_id) WHERE l.doc_id % 11 = 0)"
+_NOTED = "(SELECT d.lang AS document, CASE l.doc_id % 3 WHEN 0 THEN 'EMAIL_ADDRESS' WHEN 1 THEN 'IP_ADDRESS' ELSE 'PERSON' END AS type, d.source, CASE WHEN l.quality = 0 THEN 'FP' ELSE 'FN' END AS error FROM labels l JOIN documents d USING (doc_id))"
 
 
 def _calibration(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -614,7 +621,7 @@ def _calibration(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     hits = detect.detected(docs.select("doc_id", "lang", "source", "text")).select("lang", "source", F.explode("detections").alias("d"))
     mapped = hits.groupBy(F.col("lang").alias("document"), F.col("d.type").alias("type"), "source", F.col("d.text").alias("text")).agg(F.count("*").alias("occurrences"))
     kind = F.when(F.col("doc_id") % 3 == 0, "EMAIL_ADDRESS").when(F.col("doc_id") % 3 == 1, "IP_ADDRESS").otherwise("PERSON")
-    noted = _table(spark, sf_dir, "labels").filter("doc_id % 11 = 0").join(docs.select("doc_id", "lang", "source"), "doc_id").select(F.col("lang").alias("document"), kind.alias("type"), "source", F.when(F.col("quality") == 0, "FP").otherwise("FN").alias("error"))
+    noted = _table(spark, sf_dir, "labels").join(docs.select("doc_id", "lang", "source"), "doc_id").select(F.col("lang").alias("document"), kind.alias("type"), "source", F.when(F.col("quality") == 0, "FP").otherwise("FN").alias("error"))
     return mapped, noted
 
 
@@ -651,10 +658,10 @@ def ner_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").filter(ner.candidates(F.col("text"))).groupBy("turn").agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '(^|[^\p{L}\p{N}])(?:The|Les)(?:$|[^\p{L}\p{N}])')) AS n FROM documents WHERE regexp_matches(text, '(^|[^\p{L}\p{N}])(The|Les)($|[^\p{L}\p{N}])') AND NOT regexp_matches(text, '(The|Les)[^\p{L}\p{N}](The|Les)')")
+@query(r"SELECT doc_id, n FROM (SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '[^\p{L}\p{N}]'), lambda w: w IN ('The', 'Les'))) AS bigint) AS n FROM documents) WHERE n > 0")
 def ner_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary stands for the model; each distinct text is looked at once."""
-    docs = _table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"(The|Les)[^\p{L}\p{N}](The|Les)")).select("doc_id", "text")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = ner.deduplicated(docs, ner.DictionaryProvider({"The": "PERSON", "Les": "LOCATION"}))
     return found.filter(F.size("model") > 0).select("doc_id", F.size("model").cast("long").alias("n"))
 
