@@ -97,11 +97,11 @@ def without_tokens(detections: Column, spans: Column) -> Column:
 
 
 def whole_cell(text: Column) -> Column:
-    """The trimmed text as one person; nothing for blank cells and tokens."""
+    """The trimmed text as one person; nothing for blank cells and tokens, null for null."""
     lead = F.length(F.regexp_extract(text, f"^({BLANK}*)", 1))
     value = F.regexp_replace(F.substring(text, lead + 1, F.length(text)), f"{BLANK}+$", "")
     one = F.struct(lead.alias("start"), (lead + F.length(value)).alias("end"), value.alias("text"), F.lit("PERSON").alias("type"), F.lit("columns").alias("source"), F.lit(1.0).alias("score"))
-    return F.when((value == "") | is_token(value), F.array().cast(DETECTIONS)).otherwise(F.array(one))
+    return F.when((value == "") | is_token(value), F.array().cast(DETECTIONS)).when(value.isNotNull(), F.array(one))
 
 
 def detected(segments: DataFrame, text_col: str = "text", names: Sequence[str] | None = None, whole_col: str | None = None, model_col: str | None = None, out: str = "detections") -> DataFrame:
@@ -124,11 +124,12 @@ _WORD = r"([\p{L}\p{N}\p{M}_]+)"
 
 
 def names_joined(texts: DataFrame, terms: DataFrame, id_cols: Sequence[str], text_col: str = "text", term_col: str = "term") -> DataFrame:
-    """(ids, terms): for each text the terms of a list of any length that may stand in it, as their first words do. No text is in the join."""
-    first = F.lower(F.regexp_extract(F.col(term_col), _WORD, 1))
+    """(ids, terms): for each text the terms of a list of any length that may stand in it, as their longest words do. No text is in the join."""
+    parts = F.regexp_extract_all(F.col(term_col), F.lit(_WORD), F.lit(1))
+    longest = F.lower(F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(_WORD), F.lit(1)), lambda w: F.lower(w)))
     held = texts.select(*id_cols, F.explode(words).alias("_word"))
-    met = held.join(terms.select(F.col(term_col).alias("term"), first.alias("_word")).distinct(), "_word")
+    met = held.join(terms.select(F.col(term_col).alias("term"), longest.alias("_word")).distinct(), "_word")
     return met.groupBy(*id_cols).agg(F.collect_set("term").alias("terms"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import secrets
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,6 +104,59 @@ def problem(json: Column) -> Column:
     )
 
 
+def new_salt() -> bytes:
+    return secrets.token_bytes(SALT_BYTES)
+
+
+def salt_text(salt: bytes) -> str:
+    """A salt as mappings carry it: base64."""
+    return base64.b64encode(salt).decode()
+
+
+def iso_offset(moment: Column) -> Column:
+    """A timestamp as ISO date and time to the second with the session's offset."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ssxxx")
+
+
+def _text(value: Column) -> Column:
+    """A string, or null, as JSON."""
+    whole = F.to_json(F.struct(value.alias("t")), {"ignoreNullFields": "false"})
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def _listed(items: Column, open_: str, close: str, indent: str) -> Column:
+    inner = F.array_join(F.transform(items, lambda x: F.concat(F.lit(f"\n{indent}  "), x)), ",")
+    return F.when(F.size(items) == 0, F.lit(open_ + close)).otherwise(F.concat(F.lit(open_), inner, F.lit(f"\n{indent}{close}")))
+
+
+def written(headers: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """(key, json): each document's whole mapping as JSON text, with an indent of two spaces, sorted keys and a final line end.
+
+    headers(key, created_at, name, sha256, format, salt, ner_enabled, ner_provider, ner_model, warnings: array<string>); entities(key,
+    token, original, type, occurrences, source, collision). created_at is text, see iso_offset(). A document without entities has an
+    empty object. A mapping is as large as its document's distinct values, and is put together in one row.
+    """
+    fields = lambda pairs, indent: F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'\n{indent}  "{k}": '), v) for k, v in pairs)), F.lit(f"\n{indent}}}"))
+    collision = F.when(F.col("collision"), F.lit('\n      "collision": true,')).otherwise("")
+    rest = [("occurrences", F.col("occurrences").cast("string")), ("original", _text(F.col("original"))), ("source", _text(F.col("source"))), ("type", _text(F.col("type")))]
+    one = F.concat(_text(F.col("token")), F.lit(": {"), collision, F.concat_ws(",", *(F.concat(F.lit(f'\n      "{k}": '), v) for k, v in rest)), F.lit("\n    }"))
+    items = entities.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("token", one.alias("item")))).alias("_items"))
+    met = headers.join(items, key, "left").withColumn("_items", F.coalesce(F.transform("_items", lambda i: i["item"]), F.array().cast("array<string>")))
+    truth = lambda c: c.cast("string")
+    ner = fields([("enabled", truth(F.col("ner_enabled"))), ("model", _text(F.col("ner_model"))), ("provider", _text(F.col("ner_provider")))], "  ")
+    source = fields([("format", _text(F.col("format"))), ("name", _text(F.col("name"))), ("sha256", _text(F.col("sha256")))], "  ")
+    parts = [
+        ("created_at", _text(F.col("created_at"))),
+        ("entities", _listed(F.col("_items"), "{", "}", "  ")),
+        ("ner", ner),
+        ("salt", _text(F.col("salt"))),
+        ("schema_version", F.lit(str(SCHEMA_VERSION))),
+        ("source", source),
+        ("warnings", _listed(F.transform("warnings", _text), "[", "]", "  ")),
+    ]
+    return met.select(key, F.concat(fields(parts, ""), F.lit("\n")).alias("json"))
+
+
 def entities_json(entities: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, json): each key's entities as one JSON object with sorted keys."""
     one = F.to_json(F.struct(F.when(F.col("collision"), True).alias("collision"), "occurrences", "original", "source", "type"))

@@ -6,7 +6,7 @@ no weights.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -21,8 +21,10 @@ THRESHOLD = 0.5
 SIZE, OVERLAP = 120, 30
 TAGS = {"PER": "PERSON", "LOC": "LOCATION", "ORG": "ORGANIZATION"}
 FARTHEST = 64
-#: Fixed value: sub-tokens that a model takes at once.
+# Fixed value: sub-tokens that a model takes at once.
 PIECES = 512
+# Fixed value: words of a window that is not cut further.
+LEAST = 8
 SPECIAL = ("[CLS]", "[SEP]", "[PAD]", "[MASK]")
 
 
@@ -88,23 +90,24 @@ def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     return cut(text)
 
 
-def split_windows(cut: DataFrame, keys: list[str], pieces: Column, budget: int = PIECES, rounds: int = 7) -> DataFrame:
-    """Windows of cut(keys, words, start, end, ...) halved until `pieces`, the model's sub-tokens of an array of words, is within the budget.
+def split_windows(cut: DataFrame, pieces: Callable[[Column], Column], text_col: str = "text", budget: int = PIECES, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Windows of cut(..., text, start, end, core_start, core_end) cut again, with half the size and overlap, while they are too large.
 
-    words: array of (start, end) of a window's words. A window of one word stays whatever it has. Columns other than words, start and
-    end are kept as they are: the halves share their window's core.
+    pieces gives the model's sub-tokens of a text. Windows of at most LEAST words stay whatever they have. The parts' cores lie in the
+    core of their window; what has no core is left out. Rows come in no order: for output, order by start, then by end descending.
     """
-    whole = [c for c in cut.columns if c not in ("words", "start", "end")]
-    open_, done = cut, None
-    for _ in range(rounds):
-        large = (pieces > budget) & (F.size("words") > 1)
-        fits = open_.filter(~large)
+    own = F.substring(F.col(text_col), F.col("start") + 1, F.col("end") - F.col("start"))
+    others, done = [c for c in cut.columns if c not in ("start", "end", "core_start", "core_end")], None
+    while size > LEAST:
+        large = pieces(own) > budget
+        fits = cut.filter(~large)
         done = fits if done is None else done.unionByName(fits)
-        half = (F.size("words") / 2).cast("int")
-        halves = F.array(F.slice("words", F.lit(1), half), F.slice("words", half + 1, F.size("words") - half))
-        open_ = open_.filter(large).select(*whole, F.explode(halves).alias("words"))
-        open_ = open_.select(*whole, "words", F.element_at("words", 1)["start"].alias("start"), F.element_at("words", -1)["end"].alias("end")).select(*cut.columns)
-    return done.unionByName(open_)
+        size, overlap = size // 2, overlap // 2
+        parts = cut.filter(large).withColumn("_w", F.explode(windows(own, size, overlap)))
+        first = F.greatest("core_start", F.col("start") + F.col("_w.core_start"))
+        last = F.least("core_end", F.col("start") + F.col("_w.core_end"))
+        cut = parts.select(*others, (F.col("start") + F.col("_w.start")).alias("start"), (F.col("start") + F.col("_w.end")).alias("end"), first.alias("core_start"), last.alias("core_end")).filter("core_start < core_end")
+    return done.unionByName(cut)
 
 
 def recall_by(found: DataFrame, gold: DataFrame, keys: list[str], by: str) -> DataFrame:

@@ -39,6 +39,45 @@ def counts_by_type(entities: DataFrame) -> DataFrame:
     return entities.groupBy("type").agg(F.countDistinct("token").alias("n"))
 
 
+def total_entities(entities: DataFrame) -> DataFrame:
+    """(n): distinct tokens."""
+    return entities.agg(F.countDistinct("token").alias("n"))
+
+
+def first_contexts(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(token, keys, start, context) of found(token, keys, start, context): the first place of each token."""
+    first = found.groupBy("token").agg(F.min(F.struct(*keys, "start", "context")).alias("f"))
+    return first.select("token", *(F.col(f"f.{c}").alias(c) for c in (*keys, "start", "context")))
+
+
+def check_rows(residual: DataFrame, leaked: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind, type, value, n) of a check: what rules still find (residual(keys, type, text)), and known values that leak (leaked(keys, value))."""
+    again = residual.groupBy(*keys, "type", F.col("text").alias("value")).agg(F.count("*").alias("n"))
+    left = leaked.groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    return again.select(*keys, F.lit("residual").alias("kind"), "type", "value", "n").unionByName(left.select(*keys, F.lit("leak").alias("kind"), F.lit(None).cast("string").alias("type"), "value", "n"))
+
+
+def restore_rows(inventory: DataFrame, missing: DataFrame) -> DataFrame:
+    """(token, status, n) of a restoration: restored and unknown tokens of inventory(token, known, n), and missing(token) ones."""
+    seen = inventory.select("token", F.when(F.col("known"), "restored").otherwise("unknown").alias("status"), F.col("n").cast("long").alias("n"))
+    return seen.unionByName(missing.select("token", F.lit("missing").alias("status"), F.lit(0).cast("long").alias("n")))
+
+
+def is_clean(detections: Column, notices: Column) -> Column:
+    """Whether nothing was found in a document and none of its notices is sensitive."""
+    return (F.coalesce(F.size(detections), F.lit(0)) <= 0) & (F.coalesce(notices, F.lit(0)) == 0)
+
+
+def sensitive_notices(notices: DataFrame, keys: list[str], detections_col: str = "detections") -> DataFrame:
+    """(keys, kind, n): texts outside of the body (by kind: header, comment...) in which anything was found, counted in each document."""
+    return notices.filter(F.size(detections_col) > 0).groupBy(*keys, "kind").agg(F.count("*").alias("n"))
+
+
+def with_sensitive_notices(documents: DataFrame, notices: DataFrame, keys: list[str], detections_col: str = "detections") -> DataFrame:
+    """The documents that have a notice in which anything was found."""
+    return documents.join(notices.filter(F.size(detections_col) > 0).select(*keys).distinct(), keys, "left_semi")
+
+
 def by_source(mappings: DataFrame, annotations: DataFrame) -> DataFrame:
     """(source, detections, fp, precision) of mappings(source, occurrences) and annotations(source, error)."""
     volumes = mappings.groupBy("source").agg(F.sum("occurrences").alias("detections"))
@@ -76,6 +115,3 @@ def survival(texts: DataFrame, expected: DataFrame, key: str, text_col: str = "t
     same = F.col("found") == F.col("token")
     out = met.groupBy(key, "token", "expected").agg(F.coalesce(F.sum(F.when(same, F.col("n"))), F.lit(0)).alias("intact"), F.coalesce(F.sum(F.when(~same, F.col("n"))), F.lit(0)).alias("mangled"))
     return out.withColumn("missing", F.greatest(F.lit(0), F.col("expected") - F.col("intact") - F.col("mangled")))
-
-
-__all__ = ["anonymize_rows", "by_document", "by_source", "by_type", "cell", "code", "context_cell", "counts_by_type", "plural", "survival", "type_order"]

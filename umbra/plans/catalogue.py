@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import checks, tokens
 from ..functions.kinds import DETECTIONS, TYPE_LETTERS
 from ..functions.rules import OCTET
-from ..operators import detect, mapping, ner, overlaps, report, rewrite
+from ..operators import cells, detect, mapping, ner, overlaps, report, rewrite
 from ..sources import formats, layout, text
 
 #: The public test salt of all registered queries.
@@ -219,8 +219,32 @@ def whole_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS n_shared FROM (SELECT c_mktsegment FROM customer GROUP BY c_mktsegment HAVING count(DISTINCT c_nationkey) > 1)")
 def shared_string_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = _table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.countDistinct("c_nationkey").alias("n"))
-    return used.filter("n > 1").agg(F.count("*").alias("n_shared"))
+    return cells.shared_strings(_table(spark, sf_dir, "customer"), "c_mktsegment", ["c_nationkey"]).agg(F.count("*").alias("n_shared"))
+
+
+def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as sheets, one a nation, with a column of names and one of segments; the sheets of odd nations have other headers."""
+    columns = F.array(*(F.struct(F.lit(h).alias("header"), F.col(c).alias("text")) for h, c in ((" Name ", "c_name"), ("Segment", "c_mktsegment"))))
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("sheet"), (F.col("c_custkey") + 1).alias("row"), F.explode(columns).alias("x")).select("sheet", "row", "x.*")
+    return rows.withColumn("header", F.when((F.col("sheet") % 2 == 1) & (F.col("header") == "Segment"), "Group").otherwise(F.col("header")))
+
+
+@query("SELECT c_nationkey AS sheet, c_custkey + 1 AS row, 0 AS start, CAST(length(t) AS integer) AS \"end\", t AS text FROM (SELECT c_nationkey, c_custkey, c_name AS t FROM customer UNION ALL SELECT c_nationkey, c_custkey, c_mktsegment FROM customer WHERE c_nationkey % 2 = 0)")
+def column_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of the columns that a user chose by their headers."""
+    found = cells.whole_cells(cells.in_columns(_sheet(spark, sf_dir), ["name", "SEGMENT"], ["sheet"]))
+    return _exploded(found, ["sheet", "row"], "detections")
+
+
+@query("SELECT DISTINCT c_nationkey AS sheet, 'segment' AS \"column\" FROM customer WHERE c_nationkey % 2 = 1")
+def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.missing_columns(_sheet(spark, sf_dir), ["name", "segment"], ["sheet"])
+
+
+@query("SELECT text, inside, outside FROM (SELECT c_mktsegment AS text, count(*) FILTER (c_nationkey % 2 = 0) AS inside, count(*) FILTER (c_nationkey % 2 = 1) AS outside FROM customer GROUP BY c_mktsegment) WHERE inside > 0 AND outside > 0")
+def shared_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that stand in a chosen column and in others."""
+    return cells.shared_outside(cells.in_columns(_sheet(spark, sf_dir), ["Segment"], ["sheet"]), "text")
 
 
 @query("""SELECT o_orderkey, a AS start, b AS "end", t AS type FROM (SELECT o_orderkey, o_orderkey % 10 AS k FROM orders), LATERAL (
@@ -369,9 +393,9 @@ def context_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT token, doc_id, start, start AS s, e.end AS e, d.text AS x FROM {_EDITS} e JOIN documents d USING (doc_id))) WHERE n = 1""")
 def first_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.detected(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.explode("detections").alias("d"))
-    hits = found.select(tokens.derive_token(SALT, F.col("d.type"), F.col("d.text")).alias("token"), "doc_id", F.col("d.start").alias("start"), rewrite.context(F.col("text"), F.col("d.start"), F.col("d.end")).alias("c"))
-    first = hits.groupBy("token").agg(F.min(F.struct("doc_id", "start", "c")).alias("f"))
-    return first.select("token", "f.doc_id", "f.start", "f.c.before", "f.c.match", "f.c.after")
+    context = rewrite.context(F.col("text"), F.col("d.start"), F.col("d.end"))
+    hits = found.select(tokens.derive_token(SALT, F.col("d.type"), F.col("d.text")).alias("token"), "doc_id", F.col("d.start").alias("start"), context.alias("context"))
+    return report.first_contexts(hits, ["doc_id"]).select("token", "doc_id", "start", "context.before", "context.match", "context.after")
 
 
 @query("SELECT doc_id, text AS written FROM documents")
@@ -461,6 +485,34 @@ def mapping_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.entities_json(_entities(_found(spark, sf_dir)).withColumn("kind", F.col("type")), ["kind"]).withColumnRenamed("kind", "type")
 
 
+_JSON = "replace(replace({0}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))"
+_WHOLE = f"""SELECT source AS "where", '{{' || chr(10) || '  "created_at": "2026-01-02T03:04:05+00:00",' || chr(10) || '  "entities": ' ||
+    CASE WHEN items IS NULL THEN '{{}}' ELSE '{{' || chr(10) || items || chr(10) || '  }}' END || ',' || chr(10) ||
+    '  "ner": {{' || chr(10) || '    "enabled": false,' || chr(10) || '    "model": null,' || chr(10) || '    "provider": null' || chr(10) || '  }},' || chr(10) ||
+    '  "salt": "AAAAAAAAAAAAAAAAAAAAAA==",' || chr(10) || '  "schema_version": 1,' || chr(10) ||
+    '  "source": {{' || chr(10) || '    "format": "txt",' || chr(10) || '    "name": "' || source || '.txt",' || chr(10) || '    "sha256": "' || sha256(source) || '"' || chr(10) || '  }},' || chr(10) ||
+    '  "warnings": []' || chr(10) || '}}' || chr(10) AS json
+  FROM (SELECT DISTINCT source FROM documents) LEFT JOIN (SELECT source, string_agg('    "' || token || '": {{' || chr(10) || '      "occurrences": ' || n || ',' || chr(10) || '      "original": "' || {_JSON.format('text')} || '",' || chr(10) ||
+      '      "source": "regex",' || chr(10) || '      "type": "' || type || '"' || chr(10) || '    }}', ',' || chr(10) ORDER BY token) AS items
+    FROM (SELECT d.source, f.type, f.text, count(*) AS n, {token_sql('f.type', 'f.text')} AS token FROM ({_ALL_SQL}) f JOIN documents d USING (doc_id) GROUP BY d.source, f.type, f.text) GROUP BY source) USING (source)"""
+
+
+@query(_WHOLE)
+def mapping_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole mapping of each source's documents, as it is written."""
+    docs = _table(spark, sf_dir, "documents")
+    hits = detect.detected(docs.select("doc_id", F.col("source").alias("where"), "text")).select("where", F.explode("detections").alias("d"))
+    entities = hits.groupBy("where", F.col("d.type").alias("type"), F.col("d.text").alias("original")).agg(F.count("*").alias("occurrences"), F.min("d.source").alias("source"))
+    entities = entities.withColumn("token", tokens.derive_token(SALT, F.col("type"), F.col("original"))).withColumn("collision", F.lit(False))
+    none = F.lit(None).cast("string")
+    made = mapping.iso_offset(F.timestamp_seconds(F.lit(1767323045)))
+    headers = docs.select(F.col("source").alias("where")).distinct().select(
+        "where", made.alias("created_at"), F.concat("where", F.lit(".txt")).alias("name"), F.sha2("where", 256).alias("sha256"), F.lit("txt").alias("format"), F.lit(mapping.salt_text(SALT)).alias("salt"),
+        F.lit(False).alias("ner_enabled"), none.alias("ner_provider"), none.alias("ner_model"), F.array().cast("array<string>").alias("warnings"),
+    )
+    return mapping.written(headers, entities, "where")
+
+
 # ---------------------------------------------------------------- sources
 
 
@@ -612,6 +664,72 @@ def report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", report.cell(value).alias("cell"), report.code(F.concat(F.lit("`"), "url")).alias("code"), report.plural(F.col("page_id"), "page", "pages").alias("word"))
 
 
+@query(f"SELECT count(DISTINCT token) AS n FROM {_EDITS}")
+def total_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.total_entities(_entities(_found(spark, sf_dir)))
+
+
+@query(f"""SELECT doc_id, 'residual' AS kind, type, text AS value, count(*) AS n FROM ({_ALL_SQL}) WHERE doc_id % 2 = 0 GROUP BY doc_id, type, text
+  UNION ALL SELECT DISTINCT doc_id, 'leak', NULL, text, CAST(1 AS bigint) FROM ({_ALL_SQL}) WHERE doc_id % 2 = 0""")
+def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of texts of which half were left as they are: what rules still find, and which known values leak."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("plain"))
+    mixed = anonymize_text(spark, sf_dir).join(docs, "doc_id").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("plain")).otherwise(F.col("text")).alias("text"))
+    again = detect.detected(mixed).select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.type", "d.text")
+    return report.check_rows(again, rewrite.leaks(mixed, _entities(_found(spark, sf_dir)), ["doc_id"], normal=True), ["doc_id"])
+
+
+@query(f"""SELECT doc_id, value, token FROM (SELECT DISTINCT doc_id, text AS value, {token_sql('type', 'text')} AS token FROM ({_ALL_SQL})) f
+  WHERE NOT EXISTS (SELECT 1 FROM ({_ALL_SQL}) g WHERE g.doc_id = f.doc_id AND length(g.text) > length(f.value) AND contains(g.text, f.value))""")
+def leak_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which token a value that leaks belongs to, the longest value first; here nothing was replaced, and half a value is known as well."""
+    docs, entities = _table(spark, sf_dir, "documents").select("doc_id", "text"), _entities(_found(spark, sf_dir))
+    halves = entities.filter("type = 'EMAIL_ADDRESS'").select(F.concat(F.lit("z"), "token").alias("token"), F.regexp_extract("original", "@(.*)$", 1).alias("original"))
+    known = entities.select("token", "original").unionByName(halves)
+    return rewrite.claimed(rewrite.leaks(docs, known, ["doc_id"]), known, ["doc_id"])
+
+
+@query(f"""WITH e AS (SELECT token, count(*) FILTER (doc_id % 2 = 0) AS n FROM {_EDITS} GROUP BY token)
+SELECT token, CASE WHEN n > 0 THEN 'restored' ELSE 'missing' END AS status, n FROM e
+UNION ALL SELECT '⟦P-ZZZZZ⟧', 'unknown', count(*) FROM documents WHERE doc_id % 2 = 0 HAVING count(*) > 0""")
+def restore_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even documents come back with an unknown token more, odd ones with other brackets around their tokens."""
+    text_back = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" ⟦P-ZZZZZ⟧"))).otherwise(F.translate("text", "⟦⟧", "[]"))
+    done, entities = anonymize_text(spark, sf_dir).withColumn("text", text_back), _entities(_found(spark, sf_dir))
+    return report.restore_rows(rewrite.inventory(done, entities), rewrite.missing_tokens(done, entities))
+
+
+_NOTICES = "(SELECT doc_id % 50 AS doc, CASE doc_id % 3 WHEN 0 THEN 'header' WHEN 1 THEN 'comment' ELSE 'notes' END AS kind, doc_id FROM documents)"
+
+
+def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the headers, comments and notes of fifty larger ones."""
+    key = F.col("doc_id")
+    kind = F.when(key % 3 == 0, "header").when(key % 3 == 1, "comment").otherwise("notes")
+    return detect.detected(_table(spark, sf_dir, "documents").select((key % 50).alias("doc"), kind.alias("kind"), "text"))
+
+
+@query(f"SELECT doc, kind, count(*) AS n FROM (SELECT DISTINCT doc, kind, doc_id FROM {_NOTICES} JOIN ({_ALL_SQL}) USING (doc_id)) GROUP BY doc, kind")
+def sensitive_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.sensitive_notices(_notices(spark, sf_dir), ["doc"])
+
+
+@query(f"SELECT doc_id, NOT EXISTS (SELECT 1 FROM ({_ALL_SQL}) f WHERE f.doc_id = d.doc_id) AND d.doc_id % 50 NOT IN (SELECT doc FROM {_NOTICES} JOIN ({_ALL_SQL}) USING (doc_id)) AS clean FROM documents d")
+def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document holds nothing itself and nothing in its notices."""
+    found = detect.detected(_table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 50).alias("doc"), "text"))
+    counts = report.sensitive_notices(_notices(spark, sf_dir), ["doc"]).groupBy("doc").agg(F.sum("n").alias("notices"))
+    return found.join(counts, "doc", "left").select("doc_id", report.is_clean(F.col("detections"), F.col("notices")).alias("clean"))
+
+
+@query("SELECT lang, length(text) - length(replace(text, chr(10), '')) AS breaks, CAST(len(list_filter(string_split_regex(text, '\\r\\n|\\n|\\r'), lambda x: regexp_replace(regexp_replace(x, '#.*$', ''), '\\s+', '', 'g') <> '')) AS integer) AS terms, CASE WHEN lang = 'de' THEN 'de' ELSE 'fr' END AS locale FROM documents")
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as lists of names, and the locale of their language tags."""
+    tag = F.when(F.col("lang") == "de", "DE-at").otherwise(F.concat("lang", F.lit("-de")))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return _table(spark, sf_dir, "documents").select("lang", breaks.cast("long").alias("breaks"), text.term_count(F.col("text")).alias("terms"), text.locale_of(tag).alias("locale"))
+
+
 _MAPPED = f"(SELECT lang AS document, type, source, count(*) AS occurrences FROM (SELECT d.lang, f.type, d.source, f.text FROM ({_ALL_SQL}) f JOIN documents d USING (doc_id)) GROUP BY lang, type, source, text)"
 _NOTED = "(SELECT d.lang AS document, CASE l.doc_id % 3 WHEN 0 THEN 'EMAIL_ADDRESS' WHEN 1 THEN 'IP_ADDRESS' ELSE 'PERSON' END AS type, d.source, CASE WHEN l.quality = 0 THEN 'FP' ELSE 'FN' END AS error FROM labels l JOIN documents d USING (doc_id))"
 
@@ -721,3 +839,24 @@ def ner_org_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.when(key % 2 == 0, "N  ").otherwise("n "), (key % 7).cast("string"))
     found = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), kind.alias("type"), name.alias("text"))
     return ner.promoted(found, "doc").groupBy("doc", "type").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n, length(text) AS whole FROM documents)
+SELECT doc_id, CAST(0 AS bigint) AS first, CAST(whole AS bigint) AS last, TRUE AS tiles, TRUE AS fits FROM d WHERE whole > 0""")
+def ner_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that are too large for the model are cut again: their cores still tile the text, and all but the least fit."""
+    pieces = lambda t: F.length(t)  # noqa: E731  a model that knows letters only
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(ner.windows(F.col("text"))).alias("w")).select("doc_id", "text", "w.*")
+    cut = ner.split_windows(rows, pieces).withColumn("size", F.size(F.regexp_extract_all(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")), F.lit(r"(\S+)"), F.lit(1))))
+    after = F.lead("core_start").over(Window.partitionBy("doc_id").orderBy("core_start"))
+    ok, fits = F.coalesce(after == F.col("core_end"), F.lit(True)), (F.col("end") - F.col("start") <= ner.PIECES) | (F.col("size") <= ner.LEAST)
+    return cut.withColumn("ok", ok).withColumn("fits", fits).groupBy("doc_id").agg(F.min("core_start").cast("long").alias("first"), F.max("core_end").cast("long").alias("last"), F.every("ok").alias("tiles"), F.every("fits").alias("fits"))
+
+
+@query("""SELECT c_mktsegment AS lang, count(*) AS expected, count(*) FILTER (c_custkey % 3 <> 2) AS covered, count(*) FILTER (c_custkey % 3 = 0) AS exact FROM customer GROUP BY c_mktsegment""")
+def ner_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the names is found as it is, a third within a longer span, a third under another type."""
+    key = F.col("c_custkey")
+    gold = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("lang"), F.lit(5).alias("start"), (F.length("c_name") + 5).alias("end"), F.lit("PERSON").alias("type"))
+    found = gold.select("c_custkey", F.when(key % 3 == 1, 3).otherwise(5).alias("start"), "end", F.when(key % 3 == 2, "LOCATION").otherwise("PERSON").alias("type"))
+    return ner.recall_by(found, gold, ["c_custkey"], "lang")

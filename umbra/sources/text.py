@@ -99,3 +99,13 @@ def names_list(raw: DataFrame, keys: list[str], text_col: str = "text") -> DataF
     rows = raw.select(*keys, F.posexplode(lines_of(F.col(text_col))).alias("line", "term")).withColumn("term", term).filter("term <> ''")
     first = F.row_number().over(Window.partitionBy(*keys, F.lower("term")).orderBy("line"))
     return rows.withColumn("_n", first).filter("_n = 1").drop("_n")
+
+
+def term_count(raw: Column) -> Column:
+    """Lines of a names list that are not blank, comments taken off; repeated terms count each time."""
+    return F.size(F.filter(lines_of(raw), lambda x: F.regexp_replace(F.regexp_replace(x, "#.*$", ""), f"{BLANK}+", "") != ""))
+
+
+def locale_of(tag: Column) -> Column:
+    """de for German language tags, fr for all others and for none."""
+    return F.when(tag.rlike("(?i)^de(-|$)"), "de").otherwise("fr")
