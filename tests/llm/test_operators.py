@@ -285,6 +285,102 @@ def test_languages(spark):
     assert {r.lang_pred for r in language.identified(frame.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_languages_against_vectors_built_letter_by_letter(spark):
+    rng = random.Random(6)
+    words = {"ru": ["дом", "и", "город", "Новый"], "uk": ["дім", "і", "місто", "Новий"], "ja": ["日本", "東京", "学校"], "zh": ["中国", "北京", "学校"], "en": ["the", "İx", "ﬀa", "house"]}
+    rows = [(k, " ".join(rng.choice(words[x]) for _ in range(9)), x) for k, x in enumerate(rng.choices(list(words), k=80))] + [(500, "слово " * 9000, None), (501, "x", None), (501, "x", None)]
+    letter = lambda c: np.random.default_rng((language.SEED, ord(c))).choice([-1, 1], language.DIMENSIONS)
+
+    def vector(text):
+        total = np.zeros(language.DIMENSIONS)
+        for word in re.findall(r"[^\W\d_]+", text):
+            small = "\0" + "".join(c.lower() if len(c.lower()) == 1 else c for c in word) + "\0"
+            for a, b, c in zip(small, small[1:], small[2:]):
+                total += np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c)
+        return total
+
+    sums = {x: sum(vector(t) for k, t, lang in rows if lang == x and zlib.crc32(str(k).encode()) % 4 != 2) for x in words}
+    frame = spark.createDataFrame([(*r, "a", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    got = collections.defaultdict(list)
+    for r in language.identified(frame).collect():
+        got[r.id].append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    for k, t, _ in rows[:60] + rows[-2:]:
+        v = vector(t)
+        cosine = {x: v @ s / np.linalg.norm(v) / np.linalg.norm(s) for x, s in sums.items()}
+        for r in got[k]:
+            assert abs(r.score - max(0, max(cosine.values()))) < 1e-4 and abs(cosine[r.lang_pred] - max(cosine.values())) < 1e-4
+    assert sum(got[k][0].lang_pred == x for k, _, x in rows[:80]) >= 78
+    assert language.identified(frame.limit(0)).count() == 0
+
+
+def test_classifier_against_a_plain_replay():
+    """Follow-the-regularised-leader, one coordinate after the other in plain Python."""
+    import math
+
+    rng, memo = random.Random(7), quality_model._Words()
+    texts = [" ".join(rng.choice(["good", "fine", "word"] if k % 2 else ["BAD", "$$$", "!!"]) for _ in range(rng.randrange(1, 12))) for k in range(24)]
+    rows = [(float(k % 2), *quality_model.features(t, memo)) for k, t in enumerate(texts)]
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= quality_model.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality_model.L1, z[i])) / ((quality_model.BETA + math.sqrt(n[i])) / quality_model.ALPHA + quality_model.L2)
+
+    for p in range(quality_model.PASSES):
+        for k in np.random.default_rng(p).permutation(len(rows)):
+            y, at, x = rows[k]
+            inputs = [*zip(at.tolist(), x.tolist()), (quality_model.SIZE, 1.0)]
+            w = {i: weight(i) for i, _ in inputs}
+            chance = 1 / (1 + math.exp(-sum(w[i] * v for i, v in inputs)))
+            for i, v in inputs:
+                g = (chance - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality_model.ALPHA * w[i]
+                n[i] += g * g
+    got = quality_model.fit(rows)
+    assert max(abs(got[i] - weight(i)) for i in z) < 1e-5 and np.count_nonzero(got) == sum(weight(i) != 0 for i in z)
+
+
+def test_classifier_counts_of_features():
+    memo = quality_model._Words()
+    at, x = quality_model.features("a a\n\na a", memo)
+    assert abs(x.sum() - quality_model.SCALE * (8 + 7 + 8 + 7 + 6) / 8) < 1e-4 and len(set(at.tolist())) == len(at) and (np.diff(at) > 0).all()
+    assert len(quality_model.features(None, memo)[0]) == len(quality_model.features("", memo)[0]) > 0
+    at, x = quality_model.features("word " * 100000, memo)
+    assert np.isfinite(x).all()
+
+
+def test_weights_of_rules_against_a_plain_replay(spark):
+    """Expectation-maximisation over rows, not patterns, in plain Python."""
+    import math
+
+    rng = random.Random(8)
+    votes = [[rng.choice((-1, -1, 0) if bad else (1, 1, 0, -1)) for _ in range(4)] for bad in (rng.random() < 0.3 for _ in range(120))]
+    patterns = collections.Counter(map(tuple, votes))
+    frame = spark.createDataFrame([(list(v), n) for v, n in patterns.items()], "votes array<int>, n long")
+    trust, good, weights = quality_rules.TRUST, [0.1 if min(v) == -1 else 0.9 for v in votes], None
+    for _ in range(quality_rules.ROUNDS):
+        new = []
+        for k in range(4):
+            for x in (-1, 0, 1):
+                of = []
+                for y in (1, 0):
+                    counts = {u: sum((g if y else 1 - g) for v, g in zip(votes, good) if v[k] == u) + (trust / 2 if u == 0 else trust * (u == (1 if y else -1))) + 0.05 for u in (-1, 0, 1)}
+                    of.append(counts[x] / sum(counts.values()))
+                new.append(math.log(of[0] / of[1]))
+        new.append(math.log((sum(good) + trust) / (len(votes) - sum(good) + trust)))
+        done = weights is not None and max(abs(a - b) for a, b in zip(new, weights)) < quality_rules.SETTLED
+        weights = new
+        good = [1 / (1 + math.exp(-(weights[-1] + sum(weights[3 * k + u + 1] for k, u in enumerate(v))))) for v in votes]
+        if done:
+            break
+    got = quality_rules.fit(frame, 4)
+    assert max(abs(a - b) for a, b in zip(got, weights)) < 1e-9
+    kept = {tuple(r.votes): r.p for r in frame.select("votes", quality_rules._posterior(got).alias("p")).collect()}
+    assert all(abs(kept[tuple(v)] - g) < 1e-9 for v, g in zip(votes, good))
+
+
 # ---------------------------------------------------------------- repeated passages
 
 
