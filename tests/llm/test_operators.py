@@ -342,6 +342,14 @@ def test_classifier_against_a_plain_replay():
     assert max(abs(got[i] - weight(i)) for i in z) < 1e-5 and np.count_nonzero(got) == sum(weight(i) != 0 for i in z)
 
 
+def test_classifier_learns_one_text_of_repeated_ids(spark):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 40)] + [(7, 1, 0), (8, None, 0)], "doc_id long, quality int, toxic int")
+    rows = [(k, "good fine words here" if k % 2 else "$$$ BAD !!") for k in range(1, 40)] + [(7, "other text"), (7, "other text"), (9, None), (9, "x " * 30000)]
+    one, two = (sorted((r.id, round(r.score, 9)) for r in quality_model.scored(docs(spark, x).repartition(n), labels).collect()) for x, n in ((rows, 1), (rows[::-1], 5)))
+    assert one == two and len(one) == len(rows)
+    assert quality_model.scored(docs(spark, []), labels).count() == 0
+
+
 def test_classifier_counts_of_features():
     memo = quality_model._Words()
     at, x = quality_model.features("a a\n\na a", memo)

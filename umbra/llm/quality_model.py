@@ -100,10 +100,11 @@ def held_out(id_col: str, folds: int, fold: int):
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train) -> np.ndarray:
-    """Weights fitted on at most MOST_ROWS labelled rows. Rows without label are left out; one row counts for each id."""
+    """Weights fitted on at most MOST_ROWS labelled rows. Rows without label are left out; of rows of one id that with the least text hash counts."""
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & train).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(MOST_ROWS)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "y", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id")
+    rows = rows.groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     schema = pa.schema([("id", pa.int64()), ("y", pa.float64()), ("at", pa.binary()), ("x", pa.binary())])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +122,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
         held = [(y, np.frombuffer(at, np.int32), np.frombuffer(x, np.float32)) for batch in batches for _, y, at, x in rows_of(batch)]
         yield pa.RecordBatch.from_arrays([pa.array([fit(held).tobytes()], pa.binary())], names=["w"])
 
-    bounded = rows.mapInArrow(vectors, "id long, y double, at binary, x binary").dropDuplicates(["id"]).repartition(1).sortWithinPartitions("id")
+    bounded = rows.mapInArrow(vectors, "id long, y double, at binary, x binary").repartition(1).sortWithinPartitions("id")
     learned = bounded.mapInArrow(learn, "w binary").first()
     return np.frombuffer(learned[0], np.float32) if learned else fit([])
 
@@ -130,7 +131,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """One row per document: id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
     Only labels of ids that are not held out are learned from. Null texts are scored as empty ones. Without any usable label every
-    score is 0.5. Repeated rows stay repeated; other columns are not read.
+    score is 0.5. Very long texts are scored whole. Repeated rows stay repeated; empty tables stay empty; other columns are not read.
     """
     weights = trained(docs, labels, id_col, text_col, label_col, ~held_out(id_col, folds, fold))
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # 1 MB, whatever the corpus
