@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written inside of passing().
+_INNER: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("inner", default=None)
 _TEST_DIRS: list[tempfile.TemporaryDirectory] = []
 
 
@@ -39,9 +43,36 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._umbra_path = path
+    if (inner := _INNER.get()) is not None:
+        inner.append(out)
     return out
 
 
+@contextlib.contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes the tables that stage() writes inside at the end, but for those given to the function that it yields.
+
+    A result may read only such tables: they stay as long as the shared folder does, or until drop_stage().
+    """
+    written: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    outer = _INNER.set(written)
+    try:
+        yield keep
+    finally:
+        _INNER.reset(outer)
+        for df in written:
+            if not any(df is k for k in kept):
+                drop_stage(df)
+        if (above := _INNER.get()) is not None:
+            above += kept
+
+
 def drop_stage(df: DataFrame) -> None:
     """Removes a table that stage() wrote and no later plan reads."""
     path = getattr(df, "_umbra_path", None)

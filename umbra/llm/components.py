@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating large-star and small-star rounds.
 
-Each round is two grouped minima (combined before the shuffle) and a join; no neighbourhood is ever collected, so a node
-with very many links is only many rows. Rounds end lineage with a table in the shared folder.
+Each round is two grouped minima (combined before the shuffle) and two joins; no neighbourhood is ever collected, but the rows of a node with
+very many links meet in one task of each join: two numbers a row. Rounds end lineage with a table in the shared folder.
 """
 
 from __future__ import annotations

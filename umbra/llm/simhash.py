@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks, rows_of, stage
+from .common import in_chunks, passing, rows_of, stage
 from .components import connected_components
 
 #: Fingerprints in a bucket before it is cut into blocks; a task holds two blocks at a time.
@@ -259,10 +259,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with a null id keep their row; a group of only such rows has a null component_id. Repeated rows stay repeated.
     Empty tables give an empty table. Only the two named columns are read.
     """
-    fps = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = stage(fps.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    found = connected_components(links(distinct, radius))
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = stage(rooted.join(least, "root").select("fp", "component_id"), "classes")
+    with passing() as keep:
+        fps = keep(stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints"))
+        distinct = stage(fps.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+        found = connected_components(links(distinct, radius))
+        rooted = stage(distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+        # stored before it is joined, so that Spark can split a large component's or a common fingerprint's rows
+        least = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+        of = keep(stage(rooted.join(least, "root").select("fp", "component_id"), "classes"))
     return fps.join(of, "fp").select("id", "fp", "component_id")

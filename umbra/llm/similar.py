@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, forget_shuffles, in_chunks, rows_of, stage
+from .common import drop_stage, forget_shuffles, in_chunks, passing, rows_of, stage
 from .components import connected_components
 from .decontaminate import _Hashes, run_hashes
 from .passages import BITS, _bitmap
@@ -278,6 +278,12 @@ def _regrouped(df: DataFrame, moved: DataFrame, name: str = "group") -> DataFram
 
 def _grouped(named: DataFrame, size: int, similarity: float, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
     """prints (see _printed) of the rows of named, and (node, first, group) of each distinct text."""
+    with passing() as keep:
+        prints, groups = _prints_and_groups(named, size, similarity, radius, block)
+        return keep(prints), keep(groups)
+
+
+def _prints_and_groups(named: DataFrame, size: int, similarity: float, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
     spark = named.sparkSession
     prints = stage(_printed(named, size, similarity), "prints")
     texts = stage(prints.groupBy("node").agg(_first("first"), F.any_value("fp").alias("fp")), "texts")
@@ -323,8 +329,6 @@ def _grouped(named: DataFrame, size: int, similarity: float, radius: int, block:
         if still.isEmpty():
             break
         rows = stage(_regrouped(rows, moved).join(still, "group", "left_semi").select(*fields), "places")
-    for table in (sets, rows):
-        drop_stage(table)
     return prints, groups
 
 
@@ -338,6 +342,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints, groups = _grouped(_keyed(docs, id_col, text_col), shingle, similarity, radius, block)
     least = groups.groupBy("group").agg(_first("least", "first."))
     of = stage(groups.join(least, "group").select("node", F.when(~F.col("least.none"), F.col("least.id")).alias("group")), "classes")
+    drop_stage(groups)
     return prints.join(of, "node").select(F.when(~F.col("none"), F.col("id")).alias("id"), "group")
 
 
@@ -350,7 +355,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = _keyed(docs, id_col, text_col)
     prints, groups = _grouped(named, shingle, similarity, radius, block)
     kept = stage(groups.groupBy("group").agg(_first("k", "first.")).select("k.*"), "kept")
-    drop_stage(prints)
+    for table in (prints, groups):
+        drop_stage(table)
     forget_shuffles(docs.sparkSession)
     # equal rows are combined before the one shuffle of whole texts, which the join takes over
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
