@@ -94,3 +94,10 @@ def test_notices_and_inspection(spark):
     seen = {r.name: tuple(r)[1:] for r in ooxml.inspected(files(spark)).collect()}
     assert seen["a.docx"] == (1, 0, 1, 2, True, False) and seen["b.xlsx"] == seen["c.pptx"] == (0, 0, 0, 0, False, False)
     assert [tuple(r) for r in ooxml.warnings(files(spark)).collect()] == [("a.docx", "media", 1)]
+
+
+def test_unreadable_files_and_parts_are_named(spark):
+    broken = package({"word/document.xml": "<w:document", "word/header1.xml": f"<w:hdr {W}/>"})
+    rows = spark.createDataFrame([("a.docx", DOCX), ("b.docx", broken), ("c.docx", b"nothing"), ("d.docx", b""), ("e.docx", None)], "name string, content binary")
+    got = {tuple(r) for r in ooxml.unreadable(rows).collect()}
+    assert got == {("b.docx", "word/document.xml", "notXml"), ("c.docx", None, "notPackage"), ("d.docx", None, "notPackage"), ("e.docx", None, "notPackage")}

@@ -7,6 +7,8 @@ files. A task holds one file at a time.
 from __future__ import annotations
 
 import re
+import struct
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -304,7 +306,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _each(files: DataFrame, rows, fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
-    """Rows of each file that can be read; others give none."""
+    """Rows of each file that can be read; unreadable() names the others."""
     schema = pa.schema([("name", pa.string()), *((n, t) for n, _, t in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,6 +329,32 @@ def segments(files: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return _each(files, lambda p: segment_rows(p, wanted), [("part", "string", pa.string()), ("idx", "int", pa.int32()), ("kind", "string", pa.string()), ("text", "string", pa.string()), ("whole", "boolean", pa.bool_())])
 
 
+def unreadable(files: DataFrame) -> DataFrame:
+    """(name, part, problem): files that are no package (part is null), and XML parts that cannot be parsed. Their texts are in no other result."""
+    schema = pa.schema([(n, pa.string()) for n in ("name", "part", "problem")])
+
+    def problems(content: bytes | None) -> Iterator[tuple[str | None, str]]:
+        try:
+            package = Package(content or b"")
+        except (ValueError, KeyError, struct.error):
+            yield None, "notPackage"
+            return
+        for part in package.names:
+            if part.endswith((".xml", ".rels")):
+                try:
+                    elements(package.read(part))
+                except (expat.ExpatError, ValueError, KeyError, zlib.error):
+                    yield part, "notXml"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(name.as_py(), *x) for name, content in zip(batch.column(0), batch.column(1), strict=True) for x in problems(content.as_py())]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)], schema=schema)
+
+    return files.select("name", "content").mapInArrow(run, "name string, part string, problem string")
+
+
 def notices(files: DataFrame) -> DataFrame:
     return _each(files, notice_rows, [("text", "string", pa.string()), ("where", "string", pa.string())])
 
