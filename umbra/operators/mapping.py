@@ -63,6 +63,11 @@ def allocated(values: DataFrame, salt: bytes, existing: DataFrame | None = None,
     return fresh.unionByName(again).unionByName(absent)
 
 
+def numbered(entities: DataFrame, salt: bytes) -> DataFrame:
+    """Entities whose token is not the one that salt, type and value give: it has a number, or is from another salt."""
+    return entities.filter(F.col("token") != derive_token(salt, F.col("type"), F.col("original")))
+
+
 def problem(json: Column) -> Column:
     """What is wrong with a mapping given as JSON text: not_json, not_object, no_version, other_version, invalid: ..., or null.
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import BLANK
+from ..functions.places import Values
 from ..functions.tokens import TOKEN, derive_token, tokens_in
 
 #: Fixed value: code points of context on either side.
@@ -44,41 +48,51 @@ def context(text: Column, start: Column, end: Column, radius: int = RADIUS) -> C
     return F.struct(before.alias("before"), F.substring(text, start + 1, end - start).alias("match"), after.alias("after"))
 
 
-def with_tokens(segments: DataFrame, keys: list[str], entities: DataFrame, salt: bytes | None = None, text_col: str = "text", detections_col: str = "detections") -> DataFrame:
+def with_tokens(segments: DataFrame, keys: list[str], entities: DataFrame | None = None, salt: bytes | None = None, text_col: str = "text", detections_col: str = "detections") -> DataFrame:
     """Rows with `edits` and `anonymized`: each detection replaced by its token in entities(type, original, token).
 
     With the salt, tokens are computed in the row, and only detections whose token is another one (it has a number, or comes from an
-    earlier table) are looked up; what is joined to the texts is as small as those are few. Without it, all are looked up. Detections
-    meet entities by type and value; a frequent value is many rows of the left side only.
+    earlier table) are looked up; without entities none is. Without the salt, all are looked up. Only rows that have detections meet what
+    was looked up, by key; the others are passed on as they are. Detections meet entities by type and value; a frequent value is many rows
+    of the left side only. With entities, rows are read three times: give a stored table (see flow.anonymized).
     """
+    derived = lambda d: derive_token(salt, d["type"], d["text"]) if salt is not None else F.lit(None).cast("string")
+    some = F.coalesce(F.size(detections_col) > 0, F.lit(False))
+    if entities is None:
+        if salt is None:
+            raise ValueError("tokens come from a table of entities, from a salt, or both")
+        edits = F.transform(detections_col, lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), derived(d).alias("replacement")))
+        return _made(segments.withColumn("edits", F.when(some, edits)), text_col)
     known = entities.select(F.col("type").alias("_t"), F.col("original").alias("_o"), "token")
     if salt is not None:
         known = known.filter(F.col("token") != derive_token(salt, F.col("_t"), F.col("_o")))
-        if known.isEmpty():  # the usual case: no text is shuffled
-            edits = F.transform(detections_col, lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), derive_token(salt, d["type"], d["text"]).alias("replacement")))
-            return segments.withColumn("edits", F.when(F.size(detections_col) > 0, edits)).withColumn("anonymized", applied(F.col(text_col), F.col("edits")))
-    hits = segments.filter(F.size(detections_col) > 0).select(*keys, F.explode(detections_col).alias("d"))
+    hits = segments.filter(some).select(*keys, F.explode(detections_col).alias("d"))
     found = hits.join(known, (F.col("d.type") == F.col("_t")) & (F.col("d.text") == F.col("_o")))
     places = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("d.start").alias("start"), "token"))).alias("_at"))
+    edit = lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), F.coalesce(F.try_element_at("_at", d["start"]), derived(d)).alias("replacement"))
+    changed = segments.filter(some).join(places, keys, "left").withColumn("edits", F.transform(detections_col, edit)).drop("_at")
+    others = segments.filter(~some)
+    return _made(changed.select(*segments.columns, "edits"), text_col).unionByName(others.withColumn("edits", F.lit(None).cast(changed.schema["edits"].dataType)).withColumn("anonymized", F.col(text_col)))
 
-    def edit(d: Column) -> Column:
-        own = derive_token(salt, d["type"], d["text"]) if salt is not None else F.lit(None).cast("string")
-        return F.struct(d["start"].alias("start"), d["end"].alias("end"), F.coalesce(F.try_element_at("_at", d["start"]), own).alias("replacement"))
 
-    edits = F.when(F.size(detections_col) > 0, F.transform(detections_col, edit))
-    return segments.join(places, keys, "left").withColumn("edits", edits).withColumn("anonymized", applied(F.col(text_col), F.col("edits"))).drop("_at")
+def _made(rows: DataFrame, text_col: str) -> DataFrame:
+    """Adds the edited text. It comes out of a generator, so that what reads it later, a second detection perhaps, is a step of its own."""
+    return rows.select("*", F.explode(F.array(applied(F.col(text_col), F.col("edits")))).alias("anonymized"))
 
 
 def restored(texts: DataFrame, entities: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """Rows with `restored`: tokens of entities(token, original) replaced by their values, others left as they are.
 
-    Tokens are cut out of the text natively, looked up by a join, and put back in order.
+    Tokens are cut out of the text natively, looked up by a join, and put back in order. Texts without a token are in no join.
     """
-    tokens = texts.select(*keys, F.posexplode(tokens_in(F.col(text_col))).alias("k", "token"))
+    some = F.coalesce(F.col(text_col).rlike(TOKEN), F.lit(False))
+    held = texts.filter(some)
+    tokens = held.select(*keys, F.posexplode(tokens_in(F.col(text_col))).alias("k", "token"))
     found = tokens.join(entities.select("token", "original"), "token", "left").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("original", "token").alias("v")))).alias("values"))
     pieces = F.split(F.col(text_col), TOKEN, -1)
     whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.zip_with(F.transform("values", lambda x: x["v"]), F.slice(pieces, F.lit(2), F.size("values")), lambda v, p: F.concat(v, p)), ""))
-    return texts.join(found, keys, "left").withColumn("restored", F.coalesce(whole, F.col(text_col))).drop("values")
+    back = held.join(found, keys, "left").withColumn("restored", F.coalesce(whole, F.col(text_col)))
+    return back.select(*texts.columns, "restored").unionByName(texts.filter(~some).withColumn("restored", F.col(text_col)))
 
 
 def inventory(texts: DataFrame, entities: DataFrame, text_col: str = "text") -> DataFrame:
@@ -97,44 +111,129 @@ def missing_tokens(texts: DataFrame, entities: DataFrame, text_col: str = "text"
     return entities.join(texts.select(F.explode(tokens_in(F.col(text_col))).alias("token")).distinct(), "token", "left_anti")
 
 
-def value_pattern(value: Column) -> Column:
-    """Pattern of a value in a text, both in NFKC: whole words where it starts or ends with a letter or digit, any blanks for blanks."""
-    left = F.when(value.rlike(r"^[\p{L}\p{N}]"), r"(?<![\p{L}\p{N}])").otherwise("")
-    right = F.when(value.rlike(r"[\p{L}\p{N}]$"), r"(?![\p{L}\p{N}])").otherwise("")
-    quoted = F.regexp_replace(value, r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    return F.concat(left, F.regexp_replace(quoted, f"{BLANK}+", r"\\s*"), right)
+_PLACES = "array<struct<start:int,end:int,value:string,token:string>>"
+#: Values that one automaton takes; more are looked up by a join of words.
+MOST_VALUES = 100_000
+_SETS: dict[int, Values] = {}
 
 
-def nfkc(text: Column) -> Column:
-    """Compatibility composition; texts of ASCII characters are as they are."""
+def _found_at(held: Values, tokens: Sequence[str | None], text: str | None, claim: bool) -> list | None:
+    if text is None:
+        return None
+    return [(a, b, held.values[k], tokens[k]) for a, b, k in (held.claimed(text) if claim else held.places(text))]
 
-    @F.pandas_udf("string")
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
-    return normal(text)
+def _listed(texts: DataFrame, rows: list, keys: list[str], text_col: str, claim: bool) -> DataFrame:
+    """Places of listed (value, token) rows, in one pass over the texts; each worker builds the automaton once."""
+    sent = texts.sparkSession.sparkContext.broadcast([(r["value"], r["token"]) for r in rows])  # at most MOST_VALUES
 
+    @F.pandas_udf(_PLACES)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pairs = sent.value
+        if id(pairs) not in _SETS:
+            _SETS.clear()
+            _SETS[id(pairs)] = Values(v for v, _ in pairs)
+        held, tokens = _SETS[id(pairs)], [t for _, t in pairs]
+        for batch in batches:
+            yield pd.Series([_found_at(held, tokens, t, claim) for t in batch], dtype=object)
 
-def leaks(texts: DataFrame, values: DataFrame, keys: list[str], text_col: str = "text", value_col: str = "original", normal: bool = False) -> DataFrame:
-    """(keys, value): values that still occur in a text, as whole words where they start or end with a letter or digit.
+    return texts.select(*keys, F.explode(find(F.col(text_col))).alias("_p"))
 
-    A value's first run of letters and digits is looked up among the words of the texts by a join of words and keys; only texts that
-    have such a word are fetched and searched. Values without a letter or digit are not looked for. normal: texts and values are
-    compared in NFKC.
+
+def _words(text: Column, prefixes: bool) -> Column:
+    """The runs of letters and digits of a text in NFKC; of a value, what its first run may be where blanks after it are left out."""
+
+    @F.pandas_udf("array<string>")
+    def words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run, first = regex.compile(r"[\p{L}\p{N}]+"), regex.compile(r"[\p{L}\p{N}]+(?:[\s\ufeff]+[\p{L}\p{N}]+)*")
+
+        def of(t: str | None) -> list[str] | None:
+            if t is None:
+                return None
+            t = t if t.isascii() else unicodedata.normalize("NFKC", t)
+            if not prefixes:
+                return list(dict.fromkeys(run.findall(t)))
+            m = first.search(t)
+            return list(itertools.accumulate(run.findall(m[0]))) if m else []
+
+        for batch in batches:
+            yield pd.Series([of(t) for t in batch], dtype=object)
+
+    return words(text)
+
+
+def _joined(texts: DataFrame, wanted: DataFrame, keys: list[str], text_col: str, claim: bool) -> DataFrame:
+    """Places of values of a list of any length: each text gets those that its words lead to, and only texts that get any are searched."""
+    words = texts.select(*keys, F.explode(_words(F.col(text_col), prefixes=False)).alias("_word"))
+    leads = wanted.select("value", "token", "_order", F.explode(_words(F.col("value"), prefixes=True)).alias("_word"))
+    own = words.join(leads, "_word").groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("_order", "value", "token"))).alias("_own"))
+
+    @F.pandas_udf(_PLACES)
+    def find(batch: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([_found_at(Values(r["value"] for r in own), [r["token"] for r in own], t, claim) for t, own in zip(batch, lists, strict=True)], dtype=object)
+
+    return texts.join(own, keys).select(*keys, F.explode(find(F.col(text_col), F.col("_own"))).alias("_p"))
+
+
+def leak_places(texts: DataFrame, values: DataFrame, keys: list[str], text_col: str = "text", value_col: str = "original", token_col: str | None = None, order_col: str | None = None, claim: bool = False, most: int = MOST_VALUES) -> DataFrame:
+    """(keys, start, end, value, token): where values still stand in texts, in code points of the texts.
+
+    Both are compared in NFKC; for a value's blanks stand any blanks or none; where a value starts or ends with a letter or digit, so does a
+    word. Without claim, all places of each value. With it, disjoint places: longer values claim theirs first, then those first in order_col
+    (or by themselves). Of equal values the first token counts. Null and blank values stand nowhere, null texts have no places; repeated keys
+    are taken together. values are read more than once: give a stored table. Up to `most` values are sent to all workers; more are looked up
+    by a join of words with prefixes of values, which gives the same rows. Values without a letter or digit have no word: they go the first
+    way, `most` at a time, and claims are then settled text by text among the places of both.
     """
-    runs = r"([\p{L}\p{N}]+)"
-    plain = nfkc if normal else (lambda c: c)
-    wanted = values.select(F.col(value_col).alias("value"), plain(F.col(value_col)).alias("_v")).distinct()
-    wanted = wanted.select("value", value_pattern(F.col("_v")).alias("_pattern"), F.regexp_extract("_v", runs, 1).alias("_run"))
-    named = texts.select(*keys, plain(F.col(text_col)).alias("_text"))
-    words = named.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(runs), F.lit(1)))).alias("_run"))
-    met = words.join(wanted, "_run").select(*keys, "value", "_pattern")
-    return named.join(met, keys).filter(F.regexp("_text", F.col("_pattern"))).select(*keys, "value").distinct()
-
-
-def claimed(found: DataFrame, entities: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, value, token) of leaks: of equal values the first token, and of values that hold one another the longest, claims a text."""
-    tokens = entities.groupBy(F.col("original").alias("value")).agg(F.min("token").alias("token"))
-    order = Window.partitionBy(*keys).orderBy(F.length("value").desc(), "value").rowsBetween(Window.unboundedPreceding, -1)
-    longer = found.withColumn("_longer", F.collect_list("value").over(order))
-    return longer.filter(~F.exists("_longer", lambda v: F.contains(v, F.col("value")))).drop("_longer").join(tokens, "value").select(*keys, "value", "token")
+    token, order = F.col(token_col) if token_col else F.lit(None).cast("string"), F.col(order_col) if order_col else F.col(token_col or value_col)
+    wanted = values.filter(F.col(value_col).isNotNull()).groupBy(F.col(value_col).alias("value")).agg(F.min_by(token, order).alias("token"), F.min(order).alias("_order"))
+    rows = wanted.orderBy("_order", "value").limit(most + 1).collect()
+    if len(rows) <= most:
+        found = _listed(texts, rows, keys, text_col, claim)
+        return found.select(*keys, "_p.*")
+    worded = F.size(_words(F.col("value"), prefixes=True)) > 0
+    wanted = wanted.withColumn("_worded", worded)
+    found = _joined(texts, wanted.filter("_worded"), keys, text_col, claim=False)
+    bare = wanted.filter(~F.col("_worded"))
+    after = None
+    while True:  # values of punctuation only, if there are any, in order
+        part = (bare if after is None else bare.filter(F.struct("_order", "value") > F.struct(F.lit(after[0]), F.lit(after[1])))).orderBy("_order", "value").limit(most).collect()
+        if not part:
+            break
+        found = found.unionByName(_listed(texts, part, keys, text_col, claim=False))
+        after = (part[-1]["_order"], part[-1]["value"])
+    places = found.select(*keys, "_p.*")
+    if not claim:
+        return places
+    ranked = places.join(wanted.select("value", "_order"), "value")
+    order = F.struct((-F.length("value")).alias("n"), "_order", "value", "start", "end", "token")
+    every = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(order)).alias("_all"))
+
+    def step(kept: Column, p: Column) -> Column:
+        return F.when(F.exists(kept, lambda k: (k["start"] < p["end"]) & (p["start"] < k["end"])), kept).otherwise(F.concat(kept, F.array(p)))
+
+    kept = F.aggregate("_all", F.filter("_all", lambda p: F.lit(False)), step)
+    return every.select(*keys, F.explode(kept).alias("_p")).select(*keys, "_p.start", "_p.end", "_p.value", "_p.token")
+
+
+def leaks(texts: DataFrame, values: DataFrame, keys: list[str], text_col: str = "text", value_col: str = "original", most: int = MOST_VALUES) -> DataFrame:
+    """(keys, value): values that still occur in a text, see leak_places()."""
+    return leak_places(texts, values, keys, text_col, value_col, most=most).select(*keys, "value").distinct()
+
+
+def claimed(texts: DataFrame, entities: DataFrame, keys: list[str], text_col: str = "text", order_col: str | None = None, most: int = MOST_VALUES) -> DataFrame:
+    """(keys, start, end, value, token): disjoint places of the entities' values in texts, each claimed by one token, see leak_places()."""
+    return leak_places(texts, entities, keys, text_col, "original", "token", order_col, claim=True, most=most)
+
+
+def replacements(found: DataFrame, entities: DataFrame, order: list[str], detections_col: str = "detections") -> DataFrame:
+    """(original, token, first): every replaced value once, with the token of its first place in `order`, whatever types it was found as."""
+    hits = found.select(*order, F.explode(detections_col).alias("d")).select(F.struct(*order, F.col("d.start").alias("start")).alias("first"), F.col("d.type").alias("type"), F.col("d.text").alias("original"))
+    met = hits.groupBy("type", "original").agg(F.min("first").alias("first")).join(entities.select("type", "original", "token"), ["type", "original"])
+    return met.groupBy("original").agg(F.min_by("token", "first").alias("token"), F.min("first").alias("first"))
+
+
+def scrubbed(texts: DataFrame, entities: DataFrame, keys: list[str], text_col: str = "text", order_col: str | None = None, most: int = MOST_VALUES) -> DataFrame:
+    """Rows with `scrubbed`: what claimed() finds replaced by tokens. Only texts in which anything was found are in a join."""
+    edits = claimed(texts, entities, keys, text_col, order_col, most).groupBy(*keys).agg(F.collect_list(F.struct("start", "end", F.col("token").alias("replacement"))).alias("_edits"))
+    return texts.join(edits, keys, "left").withColumn("scrubbed", applied(F.col(text_col), F.col("_edits"))).drop("_edits")

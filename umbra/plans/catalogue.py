@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import checks, tokens
 from ..functions.kinds import DETECTIONS, TYPE_LETTERS
 from ..functions.rules import OCTET
-from ..operators import cells, detect, mapping, ner, overlaps, report, rewrite
+from ..operators import cells, detect, flow, mapping, ner, overlaps, report, rewrite
+from ..operators.stored import stored
 from ..sources import formats, layout, text
 
 #: The public test salt of all registered queries.
@@ -56,14 +57,14 @@ _PATTERNS = {
 }
 
 
-def _scan(kind: str, where: str = "TRUE") -> str:
+def _scan(kind: str, where: str = "TRUE", source: str = "documents") -> str:
     """Spans of a pattern: every place is tried, and what starts inside an earlier span goes."""
     pattern, first, before, after, hint, cap = _PATTERNS[kind]
     return rf"""
   SELECT doc_id, CAST(i - 1 AS integer) AS start, CAST(i - 1 + length(m) AS integer) AS "end", m AS text FROM (
     SELECT doc_id, i, m, max(i + length(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM (
       SELECT doc_id, i, regexp_extract(substr(t, i, {cap}), '^({pattern}){after}', 1) AS m FROM (
-        SELECT doc_id, text AS t, unnest(generate_series(1, length(text))) AS i FROM documents WHERE regexp_matches(text, '{hint}'))
+        SELECT doc_id, text AS t, unnest(generate_series(1, length(text))) AS i FROM {source} WHERE regexp_matches(text, '{hint}'))
       WHERE regexp_matches(substr(t, i, 1), '{first}') AND (i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '{before}')))
     WHERE m <> '' AND {where}) WHERE past IS NULL OR i >= past"""
 
@@ -86,7 +87,11 @@ for _name, _kind, _where in (("email", "EMAIL_ADDRESS", "TRUE"), ("ipv4", "IP_AD
     _SQL[f"detect_{_name}"] = _scan(_kind, _where)
 
 
-@query(" UNION ALL ".join(f"SELECT *, '{k}' AS type FROM ({_scan(k, w)})" for k, w in (("EMAIL_ADDRESS", "TRUE"), ("IP_ADDRESS", "TRUE"), ("CREDIT_CARD", _CARD_OK))))
+def _scans(source: str = "documents") -> str:
+    return " UNION ALL ".join(f"SELECT *, '{k}' AS type FROM ({_scan(k, w, source)})" for k, w in (("EMAIL_ADDRESS", "TRUE"), ("IP_ADDRESS", "TRUE"), ("CREDIT_CARD", _CARD_OK)))
+
+
+@query(_scans())
 def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.detected(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.start", "d.end", "d.text", "d.type")
@@ -324,9 +329,8 @@ def token_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' lines with their detections."""
-    rows = text.lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
-    return detect.detected(rows)
+    """Documents' lines with their detections, found once."""
+    return stored(detect.detected(text.lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])))
 
 
 def _entities(found: DataFrame) -> DataFrame:
@@ -345,9 +349,12 @@ def token_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _anonymized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = _found(spark, sf_dir)
-    entities = _entities(found)
-    return rewrite.with_tokens(found, ["doc_id", "line"], entities, SALT), entities
+    """Documents with `anonymized`, and their entities."""
+    return flow.anonymized(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], SALT)
+
+
+def _texts(done: DataFrame) -> DataFrame:
+    return done.select("doc_id", F.col("anonymized").alias("text"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,11 +363,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anonymize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = detect.detected(docs)
-    entities = mapping.allocated(mapping.occurrences(found, ["doc_id"]), SALT)
-    done = rewrite.with_tokens(found, ["doc_id"], entities, SALT)
-    return done.select("doc_id", F.col("anonymized").alias("text"), F.size("detections").alias("n"))
+    return _anonymized(spark, sf_dir)[0].select("doc_id", F.col("anonymized").alias("text"), F.size("detections").alias("n"))
 
 
 _PIECES = f"""(SELECT doc_id, start, "end", {token_sql('type', 'text')} AS token, lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS past FROM ({_ALL_SQL}))"""
@@ -369,6 +372,7 @@ _ANONYMIZED = f"""SELECT doc_id, coalesce(head || substr(text, last + 1), text)
 query(_ANONYMIZED)(anonymize_text)
 
 _EDITS = f"""(SELECT doc_id, start, "end", {token_sql('type', 'text')} AS token FROM ({_ALL_SQL}))"""
+_TOKENS = f"(SELECT type, text, {token_sql('type', 'text')} AS token FROM ({_ALL_SQL}))"
 
 
 @query(f"""SELECT doc_id, start, CAST(start + s AS integer) AS final_start, CAST(start + s + length(token) AS integer) AS final_end FROM (
@@ -392,7 +396,11 @@ def context_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT token, doc_id, start, before, match, after FROM (SELECT token, doc_id, start, {_CONTEXT}, row_number() OVER (PARTITION BY token ORDER BY doc_id, start) AS n FROM (
   SELECT token, doc_id, start, start AS s, e.end AS e, d.text AS x FROM {_EDITS} e JOIN documents d USING (doc_id))) WHERE n = 1""")
 def first_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.detected(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.explode("detections").alias("d"))
+    return _first_contexts(detect.detected(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _first_contexts(detected: DataFrame) -> DataFrame:
+    found = detected.select("doc_id", "text", F.explode("detections").alias("d"))
     context = rewrite.context(F.col("text"), F.col("d.start"), F.col("d.end"))
     hits = found.select(tokens.derive_token(SALT, F.col("d.type"), F.col("d.text")).alias("token"), "doc_id", F.col("d.start").alias("start"), context.alias("context"))
     return report.first_contexts(hits, ["doc_id"]).select("token", "doc_id", "start", "context.before", "context.match", "context.after")
@@ -407,44 +415,55 @@ def txt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, text AS restored FROM documents")
 def restore_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents are anonymized line by line, written, and restored: what comes out is what went in."""
-    done, entities = _anonymized(spark, sf_dir)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    written = text.rejoined(docs, done.select("doc_id", "line", F.col("anonymized").alias("text")), ["doc_id"])
+    done, entities = flow.anonymized(text.lines(docs, ["doc_id"]), ["doc_id", "line"], SALT)
+    changed = done.filter("edits IS NOT NULL").select("doc_id", "line", F.col("anonymized").alias("text"))
+    written = text.rejoined(docs, changed, ["doc_id"])
     return rewrite.restored(written.select("doc_id", F.col("written").alias("text")), entities, ["doc_id"]).select("doc_id", "restored")
 
 
 @query(f"SELECT token, TRUE AS known, count(*) AS n FROM {_EDITS} GROUP BY token UNION ALL SELECT '⟦P-ZZZZZ⟧', FALSE, count(*) FROM (SELECT DISTINCT doc_id FROM {_EDITS}) HAVING count(*) > 0")
 def restore_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = anonymize_text(spark, sf_dir).filter("n > 0").withColumn("text", F.concat("text", F.lit(" ⟦P-ZZZZZ⟧")))
-    return rewrite.inventory(done, _entities(_found(spark, sf_dir)))
+    done, entities = _anonymized(spark, sf_dir)
+    return rewrite.inventory(_texts(done.filter(F.size("detections") > 0)).withColumn("text", F.concat("text", F.lit(" ⟦P-ZZZZZ⟧"))), entities)
 
 
 @query("SELECT '⟦P-ZZZZZ⟧' AS token, count(*) AS n FROM documents WHERE doc_id % 3 = 0 HAVING count(*) > 0")
 def unknown_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = anonymize_text(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" ⟦P-ZZZZZ⟧"))).otherwise(F.col("text")))
-    return rewrite.unknown_tokens(done, _entities(_found(spark, sf_dir)))
+    done, entities = _anonymized(spark, sf_dir)
+    return rewrite.unknown_tokens(_texts(done).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" ⟦P-ZZZZZ⟧"))).otherwise(F.col("text"))), entities)
 
 
 @query(f"SELECT type, original FROM (SELECT type, text AS original, bool_or(doc_id % 2 = 0) AS seen FROM ({_ALL_SQL}) GROUP BY type, text) WHERE NOT seen")
 def missing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts are read; those of odd documents came back with other brackets around their tokens."""
-    done = anonymize_text(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.translate("text", "⟦⟧", "[]")))
-    return rewrite.missing_tokens(done, _entities(_found(spark, sf_dir))).select("type", "original")
+    done, entities = _anonymized(spark, sf_dir)
+    back = _texts(done).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.translate("text", "⟦⟧", "[]")))
+    return rewrite.missing_tokens(back, entities).select("type", "original")
+
+
+def _half(done: DataFrame) -> DataFrame:
+    """Even documents as they were, odd ones anonymized."""
+    return done.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.col("anonymized")).alias("text"))
 
 
-@query("SELECT doc_id, text AS type FROM documents WHERE FALSE")
+_COME_BACK = f"(SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN ', x' || doc_id || '@late.org, 10.0.0.1' ELSE '' END AS text FROM ({_ANONYMIZED}))"
+
+
+@query(f"SELECT doc_id, start, type, text FROM ({_scans(_COME_BACK)})")
 def check_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is still found after anonymizing: nothing."""
-    again = detect.detected(anonymize_text(spark, sf_dir).select("doc_id", "text"))
-    return again.select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.type")
+    """What is still found after anonymizing, when addresses were added to every fifth text: those, and nothing else."""
+    done = _texts(_anonymized(spark, sf_dir)[0])
+    more = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(", x"), F.col("doc_id").cast("string"), F.lit("@late.org, 10.0.0.1"))).otherwise("")
+    again = detect.detected(done.withColumn("text", F.concat("text", more)))
+    return again.select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.start", "d.type", "d.text")
 
 
 @query(f"SELECT DISTINCT doc_id, text AS value FROM ({_ALL_SQL}) WHERE doc_id % 2 = 0")
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that still occur where half of the documents were left as they are."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("plain"))
-    mixed = anonymize_text(spark, sf_dir).join(docs, "doc_id").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("plain")).otherwise(F.col("text")).alias("text"))
-    return rewrite.leaks(mixed, _entities(_found(spark, sf_dir)), ["doc_id"])
+    done, entities = _anonymized(spark, sf_dir)
+    return rewrite.leaks(_half(done), entities, ["doc_id"])
 
 
 @query(f"""SELECT original, token, CASE WHEN late > 0 THEN late ELSE early END AS occurrences FROM (SELECT type, text AS original, {token_sql('type', 'text')} AS token,
@@ -647,8 +666,10 @@ def counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT token, type, count(*) OVER (PARTITION BY token) AS occurrences, {_CONTEXT}, row_number() OVER (PARTITION BY token ORDER BY doc_id, s) AS n
   FROM (SELECT {token_sql('type', 'f.text')} AS token, type, doc_id, start AS s, f.end AS e, d.text AS x FROM ({_ALL_SQL}) f JOIN documents d USING (doc_id))) WHERE n = 1""")
 def anonymize_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contexts = first_context(spark, sf_dir).select("token", report.context_cell(F.struct("before", "match", "after")).alias("context"))
-    return report.anonymize_rows(_entities(_found(spark, sf_dir)), contexts)
+    found = stored(detect.detected(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    entities = mapping.allocated(mapping.occurrences(found, ["doc_id"]), SALT)
+    contexts = _first_contexts(found).select("token", report.context_cell(F.struct("before", "match", "after")).alias("context"))
+    return report.anonymize_rows(entities, contexts)
 
 
 @query(f"SELECT source AS \"where\", count(DISTINCT doc_id) AS n FROM ({_ALL_SQL}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY source")
@@ -673,20 +694,55 @@ def total_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT DISTINCT doc_id, 'leak', NULL, text, CAST(1 AS bigint) FROM ({_ALL_SQL}) WHERE doc_id % 2 = 0""")
 def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The check of texts of which half were left as they are: what rules still find, and which known values leak."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("plain"))
-    mixed = anonymize_text(spark, sf_dir).join(docs, "doc_id").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("plain")).otherwise(F.col("text")).alias("text"))
+    done, entities = _anonymized(spark, sf_dir)
+    mixed = _half(done)
     again = detect.detected(mixed).select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.type", "d.text")
-    return report.check_rows(again, rewrite.leaks(mixed, _entities(_found(spark, sf_dir)), ["doc_id"], normal=True), ["doc_id"])
+    return report.check_rows(again, rewrite.leaks(mixed, entities, ["doc_id"]), ["doc_id"])
+
 
+_KNOWN = f"(SELECT DISTINCT text AS value, token FROM {_TOKENS} UNION SELECT DISTINCT regexp_extract(text, '@(.*)$', 1), 'z' || token FROM {_TOKENS} WHERE type = 'EMAIL_ADDRESS')"
 
-@query(f"""SELECT doc_id, value, token FROM (SELECT DISTINCT doc_id, text AS value, {token_sql('type', 'text')} AS token FROM ({_ALL_SQL})) f
-  WHERE NOT EXISTS (SELECT 1 FROM ({_ALL_SQL}) g WHERE g.doc_id = f.doc_id AND length(g.text) > length(f.value) AND contains(g.text, f.value))""")
+
+@query(rf"""WITH known AS (SELECT value, min(token) AS token FROM {_KNOWN} GROUP BY value),
+met AS (SELECT doc_id, d.text AS t, value, token, unnest(generate_series(1, length(d.text) - length(value) + 1)) AS i FROM documents d JOIN known ON contains(d.text, value)),
+places AS (SELECT doc_id, CAST(i - 1 AS integer) AS start, CAST(i - 1 + length(value) AS integer) AS "end", value, token FROM met WHERE substr(t, i, length(value)) = value
+  AND (NOT regexp_matches(value, '^[\p{{L}}\p{{N}}]') OR i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '[\p{{L}}\p{{N}}]'))
+  AND (NOT regexp_matches(value, '[\p{{L}}\p{{N}}]$') OR NOT regexp_matches(substr(t, i + length(value), 1), '[\p{{L}}\p{{N}}]')))
+SELECT * FROM places p WHERE NOT EXISTS (SELECT 1 FROM places q WHERE q.doc_id = p.doc_id AND length(q.value) > length(p.value) AND q.start < p.end AND p.start < q.end)""")
 def leak_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which token a value that leaks belongs to, the longest value first; here nothing was replaced, and half a value is known as well."""
-    docs, entities = _table(spark, sf_dir, "documents").select("doc_id", "text"), _entities(_found(spark, sf_dir))
+    """Which token each place belongs to where a value still stands, the longest value first; nothing was replaced, and addresses' hosts are known as well."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    entities = stored(_entities(_found(spark, sf_dir)))
     halves = entities.filter("type = 'EMAIL_ADDRESS'").select(F.concat(F.lit("z"), "token").alias("token"), F.regexp_extract("original", "@(.*)$", 1).alias("original"))
-    known = entities.select("token", "original").unionByName(halves)
-    return rewrite.claimed(rewrite.leaks(docs, known, ["doc_id"]), known, ["doc_id"])
+    return rewrite.claimed(docs, entities.select("token", "original").unionByName(halves), ["doc_id"])
+
+
+def _leaky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' segments with their keys as values, in texts: without blank, in wide letters with other blanks, in longer words."""
+    key = F.col("c_custkey").cast("string")
+    wide = F.translate("name", "abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF41 + k) for k in range(26)))
+    value = F.concat("name", F.lit(" "), key)
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_mktsegment").alias("name"))
+    body = F.concat(F.lit("\ufb01n "), "name", key, F.lit(", "), wide, F.lit("\n "), key, F.lit("! x"), value, F.lit(" "), value, F.lit("z end"))
+    return rows.select("c_custkey", "name", value.alias("original"), body.alias("text"))
+
+
+@query("""SELECT c_custkey, a AS start, b AS "end", n || ' ' || c_custkey AS value FROM (SELECT c_custkey, n, len(n) AS l, len(CAST(c_custkey AS varchar)) AS k FROM (SELECT c_custkey, lower(c_mktsegment) AS n FROM customer)),
+  LATERAL (SELECT CAST(3 AS integer) AS a, CAST(3 + l + k AS integer) AS b UNION ALL SELECT CAST(5 + l + k AS integer), CAST(7 + 2 * l + 2 * k AS integer))""")
+def leak_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where values stand with other blanks and other forms of their letters; not where they are part of longer words."""
+    rows = _leaky(spark, sf_dir)
+    found = rewrite.leak_places(rows.select("c_custkey", "text"), rows.select("c_custkey", "original"), ["c_custkey"], most=200)
+    return found.select("c_custkey", "start", "end", "value")
+
+
+@query(f"""SELECT c_custkey, chr(64257) || 'n ' || t || ', ' || t || '! x' || v || ' ' || v || 'z end' AS text FROM (
+  SELECT c_custkey, v, {token_sql("'PERSON'", 'v')} AS t FROM (SELECT c_custkey, lower(c_mktsegment) || ' ' || c_custkey AS v FROM customer))""")
+def leak_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those places replaced by the values' tokens."""
+    rows = _leaky(spark, sf_dir)
+    known = rows.select("original", tokens.derive_token(SALT, F.lit("PERSON"), F.col("original")).alias("token"))
+    return rewrite.scrubbed(rows.select("c_custkey", "text"), known, ["c_custkey"]).select("c_custkey", F.col("scrubbed").alias("text"))
 
 
 @query(f"""WITH e AS (SELECT token, count(*) FILTER (doc_id % 2 = 0) AS n FROM {_EDITS} GROUP BY token)
@@ -695,7 +751,8 @@ UNION ALL SELECT '⟦P-ZZZZZ⟧', 'unknown', count(*) FROM documents WHERE doc_i
 def restore_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even documents come back with an unknown token more, odd ones with other brackets around their tokens."""
     text_back = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" ⟦P-ZZZZZ⟧"))).otherwise(F.translate("text", "⟦⟧", "[]"))
-    done, entities = anonymize_text(spark, sf_dir).withColumn("text", text_back), _entities(_found(spark, sf_dir))
+    done, entities = _anonymized(spark, sf_dir)
+    done = _texts(done).withColumn("text", text_back)
     return report.restore_rows(rewrite.inventory(done, entities), rewrite.missing_tokens(done, entities))
 
 

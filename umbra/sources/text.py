@@ -33,7 +33,7 @@ def lines(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame
 
 
 def rejoined(docs: DataFrame, changed: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """Adds `written`: the text with lines replaced by changed(keys, line, text), separators as they were."""
+    """Adds `written`: the text with lines replaced by changed(keys, line, text), separators as they were. Give changed lines only."""
     new = changed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("line", "text"))).alias("new"))
     held = docs.join(new, keys, "left")
     whole = F.transform(lines_of(F.col(text_col)), lambda x, k: F.coalesce(F.try_element_at("new", k), x))
