@@ -107,3 +107,15 @@ def test_native_checks(spark):
     rows = [("185057800608491", True), ("269052A12345688", True), ("185057800608492", False), ("", False)]
     got = spark.createDataFrame(rows, "v string, ok boolean").select(checks.nir_valid(F.col("v")).alias("g"), "ok").collect()
     assert all(r.g == r.ok for r in got)
+
+
+def test_long_lists_of_names_find_what_short_ones_do(spark):
+    rng = random.Random(9)
+    letters = ["a", "b", "B", " ", "  ", "*", "-", "é", "\u0301", "_", "\u24b6", "\u24d0", "\t", "1", "\u00a0", *"sſSσςΣkK\u212aßẞiIıİ"]
+    terms = sorted({" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))).split()) for _ in range(90)} - {""} | {"***", "* *"})
+    rows = [(k, "".join(rng.choice(letters) for _ in range(rng.randrange(40)))) for k in range(400)] + [(900, None), (901, "a *** b")]
+    texts = spark.createDataFrame(rows, "id int, text string")
+    short = {r.id: r.d for r in texts.select("id", detect.rule_detections(F.col("text"), names=terms, names_only=True).alias("d")).collect()}
+    known = spark.createDataFrame([(t,) for t in [*terms, None, " "]], "term string")
+    long = {r.id: r.names for r in detect.names_detections(texts, known, ["id"]).collect()}
+    assert short == long and (2, 5) in [(d.start, d.end) for d in long[901]]

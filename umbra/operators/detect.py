@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -18,13 +19,14 @@ from .overlaps import resolved
 TRIM_LEFT, TRIM_RIGHT = r".,;:!?«»\"“”(", r".,;:!?«»\"“”)"
 #: Terms that one alternation takes; longer lists are joined by words (see names_detections).
 MOST_TERMS = 5000
+_BLANKS = regex.compile(r"[\p{Zs}\t]+")
 
 
 def names_pattern(terms: Sequence[str]) -> str | None:
     """One pattern for all terms, longest first; blanks inside a term match any horizontal blanks, case does not matter."""
-    if not terms:
+    ordered = sorted((t for t in dict.fromkeys(terms) if _BLANKS.sub("", t)), key=lambda t: (-len(t), t))
+    if not ordered:
         return None
-    ordered = sorted(terms, key=len, reverse=True)
     body = "|".join(r"[\p{Zs}\t]+".join(regex.escape(w, literal_spaces=True) for w in t.split(" ")) for t in ordered)
     return rf"(?i)(?<![\p{{L}}\p{{N}}\p{{M}}_])(?:{body})(?![\p{{L}}\p{{N}}\p{{M}}_])"
 
@@ -123,20 +125,57 @@ def detected(segments: DataFrame, text_col: str = "text", names: Sequence[str] |
 _WORD = r"([\p{L}\p{N}\p{M}_]+)"
 
 
+def _folded(word: Column) -> Column:
+    """One form for all that a pattern without case takes for the same, and perhaps for more.
+
+    There and back, as sharp s and sigma have forms that only one way joins; Spark drops the inner of two case changes if nothing is between.
+    """
+    small = F.lower(F.translate(word, "İ", "i"))
+    return F.lower(F.translate(F.upper(F.translate(small, "ı", "i")), "İ", "I"))
+
+
+def _held(text: Column, terms: Sequence[str]) -> Column:
+    """Those of the terms that a text has when neither blanks nor case count."""
+    keys: dict[str, list[str]] = {}
+    for t in terms:
+        keys.setdefault(_BLANKS.sub("", t.lower().upper().lower()), []).append(t)
+
+    @F.pandas_udf("array<string>")
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        search = ahocorasick.Automaton()
+        for key, own in keys.items():
+            search.add_word(key, own)
+        search.make_automaton()
+        for batch in batches:
+            yield pd.Series([None if t is None else sorted({x for _, own in search.iter(_BLANKS.sub("", t.lower().upper().lower())) for x in own}) for t in batch], dtype=object)
+
+    return held(text)
+
+
 def names_joined(texts: DataFrame, terms: DataFrame, id_cols: Sequence[str], text_col: str = "text", term_col: str = "term") -> DataFrame:
-    """(ids, terms): for each text the terms of a list of any length that may stand in it, as their longest words do. No text is in the join."""
-    parts = F.regexp_extract_all(F.col(term_col), F.lit(_WORD), F.lit(1))
-    longest = F.lower(F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(_WORD), F.lit(1)), lambda w: F.lower(w)))
+    """(ids, terms): for each text the terms of a list of any length that may stand in it. No text is in the join.
+
+    A term is looked up by its longest word. Terms without a letter, digit or mark have none; they are searched for in the texts, MOST_TERMS
+    at a time. Blank and null terms are left out. terms are read more than once: give a stored table.
+    """
+    known = terms.select(F.col(term_col).alias("term")).filter(F.col("term").isNotNull() & (F.regexp_replace("term", r"[\p{Zs}\t]+", "") != "")).distinct()
+    parts = F.regexp_extract_all("term", F.lit(_WORD), F.lit(1))
+    longest = _folded(F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(_WORD), F.lit(1)), _folded))
     held = texts.select(*id_cols, F.explode(words).alias("_word"))
-    met = held.join(terms.select(F.col(term_col).alias("term"), longest.alias("_word")).distinct(), "_word")
+    met = held.join(known.select("term", longest.alias("_word")).filter("_word IS NOT NULL"), "_word").select(*id_cols, "term")
+    bare, after = known.filter(~F.col("term").rlike(_WORD)), ""
+    while part := [r.term for r in bare.filter(F.col("term") > after).orderBy("term").limit(MOST_TERMS).collect()]:
+        met = met.unionByName(texts.select(*id_cols, F.explode(_held(F.col(text_col), part)).alias("term")))
+        after = part[-1]
     return met.groupBy(*id_cols).agg(F.collect_set("term").alias("terms"))
 
 
 def names_detections(texts: DataFrame, terms: DataFrame, id_cols: Sequence[str], text_col: str = "text", term_col: str = "term", out: str = "names") -> DataFrame:
     """Adds what a list of names of any length finds in each text, as rule_detections() does for a short one; nothing found is empty.
 
-    names_joined() gives each text its own short list, and one alternation of that, longest first, finds the spans.
+    names_joined() gives each text its own short list, and one alternation of that, longest first, finds the spans. Both forms find the
+    same spans for every term; the length of the list only decides between them.
     """
 
     @F.pandas_udf(DETECTIONS)
