@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import BLANK, DETECTIONS
+from ..functions.native import NATIVE, matches
 from ..functions.rules import RULES, clear_of, compiled, scan, token_ranges
-from ..functions.tokens import TOKEN, is_token
+from ..functions.tokens import OPEN, TOKEN, is_token
 from .overlaps import resolved
 
 #: Characters that are no part of a name or model span's border.
@@ -106,6 +107,18 @@ def whole_cell(text: Column) -> Column:
     return F.when((value == "") | is_token(value), F.array().cast(DETECTIONS)).when(value.isNotNull(), F.array(one))
 
 
+def native_detections(text: Column, names: tuple[str, ...] = tuple(NATIVE)) -> Column:
+    """What these rules find outside of tokens, as rule_detections() finds it; null for null."""
+    def of(name: str) -> Column:
+        kind, pattern, hint, score = NATIVE[name]
+        found = F.when(text.rlike(hint), matches(text, pattern)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.lit(kind).alias("type"), F.lit("regex").alias("source"), F.lit(score).alias("score")))
+
+    every = F.concat(*(of(n) for n in names)).cast(DETECTIONS)
+    clear = F.when((F.size(every) > 0) & F.contains(text, F.lit(OPEN)), without_tokens(every, token_spans(text))).otherwise(every)
+    return F.when(text.isNotNull(), clear)
+
+
 def detected(segments: DataFrame, text_col: str = "text", names: Sequence[str] | None = None, whole_col: str | None = None, model_col: str | None = None, out: str = "detections") -> DataFrame:
     """Adds the disjoint detections of each text: rules, names, and what a model column (an array of detections) brings.
 

@@ -6,7 +6,8 @@ no weights.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -90,24 +91,55 @@ def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     return cut(text)
 
 
-def split_windows(cut: DataFrame, pieces: Callable[[Column], Column], text_col: str = "text", budget: int = PIECES, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Windows of cut(..., text, start, end, core_start, core_end) cut again, with half the size and overlap, while they are too large.
+def _windows(starts: Sequence[int], ends: Sequence[int], p: int, q: int, begin: int, end: int, size: int, overlap: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """Windows over the words p to q of a text from begin to end: their first word and the one after the last, span, and core."""
+    if q - p <= size:
+        yield p, q, begin, end, begin, end
+        return
+    step, half, at = size - overlap, overlap // 2, p
+    while True:
+        last = at + size >= q
+        core = begin if at == p else starts[at + half]
+        yield at, min(at + size, q), starts[at], ends[min(at + size, q) - 1], core, end if last else starts[at + step + half]
+        if last:
+            return
+        at += step
 
-    pieces gives the model's sub-tokens of a text. Windows of at most LEAST words stay whatever they have. The parts' cores lie in the
-    core of their window; what has no core is left out. Rows come in no order: for output, order by start, then by end descending.
+
+def split_windows(text: Column, counts: Column, budget: int = PIECES, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """Array of (start, end, core_start, core_end): windows(), and those with more sub-tokens than the model takes cut again.
+
+    counts has the model's sub-tokens of each word (runs without blanks). A window that has more than `budget` is cut into windows of
+    half the size and overlap, and so on, down to LEAST words; the parts' cores lie in the core of their window, and a part without core is
+    left out. All levels are cut in one pass over a text, by sums of counts up to each word. In order of start, then longest first.
     """
-    own = F.substring(F.col(text_col), F.col("start") + 1, F.col("end") - F.col("start"))
-    others, done = [c for c in cut.columns if c not in ("start", "end", "core_start", "core_end")], None
-    while size > LEAST:
-        large = pieces(own) > budget
-        fits = cut.filter(~large)
-        done = fits if done is None else done.unionByName(fits)
-        size, overlap = size // 2, overlap // 2
-        parts = cut.filter(large).withColumn("_w", F.explode(windows(own, size, overlap)))
-        first = F.greatest("core_start", F.col("start") + F.col("_w.core_start"))
-        last = F.least("core_end", F.col("start") + F.col("_w.core_end"))
-        cut = parts.select(*others, (F.col("start") + F.col("_w.start")).alias("start"), (F.col("start") + F.col("_w.end")).alias("end"), first.alias("core_start"), last.alias("core_end")).filter("core_start < core_end")
-    return done.unionByName(cut)
+
+    @F.pandas_udf("array<struct<start:int,end:int,core_start:int,core_end:int>>")
+    def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        word = regex.compile(r"[^\s\ufeff]+")
+
+        def of(t: str, each: Sequence[int]) -> list[tuple[int, int, int, int]]:
+            spans = [m.span() for m in word.finditer(t)]
+            if len(spans) != len(each):
+                raise ValueError(f"{len(each)} counts for {len(spans)} words")
+            starts, ends = [a for a, _ in spans], [b for _, b in spans]
+            upto = list(itertools.accumulate(each, initial=0))
+            out, todo = [], [(0, len(spans), 0, len(t), 0, len(t), size, overlap)]
+            while todo:
+                p, q, begin, end, low, high, n, over = todo.pop()
+                for a, b, start, stop, core, until in _windows(starts, ends, p, q, begin, end, n, over):
+                    core, until = max(core, low), min(until, high)
+                    if core >= until and len(t):
+                        continue
+                    if upto[b] - upto[a] > budget and n > LEAST:
+                        todo.append((a, b, start, stop, core, until, n // 2, over // 2))
+                    else:
+                        out.append((start, stop, core, until))
+            return sorted(out, key=lambda w: (w[0], -w[1], w[2]))
+
+        return pd.Series([None if t is None or c is None else of(t, c) for t, c in zip(texts, lists, strict=True)], dtype=object)
+
+    return cut(text, counts)
 
 
 def recall_by(found: DataFrame, gold: DataFrame, keys: list[str], by: str) -> DataFrame:
@@ -121,8 +153,14 @@ def recall_by(found: DataFrame, gold: DataFrame, keys: list[str], by: str) -> Da
     return each.groupBy(by).agg(F.count("*").alias("expected"), F.sum("c").alias("covered"), F.sum("e").alias("exact"))
 
 
+def output_order(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans with `place`: their number within the keys, by start, then longest first, then by type and score."""
+    order = Window.partitionBy(*keys).orderBy("start", F.desc("end"), "type", F.desc("score"))
+    return found.withColumn("place", F.row_number().over(order))
+
+
 def merged_windows(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Of found(keys, start, end, type, score, core_start, core_end), those that start in their core, the best of equal spans."""
+    """Of found(keys, start, end, type, score, core_start, core_end), those that start in their core, the best of equal spans. See output_order()."""
     inside = found.filter((F.col("start") >= F.col("core_start")) & (F.col("start") < F.col("core_end")))
     return inside.groupBy(*keys, "start", "end", "type").agg(F.max("score").alias("score"))
 

@@ -115,3 +115,75 @@ def survival(texts: DataFrame, expected: DataFrame, key: str, text_col: str = "t
     same = F.col("found") == F.col("token")
     out = met.groupBy(key, "token", "expected").agg(F.coalesce(F.sum(F.when(same, F.col("n"))), F.lit(0)).alias("intact"), F.coalesce(F.sum(F.when(~same, F.col("n"))), F.lit(0)).alias("mangled"))
     return out.withColumn("missing", F.greatest(F.lit(0), F.col("expected") - F.col("intact") - F.col("mangled")))
+
+
+#: What stands in rendered reports besides data.
+LABELS = {
+    "anonymized": "Anonymized", "checked": "Checked", "restored": "Restored", "entities": "entities", "replacements": "Replacements", "token": "token", "type": "type", "source": "source",
+    "occurrences": "occurrences", "context": "first context", "none": "none", "found": "Found", "text": "text", "kind": "kind", "place": "context", "notices": "Elsewhere", "unknown": "Unknown tokens",
+    "back": "Restored tokens", "missing": "Missing tokens",
+}
+
+
+def _table(heads: list[str], right: tuple[int, ...], labels: dict[str, str]) -> list[str]:
+    return ["| " + " | ".join(labels[h] for h in heads) + " |", "|" + "|".join("---:" if k in right else "---" for k in range(len(heads))) + "|"]
+
+
+def _row(*cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+
+def _gathered(rows: DataFrame, keys: list[str], order: list[Column], line: Column, name: str) -> DataFrame:
+    """(keys, name): lines of each document in order; a report is as long as its document's entities."""
+    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)), line.alias("line")))), lambda r: r["line"]).alias(name))
+
+
+def _joined(documents: DataFrame, parts: list[DataFrame], keys: list[str], lines: list[Column]) -> DataFrame:
+    for part in parts:
+        documents = documents.join(part, keys, "left")
+    none = F.array().cast("array<string>")
+    return documents.select(*keys, F.concat(F.array_join(F.flatten(F.array(*(F.coalesce(x, none) for x in lines))), "\n"), F.lit("\n")).alias("report"))
+
+
+def _fixed(*lines: str) -> Column:
+    return F.array(*(F.lit(x) for x in lines)).cast("array<string>")
+
+
+def _or_none(lines: str, head: list[str], labels: dict[str, str]) -> Column:
+    return F.when(F.coalesce(F.size(lines), F.lit(0)) > 0, F.concat(_fixed(*head), F.col(lines))).otherwise(_fixed(labels["none"]))
+
+
+def anonymize_markdown(documents: DataFrame, rows: DataFrame, keys: list[str], name_col: str = "name", labels: dict[str, str] = LABELS) -> DataFrame:
+    """(keys, report): for each document how many entities of each type were replaced, and rows(keys, token, type, source, occurrences, context).
+
+    No value stands in it but for contexts, where the value's place has its token. Documents without rows have a report that says so.
+    """
+    counts = rows.groupBy(*keys, "type").agg(F.countDistinct("token").alias("n"))
+    kinds = _gathered(counts, keys, [type_order(F.col("type"))], F.concat(F.lit("  - "), F.col("type"), F.lit(": "), F.col("n").cast("string")), "_kinds")
+    body = _gathered(rows, keys, [type_order(F.col("type")), F.col("token")], _row(F.col("token"), F.col("type"), F.col("source"), F.col("occurrences").cast("string"), context_cell(F.col("context"))), "_rows")
+    total = F.array(F.concat(F.lit(f"- {labels['entities']}: "), F.coalesce(F.size("_rows"), F.lit(0)).cast("string")))
+    head = F.array(F.concat(F.lit(f"# {labels['anonymized']}: "), code(F.col(name_col))), F.lit(""))
+    table = _or_none("_rows", _table(["token", "type", "source", "occurrences", "context"], (3,), labels), labels)
+    return _joined(documents, [kinds, body], keys, [head, total, F.col("_kinds"), _fixed("", f"## {labels['replacements']}", ""), table])
+
+
+def check_markdown(documents: DataFrame, rows: DataFrame, notices: DataFrame, keys: list[str], name_col: str = "name", labels: dict[str, str] = LABELS) -> DataFrame:
+    """(keys, report): for each document what was found, rows(keys, k, text, type, source, kind, context) in the order of k, and notices(keys, k, text, where)."""
+    body = _gathered(rows, keys, [F.col("k")], _row(cell(F.col("text")), F.col("type"), F.col("source"), F.col("kind"), context_cell(F.col("context"))), "_rows")
+    more = _gathered(notices, keys, [F.col("k")], F.concat(F.lit("- "), F.col("where"), F.lit(": "), cell(F.col("text"))), "_more")
+    head = F.array(F.concat(F.lit(f"# {labels['checked']}: "), code(F.col(name_col))), F.lit(""), F.concat(F.lit(f"{labels['found']}: "), F.coalesce(F.size("_rows"), F.lit(0)).cast("string")))
+    table = F.when(F.size("_rows") > 0, F.concat(_fixed("", *_table(["text", "type", "source", "kind", "place"], (), labels)), F.col("_rows")))
+    listed = F.when(F.size("_more") > 0, F.concat(_fixed("", f"## {labels['notices']}", ""), F.col("_more")))
+    return _joined(documents, [body, more], keys, [head, table, listed])
+
+
+def restore_markdown(documents: DataFrame, rows: DataFrame, keys: list[str], name_col: str = "name", labels: dict[str, str] = LABELS) -> DataFrame:
+    """(keys, report): for each document rows(keys, token, status, type, n): unknown tokens first, then restored and missing ones."""
+    n = F.col("n").cast("string")
+    unknown = _gathered(rows.filter("status = 'unknown'"), keys, [F.col("token")], _row(F.col("token"), n), "_unknown")
+    back = _gathered(rows.filter("status = 'restored'"), keys, [F.col("token")], _row(F.col("token"), F.col("type"), n), "_back")
+    gone = _gathered(rows.filter("status = 'missing'"), keys, [F.col("token")], F.concat(F.lit("- "), F.col("token"), F.lit(" ("), F.col("type"), F.lit(")")), "_gone")
+    head = F.array(F.concat(F.lit(f"# {labels['restored']}: "), code(F.col(name_col))), F.lit(""))
+    first = F.when(F.size("_unknown") > 0, F.concat(_fixed(f"## {labels['unknown']}", "", *_table(["token", "occurrences"], (1,), labels)), F.col("_unknown"), _fixed("")))
+    table = _or_none("_back", _table(["token", "type", "occurrences"], (2,), labels), labels)
+    return _joined(documents, [unknown, back, gone], keys, [head, first, _fixed(f"## {labels['back']}", ""), table, _fixed("", f"## {labels['missing']}", ""), _or_none("_gone", [], labels)])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, tokens
 from ..functions.kinds import DETECTIONS, TYPE_LETTERS
+from ..functions.native import NATIVE
 from ..functions.rules import OCTET
 from ..operators import cells, detect, flow, mapping, ner, overlaps, report, rewrite
 from ..operators.stored import stored
@@ -72,10 +73,14 @@ def _scan(kind: str, where: str = "TRUE", source: str = "documents") -> str:
 _LUHN = "list_sum(list_transform(generate_series(1, length(x)), lambda k: CASE WHEN k % 2 = 1 THEN CAST(substr(reverse(x), k, 1) AS integer) ELSE (2 * CAST(substr(reverse(x), k, 1) AS integer)) // 10 + (2 * CAST(substr(reverse(x), k, 1) AS integer)) % 10 END)) % 10 = 0"
 
 
+def _one_rule(text: F.Column, name: str) -> F.Column:
+    """Native where the rule has a native form."""
+    return detect.native_detections(text, (name,)) if name in NATIVE else detect.rule_detections(text, only=[name])
+
+
 def _rule_query(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = _table(spark, sf_dir, "documents")
-        return _exploded(docs.select("doc_id", detect.rule_detections(F.col("text"), only=[name]).alias("d")), ["doc_id"])
+        return _exploded(_table(spark, sf_dir, "documents").select("doc_id", _one_rule(F.col("text"), name).alias("d")), ["doc_id"])
 
     return run
 
@@ -108,7 +113,7 @@ def detect_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _made(spark: SparkSession, sf_dir: str, value, rule: str) -> DataFrame:
     rows = _table(spark, sf_dir, "customer").select("c_custkey", value.alias("t"))
-    return _exploded(rows.select("c_custkey", detect.rule_detections(F.col("t"), only=[rule]).alias("d")), ["c_custkey"])
+    return _exploded(rows.select("c_custkey", _one_rule(F.col("t"), rule).alias("d")), ["c_custkey"])
 
 
 def _iban() -> F.Column:
@@ -237,7 +242,7 @@ def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_nationkey AS sheet, c_custkey + 1 AS row, 0 AS start, CAST(length(t) AS integer) AS \"end\", t AS text FROM (SELECT c_nationkey, c_custkey, c_name AS t FROM customer UNION ALL SELECT c_nationkey, c_custkey, c_mktsegment FROM customer WHERE c_nationkey % 2 = 0)")
 def column_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cells of the columns that a user chose by their headers."""
-    found = cells.whole_cells(cells.in_columns(_sheet(spark, sf_dir), ["name", "SEGMENT"], ["sheet"]))
+    found = cells.whole_cells(cells.in_columns(_sheet(spark, sf_dir), ["name", "SEGMENT"]))
     return _exploded(found, ["sheet", "row"], "detections")
 
 
@@ -249,7 +254,46 @@ def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT text, inside, outside FROM (SELECT c_mktsegment AS text, count(*) FILTER (c_nationkey % 2 = 0) AS inside, count(*) FILTER (c_nationkey % 2 = 1) AS outside FROM customer GROUP BY c_mktsegment) WHERE inside > 0 AND outside > 0")
 def shared_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments that stand in a chosen column and in others."""
-    return cells.shared_outside(cells.in_columns(_sheet(spark, sf_dir), ["Segment"], ["sheet"]), "text")
+    return cells.shared_outside(cells.in_columns(_sheet(spark, sf_dir), ["Segment"]), "text")
+
+
+_BOOK = """(SELECT sheet, row, col AS "column", text, string, formula FROM (
+  SELECT c_nationkey AS sheet, c_custkey + 10 AS row, x.* FROM customer, LATERAL (VALUES ('A', c_name, c_custkey, FALSE), ('B', c_mktsegment, -CAST(strpos('AUBUFUHOMA', substr(c_mktsegment, 1, 2)) AS bigint), c_custkey % 5 = 0),
+    ('C', CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE 'x' || c_custkey END, CASE WHEN c_nationkey % 2 = 0 THEN -CAST(strpos('AUBUFUHOMA', substr(c_mktsegment, 1, 2)) AS bigint) END, FALSE)) x(col, text, string, formula)
+  UNION ALL SELECT n_nationkey, r, col, CASE WHEN r < n_nationkey % 4 THEN ' ' WHEN r = n_nationkey % 4 THEN h ELSE 'sub ' || h END, NULL, FALSE FROM nation, (VALUES (0), (1), (2), (3), (4)) y(r), (VALUES ('A', ' Full  Name'), ('B', 'SEGMENT '), ('C', 'other')) z(col, h)))"""
+_CHOSEN = f"""(SELECT b.*, b.row > h.row AND NOT b.formula AND EXISTS (SELECT 1 FROM {_BOOK} c WHERE c.sheet = b.sheet AND c.row = h.row AND c.column = b.column AND NOT c.formula AND lower(trim(regexp_replace(c.text, '\\s+', ' ', 'g'))) IN ('segment', 'full name')) AS whole
+  FROM {_BOOK} b JOIN (SELECT sheet, min(row) AS row FROM {_BOOK} WHERE trim(text) <> '' GROUP BY sheet) h USING (sheet))"""
+
+
+def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as one workbook of a sheet for each nation: blank rows, a header in another row each, strings shared by two columns, formulas."""
+    number = -F.expr("instr('AUBUFUHOMA', substr(c_mktsegment, 1, 2))").cast("long")
+    even, none, plain = F.col("c_nationkey") % 2 == 0, F.lit(None).cast("long"), F.lit(None).cast("string")
+    cell = lambda c, t, k, f: F.struct(F.lit(c).alias("column"), t.alias("text"), k.alias("string"), f.alias("formula"))
+    body = F.array(cell("A", plain, F.col("c_custkey"), F.lit(False)), cell("B", plain, number, F.col("c_custkey") % 5 == 0), cell("C", F.when(~even, F.concat(F.lit("x"), F.col("c_custkey").cast("string"))), F.when(even, number), F.lit(False)))
+    customers = _table(spark, sf_dir, "customer")
+    rows = customers.select(F.col("c_nationkey").alias("sheet"), (F.col("c_custkey") + 10).alias("row"), F.explode(body).alias("x"))
+    heads = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(h).alias("h")) for c, h in (("A", " Full  Name"), ("B", "SEGMENT "), ("C", "other"))))
+    top = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("sheet"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("row"), F.explode(heads).alias("y"))
+    text = F.when(F.col("row") < F.col("sheet") % 4, " ").when(F.col("row") == F.col("sheet") % 4, F.col("y.h")).otherwise(F.concat(F.lit("sub "), F.col("y.h")))
+    sheets = rows.select("sheet", "row", "x.*").unionByName(top.select("sheet", "row", F.col("y.c").alias("column"), text.alias("text"), none.alias("string"), F.lit(False).alias("formula")))
+    strings = customers.select(F.col("c_custkey").alias("string"), F.col("c_name").alias("text")).unionByName(customers.select(number.alias("string"), F.col("c_mktsegment").alias("text")).distinct())
+    book = F.lit("book").alias("book")
+    return cells.with_texts(sheets.select(book, "*"), strings.select(book, "*"), ["book"])
+
+
+@query(f"SELECT sheet, row, \"column\", text FROM {_CHOSEN} WHERE whole")
+def sheet_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells below chosen headers, where each sheet's header row has to be found and texts come from the table of shared strings."""
+    found = cells.selected(_book(spark, sf_dir), ["Segment", " full NAME "], ["book", "sheet"])
+    return found.filter("whole").select("sheet", "row", "column", "text")
+
+
+@query(f"SELECT string, n AS columns FROM (SELECT string, count(DISTINCT sheet || '!' || \"column\") AS n, bool_or(whole) AS chosen FROM {_CHOSEN} WHERE string IS NOT NULL GROUP BY string) WHERE chosen AND n > 1")
+def sheet_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared strings of chosen cells that stand in more than one column."""
+    found = cells.selected(_book(spark, sf_dir), ["Segment", " full NAME "], ["book", "sheet"])
+    return cells.shared_beyond(found, ["book"], ["sheet"]).select("string", "columns")
 
 
 @query("""SELECT o_orderkey, a AS start, b AS "end", t AS type FROM (SELECT o_orderkey, o_orderkey % 10 AS k FROM orders), LATERAL (
@@ -498,38 +542,45 @@ def mapping_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("r_regionkey", "c.name", mapping.problem(F.col("c.json")).alias("problem"))
 
 
-@query(f"""SELECT type, '{{' || string_agg('"' || token || '":{{"occurrences":' || n || ',"original":"' || text || '","source":"regex","type":"' || type || '"}}', ',' ORDER BY token) || '}}' AS json
-  FROM (SELECT type, text, count(*) AS n, {token_sql('type', 'text')} AS token FROM ({_ALL_SQL}) GROUP BY type, text) GROUP BY type""")
+@query(f"""SELECT doc_id, '{{' || string_agg('"' || token || '":{{"occurrences":' || n || ',"original":"' || text || '","source":"regex","type":"' || type || '"}}', ',' ORDER BY token) || '}}' AS json
+  FROM (SELECT doc_id, type, text, count(*) AS n, {token_sql('type', 'text')} AS token FROM ({_ALL_SQL}) GROUP BY doc_id, type, text) GROUP BY doc_id""")
 def mapping_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.entities_json(_entities(_found(spark, sf_dir)).withColumn("kind", F.col("type")), ["kind"]).withColumnRenamed("kind", "type")
+    """Each document's own entities as one object."""
+    return mapping.entities_json(_own_entities(spark, sf_dir), ["doc_id"])
 
 
 _JSON = "replace(replace({0}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))"
-_WHOLE = f"""SELECT source AS "where", '{{' || chr(10) || '  "created_at": "2026-01-02T03:04:05+00:00",' || chr(10) || '  "entities": ' ||
+_WHOLE = f"""SELECT doc_id, '{{' || chr(10) || '  "created_at": "2026-01-02T03:04:05+00:00",' || chr(10) || '  "entities": ' ||
     CASE WHEN items IS NULL THEN '{{}}' ELSE '{{' || chr(10) || items || chr(10) || '  }}' END || ',' || chr(10) ||
     '  "ner": {{' || chr(10) || '    "enabled": false,' || chr(10) || '    "model": null,' || chr(10) || '    "provider": null' || chr(10) || '  }},' || chr(10) ||
     '  "salt": "AAAAAAAAAAAAAAAAAAAAAA==",' || chr(10) || '  "schema_version": 1,' || chr(10) ||
-    '  "source": {{' || chr(10) || '    "format": "txt",' || chr(10) || '    "name": "' || source || '.txt",' || chr(10) || '    "sha256": "' || sha256(source) || '"' || chr(10) || '  }},' || chr(10) ||
+    '  "source": {{' || chr(10) || '    "format": "txt",' || chr(10) || '    "name": "' || doc_id || '.txt",' || chr(10) || '    "sha256": "' || sha256(d.text) || '"' || chr(10) || '  }},' || chr(10) ||
     '  "warnings": []' || chr(10) || '}}' || chr(10) AS json
-  FROM (SELECT DISTINCT source FROM documents) LEFT JOIN (SELECT source, string_agg('    "' || token || '": {{' || chr(10) || '      "occurrences": ' || n || ',' || chr(10) || '      "original": "' || {_JSON.format('text')} || '",' || chr(10) ||
+  FROM documents d LEFT JOIN (SELECT doc_id, string_agg('    "' || token || '": {{' || chr(10) || '      "occurrences": ' || n || ',' || chr(10) || '      "original": "' || {_JSON.format('text')} || '",' || chr(10) ||
       '      "source": "regex",' || chr(10) || '      "type": "' || type || '"' || chr(10) || '    }}', ',' || chr(10) ORDER BY token) AS items
-    FROM (SELECT d.source, f.type, f.text, count(*) AS n, {token_sql('f.type', 'f.text')} AS token FROM ({_ALL_SQL}) f JOIN documents d USING (doc_id) GROUP BY d.source, f.type, f.text) GROUP BY source) USING (source)"""
+    FROM (SELECT doc_id, type, text, count(*) AS n, {token_sql('type', 'text')} AS token FROM ({_ALL_SQL}) GROUP BY doc_id, type, text) GROUP BY doc_id) USING (doc_id)"""
 
 
-@query(_WHOLE)
-def mapping_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole mapping of each source's documents, as it is written."""
-    docs = _table(spark, sf_dir, "documents")
-    hits = detect.detected(docs.select("doc_id", F.col("source").alias("where"), "text")).select("where", F.explode("detections").alias("d"))
-    entities = hits.groupBy("where", F.col("d.type").alias("type"), F.col("d.text").alias("original")).agg(F.count("*").alias("occurrences"), F.min("d.source").alias("source"))
-    entities = entities.withColumn("token", tokens.derive_token(SALT, F.col("type"), F.col("original"))).withColumn("collision", F.lit(False))
-    none = F.lit(None).cast("string")
-    made = mapping.iso_offset(F.timestamp_seconds(F.lit(1767323045)))
-    headers = docs.select(F.col("source").alias("where")).distinct().select(
-        "where", made.alias("created_at"), F.concat("where", F.lit(".txt")).alias("name"), F.sha2("where", 256).alias("sha256"), F.lit("txt").alias("format"), F.lit(mapping.salt_text(SALT)).alias("salt"),
+def _own_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, token, original, type, occurrences, source, collision) of each document."""
+    hits = detect.detected(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode("detections").alias("d"))
+    entities = hits.groupBy("doc_id", F.col("d.type").alias("type"), F.col("d.text").alias("original")).agg(F.count("*").alias("occurrences"), F.min("d.source").alias("source"))
+    return entities.withColumn("token", tokens.derive_token(SALT, F.col("type"), F.col("original"))).withColumn("collision", F.lit(False))
+
+
+def _mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none, made = F.lit(None).cast("string"), mapping.iso_offset(F.timestamp_seconds(F.lit(1767323045)))
+    headers = _table(spark, sf_dir, "documents").select(
+        "doc_id", made.alias("created_at"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), F.lit("txt").alias("format"), F.lit(mapping.salt_text(SALT)).alias("salt"),
         F.lit(False).alias("ner_enabled"), none.alias("ner_provider"), none.alias("ner_model"), F.array().cast("array<string>").alias("warnings"),
     )
-    return mapping.written(headers, entities, "where")
+    return mapping.written(headers, _own_entities(spark, sf_dir), "doc_id")
+
+
+@query(_WHOLE)
+def mapping_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole mapping of each document, as it is written."""
+    return _mappings(spark, sf_dir)
 
 
 # ---------------------------------------------------------------- sources
@@ -627,26 +678,44 @@ def token_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL["token_fit"] = _SQL["token_fit"].replace("SELECT o_orderkey, CASE WHEN r >= 0.6 THEN least(1.0, r) ELSE greatest(0.6, r / greatest(0.55, r / 0.6)) END AS stretch, CASE WHEN r >= 0.6 THEN 1.0 ELSE greatest(0.55, r / 0.6) END AS size", "SELECT o_orderkey, round(CASE WHEN r >= 0.6 THEN least(CAST(1.0 AS double), r) ELSE greatest(CAST(0.6 AS double), r / greatest(CAST(0.55 AS double), r / 0.6)) END, 6) AS stretch, round(CASE WHEN r >= 0.6 THEN CAST(1.0 AS double) ELSE greatest(CAST(0.55 AS double), r / CAST(0.6 AS double)) END, 6) AS size")
 
 
-@query("SELECT o_orderkey, CAST(p AS bigint) AS paragraph, 'Order ' || o_orderkey || CASE p WHEN 0 THEN ' of part 0 and' ELSE ' end' END AS text FROM orders, (VALUES (0), (1)) x(p)")
+@query("""SELECT o_orderkey, CAST(p AS bigint) AS paragraph, CASE p WHEN 0 THEN 'Order ' || o_orderkey || ' of part 0 and' WHEN 1 THEN 'Order ' || o_orderkey || ' end'
+  WHEN 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'a b' || o_orderkey || ' late c' ELSE 'a c b' || o_orderkey || ' late' END END AS text FROM orders, (VALUES (0), (1), (2)) x(p)""")
 def pdf_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four lines in two paragraphs; the first line is in three fragments."""
+    """Five lines or six in three paragraphs: fragments out of order, and in the last one each lower than the one before, under their line's first or too far."""
     key = F.col("o_orderkey").cast("string")
-    item = lambda s, x, y, w: F.struct(s.alias("str"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(w).alias("w"), F.lit(10.0).alias("h"))
-    items = F.array(item(key, 40.0, 100.5, 30.0), item(F.lit("Order"), 0.0, 100.0, 36.0), item(F.lit("of"), 80.0, 100.0, 10.0), item(F.lit("part 0"), 0.0, 88.0, 30.0), item(F.lit(" "), 31.0, 88.0, 5.0), item(F.lit(" and"), 36.0, 88.0, 20.0), item(F.concat(F.lit("Order "), key), 0.0, 60.0, 60.0), item(F.lit("end"), 0.0, 48.0, 15.0))
-    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.explode(items).alias("i")).select("o_orderkey", "i.*")
+    item = lambda s, x, y, w: F.struct(s.alias("str"), F.lit(x).alias("x"), (y if isinstance(y, F.Column) else F.lit(y)).alias("y"), F.lit(w).alias("w"), F.lit(10.0).alias("h"))
+    last = F.when(F.col("o_orderkey") % 2 == 0, 12.0).otherwise(15.5)  # against the first fragment: 8 below, or 4.5; against the one before 4, or 0.5
+    items = F.array(
+        item(F.lit("a"), 0.0, 20.0, 5.0), item(key, 40.0, 100.5, 30.0), item(F.lit("Order"), 0.0, 100.0, 36.0), item(F.lit("of"), 80.0, 100.0, 10.0), item(F.lit("part 0"), 0.0, 88.0, 30.0), item(F.lit(" "), 31.0, 88.0, 5.0),
+        item(F.lit(" and"), 36.0, 88.0, 20.0), item(F.concat(F.lit("Order "), key), 0.0, 60.0, 60.0), item(F.lit("end"), 0.0, 48.0, 15.0), item(F.concat(F.lit("b"), key), 30.0, 16.0, 20.0), item(F.lit("c"), 15.0, last, 5.0), item(F.lit("late"), 60.0, 18.0, 10.0),
+    )
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(items).alias("k", "i")).select("o_orderkey", "k", "i.*")
     return layout.paragraphs(rows, ["o_orderkey"]).select("o_orderkey", F.col("paragraph").cast("long").alias("paragraph"), "text")
 
 
 @query("SELECT c_custkey, CAST(r AS integer) AS run, CASE r WHEN 0 THEN 'Dear ⟦P-ABCDE⟧' WHEN 1 THEN '' ELSE ', hi ⟦E-ABCDE⟧!' END AS merged FROM customer, (VALUES (0), (1), (2)) x(r)")
 def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name over three runs, and an address in the last."""
+    runs, edits = _runs(spark, sf_dir)
+    return layout.merged_runs(runs, edits, ["c_custkey"]).select("c_custkey", "run", "merged")
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     n = F.length("c_name")
     made = F.array(F.struct(F.lit(0).alias("run"), F.concat(F.lit("Dear "), F.left("c_name", F.lit(3))).alias("text")), F.struct(F.lit(1).alias("run"), F.substring(F.col("c_name"), F.lit(4), F.lit(5)).alias("text")), F.struct(F.lit(2).alias("run"), F.concat(F.substring(F.col("c_name"), F.lit(9), n), F.lit(", hi a@b.org!")).alias("text")))
     edit = lambda a, b, r: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(r).alias("replacement"))
     rows = _table(spark, sf_dir, "customer")
     runs = rows.select("c_custkey", F.explode(made).alias("r")).select("c_custkey", "r.run", "r.text")
     edits = rows.select("c_custkey", F.explode(F.array(edit(F.lit(5), 5 + n, "⟦P-ABCDE⟧"), edit(10 + n, 17 + n, "⟦E-ABCDE⟧"))).alias("e")).select("c_custkey", "e.start", "e.end", "e.replacement")
-    return layout.merged_runs(runs, edits, ["c_custkey"]).select("c_custkey", "run", "merged")
+    return runs, edits
+
+
+@query("SELECT c_custkey, 'Dear ⟦P-ABCDE⟧, hi ⟦E-ABCDE⟧!' AS wanted, 'Dear ⟦P-ABCDE⟧, hi ⟦E-ABCDE⟧!' || c_custkey AS got FROM customer WHERE c_custkey % 10 = 0")
+def run_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a writer got wrong: in every tenth customer something was added to the last run."""
+    runs, edits = _runs(spark, sf_dir)
+    wrong = F.when((F.col("c_custkey") % 10 == 0) & (F.col("run") == 2), F.concat("merged", F.col("c_custkey").cast("string"))).otherwise(F.col("merged"))
+    return layout.differing_runs(layout.merged_runs(runs, edits, ["c_custkey"]).withColumn("merged", wrong), edits, ["c_custkey"])
 
 
 @query(r"SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) / (1 + doc_id % 5) < 200 AS scanned FROM documents")
@@ -672,6 +741,61 @@ def anonymize_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.anonymize_rows(entities, contexts)
 
 
+def _table_sql(rows: str, order: str) -> str:
+    return f"string_agg({rows}, chr(10) ORDER BY {order})"
+
+
+_CELL = "replace(replace(regexp_replace({0}, '[\r\n]+', ' ', 'g'), chr(92), chr(92) || chr(92)), '|', chr(92) || '|')"
+_CONTEXTS = f"""(SELECT doc_id, s, type, token, {_CELL.format('before')} || '**' || {_CELL.format('match')} || '**' || {_CELL.format('after')} AS context FROM (
+  SELECT doc_id, s, type, token, {_CONTEXT} FROM (SELECT doc_id, type, {token_sql('type', 'f.text')} AS token, start AS s, f.end AS e, d.text AS x FROM ({_ALL_SQL}) f JOIN documents d USING (doc_id))))"""
+
+
+_CHECKED = _table_sql("'| ' || v || ' | ' || type || ' | regex | body | ' || context || ' |'", "s")
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"))
+
+
+@query(f"""SELECT doc_id, '# Checked: `' || doc_id || '.txt`' || chr(10) || chr(10) || 'Found: ' || count(token) || chr(10) || CASE WHEN count(token) > 0
+    THEN chr(10) || '| text | type | source | kind | first context |' || chr(10) || '|---|---|---|---|---|' || chr(10) || {_CHECKED} || chr(10) ELSE '' END || chr(10) || '## Elsewhere' || chr(10) || chr(10) || '- source: ' || source || chr(10) AS report
+  FROM documents LEFT JOIN (SELECT doc_id, s, type, token, context, text AS v FROM {_CONTEXTS} JOIN (SELECT doc_id, start AS s, text FROM ({_ALL_SQL})) USING (doc_id, s)) USING (doc_id) GROUP BY doc_id, source""")
+def check_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered report of what is found in each document; its source stands for a notice."""
+    docs = _table(spark, sf_dir, "documents")
+    found = detect.detected(docs.select("doc_id", "text")).select("doc_id", "text", F.explode("detections").alias("d"))
+    rows = found.select("doc_id", F.col("d.start").alias("k"), "d.text", "d.type", "d.source", F.lit("body").alias("kind"), rewrite.context(F.col("text"), F.col("d.start"), F.col("d.end")).alias("context"))
+    notices = docs.select("doc_id", F.lit(0).alias("k"), F.col("source").alias("text"), F.lit("source").alias("where"))
+    return report.check_markdown(_named(spark, sf_dir), rows, notices, ["doc_id"], labels=report.LABELS | {"place": "first context"})
+
+
+@query(f"""WITH f AS (SELECT doc_id, token, type, count(*) AS n, arg_min(context, s) AS context FROM {_CONTEXTS} GROUP BY doc_id, token, type),
+k AS (SELECT doc_id, string_agg('  - ' || type || ': ' || n || chr(10), '' ORDER BY list_position({list(TYPE_LETTERS)}, type)) AS kinds FROM (SELECT doc_id, type, count(*) AS n FROM f GROUP BY doc_id, type) GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS n, '| token | type | source | occurrences | first context |' || chr(10) || '|---|---|---|---:|---|' || chr(10) || {_table_sql("'| ' || token || ' | ' || type || ' | regex | ' || n || ' | ' || context || ' |'", f"list_position({list(TYPE_LETTERS)}, type), token")} AS body FROM f GROUP BY doc_id)
+SELECT doc_id, '# Anonymized: `' || doc_id || '.txt`' || chr(10) || chr(10) || '- entities: ' || coalesce(n, 0) || chr(10) || coalesce(kinds, '') || chr(10) || '## Replacements' || chr(10) || chr(10) || coalesce(body, 'none') || chr(10) AS report
+FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN r USING (doc_id)""")
+def anonymize_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered report of each document's replacements; here with values in contexts, for the SQL to compare."""
+    found = detect.detected(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.explode("detections").alias("d"))
+    hits = found.select("doc_id", tokens.derive_token(SALT, F.col("d.type"), F.col("d.text")).alias("token"), F.col("d.type").alias("type"), F.col("d.source").alias("source"), F.col("d.start").alias("start"), rewrite.context(F.col("text"), F.col("d.start"), F.col("d.end")).alias("context"))
+    rows = hits.groupBy("doc_id", "token", "type").agg(F.min_by("source", "start").alias("source"), F.count("*").alias("occurrences"), F.min_by("context", "start").alias("context"))
+    return report.anonymize_markdown(_named(spark, sf_dir), rows, ["doc_id"])
+
+
+@query(f"""WITH e AS (SELECT doc_id, token, type, count(*) AS n FROM (SELECT doc_id, {token_sql('type', 'text')} AS token, type FROM ({_ALL_SQL})) GROUP BY doc_id, token, type),
+r AS (SELECT doc_id, string_agg('| ' || token || ' | ' || type || ' | ' || n || ' |', chr(10) ORDER BY token) FILTER (doc_id % 2 = 0) AS back, string_agg('- ' || token || ' (' || type || ')', chr(10) ORDER BY token) FILTER (doc_id % 2 = 1) AS gone FROM e GROUP BY doc_id)
+SELECT doc_id, '# Restored: `' || doc_id || '.txt`' || chr(10) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '## Unknown tokens' || chr(10) || chr(10) || '| token | occurrences |' || chr(10) || '|---|---:|' || chr(10) || '| ⟦P-ZZZZZ⟧ | 2 |' || chr(10) || chr(10) ELSE '' END ||
+  '## Restored tokens' || chr(10) || chr(10) || coalesce('| token | type | occurrences |' || chr(10) || '|---|---|---:|' || chr(10) || back, 'none') || chr(10) || chr(10) || '## Missing tokens' || chr(10) || chr(10) || coalesce(gone, 'none') || chr(10) AS report
+FROM documents LEFT JOIN r USING (doc_id)""")
+def restore_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered report of each document's restoration: odd ones came back without tokens, every third has an unknown one, twice."""
+    hits = stored(detect.detected(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.type", tokens.derive_token(SALT, F.col("d.type"), F.col("d.text")).alias("token")))
+    counts = hits.groupBy("doc_id", "token", "type").agg(F.count("*").alias("n"))
+    known = counts.select("doc_id", "token", F.when(F.col("doc_id") % 2 == 0, "restored").otherwise("missing").alias("status"), "type", "n")
+    unknown = _named(spark, sf_dir).filter("doc_id % 3 = 0").select("doc_id", F.lit("⟦P-ZZZZZ⟧").alias("token"), F.lit("unknown").alias("status"), F.lit(None).cast("string").alias("type"), F.lit(2).cast("long").alias("n"))
+    return report.restore_markdown(_named(spark, sf_dir), known.unionByName(unknown), ["doc_id"])
+
+
 @query(f"SELECT source AS \"where\", count(DISTINCT doc_id) AS n FROM ({_ALL_SQL}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY source")
 def notice_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts outside of the body that hold personal data, by where they stand; here documents by source."""
@@ -771,6 +895,13 @@ def sensitive_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.sensitive_notices(_notices(spark, sf_dir), ["doc"])
 
 
+@query(f"SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc FROM {_NOTICES} JOIN ({_ALL_SQL}) USING (doc_id))")
+def sensitive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have a header, comment or note in which anything was found."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"))
+    return report.with_sensitive_notices(docs, _notices(spark, sf_dir), ["doc"]).select(F.col("doc").alias("doc_id"))
+
+
 @query(f"SELECT doc_id, NOT EXISTS (SELECT 1 FROM ({_ALL_SQL}) f WHERE f.doc_id = d.doc_id) AND d.doc_id % 50 NOT IN (SELECT doc FROM {_NOTICES} JOIN ({_ALL_SQL}) USING (doc_id)) AS clean FROM documents d")
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a document holds nothing itself and nothing in its notices."""
@@ -881,11 +1012,13 @@ def ner_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ok", ok).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("w.core_start").cast("long").alias("first"), F.max("w.core_end").cast("long").alias("last"), F.every("ok").alias("tiles"))
 
 
-@query("SELECT l_orderkey, CAST(l_linenumber AS integer) AS start, max(CAST(40 + l_partkey % 60 AS double) / 100) AS score FROM lineitem WHERE l_linenumber >= 2 AND l_linenumber < 6 GROUP BY l_orderkey, l_linenumber")
+@query("""SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY start, "end" DESC) AS integer) AS place FROM (
+  SELECT l_orderkey, CAST(l_linenumber // 2 * 2 AS integer) AS start, CAST(l_linenumber + 1 AS integer) AS "end", max(CAST(40 + l_partkey % 60 AS double) / 100) AS score FROM lineitem WHERE l_linenumber >= 2 AND l_linenumber < 6 GROUP BY l_orderkey, l_linenumber)""")
 def ner_window_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each span is found twice; those outside of the core go."""
-    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("start"), (F.col("l_linenumber") + 1).cast("int").alias("end"), F.lit("PERSON").alias("type"), ((40 + F.col("l_partkey") % 60).cast("double") / 100).alias("score"), F.lit(2).alias("core_start"), F.lit(6).alias("core_end"))
-    return ner.merged_windows(rows.unionByName(rows.withColumn("score", F.lit(0.1))), ["l_orderkey"]).select("l_orderkey", "start", "score")
+    """Each span is found twice, two start at each place; those outside of the core go, and the others are numbered in output order."""
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr("l_linenumber div 2 * 2").cast("int").alias("start"), (F.col("l_linenumber") + 1).cast("int").alias("end"), F.lit("PERSON").alias("type"), ((40 + F.col("l_partkey") % 60).cast("double") / 100).alias("score"), F.lit(2).alias("core_start"), F.lit(6).alias("core_end"))
+    found = ner.merged_windows(rows.unionByName(rows.withColumn("score", F.lit(0.1))), ["l_orderkey"])
+    return ner.output_order(found, ["l_orderkey"]).select("l_orderkey", "start", "end", "score", "place")
 
 
 @query("""WITH f AS (SELECT o_custkey AS doc, CASE o_orderkey % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORGANIZATION' ELSE 'LOCATION' END AS type, 'n ' || o_orderkey % 7 AS name FROM orders)
@@ -898,16 +1031,24 @@ def ner_org_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ner.promoted(found, "doc").groupBy("doc", "type").agg(F.count("*").alias("n"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n, length(text) AS whole FROM documents)
-SELECT doc_id, CAST(0 AS bigint) AS first, CAST(whole AS bigint) AS last, TRUE AS tiles, TRUE AS fits FROM d WHERE whole > 0""")
+@query(r"""WITH RECURSIVE chars AS (SELECT doc_id, text, unnest(generate_series(1, length(text))) AS i FROM documents),
+edge AS (SELECT doc_id, i, NOT regexp_matches(substr(text, i, 1), '\s') AS word, i = 1 OR regexp_matches(substr(text, i - 1, 1), '\s') AS first, i = length(text) OR regexp_matches(substr(text, i + 1, 1), '\s') AS last FROM chars),
+spans AS (SELECT doc_id, list(CAST(i - 1 AS integer) ORDER BY i) FILTER (word AND first) AS a, list(CAST(i AS integer) ORDER BY i) FILTER (word AND last) AS b FROM edge GROUP BY doc_id),
+d AS (SELECT doc_id, CAST(length(text) AS integer) AS whole, coalesce(a, []) AS a, coalesce(b, []) AS b, list_prepend(0, list_transform(coalesce(a, []), lambda x, k: CAST(list_sum(list_transform(a[1:k], lambda y, j: b[j] - y)) AS integer))) AS upto FROM documents LEFT JOIN spans USING (doc_id)),
+w AS (SELECT doc_id, 0 AS p, len(a) AS q, 0 AS start, whole AS stop, 0 AS low, whole AS high, 120 AS size, 30 AS lap, FALSE AS done FROM d
+  UNION ALL SELECT doc_id, p, q, start, stop, low, high, CASE WHEN done THEN size ELSE size // 2 END, CASE WHEN done THEN lap ELSE lap // 2 END, done FROM (
+    SELECT doc_id, p, q, start, stop, low, high, size, lap, (upto[q + 1] - upto[p + 1] <= 512 OR size <= 8) AS done FROM (
+      SELECT doc_id, size, lap, a, b, upto, CASE WHEN one THEN w.p ELSE fw END AS p, CASE WHEN one THEN w.q ELSE least(fw + size, w.q) END AS q,
+        CASE WHEN one THEN w.start ELSE a[fw + 1] END AS start, CASE WHEN one THEN w.stop ELSE b[least(fw + size, w.q)] END AS stop,
+        greatest(low, CASE WHEN one OR fw = w.p THEN w.start ELSE a[fw + lap // 2 + 1] END) AS low, least(high, CASE WHEN one OR fw + size >= w.q THEN w.stop ELSE a[fw + size - lap + lap // 2 + 1] END) AS high
+      FROM (SELECT w.*, d.a, d.b, d.upto, w.q - w.p <= w.size AS one, unnest(CASE WHEN w.q - w.p <= w.size THEN [w.p] ELSE list_transform(generate_series(0, CAST(ceil((w.q - w.p - w.size) / (w.size - w.lap)) AS integer)), lambda k: w.p + k * (w.size - w.lap)) END) AS fw
+        FROM w JOIN d USING (doc_id) WHERE NOT w.done) w) WHERE low < high))
+SELECT doc_id, CAST(start AS integer) AS start, CAST(stop AS integer) AS "end", CAST(low AS integer) AS core_start, CAST(high AS integer) AS core_end FROM w WHERE done""")
 def ner_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows that are too large for the model are cut again: their cores still tile the text, and all but the least fit."""
-    pieces = lambda t: F.length(t)  # noqa: E731  a model that knows letters only
-    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(ner.windows(F.col("text"))).alias("w")).select("doc_id", "text", "w.*")
-    cut = ner.split_windows(rows, pieces).withColumn("size", F.size(F.regexp_extract_all(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")), F.lit(r"(\S+)"), F.lit(1))))
-    after = F.lead("core_start").over(Window.partitionBy("doc_id").orderBy("core_start"))
-    ok, fits = F.coalesce(after == F.col("core_end"), F.lit(True)), (F.col("end") - F.col("start") <= ner.PIECES) | (F.col("size") <= ner.LEAST)
-    return cut.withColumn("ok", ok).withColumn("fits", fits).groupBy("doc_id").agg(F.min("core_start").cast("long").alias("first"), F.max("core_end").cast("long").alias("last"), F.every("ok").alias("tiles"), F.every("fits").alias("fits"))
+    """Windows that are too large for the model, here one that knows letters only, cut again in one pass."""
+    counts = F.transform(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1)), lambda w: F.length(w))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(ner.split_windows(F.col("text"), counts)).alias("w"))
+    return rows.select("doc_id", "w.start", "w.end", "w.core_start", "w.core_end")
 
 
 @query("""SELECT c_mktsegment AS lang, count(*) AS expected, count(*) FILTER (c_custkey % 3 <> 2) AS covered, count(*) FILTER (c_custkey % 3 = 0) AS exact FROM customer GROUP BY c_mktsegment""")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kinds import BLANK
+from ..operators.rewrite import applied
+
 # Shares of the height within which fragments are on one line, apart by a blank, and lines apart by a paragraph.
 SAME_LINE, GAP, APART = 0.5, 0.2, 1.5
 #: A token is stretched to this share at least, then set smaller to this one.
@@ -13,23 +16,46 @@ STRETCH, SIZE = 0.6, 0.55
 SCANNED = 200
 
 
-def paragraphs(items: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, paragraph, text) of items(keys, str, x, y, w, h) of well separated lines, from top to bottom.
+def in_lines(items: DataFrame, keys: list[str], order_col: str = "k") -> DataFrame:
+    """items(keys, k, str, x, y, w, h) that are not blank, with `line`, and `line_y` and `line_h`, of their line.
 
-    A fragment starts a line when it is lower than the one before by over half the greater height; y grows upwards.
+    In the order of `k`, a fragment joins the first line whose first fragment is no more than half the greater height away, and the line
+    is as high as its highest fragment so far; else it starts a line. A fold over a page's fragments, all in one row, since where lines begin
+    depends on all that came before; a page has some thousands at most.
     """
-    down = Window.partitionBy(*keys).orderBy(F.desc("y"), "x")
-    lower = F.lag("y").over(down) - F.col("y") > SAME_LINE * F.greatest(F.col("h"), F.lag("h").over(down))
-    placed = items.filter(F.trim("str") != "").withColumn("line", F.sum(F.coalesce(lower, F.lit(True)).cast("int")).over(down))
-    along = Window.partitionBy(*keys, "line").orderBy("x")
+    fields = [c for c in items.columns if c not in keys]
+    page = items.filter(F.regexp_replace("str", f"{BLANK}+", "") != "").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order_col, *(c for c in fields if c != order_col)))).alias("_items"))
+    lines = F.array().cast("array<struct<y:double,h:double>>")
+
+    def step(a: Column, i: Column) -> Column:
+        y, h = i["y"].cast("double"), i["h"].cast("double")
+        met = F.array_position(F.transform(a["lines"], lambda l: F.abs(l["y"] - y) <= SAME_LINE * F.greatest(l["h"], h)), True).cast("int")
+        higher = F.transform(a["lines"], lambda l, k: F.struct(l["y"].alias("y"), F.when(k == met - 1, F.greatest(l["h"], h)).otherwise(l["h"]).alias("h")))
+        new = F.concat(a["lines"], F.array(F.struct(y.alias("y"), h.alias("h"))))
+        return F.struct(F.when(met > 0, higher).otherwise(new).alias("lines"), F.concat(a["at"], F.array(F.when(met > 0, met - 1).otherwise(F.size(a["lines"])))).alias("at"))
+
+    folded = page.withColumn("_f", F.aggregate("_items", F.struct(lines.alias("lines"), F.array().cast("array<int>").alias("at")), step))
+    placed = folded.select(*keys, "_f.lines", F.explode(F.arrays_zip(F.col("_items").alias("i"), F.col("_f.at").alias("line"))).alias("_p"))
+    own = F.get("lines", F.col("_p.line"))
+    return placed.select(*keys, *(F.col(f"_p.i.{c}").alias(c) for c in fields), F.col("_p.line").alias("line"), own["y"].alias("line_y"), own["h"].alias("line_h"))
+
+
+def paragraphs(items: DataFrame, keys: list[str], order_col: str = "k") -> DataFrame:
+    """(keys, paragraph, text) of items(keys, k, str, x, y, w, h), from top to bottom; y grows upwards.
+
+    Lines are those of in_lines(). Fragments of a line stand from left to right, with a blank where there is a gap; a line begins a
+    paragraph where it is further below the line before than that is high, by half.
+    """
+    placed = in_lines(items, keys, order_col)
+    along = Window.partitionBy(*keys, "line").orderBy("x", order_col)
     apart = (F.col("x") - F.lag(F.col("x") + F.col("w")).over(along) > GAP * F.col("h")) & ~F.lag("str").over(along).endswith(" ") & ~F.col("str").startswith(" ")
     spaced = placed.withColumn("str", F.concat(F.when(apart, " ").otherwise(""), "str"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "str"))), lambda i: i["str"]), "")
-    rows = spaced.groupBy(*keys, "line").agg(F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"), F.max("y").alias("y"), F.max("h").alias("h"))
-    by_line = Window.partitionBy(*keys).orderBy("line")
-    new = F.coalesce(F.lag("y").over(by_line) - F.col("y") > APART * F.lag("h").over(by_line), F.lit(False))
-    grouped = rows.withColumn("paragraph", F.sum(new.cast("int")).over(by_line))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda i: i["text"]), " ")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", order_col, "str"))), lambda i: i["str"]), "")
+    rows = spaced.groupBy(*keys, "line").agg(F.trim(F.regexp_replace(text, f"{BLANK}+", " ")).alias("text"), F.first("line_y").alias("y"), F.first("line_h").alias("h"))
+    down = Window.partitionBy(*keys).orderBy(F.desc("y"), "line")
+    new = F.coalesce(F.lag("y").over(down) - F.col("y") > APART * F.lag("h").over(down), F.lit(False))
+    grouped = rows.withColumn("paragraph", F.sum(new.cast("int")).over(down)).withColumn("place", F.row_number().over(down))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda i: i["text"]), " ")
     return grouped.groupBy(*keys, "paragraph").agg(whole.alias("text")).filter("text <> ''")
 
 
@@ -64,3 +90,14 @@ def merged_runs(runs: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame
         lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] - F.col("a").cast("int") + 1, F.length("text"))),
     )
     return met.withColumn("merged", folded).select(*keys, "run", "text", "merged")
+
+
+def differing_runs(merged: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, wanted, got) where the runs of merged_runs() do not say what the edits make of their joined text: nothing, unless edits overlap.
+
+    A check after the fact, of what is written: the runs' own texts are joined and edited at once.
+    """
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", F.col(c).alias("t")))), lambda r: r["t"]), "")
+    texts = merged.groupBy(*keys).agg(joined("text").alias("_text"), joined("merged").alias("got"))
+    own = edits.groupBy(*keys).agg(F.collect_list(F.struct("start", "end", "replacement")).alias("_edits"))
+    return texts.join(own, keys, "left").select(*keys, applied(F.col("_text"), F.col("_edits")).alias("wanted"), "got").filter("wanted <> got")
