@@ -79,6 +79,21 @@ def normalized(detections: Column) -> Column:
     return F.flatten(F.transform(detections, parts))
 
 
+_EDGES = [regex.compile(rf"(?:[\s\ufeff]|[{more}])*") for more in (TRIM_LEFT, TRIM_RIGHT)]
+
+
+def trimmed_parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """normalized() for one span of a name or model: its parts between tabs and line ends, without what borders them."""
+    out = []
+    for m in regex.finditer(r"[^\t\n\r\x0b\f]+", text[start:end]):
+        a, b = start + m.start(), start + m.end()
+        a += _EDGES[0].match(text[a:b]).end()
+        b -= _EDGES[1].match(text[a:b][::-1]).end()
+        if a < b:
+            out.append((a, b))
+    return out
+
+
 def _same(d: Column) -> Column:
     return F.struct(*(d[n].alias(n) for n in DETECTIONS.elementType.names))
 

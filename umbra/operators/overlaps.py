@@ -39,3 +39,15 @@ def resolved(detections: Column, text: Column) -> Column:
     empty = F.filter(F.transform(detections, lambda d: _with(d, d["start"], d["end"], text)), lambda d: F.lit(False))
     kept = F.aggregate(ranked(detections), empty, step)
     return F.array_sort(kept)
+
+
+def resolved_rows(found: list[tuple], text: str) -> list[tuple]:
+    """resolved() for a task's own lists of (start, end, text, type, source, score)."""
+    kept: list[tuple] = []
+    for d in sorted(found, key=lambda d: (d[0] - d[1], -d[5], d[0])):
+        hits = [k for k in kept if d[0] < k[1] and k[0] < d[1]]
+        if len(hits) == 1 and hits[0][0] <= d[0] and d[1] <= hits[0][1]:
+            continue
+        start, end, says = min([d[0], *(h[0] for h in hits)]), max([d[1], *(h[1] for h in hits)]), (hits or [d])[0]
+        kept = [k for k in kept if k not in hits] + [(start, end, text[start:end], *says[3:])]
+    return sorted(kept)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import sql
 from ..functions import checks, tokens
 from ..functions.kinds import DETECTIONS, TYPE_LETTERS
 from ..functions.native import NATIVE
@@ -22,11 +23,11 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(answer: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
+        if answer:
+            _SQL[f.__name__] = answer
         return f
 
     return register
@@ -102,6 +103,14 @@ def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.start", "d.end", "d.text", "d.type")
 
 
+@query(_scans())
+def sql_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same written in SQL, with the table function."""
+    sql.register(spark)
+    _table(spark, sf_dir, "documents").createOrReplaceTempView("umbra_documents")
+    return spark.sql("SELECT d.doc_id, x.start, x.end, x.text, x.type FROM umbra_documents d, LATERAL umbra_detect(d.text) x")
+
+
 @query("SELECT page_id, CAST(4 AS integer) AS start, CAST(4 + length(url) AS integer) AS \"end\", url AS text FROM pages")
 def detect_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("see "), "url", F.lit("), \"more\".")).alias("t"))
@@ -363,6 +372,14 @@ def token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("o_custkey").agg(F.count("*").alias("n"), F.countDistinct("token").alias("kinds"))
 
 
+@query(f"SELECT c_custkey, {token_sql(chr(39) + 'PERSON' + chr(39), 'c_name')} AS token, TRUE AS ok, CAST(1 AS integer) AS n FROM customer")
+def sql_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, and tokens found again, by functions in SQL."""
+    sql.register(spark, SALT)
+    _table(spark, sf_dir, "customer").createOrReplaceTempView("umbra_customer")
+    return spark.sql("SELECT c_custkey, token, umbra_is_token(token) AS ok, size(umbra_tokens(concat('to ', token, ' [P-ABCDE]'))) AS n FROM (SELECT c_custkey, umbra_token('PERSON', c_name) AS token FROM umbra_customer)")
+
+
 @query("""SELECT original, CASE WHEN n = 1 THEN b || '⟧' ELSE b || CAST(n AS varchar) || '⟧' END AS token, n > 1 AS collision FROM (
   SELECT c_name AS original, '⟦P-AAAA' || substr('ABCDEFGHJK', CAST(c_custkey % 10 AS integer) + 1, 1) AS b, row_number() OVER (PARTITION BY c_custkey % 10 ORDER BY c_custkey) AS n FROM customer)""")
 def token_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:

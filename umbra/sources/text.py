@@ -9,6 +9,8 @@ from ..functions.kinds import BLANK
 
 BREAK = r"\r\n|\n|\r"
 BOM = "\ufeff"
+#: What opens or closes a code block of Markdown: three or more backticks or tildes after at most three blanks.
+FENCE = r"^ {0,3}(`{3,}|~{3,})"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -41,16 +43,21 @@ def rejoined(docs: DataFrame, changed: DataFrame, keys: list[str], text_col: str
     return held.withColumn("written", F.when(F.col("new").isNull(), F.col(text_col)).otherwise(F.array_join(parts, ""))).drop("new")
 
 
+def closes_fence(fence: Column, line: Column) -> Column:
+    """Whether a line closes the code block that `fence` opened."""
+    m = F.regexp_extract(line, FENCE, 1)
+    return (m != "") & (F.left(m, F.lit(1)) == F.left(fence, F.lit(1))) & (F.length(m) >= F.length(fence)) & (F.regexp_replace(line, f"^{BLANK}+|{BLANK}+$", "") == m)
+
+
 def fenced(lines_: Column) -> Column:
     """For each line whether it stands in a fenced code block (its fences included), and in last place whether one is never closed.
 
     A fence has three or more backticks or tildes after at most three blanks; it is closed by as many or more of the same, alone.
     """
-    mark = lambda x: F.regexp_extract(x, r"^ {0,3}(`{3,}|~{3,})", 1)
 
     def step(a: Column, x: Column) -> Column:
-        m, fence = mark(x), a["fence"]
-        closes = (m != "") & (F.left(m, F.lit(1)) == F.left(fence, F.lit(1))) & (F.length(m) >= F.length(fence)) & (F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", "") == m)
+        m, fence = F.regexp_extract(x, FENCE, 1), a["fence"]
+        closes = closes_fence(fence, x)
         return F.struct(F.when(fence == "", m).when(closes, "").otherwise(fence).alias("fence"), F.concat(a["in"], F.array((fence != "") | (m != ""))).alias("in"))
 
     start = F.struct(F.lit("").alias("fence"), F.array().cast("array<boolean>").alias("in"))
@@ -87,10 +94,15 @@ def markdown_segments(docs: DataFrame, keys: list[str], text_col: str = "text")
     """(keys, line, start, text): what may be changed in a Markdown text; no code blocks and no link targets."""
     held = docs.select(*keys, lines_of(F.col(text_col)).alias("_lines")).withColumn("_in", fenced(F.col("_lines")))
     rows = held.select(*keys, "_in", F.posexplode("_lines").alias("line", "_line")).filter(~F.get("_in", F.col("line")) & (F.col("_line") != ""))
+    return outside_targets(rows.select(*keys, "line", "_line"), [*keys, "line"])
+
+
+def outside_targets(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, text): the parts of rows(keys, _line) that are no link targets."""
     kept = rows.withColumn("_p", protected(F.col("_line")))
     bounds = F.zip_with(F.concat(F.array(F.lit(0)), F.transform("_p", lambda p: p["end"])), F.concat(F.transform("_p", lambda p: p["start"]), F.array(F.length("_line"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    parts = kept.select(*keys, "line", "_line", F.explode(bounds).alias("_s")).filter("_s.b > _s.a")
-    return parts.select(*keys, "line", F.col("_s.a").alias("start"), F.substring(F.col("_line"), F.col("_s.a") + 1, F.col("_s.b") - F.col("_s.a")).alias("text"))
+    parts = kept.select(*keys, "_line", F.explode(bounds).alias("_s")).filter("_s.b > _s.a")
+    return parts.select(*keys, F.col("_s.a").alias("start"), F.substring(F.col("_line"), F.col("_s.a") + 1, F.col("_s.b") - F.col("_s.a")).alias("text"))
 
 
 def names_list(raw: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
