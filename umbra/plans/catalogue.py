@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,8 +14,8 @@ from ..functions.kinds import DETECTIONS, TYPE_LETTERS
 from ..functions.native import NATIVE
 from ..functions.rules import OCTET
 from ..operators import cells, detect, flow, mapping, ner, overlaps, report, rewrite
-from ..operators.stored import stored
-from ..sources import formats, layout, text
+from ..operators.stored import shared_folder, stored
+from ..sources import files, formats, layout, outputs, text
 
 #: The public test salt of all registered queries.
 SALT = bytes(16)
@@ -603,6 +604,41 @@ def mapping_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- sources
 
 
+@query(f"""WITH m AS ({_WHOLE}) SELECT doc_id || '.txt' AS document, kind, CASE kind WHEN 'anonymized' THEN doc_id || '.anonymise.txt' WHEN 'mapping' THEN doc_id || '.json' ELSE doc_id || '.report.md' END AS name,
+  CASE kind WHEN 'anonymized' THEN sha256(a.text) WHEN 'mapping' THEN sha256(m.json) ELSE sha256('n ' || a.n) END AS content FROM ({_ANONYMIZED}) a JOIN m USING (doc_id), (VALUES ('anonymized'), ('mapping'), ('report')) k(kind)""")
+def output_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their mappings and reports, written and read back; contents by digest."""
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name")
+    done = anonymize_text(spark, sf_dir)
+    rows = outputs.outputs(done.select(name, "text"), _mappings(spark, sf_dir).select(name, "json"), done.select(name, F.concat(F.lit("n "), F.col("n").cast("string")).alias("report")))
+    path = f"{shared_folder(spark)}/outputs-{uuid.uuid4().hex}"
+    outputs.write(rows, path, parts=8)
+    return outputs.read(spark, path).withColumn("content", F.sha2("content", 256))
+
+
+@query("SELECT doc_id || '.txt' AS document, [doc_id || '.anonymise.txt', doc_id || '.json'] AS names FROM documents")
+def archive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is in each document's archive."""
+    docs = _table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text")
+    rows = outputs.outputs(docs, docs.select("name", F.col("text").alias("json")), docs.select("name", F.col("text").alias("report")))
+    return outputs.archive_listing(rows)
+
+
+_FILE = "(SELECT file, string_agg(text || chr(13) || chr(10), '' ORDER BY doc_id) AS t FROM (SELECT doc_id % 4 AS file, doc_id, replace(text, chr(10), chr(13) || chr(10)) AS text FROM documents) GROUP BY file)"
+
+
+@query(f"""SELECT file, count(*) AS n, CAST(sum(length(x)) AS bigint) AS chars, CAST(sum(CAST(CASE WHEN x = '' THEN 1 ELSE 0 END AS bigint)) AS bigint) AS blank, CAST(sum(strlen(x) + 2) AS bigint) AS bytes FROM (
+  SELECT file, unnest(string_split(left(t, length(t) - 2), chr(13) || chr(10))) AS x FROM {_FILE}) GROUP BY file""")
+def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written to four folders of text files with other line ends, read as lines in ranges of 64 KB."""
+    path = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    docs = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("file"), F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("value"))
+    docs.write.partitionBy("file").option("lineSep", "\r\n").text(path)
+    rows = files.lines(spark, path, 1 << 16).withColumn("file", F.regexp_extract("name", "/file=([0-9]+)/", 1).cast("long"))
+    size = F.octet_length("text") + F.octet_length("separator")
+    return rows.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"), F.count_if(F.col("text") == "").alias("blank"), F.sum(size).cast("long").alias("bytes"))
+
+
 @query(r"SELECT doc_id, CAST(i - 1 AS integer) AS line, t[i] AS text FROM (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT doc_id, string_split_regex(text, '\r\n|\n|\r') AS t FROM documents)) WHERE t[i] <> ''")
 def txt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.lines(_table(spark, sf_dir, "documents"), ["doc_id"])
