@@ -39,6 +39,7 @@ NAMES = frozenset(
 )
 
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(!--)|([!?/]))")
+_NAME = re.compile(r"</?[a-zA-Z]")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？«»“”„¿¡]")
@@ -71,21 +72,22 @@ class Page:
         self._flush()
 
     def _read(self, source: str) -> None:
-        at = 0
+        at, seek, last = 0, 0, source.rfind(">")
+        endless: set[str] = set()  # elements without an end tag from here on
         while True:
-            m = _TAG.search(source, at)
-            loose = source.find("<", at, m.start() if m else len(source))
-            while loose >= 0 and not re.match(r"</?[a-zA-Z]", source[loose : loose + 3]):  # a lone < is text
-                loose = source.find("<", loose + 1, m.start() if m else len(source))
-            if loose >= 0:  # a tag with a quote that does not end: it ends at the next >
-                m = _LOOSE.match(source, loose)
-                if m is None:  # a tag that does not end is no text
-                    self._words(source[at:loose])
-                    return
-            if m is None:
+            begin = source.find("<", seek)
+            if begin < 0:
                 self._words(source[at:])
                 return
-            self._words(source[at : m.start()])
+            tag = _NAME.match(source, begin)
+            if tag and begin > last:  # a tag that does not end is no text
+                self._words(source[at:begin])
+                return
+            m = _TAG.match(source, begin) or (_LOOSE.match(source, begin) if tag else None)  # one with a quote that does not end: it ends at the next >
+            if m is None:  # a lone < is text
+                seek = begin + 1
+                continue
+            self._words(source[at:begin])
             at = m.end()
             if m.re is _TAG and m[4]:
                 short = re.match(r"-?>", source[at : at + 2])
@@ -101,14 +103,17 @@ class Page:
                 if name in RAW and not (m[3].endswith("/") and name in ("svg", "object")):
                     if name == "head":
                         end = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(source, at)
-                        at = len(source) if end is None else end.end() if end[0][1] == "/" else end.start()
+                        at = seek = len(source) if end is None else end.end() if end[0][1] == "/" else end.start()
                         continue
-                    end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
+                    end = None if name in endless else re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
+                    if end is None:
+                        endless.add(name)
                     at = end.end() if end else at if name in NESTING else len(source)
                     if name not in ("script", "style", "template"):
                         self.text.append(" ")
                 else:
                     self._start(name, m[3])
+            seek = at
 
     def _words(self, piece: str) -> None:
         if piece:
@@ -224,7 +229,7 @@ def chosen(page: Page) -> list[str]:
         if page.above[p] >= 0:
             weight[page.above[p]] += weight[p]
     whole = sum(chars[p] * figure[p] for p in n)
-    outer = lambda p: names[p] in ("html", "body")
+    outer = lambda p: p < 0 or names[p] in ("html", "body")
     centre = max((p for p in range(len(weight)) if weight[p] >= CENTRE * whole and not outer(p)), default=None) if whole else None
     if centre is not None:
         up = centre  # the outermost article or main element around it, else one more step if that brings a heading in
