@@ -424,7 +424,8 @@ def test_passages_of_short_lines(spark):
     assert all(sum(r.n_words for r in got if r.id == k) >= 50 for k in range(1, 12, 2))
 
 
-def test_passage_classes_against_all_pairs(spark):
+@pytest.mark.parametrize("block, bits", [(256, 1 << 16), (4, None)])
+def test_passage_classes_against_all_pairs(spark, block, bits):
     """Classes are components of all paragraph pairs of similarity 0.8 or more, but for pairs that no band finds (recall 0.99)."""
     rng = random.Random(15)
     lines = [[f"w{rng.randrange(300)}" for _ in range(30)] for _ in range(15)]
@@ -440,13 +441,28 @@ def test_passage_classes_against_all_pairs(spark):
     for k, t in sorted(set(rows)):
         first, last, _, shingles, start, _ = cutter.of(t)
         sets += [((k, int(n)), set(x.tolist())) for n, x in zip((last - first), np.split(shingles, start[1:]), strict=True)]
-    got = passages.repeated_passages(docs(spark, rows), bits=1 << 16, min_words=5).collect()
+    got = passages.repeated_passages(docs(spark, rows), bits=bits, min_words=5, block=block).collect()
     copied = {i for (i, a), (j, b) in itertools.combinations(enumerate(s for _, s in sets), 2) for i in (i, j) if len(a & b) >= 0.8 * len(a | b)}
     want = {(sets[i][0]) for i in copied if sets[i][0][1] >= 5}
     assert {(r.id, r.n_words) for r in got} <= want and len({(r.id, r.n_words) for r in got}) >= 0.97 * len(want)
     assert all(not r.removed for r in got if (r.id, r.class_id) == (r.first_id, r.class_id) and sum(x.id == r.id and x.class_id == r.class_id for x in got) == 1)
 
 
+def test_unlike_paragraphs_of_a_common_shingle_do_not_meet(spark, monkeypatch):
+    """Many paragraphs share five words and little else; beyond a block they are dealt by a second row, and few pairs are compared."""
+    rng = random.Random(16)
+    common = ["of", "all", "that", "was", "said"]
+    rows = [(k, "\n".join(" ".join([*(f"w{rng.randrange(9000)}" for _ in range(7)), *common, *(f"w{rng.randrange(9000)}" for _ in range(7))]) for _ in range(3))) for k in range(150)]
+    twins = [(1000 + k, rows[k][1].split("\n")[0] + " z") for k in range(0, 150, 15)]
+    met = []
+    real = passages.blocked
+    monkeypatch.setattr(passages, "blocked", lambda rows, *a: met.append(rows.groupBy("v").count().selectExpr("sum(count * count)").first()[0]) or real(rows, *a))
+    one = passages.repeated_passages(docs(spark, rows + twins), min_words=10, block=100_000).collect()
+    other = passages.repeated_passages(docs(spark, rows + twins), min_words=10, block=16).collect()
+    assert {(r.id, r.start, r.class_id) for r in one} == {(r.id, r.start, r.class_id) for r in other} and {r.id for r in one} >= {i for i, _ in twins}
+    assert met[1] < met[0] / 3
+
+
 def test_edited_passages_are_one_class(spark):
     rng = random.Random(13)
     line = [f"w{rng.randrange(1000)}" for _ in range(60)]

@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap, within
 from .common import drop_stage, forget_shuffles, in_chunks, passing, rows_of, stage
 from .components import connected_components
 from .decontaminate import _Hashes, run_hashes
-from .passages import BITS, _bitmap
 from .simhash import blocked, links, majority_bits, signed, words_of
 
-#: One text of so many is looked at for shingles that are often used; bits of the bitmap of those: 2 MB.
-SAMPLE, OFTEN_BITS = 32, 1 << 24
+#: One text of so many is looked at for shingles that are often used.
+SAMPLE = 32
 #: 64-bit words of a sketch; rows of a bucket that is compared together with others.
 SKETCH, SMALL = 4, 16
 _SKETCHES = [f"s{k}" for k in range(SKETCH)]
@@ -54,15 +54,6 @@ def _shingles(words: list[bytes], size: int, memo: dict) -> np.ndarray:
     return np.unique(run_hashes(h, min(size, len(h)))) if words else h
 
 
-def _within(h: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
-    """Whether the bitmap has both bits of each value."""
-
-    def hit(slot: np.ndarray) -> np.ndarray:
-        return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
-
-    return (hit(h & np.uint64(bits - 1)) & hit((h >> np.uint64(32)) & np.uint64(bits - 1))).astype(bool)
-
-
 def _sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
     slot = (shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - bits.bit_length())
     return np.packbits(np.bincount(slot.astype(np.int64), minlength=bits) & 1, bitorder="little")
@@ -97,7 +88,9 @@ def _printed(named: DataFrame, size: int, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(_shingles(words_of(text), size, memo).view(np.int64))], names=["v"])
 
     some = named.filter(F.pmod("raw", F.lit(SAMPLE)) == 0).select("text").distinct()
-    often = named.sparkSession.sparkContext.broadcast(_bitmap(some.mapInArrow(sampled, "v long").groupBy("v").agg(F.count("*").alias("n")).filter("n > 2"), OFTEN_BITS))
+    with passing():
+        frequent = stage(some.mapInArrow(sampled, "v long").groupBy("v").agg(F.count("*").alias("n")).filter("n > 2").select("v"), "frequent")
+        often = named.sparkSession.sparkContext.broadcast(bitmap(frequent))
     names = [*ROW, "node", "fp", "n", *_SKETCHES, "whole", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +102,7 @@ def _printed(named: DataFrame, size: int, similarity: float) -> DataFrame:
                 nodes.append(_node(b" ".join(words)))
                 fps.append(signed(majority_bits(np.unique(np.fromiter(map(stripped.__getitem__, words), np.uint64, len(words))))))
                 own = _shingles(words, size, memo)
-                late = _within(own, last, OFTEN_BITS)
+                late = within(own, last)
                 most = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
                 counts.append(len(own))
                 sketches.append(_sketch(own, 64 * SKETCH).view(np.int64))
@@ -144,16 +137,17 @@ def _sketched(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
 def _checked(named: DataFrame, texts: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs(a, b) of texts, by node, that are as similar as asked. Only texts that a bitmap of the pairs' lets through are sent."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = texts.join(asked, "node").select(F.xxhash64(*(f"first.{c}" for c in ROW)).alias("v"))
-    sent = named.sparkSession.sparkContext.broadcast(_bitmap(keys, BITS))
+    with passing():
+        keys = stage(texts.join(asked, "node").select(F.xxhash64(*(f"first.{c}" for c in ROW)).alias("v")), "asked")
+        sent = named.sparkSession.sparkContext.broadcast(bitmap(keys))
     schema = pa.schema([("node", pa.int64()), ("line", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = sent.value
+        wanted = sent.value
 
         def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
             texts = batch.column(1)
-            for k in np.flatnonzero(_within(batch.column(0).to_numpy().view(np.uint64), bitmap, BITS)).tolist():
+            for k in np.flatnonzero(within(batch.column(0).to_numpy().view(np.uint64), wanted)).tolist():
                 line = b" ".join(words_of(texts[k].as_py()))
                 yield _node(line), line
 
@@ -188,14 +182,16 @@ def _checked(named: DataFrame, texts: DataFrame, pairs: DataFrame, size: int, si
 def _candidates(rows: DataFrame, similarity: float, block: int, every: bool) -> DataFrame:
     """(ga, gb, a, b, more): pairs of texts of different groups ga < gb that meet in a prefix and may be similar: one of any two groups, and whether more met, or every one.
 
-    rows(h, place, n, node, group, sketch): the places of prefixes.
+    rows(h, place, n, node, group, sketch): the places of prefixes. A shingle in over `block` prefixes is split by size: texts are as
+    similar as asked only if their sizes are, so each goes to the band of its own size and as a guest to the next larger one, where guests
+    do not meet guests. What is still large is dealt by blocks.
     """
-    keys, out = ["h", "x", "y"], pa.schema([(k, pa.int64()) for k in ("ga", "gb", "a", "b")] + [("more", pa.bool_())])
+    keys, out = ["h", "band", "x", "y"], pa.schema([(k, pa.int64()) for k in ("ga", "gb", "a", "b")] + [("more", pa.bool_())])
 
-    def passes(place: list, n: list, sketch: list) -> np.ndarray:
-        """Of two sides: whether places, sizes and sketches leave room for the similarity."""
+    def passes(place: list, n: list, guest: list, sketch: list) -> np.ndarray:
+        """Of two sides: whether places, sizes and sketches leave room for the similarity, and not both are guests."""
         total = n[0] + n[1]
-        hit = np.minimum(n[0] - place[0], n[1] - place[1]) >= similarity / (1 + similarity) * total - 1e-6
+        hit = ~(guest[0] & guest[1]) & (np.minimum(n[0] - place[0], n[1] - place[1]) >= similarity / (1 + similarity) * total - 1e-6)
         hit &= np.minimum(n[0], n[1]) >= similarity * np.maximum(n[0], n[1]) - 1e-6
         at = np.flatnonzero(hit)
         apart = np.bitwise_count(np.broadcast_to(sketch[0], sketch[1].shape)[at] ^ sketch[1][at]).sum(axis=1)
@@ -206,16 +202,16 @@ def _candidates(rows: DataFrame, similarity: float, block: int, every: bool) ->
         columns = np.where(swap, gb, ga), np.where(swap, ga, gb), np.where(swap, b, a), np.where(swap, a, b)
         return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(more)], schema=out)
 
-    def large(place: np.ndarray, n: np.ndarray, node: np.ndarray, group: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def large(place: np.ndarray, n: np.ndarray, guest: np.ndarray, node: np.ndarray, group: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Pairs of one bucket. Texts of its largest group come last: they are compared with those of others only."""
         _, of, sizes = np.unique(group, return_inverse=True, return_counts=True)
         order = np.lexsort((of, sizes[of]))
-        place, n, node, group, sketch, of = place[order], n[order], node[order], group[order], sketch[order], of[order]
+        place, n, guest, node, group, sketch, of = place[order], n[order], guest[order], node[order], group[order], sketch[order], of[order]
         ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of))
         end, seen, told = np.repeat(ends, np.diff(np.concatenate(([0], ends)))), set(), set()
         for k in range(int(ends[-2]) if len(ends) > 1 else 0):
             rest = slice(int(end[k]), None)
-            at = passes([place[k], place[rest]], [n[k], n[rest]], [sketch[k], sketch[rest]]) + rest.start
+            at = passes([place[k], place[rest]], [n[k], n[rest]], [guest[k], guest[rest]], [sketch[k], sketch[rest]]) + rest.start
             more = np.zeros(len(at), bool)
             if not every and len(at):
                 _, first, many = np.unique(of[at], return_index=True, return_counts=True)
@@ -229,16 +225,16 @@ def _candidates(rows: DataFrame, similarity: float, block: int, every: bool) ->
             if len(at):
                 yield batch_of(np.full(len(at), group[k]), group[at], np.full(len(at), node[k]), node[at], more)
 
-    def small(key: np.ndarray, place: np.ndarray, n: np.ndarray, node: np.ndarray, group: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def small(key: np.ndarray, place: np.ndarray, n: np.ndarray, guest: np.ndarray, node: np.ndarray, group: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Pairs of buckets of at most SMALL rows, which stand next to each other."""
         for step in range(1, SMALL):
             i = np.flatnonzero((key[step:] == key[:-step]) & (group[step:] != group[:-step]))
             if len(i):
-                i = i[passes([place[i], place[i + step]], [n[i], n[i + step]], [sketch[i], sketch[i + step]])]
+                i = i[passes([place[i], place[i + step]], [n[i], n[i + step]], [guest[i], guest[i + step]], [sketch[i], sketch[i + step]])]
                 yield batch_of(group[i], group[i + step], node[i], node[i + step], np.zeros(len(i), bool))
 
     def buckets(key: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        columns = [*columns[:4], np.stack(columns[4:], axis=1).view(np.uint64)]
+        columns = [*columns[:5], np.stack(columns[5:], axis=1).view(np.uint64)]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
         few = np.repeat(sizes <= SMALL, sizes)
@@ -254,16 +250,20 @@ def _candidates(rows: DataFrame, similarity: float, block: int, every: bool) ->
                 now = [np.concatenate(p) for p in zip(held, now, strict=True)]
             if not len(now[0]):
                 continue
-            new = (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1])
+            new = np.any([c[1:] != c[:-1] for c in now[: len(keys)]], axis=0)
             key = np.concatenate(([0], np.cumsum(new)))
             cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on in the next batch
             if cut:
-                yield from buckets(key[:cut], [c[:cut] for c in now[3:]])
+                yield from buckets(key[:cut], [c[:cut] for c in now[len(keys) :]])
             held = [c[cut:] for c in now]
         if held is not None:
-            yield from buckets(np.zeros(len(held[0]), int), held[3:])
+            yield from buckets(np.zeros(len(held[0]), int), held[len(keys) :])
 
-    dealt = blocked(rows, ["h"], "node", block).select(*keys, "place", "n", "node", "group", *_SKETCHES)
+    sizes = stage(rows.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1"), "prefixes")
+    band, guest = F.floor(F.log(F.col("n").cast("double")) / -np.log(similarity)).cast("int"), lambda b, g: F.struct(b.alias("band"), F.lit(g).alias("guest"))
+    dealt = F.when(F.col("_n") <= block, F.array(guest(F.lit(-1), False))).otherwise(F.array(guest(band, False), guest(band + 1, True)))
+    rows = rows.join(sizes, "h").withColumn("_d", F.explode(dealt)).select("h", "_d.band", "place", "n", "_d.guest", "node", "group", *_SKETCHES)
+    dealt = blocked(rows, ["h", "band"], "node", block).select(*keys, "place", "n", "guest", "node", "group", *_SKETCHES)
     found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "ga long, gb long, a long, b long, more boolean")
     if every:
         return found.distinct()
@@ -298,17 +298,19 @@ def _prints_and_groups(named: DataFrame, size: int, similarity: float, radius: i
     sets = prints.join(groups.select("node", "first.*", "group").hint("merge"), keys).select(*keys, "group", "n", *_SKETCHES, "whole", "prefix").dropDuplicates(keys).drop(*ROW)
     sets = stage(sets, "sets")
     mixed = sets.select("group", F.explode("prefix").alias("v")).groupBy("v").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
-    sent = spark.sparkContext.broadcast(_bitmap(mixed.select("v"), BITS))
+    mixed = stage(mixed.select("v"), "mixed")
+    sent = spark.sparkContext.broadcast(bitmap(mixed))
+    drop_stage(mixed)
     forget_shuffles(spark)
     fields = ["h", "place", "n", "node", "group", *_SKETCHES]
 
     def let(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = sent.value
+        several = sent.value
         for batch in batches:
             lists = batch.column("prefix")
             h, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
             offsets = offsets - offsets[0]
-            keep = np.flatnonzero(_within(h.view(np.uint64), bitmap, BITS))
+            keep = np.flatnonzero(within(h.view(np.uint64), several))
             row = np.searchsorted(offsets, keep, side="right") - 1
             others = [pa.array(batch.column(c).to_numpy()[row]) for c in fields[2:]]
             yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array((keep - offsets[row]).astype(np.int32)), *others], names=fields)
