@@ -2,7 +2,8 @@
 
 A shard is a file of raw little-endian ids (16 bits where the vocabulary allows, else 32) of documents in ascending key order, and an
 index file: a minimal perfect hash of the shard's keys gives a slot, which holds the key's fingerprint and its first document; document
-offsets stand in an array. Keys are dealt to shards by range, so the key's shard is found by bisection over shard bounds.
+offsets stand in an array. Keys are dealt to shards by range, so the key's shard is found by bisection over shard bounds; a key that
+many documents have may go on in the next shards.
 
 The hash has levels of bit arrays: a key whose position in a level is its own ends there, the others go on to the next level; the
 slot is the number of bits set before the key's. Keys are 64-bit integers and are mixed by a bijection, so no two collide on all levels.
@@ -38,8 +39,9 @@ from .common import fresh_path, in_chunks, rows_of, stage
 GAMMA, LEVELS = 2, 48
 #: Pieces of text whose ids a worker keeps, the longest it keeps, texts that are encoded together, and pieces in a call.
 PIECES, LONGEST, TEXTS, CALL = 600_000, 64, 64, 512
-#: Code points of a shard's texts, about: its keys and lengths are held while it is written, some 60 bytes a document.
-SHARD = 1 << 24
+#: Code points of a shard's texts, about: its keys and lengths are held while it is written, some 60 bytes a document. From MOST_SHARDS
+#: shards on they grow with the corpus, so that the list of shards, which all lookup tasks get, has a bound: some 10 MB.
+SHARD, MOST_SHARDS = 1 << 24, 1 << 16
 _CLOSING = b".,;:!?)"
 _SLOT, _MARK = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
@@ -198,22 +200,25 @@ class TokenStore:
 
         Keys that are not stored give no row; the null key gives the documents without key.
         """
-        shards, starts, width = [r.asDict() for r in self.shards], self.starts, self.width
-        bounds = [r["min_key"] for r in shards if r["min_key"] is not None]
-        skip = len(shards) - len(bounds)
+        width, count = self.width, len(self.shards)
         kind = np.dtype(f"<u{width}")
+        sent = self.spark.sparkContext.broadcast(([r.asDict() for r in self.shards], self.starts))  # at most MOST_SHARDS rows
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shards = sent.value[0]
+            skip = sum(r["min_key"] is None for r in shards)
+            least, most = ([r[k] for r in shards[skip:]] for k in ("min_key", "max_key"))
+            without = [k for k, r in enumerate(shards) if r["n_nulls"]]
             for batch in batches:
                 keys = batch.column(0).to_pylist()
-                at = [0 if k is None else max(0, bisect.bisect_right(bounds, k) - 1) + skip for k in keys]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32())], names=["id", "shard"])
+                held = [without if k is None else range(bisect.bisect_left(most, k) + skip, bisect.bisect_right(least, k) + skip) for k in keys]
+                pairs = [(k, s) for k, own in zip(keys, held, strict=True) for s in own]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.int64()), pa.array([s for _, s in pairs], pa.int32())], names=["id", "shard"])
 
         schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
         def of_shard(at: int, keys: list) -> Iterator[tuple]:
-            if at >= len(shards):
-                return
+            shards, starts = sent.value
             fs, path = _file_system(shards[at]["index"])
             with fs.open_input_stream(path) as f:
                 index = ShardIndex(f.read())
@@ -236,7 +241,7 @@ class TokenStore:
 
         routed = keys.select(F.col(key_col).cast("long").alias("id")).distinct().mapInArrow(route, "id long, shard int")
         # as many tasks as shards: the keys are few bytes, what they fetch is not
-        dealt = routed.repartition(max(1, len(shards)), "shard", F.expr("id div 16384")).sortWithinPartitions("shard", "id")
+        dealt = routed.repartition(max(1, count), "shard", F.expr("id div 16384")).sortWithinPartitions("shard", "id")
         return dealt.mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
@@ -248,13 +253,13 @@ def _parts(rows: Iterator, most: int = 65536) -> Iterator[list]:
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", vocabulary_size: int = 1 << 16, shards: int | None = None) -> TokenStore:
     """Encodes every text, appends end_id, and stores the ids in ascending key order; documents without key come first.
 
-    Null and empty texts have the end id only. Repeated keys keep all their documents, next to each other and in one shard. An empty
-    table gives no shard. Other columns are not read. The tokenizer must lower-case, drop white space and not merge across it (see above).
+    Null and empty texts have the end id only; very long ones are encoded whole. Repeated keys keep all their documents, next to each other
+    in order of a hash of their texts, and over several shards where they are many. An empty table gives no shard. Other columns are not read. The tokenizer must lower-case, drop white space and not merge across it (see above).
     """
     spark, width = docs.sparkSession, 2 if vocabulary_size <= 1 << 16 else 4
     spark.sparkContext.addFile(tokenizer_path)
     name, to = tokenizer_path.rsplit("/", 1)[-1], fresh_path(spark, "tokens")
-    schema = "shard int, payload string, index string, n_docs long, n_ids long, min_key long, max_key long"
+    schema = "shard int, payload string, index string, n_docs long, n_ids long, n_nulls long, min_key long, max_key long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, base = TaskContext.get().partitionId(), None
@@ -280,12 +285,15 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
         sink.close()
         with fs.open_output_stream(f"{path}.index") as f:
             f.write(ShardIndex.build(np.array(keys, np.int64), nulls, np.array(lengths, np.int64)))
-        row = [at, f"{base}.ids", f"{base}.index", len(lengths), sum(lengths), keys[0] if keys else None, keys[-1] if keys else None]
-        kinds = [pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 4]
+        row = [at, f"{base}.ids", f"{base}.index", len(lengths), sum(lengths), nulls, keys[0] if keys else None, keys[-1] if keys else None]
+        kinds = [pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 5]
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    many = shards or 1 + (named.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD
-    ordered = named.repartitionByRange(many, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    chars = named.agg(F.sum(F.length("text"))).first()[0] or 0
+    many = shards or 1 + chars // max(SHARD, chars // MOST_SHARDS)
+    # a hash of the text splits a key that many documents have
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ordered = named.repartitionByRange(many, *order).sortWithinPartitions(*order)
     manifest = stage(ordered.mapInArrow(run, schema), "manifest")
     return TokenStore(spark, width, manifest.orderBy("shard").collect())
