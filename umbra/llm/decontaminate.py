@@ -5,8 +5,10 @@ as a fingerprint. Two texts that share SPAN words in a row share the fingerprint
 an equality of fingerprints; each meeting is then extended word by word in both directions. An item of fewer than SPAN words has
 no such fingerprint: its whole hash is looked for among all runs of its length.
 
-A benchmark of at most `most_words` words is sent to every task once, and documents are never shuffled. A larger one is joined:
-fingerprints meet in a shuffle, and only pairs of a text and an item that share one are compared.
+A benchmark of at most `most_words` words is sent to every task once, and documents are never shuffled. A larger one is joined, which
+gives the same rows: a bitmap of its fingerprints goes to all tasks, and a place of a text whose fingerprint is in it is extended to the
+windows that it stands for, by their hashes. These meet the items' windows in a join of hashes and places: no text is in it. Windows that the
+same items have are one set, so that a passage joins its items once, however long it is and however many items have it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_chunks, rows_of
+from .bitmaps import bitmap, within
+from .common import in_chunks, passing, rows_of, stage
 
 SPAN, GRAM = 13, 7
 #: Words of a benchmark that is sent to the tasks: 8 bytes each, and about as much again for their fingerprints.
@@ -168,7 +171,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A document is contaminated if passages shared with items cover a twentieth of its words or more. Null and blank texts have no
     words and are clean; items without words match nothing. Items of equal id count once; items of null id hit words but are not
-    counted. Repeated documents keep their rows. Extra columns of either table are not read.
+    counted. Repeated documents keep their rows. Very long texts are read whole. Extra columns of either table are not read.
     """
     keep = keep or []
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text"))
@@ -177,6 +180,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         counted = _against_sent_items(docs, items, id_col, text_col, keep)
     else:
         counted = _against_joined_items(docs, items, id_col, text_col, keep)
+    return _judged(counted)
+
+
+def _judged(counted: DataFrame) -> DataFrame:
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -186,7 +193,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     if (items.agg(F.sum(F.length("item_text"))).first()[0] or 0) > 2 * most_words:
         text_key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
         texts = docs.select(text_key.alias("_key"), F.col(text_col).alias("text")).dropDuplicates(["_key"])
-        hit = contamination(texts, benchmark, "_key", "text", benchmark.columns[0], item_text_col, most_words=most_words).filter("contaminated")
+        hit = _judged(_against_joined_items(texts, items, "_key", "text", [])).filter("contaminated")
         whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text_key.alias("_key"))
         return whole.join(hit.select(F.col("id").alias("_key")), "_key", "left_anti").select("_row.*")
     memo = _Hashes()
@@ -244,75 +251,84 @@ def _against_sent_items(docs: DataFrame, items: DataFrame, id_col: str, text_col
     return named.mapInArrow(run, ddl)
 
 
-def _fingerprint_rows(texts: DataFrame) -> DataFrame:
-    """(key, h, n): fingerprints of texts(key binary, text) with n = 0, or for short texts the hash of the whole and their length."""
-    schema = pa.schema([("key", pa.binary()), ("h", pa.int64()), ("n", pa.int32())])
+def _tagged(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of runs of n words, told apart from those of other lengths."""
+    x = (h ^ np.uint64(n * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)) * _MULTIPLIER
+    return x ^ (x >> np.uint64(32))
+
+
+def _places(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint and the hash of each window of SPAN words."""
+    grams = run_hashes(words, GRAM)
+    size = SPAN - GRAM + 1
+    if len(grams) < size:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    return _tagged(_least(grams, size), 0), _tagged(run_hashes(words, SPAN), SPAN)
+
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    """(item_key, f, w, n) of items(item_key, text): fingerprint and hash of each window; an item of fewer words is one window, and its own fingerprint."""
+    schema = pa.schema([("item_key", pa.binary()), ("f", pa.int64()), ("w", pa.int64()), ("n", pa.int32())])
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
 
-        def rows(batch):
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
             for key, text in rows_of(batch):
                 words = word_hashes(text, memo)
                 if 0 < len(words) < SPAN:
-                    yield key, int(run_hashes(words, len(words)).view(np.int64)[0]), len(words)
+                    h = int(_tagged(run_hashes(words, len(words)), len(words)).view(np.int64)[0])
+                    yield key, h, h, len(words)
                 else:
-                    yield from ((key, h, 0) for h in np.unique(winnowed(words)[1]).view(np.int64).tolist())
+                    f, w = _places(words)
+                    yield from ((key, a, b, SPAN) for a, b in zip(f.view(np.int64).tolist(), w.view(np.int64).tolist(), strict=True))
 
         for batch in batches:
             yield from in_chunks(rows(batch), schema)
 
-    return texts.mapInArrow(run, "key binary, h long, n int")
+    return items.mapInArrow(run, "item_key binary, f long, w long, n int")
 
 
-def _probe_rows(texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """As _fingerprint_rows, but with the runs of each of the lengths."""
-    schema = pa.schema([("key", pa.binary()), ("h", pa.int64()), ("n", pa.int32())])
+def _windows_met(texts: DataFrame, marks: np.ndarray, lengths: list[int]) -> DataFrame:
+    """(key, w, start, end) of texts(key, text): windows whose fingerprint the bitmap has, and runs of the other lengths that it has."""
+    sent = texts.sparkSession.sparkContext.broadcast(marks)
+    schema = pa.schema([("key", pa.binary()), ("w", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
-    def run(batches):
-        memo = _Hashes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, known = _Hashes(), sent.value
 
-        def rows(batch):
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
             for key, text in rows_of(batch):
                 words = word_hashes(text, memo)
-                yield from ((key, h, 0) for h in np.unique(winnowed(words)[1]).view(np.int64).tolist())
-                for n in lengths:
-                    yield from ((key, h, n) for h in np.unique(run_hashes(words, n)).view(np.int64).tolist())
+                f, w = _places(words)
+                for at, h, n in ((np.flatnonzero(within(f, known)), w, SPAN), *((np.flatnonzero(within(r, known)), r, n) for n in lengths for r in (_tagged(run_hashes(words, n), n),))):
+                    yield from ((key, x, p, p + n) for x, p in zip(h[at].view(np.int64).tolist(), at.tolist(), strict=True))
 
         for batch in batches:
             yield from in_chunks(rows(batch), schema)
 
-    return texts.mapInArrow(run, "key binary, h long, n int")
+    return texts.mapInArrow(run, "key binary, w long, start long, end long")
 
 
 def _against_joined_items(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     text_key = lambda c: F.unhex(F.sha2(F.coalesce(F.col(c), F.lit("")), 256))
     named = _named(docs, id_col, text_col, keep).withColumn("key", text_key("_text"))
-    texts = named.groupBy("key").agg(F.first("_text").alias("text"))
     bench = items.withColumn("item_key", text_key("item_text"))
-    bench_texts = bench.groupBy("item_key").agg(F.first("item_text").alias("item_text"))
-    marks = _fingerprint_rows(bench_texts.select(F.col("item_key").alias("key"), F.col("item_text").alias("text"))).withColumnRenamed("key", "item_key")
-    lengths = [r.n for r in marks.filter("n > 0").select("n").distinct().collect()]  # at most SPAN - 1 values
-    meets = _probe_rows(texts, lengths).join(marks, ["h", "n"]).select("key", "item_key").distinct()
-    pairs = meets.join(texts, "key").join(bench_texts, "item_key").select("key", "item_key", "text", "item_text")
-    schema = pa.schema([("key", pa.binary()), ("item_key", pa.binary()), ("start", pa.int64()), ("end", pa.int64())])
-
-    def spans(batches):
-        memo = _Hashes()
-
-        def rows(batch):
-            for key, item_key, text, item_text in rows_of(batch):
-                for _, start, end in Items([(0, word_hashes(item_text, memo))]).spans(word_hashes(text, memo)):
-                    yield key, item_key, start, end
-
-        for batch in batches:
-            yield from in_chunks(rows(batch), schema)
-
-    found = pairs.mapInArrow(spans, "key binary, item_key binary, start long, end long")
+    with passing() as kept:
+        windows = stage(_item_windows(bench.dropDuplicates(["item_key"]).select("item_key", F.col("item_text").alias("text"))).distinct(), "item-windows")
+        lengths = [r.n for r in windows.filter(F.col("n") < SPAN).select("n").distinct().collect()]  # at most SPAN - 1 values
+        marks = bitmap(stage(windows.select(F.col("f").alias("v")).distinct(), "fingerprints"))
+        # windows that the same items have are one set, named by its least window
+        items_of = stage(windows.groupBy("w").agg(F.count("*").alias("n"), F.sum(F.xxhash64("item_key").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "item_key")).alias("x")), "items-of-windows")
+        sets = stage(items_of.join(items_of.groupBy("n", "s", "x").agg(F.min("w").alias("set")), ["n", "s", "x"]).select("w", "set"), "sets")
+        texts = named.select("key", F.col("_text").alias("text")).dropDuplicates(["key"])
+        found = kept(stage(_windows_met(texts, marks, lengths).join(sets, "w").select("key", "start", "end", "set"), "hits"))
+        ids = bench.filter("item_id is not null").select("item_key", F.col("item_id").cast("string").alias("i")).distinct()
+        named_sets = kept(stage(windows.select(F.col("w").alias("set"), "item_key").join(sets.select("set").distinct(), "set").join(ids, "item_key").select("set", "i").distinct(), "named-sets"))
     before = F.max("end").over(Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     covered = found.select("key", "start", "end").distinct().withColumn("b", F.coalesce(before, F.lit(0)))
     covered = covered.groupBy("key").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "b"))).alias("n_hit"))
-    listed = found.select("key", "item_key").distinct().join(bench.filter("item_id is not null").select("item_key", F.col("item_id").cast("string").alias("i")).distinct(), "item_key").select("key", "i").distinct()
+    listed = found.select("key", "set").distinct().join(named_sets, "set").select("key", "i").distinct()
     listed = listed.groupBy("key").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("i")), ","), 256).alias("items_sha256"))
 
     words = F.size(F.filter(F.split(F.coalesce("_text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != ""))
