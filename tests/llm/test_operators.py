@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -167,6 +168,22 @@ def test_token_store(spark):
     assert none.lookup(docs(spark, EDGES), "doc_id").count() == 0
 
 
+def test_token_store_of_repeated_keys(spark):
+    """A key of most rows, and rows without key, go over several shards; all their documents are found."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(7, f"a text {k}") for k in range(120)] + [(None, f"none {k}") for k in range(40)] + [(k, f"other {k}") for k in range(20)] + [(7, "same")] * 3
+    store = token_store.write(docs(spark, rows), path, end_id=1, vocabulary_size=49408, shards=6)
+    assert sum(r.min_key is not None and r.min_key <= 7 <= r.max_key for r in store.shards) > 2 and sum(r.n_nulls > 0 for r in store.shards) > 1
+    assert max(r.n_docs for r in store.shards) < 90
+    lib = Tokenizer.from_file(path)
+    want = sorted(repr((i, zlib.crc32(np.array([*lib.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()))) for i, t in rows)
+    got = sorted(store.lookup(docs(spark, rows), "doc_id").collect(), key=lambda r: r.start)
+    assert sorted(repr((r.id, r.ids_crc32)) for r in got) == want
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got]).tolist()][:-1]
+    assert [r.id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert {r.id for r in store.lookup(spark.createDataFrame([(3,), (None,)], "k long"), "k").collect()} == {3, None}
+
+
 # ---------------------------------------------------------------- url rules
 
 
@@ -199,6 +216,28 @@ def test_url_rules(spark):
     assert url_rules.judged(frame.limit(0), rules).count() == 0
 
 
+def test_hundreds_of_url_rules(spark):
+    """Verdicts are those of all rules tried on all urls; what is tried is a small part of that."""
+    rng = random.Random(18)
+    names = [f"{a}{b}" for a in ("shop", "news", "blog", "cdn", "mail") for b in range(60)]
+    rules = [url_rules.site_rule(rng.choice(["block", "allow"]), f"{rng.choice(names)}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['', 'en/', 'de/x'])}") for _ in range(400)]
+    rules = [*{r.name: r for r in rules}.values(), *(url_rules.label_rule("block", f"spam-{k}") for k in range(100)), *(url_rules.word_rule("block", f"bad{k}") for k in range(150))]
+    urls = [f"https://{rng.choice(['', 'www.', 'a.b.', f'spam-{rng.randrange(120)}.'])}{rng.choice(names)}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en/', 'de/', 'de/xy', 'bad7-1', f'bad{rng.randrange(200)}/z', ''])}" for _ in range(1500)]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = url_rules.rule_table(spark, rules).cache()
+    got = {r.id: r.verdict for r in url_rules.judged(frame, table).collect()}
+    parts = frame.select(url_rules.host_of(F.col("url")).alias("host"), url_rules.path_of(F.col("url")).alias("path")).distinct().cache()
+    compiled = [(re.compile(r.host.replace("\\z", "\\Z")), re.compile(r.path), r) for r in rules]
+
+    def verdict(url):
+        host, path, _ = brute_url(url)
+        fits = [(r.length, -k, r.verdict) for k, (h, p, r) in enumerate(compiled) if ((h.search(host) or p.search(path)) if r.either else (h.search(host) and p.search(path)))]
+        return max(fits)[2] if fits else "allow"
+
+    assert got == {k: verdict(u) for k, u in enumerate(urls)} and set(got.values()) == {"allow", "block"}
+    assert len(rules) > 500 and url_rules.tried(parts, table).count() < 0.02 * parts.count() * len(rules)
+
+
 # ---------------------------------------------------------------- personal data
 
 
@@ -471,6 +510,33 @@ def test_edited_passages_are_one_class(spark):
     assert {r.id for r in got} == {1, 2} and sum(r.removed for r in got) == len(got) / 2
 
 
+def test_added_spans_in_documents_of_the_tables():
+    """Marked documents: personal data in forms that base patterns miss, and numbers that are none, written into documents of the tables."""
+    rng = random.Random(19)
+    texts = [t for (t,) in duckdb.execute("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE length(text) > 200 ORDER BY doc_id LIMIT 400").fetchall()]
+    model, counts = personal_data.trained(), collections.Counter()
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    for text in texts:
+        base = personal_data.base_spans(text)
+        counts["unmarked", "added"] += len(personal_data.added_spans(text, base, model))
+        counts["unmarked", "words"] += len(text.split())
+        cut = text.index(" ", rng.randrange(100, 150))
+        kind, value = rng.choice([("email", f"anna{digits(2)} (at) firma-{digits(1)}.org"), ("email", f"jo.doe [at] uni{digits(2)}.edu"), ("phone", f"0{digits(2)}-{digits(3)}-{digits(4)}"), ("phone", f"({digits(3)}) {digits(3)}-{digits(4)}"), ("phone", f"{digits(3)}.{digits(3)}.{digits(4)}"), (None, f"1{digits(3)} - 1{digits(3)}"), (None, f"{digits(2)}.{digits(2)}.20{digits(2)}"), (None, f"{digits(4)},{digits(2)} EUR")])
+        lead = rng.choice({"email": ["write to", "contact:", "mail"], "phone": ["call", "tel.", "phone:"], None: ["in", "from", "of"]}[kind])
+        marked = f"{text[:cut]} {lead} {value}, {text[cut + 1 :]}"
+        at = (cut + 2 + len(lead), cut + 2 + len(lead) + len(value))
+        base = personal_data.base_spans(marked)
+        found = [(k, a, b) for k, a, b in base + personal_data.added_spans(marked, base, model) if a < at[1] and at[0] < b]
+        counts[kind, "marked"] += 1
+        counts[kind, "found"] += any(k == kind for k, _, _ in found) if kind else bool(found)
+        counts[kind, "exact"] += (kind, *at) in found
+    print(sorted(counts.items(), key=str))
+    for kind in ("email", "phone"):
+        assert counts[kind, "found"] >= 0.9 * counts[kind, "marked"]
+    assert counts[None, "found"] <= 0.1 * counts[None, "marked"]
+    assert counts["unmarked", "added"] <= 0.002 * counts["unmarked", "words"]
+
+
 # ---------------------------------------------------------------- personal data: the added spans
 
 

@@ -73,6 +73,17 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, "rule_no int, rule string, verdict string, host_pattern string, path_pattern string, either boolean, tokens array<string>, length int")
 
 
+def tried(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls(host, path) with each rule that is tried on them: those whose rarest token, by the number of urls that have it, the url has."""
+    tokens = F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", "host", "path")), "[^a-z0-9]+"), lambda t: t != ""))
+    held = urls.select("host", "path", F.explode(tokens).alias("token"))
+    waiting = rules.select("rule_no", F.explode("tokens").alias("token"))
+    seen = held.join(waiting.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
+    rarest = waiting.join(seen, "token", "left").groupBy("rule_no").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token"))["token"].alias("token"))
+    index = rules.join(rarest, "rule_no").select("token", "rule", "verdict", "host_pattern", "path_pattern", "either", "length", "rule_no")
+    return held.join(index, "token")
+
+
 def judged(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule (null if a rule without name, or none, decided), verdict.
 
@@ -82,14 +93,8 @@ def judged(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     """
     named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     parts = named.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).distinct()
-    tokens = F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", "host", "path")), "[^a-z0-9]+"), lambda t: t != ""))
-    urls = parts.select("host", "path", F.explode(tokens).alias("token"))
-    waiting = rules.select("rule_no", F.explode("tokens").alias("token"))
-    seen = urls.join(waiting.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
-    rarest = waiting.join(seen, "token", "left").groupBy("rule_no").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token"))["token"].alias("token"))
-    index = rules.join(rarest, "rule_no").select("token", "rule", "verdict", "host_pattern", "path_pattern", "either", "length", "rule_no")
     in_host, in_path = F.regexp("host", F.col("host_pattern")), F.regexp("path", F.col("path_pattern"))
-    fits = urls.join(index, "token").filter(F.when(F.col("either"), in_host | in_path).otherwise(in_host & in_path))
+    fits = tried(parts, rules).filter(F.when(F.col("either"), in_host | in_path).otherwise(in_host & in_path))
     best = fits.groupBy("host", "path").agg(F.max(F.struct("length", (-F.col("rule_no")).alias("first"), "rule", "verdict")).alias("best"))
     whole = named.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     return whole.join(best, ["host", "path"], "left").select("id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
