@@ -10,6 +10,7 @@ long paragraphs stay; paths elsewhere keep their own. Blocks of paths over a thr
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ BLOCKS = frozenset(
 )
 RAW = frozenset("script style title textarea noscript template iframe noframes noembed xmp svg object canvas audio video head".split())
 NESTING = frozenset("noscript template svg object canvas audio video".split())  # of these, one that is not ended is passed over
-HIDDEN = frozenset("nav aside footer form button select option fieldset dialog menu search legend optgroup".split())
+HIDDEN = frozenset("nav aside footer button select option fieldset dialog menu search legend optgroup".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar".split())
 #: Elements that a start tag ends if they are open, and those at which the search for them ends.
@@ -38,6 +39,11 @@ NAMES = frozenset(
     "pagination pager search form copyright disclaimer skip".split()
 )
 
+#: Such words may have one of these joined to them: cookiebar, commentlist, adslot, topnav.
+_NAMED = re.compile(
+    rf"(?:top|side|left|right|main|sub|site|page)?(?:{'|'.join(sorted(NAMES, key=len, reverse=True))})(?:bar|box|list|section|area|thread|form|slot|unit|block|space|banner|notice|wrap|wrapper|container|links|items?|trail)?"
+)
+
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(!--)|([!?/]))")
 _NAME = re.compile(r"</?[a-zA-Z]")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -48,6 +54,11 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？«»“”„¿¡]")
 THRESHOLD, CENTRE, LINKS = 0.3, 0.6, 0.6
 
 
+@functools.lru_cache(1 << 14)
+def _named(word: str) -> bool:
+    return _NAMED.fullmatch(word) is not None
+
+
 class _Element:
     __slots__ = ("name", "path", "above", "by_tag", "by_name", "holds")
 
@@ -167,7 +178,7 @@ class Page:
         if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes), re.I):
             by_tag = True
         inside = self.counts.get("article", 0) + self.counts.get("main", 0) > 0
-        by_name = name not in ("html", "body", "main") and any(w in NAMES and not (inside and w == "header") for w in words)
+        by_name = name == "form" or name not in ("html", "body", "main") and any(_named(w) and not (inside and w.endswith("header")) for w in words)
         by_tag |= name == "header" and not inside
         above = self.open[-1] if self.open else None
         key = (above.path if above else -1, ".".join([name, *sorted(set(words))]))

@@ -259,10 +259,10 @@ def _candidates(rows: DataFrame, similarity: float, block: int, every: bool) ->
         if held is not None:
             yield from buckets(np.zeros(len(held[0]), int), held[len(keys) :])
 
-    sizes = stage(rows.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1"), "prefixes")
-    band, guest = F.floor(F.log(F.col("n").cast("double")) / -np.log(similarity)).cast("int"), lambda b, g: F.struct(b.alias("band"), F.lit(g).alias("guest"))
-    dealt = F.when(F.col("_n") <= block, F.array(guest(F.lit(-1), False))).otherwise(F.array(guest(band, False), guest(band + 1, True)))
-    rows = rows.join(sizes, "h").withColumn("_d", F.explode(dealt)).select("h", "_d.band", "place", "n", "_d.guest", "node", "group", *_SKETCHES)
+    hot = stage(rows.groupBy("h").agg(F.count("*").alias("_n")).filter(F.col("_n") > block).select("h", F.lit(True).alias("_hot")), "hot")  # few: at most a row for each `block` rows
+    band, one = F.floor(F.log(F.col("n").cast("double")) / (1e-9 - np.log(similarity))).cast("long"), lambda b, g: F.struct(b.alias("band"), F.lit(g).alias("guest"))
+    bands = F.when(F.col("_hot"), F.array(one(band, False), one(band + 1, True))).otherwise(F.array(one(F.lit(-1).cast("long"), False)))
+    rows = rows.join(hot, "h", "left").withColumn("_d", F.explode(bands)).select("h", "_d.band", "place", "n", "_d.guest", "node", "group", *_SKETCHES)
     dealt = blocked(rows, ["h", "band"], "node", block).select(*keys, "place", "n", "guest", "node", "group", *_SKETCHES)
     found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "ga long, gb long, a long, b long, more boolean")
     if every:
