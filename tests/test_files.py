@@ -47,3 +47,17 @@ def test_markdown_over_ranges(spark, tmp_path):
         got = files.markdown_segments(rows, part).withColumn("name", F.regexp_extract("name", r"([^/]+)$", 1)).collect()
         number = {(n, len("\n".join(t.split("\n")[:k])) + (k > 0)): k for n, t in texts.items() for k in range(len(t.split("\n")))}
         assert sorted((r.name, number[r.name, r.offset], r.start, r.text) for r in got) == want
+
+
+def test_whole_files_with_invalid_bytes(spark, tmp_path):
+    rng = random.Random(23)
+    pieces = [b"a", b"\n", b"\xc3\xa9", b"\xff", b"\xe2\x82", b"\xf0\x9f\x98", b"\xed\xa0\x80"]
+    whole = {}
+    for k in range(30):
+        data = (b"\xef\xbb\xbf" if k % 5 == 0 else b"") + b"".join(rng.choice(pieces) for _ in range(rng.randrange(12)))
+        (tmp_path / f"f{k}.txt").write_bytes(data)
+        whole[f"f{k}.txt"] = (k % 5 == 0, data.removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace"))
+    rows = text.read_files(spark, str(tmp_path)).withColumn("name", F.regexp_extract("name", r"([^/]+)$", 1)).collect()
+    assert {r.name: (r.bom, r.text) for r in rows} == {k: v for k, v in whole.items() if v != (False, "")}  # Spark passes over empty files
+    segments = spark.createDataFrame([(1, "a"), (2, " \u3000\t"), (3, ""), (4, None)], "id int, text string")
+    assert [r.id for r in text.with_text(segments).collect()] == [1]

@@ -651,6 +651,22 @@ def txt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.lines(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || chr(65533) || 'e' || chr(65533) || chr(65533) || '.' ELSE text END AS text FROM documents")
+def text_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files' bytes as texts, those of even documents with bytes that are no UTF-8."""
+    content = F.encode("text", "UTF-8")
+    broken = F.concat(content, F.unhex(F.lit("FF65E282C32E")))
+    return _table(spark, sf_dir, "documents").select("doc_id", text.decoded(F.when(F.col("doc_id") % 2 == 0, broken).otherwise(content)).alias("text"))
+
+
+@query(r"""SELECT doc_id, CAST(k AS integer) AS line FROM (SELECT doc_id, unnest(generate_series(0, len(t) + 2)) AS k, list_concat(t, [' ', chr(160) || chr(9), 'x' || chr(8239)]) AS t FROM (SELECT doc_id, string_split_regex(text, '\r\n|\n|\r') AS t FROM documents))
+  WHERE regexp_replace(t[k + 1], '[\s\x{00A0}\x{202F}\x{3000}\x{FEFF}]+', '', 'g') <> ''""")
+def blank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with more than blanks, of documents with lines of blanks of several kinds at their ends."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n \n\u00a0\t\nx\u202f")).alias("text"))
+    return text.with_text(text.lines(docs, ["doc_id"])).select("doc_id", "line")
+
+
 _MARKED = "text || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || '[a](b(c)d) end'"
 
 

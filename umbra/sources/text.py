@@ -13,10 +13,15 @@ BOM = "\ufeff"
 FENCE = r"^ {0,3}(`{3,}|~{3,})"
 
 
+def decoded(content: Column) -> Column:
+    """UTF-8 bytes as text; each invalid sequence becomes U+FFFD."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sha256, bom, text) of whole text files; invalid UTF-8 becomes U+FFFD."""
+    """(name, sha256, bom, text) of whole text files; invalid UTF-8 becomes U+FFFD. Empty files give no row."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.expr("decode(content, 'UTF-8')")
+    text = decoded(F.col("content"))
     return files.select(F.col("path").alias("name"), F.sha2("content", 256).alias("sha256"), text.startswith(BOM).alias("bom"), F.regexp_replace(text, f"^{BOM}", "").alias("text"))
 
 
@@ -34,6 +39,11 @@ def lines(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame
     return docs.select(*keys, F.posexplode(lines_of(F.col(text_col))).alias("line", "text")).filter("text <> ''")
 
 
+def with_text(segments: DataFrame, text_col: str = "text") -> DataFrame:
+    """The segments that have more than blanks."""
+    return segments.filter(F.regexp_replace(text_col, f"{BLANK}+", "") != "")
+
+
 def rejoined(docs: DataFrame, changed: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """Adds `written`: the text with lines replaced by changed(keys, line, text), separators as they were. Give changed lines only."""
     new = changed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("line", "text"))).alias("new"))
