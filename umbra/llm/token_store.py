@@ -9,7 +9,8 @@ The hash has levels of bit arrays: a key whose position in a level is its own en
 slot is the number of bits set before the key's. Keys are 64-bit integers and are mixed by a bijection, so no two collide on all levels.
 
 The tokenizer lower-cases, drops white space and never merges across it, so texts are cut at ASCII white space into pieces, and a
-piece that occurs again is not encoded again.
+piece that occurs again is not encoded again. Pieces of small letters alone, which most are, need no normalizing and no further cuts: they go
+to the tokenizer's model at once, if that gives the same ids for a sample of its vocabulary.
 
 Tasks write under names of their own, and only files listed in the committed manifest are read, so lost and repeated tasks do no harm.
 """
@@ -21,6 +22,7 @@ import io
 import itertools
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,7 +44,10 @@ PIECES, LONGEST, TEXTS, CALL = 600_000, 64, 64, 512
 #: Code points of a shard's texts, about: its keys and lengths are held while it is written, some 60 bytes a document. From MOST_SHARDS
 #: shards on they grow with the corpus, so that the list of shards, which all lookup tasks get, has a bound: some 10 MB.
 SHARD, MOST_SHARDS = 1 << 24, 1 << 16
-_CLOSING = b".,;:!?)"
+_CLOSING = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: Letters of lower case that normalization leaves alone, and how byte-level tokenizers write their bytes.
+_SMALL = re.compile("[a-zß-öø-ÿ]+")
+_SPELT = {c: "".join(chr(b) if b not in range(127, 161) and b != 173 else chr(256 + 33 + (b - 127 if b != 173 else 34)) for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 _SLOT, _MARK = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -132,8 +137,36 @@ class Encoder:
         #: a special token of the vocabulary keeps pieces apart that are encoded in one call
         self.mark_id, self.mark = next(((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), (None, ""))
 
-    def _ask(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Each piece and its ids from the library."""
+        self.model, self.packed = self.tokenizer.model, [struct.Struct(f"<{n}{'H' if width == 2 else 'I'}").pack for n in range(2 * LONGEST + 2)]
+        self.direct = True
+        sample = [w for w in (k.removesuffix("</w>") for k in sorted(self.tokenizer.get_vocab())[::7]) if _SMALL.fullmatch(w)][:2000] + ["été", "größe", "ñandú", "æøåÿßþð"]
+        self.direct = dict(self._modelled([w.encode() for w in sample])[0]) == dict(self._encoded([w.encode() for w in sample]))
+
+    def _modelled(self, pieces: list[bytes]) -> tuple[list[tuple[bytes, bytes]], list[bytes]]:
+        """Ids from the model of pieces that are small letters alone, and the other pieces."""
+        if not self.direct:
+            return [], pieces
+        tokenize, packed, found, rest = self.model.tokenize, self.packed, [], []
+        for p in pieces:
+            if len(p) > LONGEST:
+                rest.append(p)
+                continue
+            if p.isalpha():
+                ids = [t.id for t in tokenize(p.decode())]
+            elif not p.isascii():
+                word = p.decode()
+                if not _SMALL.fullmatch(word):
+                    rest.append(p)
+                    continue
+                ids = [t.id for t in tokenize(word.translate(_SPELT))]
+            else:
+                rest.append(p)
+                continue
+            found.append((p, packed[len(ids)](*ids)))
+        return found, rest
+
+    def _encoded(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids from the whole tokenizer."""
         plain = [p for p in pieces if self.mark_id is not None and b"<" not in p]
         for k in range(0, len(plain), CALL):
             part = plain[k : k + CALL]
@@ -146,24 +179,29 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False) if rest else []
         yield from ((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(rest, found, strict=True))
 
+    def _learn(self, pieces: list[bytes]) -> None:
+        found, rest = self._modelled(pieces)
+        self.known.update(found)
+        self.known.update(self._encoded(rest))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, its end included."""
         known = self.known
         cut = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
         every = set().union(*cut)
-        new = [p for p in every if p not in known]
+        new = every.difference(known)
         if len(known) + 2 * len(new) > PIECES:
             known.clear()
-            new = list(every)
+            new = every
         # punctuation after an ASCII letter or digit is a token run of its own
-        stems = [s if (s := p.rstrip(_CLOSING)) and s[-1:].isalnum() else p for p in new]
-        asked = [p for p in {*stems, *(p[len(s) :] for p, s in zip(new, stems, strict=True))} if p and p not in known]
-        known.update(self._ask(asked))
-        known.update((p, known[s] + known[p[len(s) :]]) for p, s in zip(new, stems, strict=True) if len(s) < len(p))
-        out = [b"".join([known[p] for p in pieces]) + self.end for pieces in cut]
-        for piece in (*asked, *new):
-            if len(piece) > LONGEST:
-                known.pop(piece, None)
+        pairs = [(p, s) for p in new if b"<" not in p and (s := p.rstrip(_CLOSING)) is not p and len(s) < len(p) and s[-1:].isalnum()]
+        ends = {p for p, _ in pairs}
+        asked = {p for p in new if p not in ends}.union([s for _, s in pairs], [p[len(s) :] for p, s in pairs]).difference(known)
+        self._learn(list(asked))
+        known.update((p, known[s] + known[p[len(s) :]]) for p, s in pairs)
+        out = [b"".join(map(known.__getitem__, pieces)) + self.end for pieces in cut]
+        for piece in [p for p in asked.union(new) if len(p) > LONGEST]:
+            known.pop(piece, None)
         return out
 
 
