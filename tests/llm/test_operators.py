@@ -604,3 +604,36 @@ def test_pipeline(spark, tmp_path):
     assert set(got) == {*range(30), 43}
     codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
     assert codec.decode(bytes(got[43].ids)).decode().endswith(" mail [EMAIL]") and all(r.round_trip for r in got.values())
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """No documents; nulls, empty and very long texts, repeated rows; a benchmark without items."""
+    rng = random.Random(22)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    long = ". ".join(" ".join(rng.choice(vocabulary) for _ in range(12)).capitalize() for _ in range(20_000)) + "."
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, rows in enumerate(([], [(1, None), (2, ""), (3, long), (3, long), (4, long + " more of it"), (None, long), (5, "word " * 20000)])):
+        docs(spark, rows).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        assert [r.doc_id for r in got] == ([3] if k else []) and all(r.round_trip for r in got)
+
+
+def test_models_over_odd_texts(spark):
+    """Long texts, ties, repeated rows and clashing columns: a row for each row, equal rows with equal results."""
+    rows = [*EDGES, *((100 + k, f"the {k} of and a fine text. " * 8) for k in range(40)), *((200 + k, f"der {k} und das ### *** " * 8) for k in range(40))]
+    frame = docs(spark, rows).withColumn("lang", F.when(F.col("doc_id") < 200, "en").otherwise("de"))
+    labels = spark.createDataFrame([(100 + k, 1, "x") for k in range(40)] + [(200 + k, 0, "x") for k in range(40)] + [(5, None, "x"), (None, 1, "x")], "doc_id long, quality int, text string")
+    for got in (quality_model.scored(frame, labels).collect(), language.identified(frame).collect()):
+        assert len(got) == len(rows) and sorted(map(repr, (r.id for r in got))) == sorted(repr(i) for i, _ in rows)
+        assert len({repr(r) for r in got if r.id == 4}) == 1 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_long_and_equal_passages(spark):
+    """A long text of one repeated passage, and ties of equal texts under several ids."""
+    rng = random.Random(23)
+    passage = " ".join(f"w{rng.randrange(5000)}" for _ in range(80))
+    rows = [(1, "\n".join([passage] * 600)), (2, passage), (2, passage), (3, passage), (None, passage)]
+    got = passages.repeated_passages(docs(spark, rows)).collect()
+    assert {r.id for r in got} == {1, 2, 3} and {r.first_id for r in got} == {1}
+    by_class = collections.Counter(r.class_id for r in got if not r.removed)
+    assert set(by_class.values()) == {1} and all(r.removed for r in got if r.id != 1)
