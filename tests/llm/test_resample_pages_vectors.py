@@ -154,7 +154,7 @@ def test_main_text_of_the_given_pages(spark):
     [
         (None, ""), ("", ""), (" \n", ""), ("no markup, at all", "no markup, at all"), ("a < b &amp; c &#x41;&eacute;&nbsp;x", "a < b & c Aé x"), ("<p>one<p>two<br>three</p>four", "one\ntwo three\nfour"),
         ("<article><p>it <b>is <i>so</b></i> &lt;b&gt;\n\n now", "it is so <b> now"), ("<article><p title='a>b'>x</p><p title=\"y>z>w</p>", "x\nz>w"), ("<article><p>a</p><!-- b", "a"), ("<article><p>a<script>b", "a"),
-        ("<nav>only a menu</nav>", ""), ("<article><p>a</p><svg><text>x</text></svg><p>b<video>c</p></article>", "a\nb c"), ("<article hidden><p>a</p></article>", ""), ("<form><h1>a</h1><p>b c.</p></form><form><p>d e.</p></form>", "a\nb c."), ("<ARTICLE><P>a</P><LI>b<LI>c</ARTICLE>", "a\nb\nc"),
+        ("<nav>only a menu</nav>", ""), ("<article><p>a</p><svg><text>x</text></svg><p>b<video>c</p></article>", "a\nb c"), ("<article hidden><p>a</p></article>", ""), ("<article><h1><a href=x>T u</a></h1><p>a b, c d.</p><ul><li><a>x</a></li><li><a>y</a></li></ul></article>", "T u\na b, c d."), ("<form><h1>a</h1><p>b c.</p></form><form><p>d e.</p></form>", "a\nb c."), ("<ARTICLE><P>a</P><LI>b<LI>c</ARTICLE>", "a\nb\nc"),
     ],
 )
 def test_main_text_of_odd_pages(source, want):

@@ -264,7 +264,7 @@ def chosen(page: Page) -> list[str]:
     flat = centre is None and any(p >= 0 and outer(page.above[p]) for p in n if figure[p] == most)  # paragraphs right below the body
 
     def smooth(p: int) -> float:
-        if share[p] > LINKS:
+        if share[p] > LINKS and not (p >= 0 and names[p] in HEADINGS):  # a title is often a link
             return 0.0
         if p >= 0 and below[p]:
             return max(figure[p], top)
