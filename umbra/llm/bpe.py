@@ -251,7 +251,8 @@ def encoded(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256, round_trip; with_ids adds ids (binary, 32-bit little-endian).
 
     Null and empty texts have no tokens, and the digests of nothing. decoded_sha256 is of the bytes that the ids decode to.
-    Repeated rows stay repeated, empty tables stay empty, other columns are not read.
+    Very long texts are encoded whole, however long their pre-tokens. Repeated rows stay repeated, empty tables stay empty, other columns
+    are not read.
     """
     name = vocabulary(docs, vocabulary_path)
 

@@ -350,8 +350,8 @@ def masked(text: str, spans: list[Span]) -> str:
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_masked: bool = False) -> DataFrame:
     """One row per document: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all of them); with_masked adds the text.
 
-    Null and empty texts have no spans; a null text stays null when masked. Repeated rows stay repeated, empty tables stay empty,
-    other columns are not read.
+    Null and empty texts have no spans; a null text stays null when masked. Very long texts are searched whole. Repeated rows stay repeated,
+    empty tables stay empty, other columns are not read.
     """
     model = dict(trained().weights)
 

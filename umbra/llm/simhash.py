@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, fp, component_id (smallest id that links of at most `radius` bits reach).
 
     Rows with a null id keep their row; a group of only such rows has a null component_id. Repeated rows stay repeated.
-    Empty tables give an empty table. Only the two named columns are read.
+    Empty tables give an empty table; very long texts are read whole. Only the two named columns are read.
     """
     with passing() as keep:
         fps = keep(stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints"))
