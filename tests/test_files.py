@@ -27,9 +27,9 @@ def test_ranges_give_the_lines_of_one(spark, tmp_path):
             assert [r.bom for r in got.get(name, [])] == [k == 0 and data.startswith(b"\xef\xbb\xbf") for k in range(len(starts))]
 
 
-def test_long_lines_are_read_once(spark, tmp_path, monkeypatch):
+def test_long_lines_are_read_once(spark, tmp_path):
     (tmp_path / "long.txt").write_bytes(b"x" * (3 << 20) + b"\r\n" + b"y" * 10)
-    rows = files.lines(spark, str(tmp_path / "long.txt"), 1 << 20).collect()
+    rows = files.lines(spark, f"file:{tmp_path}/", 1 << 20).collect()
     assert [(r.offset, len(r.text), r.separator) for r in sorted(rows, key=lambda r: r.offset)] == [(0, 3 << 20, "\r\n"), ((3 << 20) + 2, 10, "")]
 
 

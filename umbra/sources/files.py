@@ -30,7 +30,7 @@ class Range(InputPartition):
 
 
 def _opened(path: str) -> tuple[filesystems.FileSystem, str]:
-    return filesystems.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (filesystems.LocalFileSystem(), path)
+    return filesystems.FileSystem.from_uri(path) if "://" in path else (filesystems.LocalFileSystem(), path)
 
 
 def lines_in(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -82,7 +82,7 @@ def lines_in(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[int, b
 
 class TextFilesReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
+        self.path = re.sub(r"^file:/+", "file:///", options["path"].rstrip("/"))
         self.part_bytes = int(options.get("partbytes", PART_BYTES))
 
     def partitions(self) -> list[Range]:
