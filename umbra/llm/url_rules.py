@@ -87,14 +87,18 @@ def tried(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def judged(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule (null if a rule without name, or none, decided), verdict.
 
-    Null urls and those without :// have an empty host and path and are allowed unless a rule fits even that. Repeated rows stay
+    Null urls and those without :// have an empty host and path and are allowed: no rule's token is in them. Repeated rows stay
     repeated, empty tables stay empty, other columns are not read. Very long urls are judged whole. Urls are judged once, however often
     they occur; Spark sends the rules to all tasks only if they are under its broadcast threshold, and joins them otherwise.
     """
     named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
-    parts = named.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).distinct()
+    parts = named.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).filter("host <> '' OR path <> ''").distinct()
     in_host, in_path = F.regexp("host", F.col("host_pattern")), F.regexp("path", F.col("path_pattern"))
     fits = tried(parts, rules).filter(F.when(F.col("either"), in_host | in_path).otherwise(in_host & in_path))
     best = fits.groupBy("host", "path").agg(F.max(F.struct("length", (-F.col("rule_no")).alias("first"), "rule", "verdict")).alias("best"))
-    whole = named.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    return whole.join(best, ["host", "path"], "left").select("id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    whole = named.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).select("id", "host", "path")
+    blank = (F.col("host") == "") & (F.col("path") == "")  # these may be many, and have no token that a rule could wait for
+    met = whole.filter(~blank).join(best, ["host", "path"], "left")
+    none = F.lit(None).cast("string")
+    found = met.select("id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    return found.unionByName(whole.filter(blank).select("id", "host", "path", none.alias("rule"), F.lit("allow").alias("verdict")))
