@@ -389,6 +389,24 @@ def test_classifier_learns_one_text_of_repeated_ids(spark):
     assert quality_model.scored(docs(spark, []), labels).count() == 0
 
 
+def test_classifier_bounds_what_one_task_holds(spark, monkeypatch):
+    """Rows are fitted on up to a number of values in all, whatever the length of their texts."""
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(5 if k % 2 else 400))) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    fitted = []
+    monkeypatch.setattr(quality_model, "MOST_VALUES", 6000)
+    frame = docs(spark, rows)
+    weights = quality_model.trained(frame, labels, "doc_id", "text", "quality", F.lit(True))
+    order = [r.doc_id for r in frame.select("doc_id").orderBy(F.xxhash64("doc_id")).collect()]
+    total = 0
+    for i in order:
+        at, x = quality_model.features(dict(rows)[i], quality_model._Words())
+        total += len(at)
+        if total <= 6000:
+            fitted.append((i, float(i % 2), at, x))
+    assert 0 < len(fitted) < 40 and np.array_equal(weights, quality_model.fit([r[1:] for r in sorted(fitted, key=lambda r: r[0])]))
+
+
 def test_classifier_counts_of_features():
     memo = quality_model._Words()
     at, x = quality_model.features("a a\n\na a", memo)

@@ -13,14 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_chunks, rows_of
+from .common import in_chunks, passing, rows_of, stage
 
 SIZE = 1 << 18
 #: Labelled rows that the model is fitted on at most, those of least hash of their id; passes over them.
 MOST_ROWS, PASSES = 8000, 4
+#: Values of all those rows' vectors at most, 8 bytes each: rows beyond are not fitted on. Whole texts have up to SIZE values each.
+MOST_VALUES = 1 << 25
 #: Follow-the-regularised-leader: step size, smoothing, and the weights of the two penalties.
 ALPHA, BETA, L1, L2 = 0.6, 1.0, 0.002, 0.01
 #: Inputs are shares of a text's n-grams times this.
@@ -100,7 +102,10 @@ def held_out(id_col: str, folds: int, fold: int):
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train) -> np.ndarray:
-    """Weights fitted on at most MOST_ROWS labelled rows. Rows without label are left out; of rows of one id that with the least text hash counts."""
+    """Weights fitted on at most MOST_ROWS labelled rows of at most MOST_VALUES values in all, taken in the order of a hash of their ids.
+
+    Rows without label are left out; of rows of one id that with the least text hash counts.
+    """
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & train).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(MOST_ROWS)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id")
@@ -122,8 +127,12 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
         held = [(y, np.frombuffer(at, np.int32), np.frombuffer(x, np.float32)) for batch in batches for _, y, at, x in rows_of(batch)]
         yield pa.RecordBatch.from_arrays([pa.array([fit(held).tobytes()], pa.binary())], names=["w"])
 
-    bounded = rows.mapInArrow(vectors, "id long, y double, at binary, x binary").repartition(1).sortWithinPartitions("id")
-    learned = bounded.mapInArrow(learn, "w binary").first()
+    with passing():
+        held = stage(rows.mapInArrow(vectors, "id long, y double, at binary, x binary"), "vectors")
+        sizes = held.select("id", (F.length("at") / 4).cast("long").alias("n"))  # at most MOST_ROWS
+        upto = sizes.withColumn("upto", F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id"))).filter(F.col("upto") <= MOST_VALUES)
+        bounded = held.join(upto.select("id"), "id").repartition(1).sortWithinPartitions("id")
+        learned = bounded.mapInArrow(learn, "w binary").first()
     return np.frombuffer(learned[0], np.float32) if learned else fit([])
 
 
