@@ -126,3 +126,14 @@ class Values:
             taken.insert(at, (a, b))
             out.append((a, b, k))
         return sorted(out)
+
+
+#: What a worker looked for last: the list that was sent to it, and its automaton.
+_LAST: list = []
+
+
+def values_of(pairs: list[tuple[str, str | None]]) -> Values:
+    """The values of a list of (value, token), built once in a worker for as long as it is asked for the same list."""
+    if not _LAST or _LAST[0] is not pairs:
+        _LAST[:] = [pairs, Values(v for v, _ in pairs)]
+    return _LAST[1]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import BLANK
-from ..functions.places import Values
+from ..functions.places import Values, values_of
 from ..functions.tokens import TOKEN, derive_token, tokens_in
 
 #: Fixed value: code points of context on either side.
@@ -114,8 +114,6 @@ def missing_tokens(texts: DataFrame, entities: DataFrame, text_col: str = "text"
 _PLACES = "array<struct<start:int,end:int,value:string,token:string>>"
 #: Values that one automaton takes; more are looked up by a join of words.
 MOST_VALUES = 100_000
-#: What a worker looked for last: the list that was sent and its automaton.
-_LAST: list = []
 
 
 def _found_at(held: Values, tokens: Sequence[str | None], text: str | None, claim: bool) -> list | None:
@@ -131,9 +129,7 @@ def _listed(texts: DataFrame, rows: list, keys: list[str], text_col: str, claim:
     @F.pandas_udf(_PLACES)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pairs = sent.value
-        if not _LAST or _LAST[0] is not pairs:
-            _LAST[:] = [pairs, Values(v for v, _ in pairs)]
-        held, tokens = _LAST[1], [t for _, t in pairs]
+        held, tokens = values_of(pairs), [t for _, t in pairs]
         for batch in batches:
             yield pd.Series([_found_at(held, tokens, t, claim) for t in batch], dtype=object)
 
