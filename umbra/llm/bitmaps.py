@@ -1,6 +1,6 @@
 """Sets of 64-bit hashes as bitmaps that tasks get whole: they let through all members, and few others while they are not full.
 
-A bitmap has some 16 bits a member, from 2^20 to 2^30 bits (128 MB) in all, whatever the corpus; from some 200 M members on it lets more
+A bitmap has 8 to 16 bits a member, from 2^20 to 2^29 bits (64 MB) in all, whatever the corpus; from some 100 M members on it lets more
 and more through, and what reads it must be right, and in proportion to its input, with a bitmap that lets all through.
 """
 
@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SEGMENT = 1 << 16
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 
 
 def bits_for(members: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * members).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (8 * members).bit_length()))
 
 
 def bitmap(values: DataFrame, bits: int | None = None) -> np.ndarray:
