@@ -83,6 +83,25 @@ def test_both_ways_of_looking_up(spark, most):
     assert got == sorted((i, a, b, f"t{k}") for i, t in rows for a, b, k in brute_claims(values, t))
 
 
+def test_values_of_one_first_word_meet_their_own_texts(spark):
+    rows = [(k, f"x \ufb01n{k}, fin\n {k}! xfin {k}", f"fin {k}") for k in range(300)]
+    frame = spark.createDataFrame(rows, "id int, text string, original string")
+    wanted = frame.select(F.col("original").alias("value"), F.lit("t").alias("token"), F.col("original").alias("_order"), F.regexp_replace("original", " ", "").alias("_key"))
+    assert {(r.id, r.value) for r in rewrite._met(frame.select("id", "text"), wanted, ["id"], "text").collect()} == {(k, v) for k, _, v in rows}
+    got = rewrite.leak_places(frame.select("id", "text"), frame, ["id"], most=10).collect()
+    assert sorted((r.id, r.start, r.end, r.value) for r in got) == sorted((i, a, b, v) for i, t, v in rows for a, b, _ in brute([v], t))
+
+
+def test_long_values_both_ways(spark):
+    rng = random.Random(8)
+    values = sorted({" ".join(made(rng, "ab", 9) for _ in range(n)) for n in (1, 5, 15, 16, 17, 30, 40, 80) for _ in range(3)} | {"a" * n for n in (63, 64, 65, 127, 128, 129)})
+    rows = [(k, f"{made(rng, 'ab ', 5)} {v if k % 2 else v.replace(' ', '')} {made(rng, 'ab ', 5)}") for k, v in enumerate(values)]
+    texts, known = spark.createDataFrame(rows, "id int, text string"), spark.createDataFrame([(v,) for v in values], "original string")
+    for most in (1000, 2):
+        got = sorted((r.id, r.start, r.end, r.value) for r in rewrite.leak_places(texts, known, ["id"], most=most).collect())
+        assert got == sorted((i, a, b, values[k]) for i, t in rows for a, b, k in brute(values, t)) and len(got) >= len(values)
+
+
 def test_first_token_wins(spark):
     found = spark.createDataFrame([(2, [(0, 1, "x", "URL", "regex", 1.0)]), (1, [(5, 6, "x", "PERSON", "names", 1.0)])], f"id int, detections {detect.DETECTIONS.simpleString()}")
     entities = mapping.allocated(mapping.occurrences(found, ["id"]), bytes(16))

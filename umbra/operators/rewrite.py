@@ -136,33 +136,72 @@ def _listed(texts: DataFrame, rows: list, keys: list[str], text_col: str, claim:
     return texts.select(*keys, F.explode(find(F.col(text_col))).alias("_p"))
 
 
-def _words(text: Column, prefixes: bool) -> Column:
-    """The runs of letters and digits of a text in NFKC; of a value, what its first run may be where blanks after it are left out."""
+#: Letters and digits of a value of fewer than so many are its key as they are; of longer values the first 64, 128, 256, ... are.
+WHOLE_KEY = 64
+
+
+def _size_of(n: int) -> int:
+    """How many of a value's n letters and digits are its key; 0 for none."""
+    return n if n < WHOLE_KEY else 1 << (n.bit_length() - 1)
+
+
+def _key(text: Column) -> Column:
+    """The letters and digits of a value in NFKC, or as many of the first as its key has; empty for values without any."""
+
+    @F.pandas_udf("string")
+    def key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = regex.compile(r"[\p{L}\p{N}]+")
+        for batch in batches:
+            bare = ["".join(run.findall(unicodedata.normalize("NFKC", v))) for v in batch]
+            yield pd.Series([v[: _size_of(len(v))] for v in bare], dtype=object)
+
+    return key(text)
+
+
+def _keys(text: Column, sizes: Sequence[int]) -> Column:
+    """What may be keys of these sizes in a text: letters and digits from a word's start on, fewer than WHOLE_KEY of them ending with a word."""
+    whole, longer = frozenset(n for n in sizes if n < WHOLE_KEY), sorted(n for n in sizes if n >= WHOLE_KEY)
+    most = max(whole, default=0)
 
     @F.pandas_udf("array<string>")
-    def words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run, first = regex.compile(r"[\p{L}\p{N}]+"), regex.compile(r"[\p{L}\p{N}]+(?:[\s\ufeff]+[\p{L}\p{N}]+)*")
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = regex.compile(r"[\p{L}\p{N}]+")
 
         def of(t: str | None) -> list[str] | None:
             if t is None:
                 return None
-            t = t if t.isascii() else unicodedata.normalize("NFKC", t)
-            if not prefixes:
-                return list(dict.fromkeys(run.findall(t)))
-            m = first.search(t)
-            return list(itertools.accumulate(run.findall(m[0]))) if m else []
+            words = run.findall(t if t.isascii() else unicodedata.normalize("NFKC", t))
+            bare, ends = "".join(words), list(itertools.accumulate(map(len, words)))
+            found: set[str] = set()
+            for k, w in enumerate(words):
+                start = ends[k] - len(w)
+                for j in range(k, len(ends)):
+                    if ends[j] - start > most:
+                        break
+                    if ends[j] - start in whole:
+                        found.add(bare[start : ends[j]])
+                found.update(bare[start : start + n] for n in longer if start + n <= len(bare))
+            return list(found)
 
         for batch in batches:
             yield pd.Series([of(t) for t in batch], dtype=object)
 
-    return words(text)
+    return keys(text)
+
+
+def _met(texts: DataFrame, wanted: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """(keys, value, token, _order): the values of which a text has all letters and digits in a row; wanted has their `_key`s.
+
+    A place's ends are ends of words, so its letters and digits are whole words of the text, however blanks cut them.
+    """
+    sizes = [r["n"] for r in wanted.select(F.length("_key").alias("n")).distinct().collect()]  # WHOLE_KEY at most, and the powers of two beyond
+    words = texts.select(*keys, F.explode(_keys(F.col(text_col), sizes)).alias("_key"))
+    return words.join(wanted.select("value", "token", "_order", "_key"), "_key").drop("_key")
 
 
 def _joined(texts: DataFrame, wanted: DataFrame, keys: list[str], text_col: str, claim: bool) -> DataFrame:
-    """Places of values of a list of any length: each text gets those that its words lead to, and only texts that get any are searched."""
-    words = texts.select(*keys, F.explode(_words(F.col(text_col), prefixes=False)).alias("_word"))
-    leads = wanted.select("value", "token", "_order", F.explode(_words(F.col("value"), prefixes=True)).alias("_word"))
-    own = words.join(leads, "_word").groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("_order", "value", "token"))).alias("_own"))
+    """Places of values of a list of any length: each text gets those that it may hold, and only texts that get any are searched."""
+    own = _met(texts, wanted, keys, text_col).groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("_order", "value", "token"))).alias("_own"))
 
     @F.pandas_udf(_PLACES)
     def find(batch: pd.Series, lists: pd.Series) -> pd.Series:
@@ -178,7 +217,7 @@ def leak_places(texts: DataFrame, values: DataFrame, keys: list[str], text_col:
     word. Without claim, all places of each value. With it, disjoint places: longer values claim theirs first, then those first in order_col
     (or by themselves). Of equal values the first token counts. Null and blank values stand nowhere, null texts have no places; repeated keys
     are taken together. values are read more than once: give a stored table. Up to `most` values are sent to all workers; more are looked up
-    by a join of words with prefixes of values, which gives the same rows. Values without a letter or digit have no word: they go the first
+    by a join of their letters and digits, which gives the same rows. Values without a letter or digit have no key: they go the first
     way, `most` at a time, and claims are then settled text by text among the places of both.
     """
     token, order = F.col(token_col) if token_col else F.lit(None).cast("string"), F.col(order_col) if order_col else F.col(token_col or value_col)
@@ -187,10 +226,9 @@ def leak_places(texts: DataFrame, values: DataFrame, keys: list[str], text_col:
     if len(rows) <= most:
         found = _listed(texts, rows, keys, text_col, claim)
         return found.select(*keys, "_p.*")
-    worded = F.size(_words(F.col("value"), prefixes=True)) > 0
-    wanted = wanted.withColumn("_worded", worded)
-    found = _joined(texts, wanted.filter("_worded"), keys, text_col, claim=False)
-    bare = wanted.filter(~F.col("_worded"))
+    wanted = wanted.withColumn("_key", _key(F.col("value")))
+    found = _joined(texts, wanted.filter("_key <> ''"), keys, text_col, claim=False)
+    bare = wanted.filter("_key = ''")
     after = None
     while True:  # values of punctuation only, if there are any, in order
         part = (bare if after is None else bare.filter(F.struct("_order", "value") > F.struct(F.lit(after[0]), F.lit(after[1])))).orderBy("_order", "value").limit(most).collect()
