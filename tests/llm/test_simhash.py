@@ -144,3 +144,34 @@ def test_deduplicated_keeps_unlike_texts_of_equal_ids(spark):
     assert got == {(3, a): 1, (7, b): 1, (8, c): 1, (None, "only here and nowhere else at all"): 1, (9, ""): 1}
     assert similar.deduplicated(docs(spark, [])).count() == 0
     assert similar.deduplicated(docs(spark, rows)).columns == docs(spark, rows).columns
+
+
+def test_a_large_group_of_near_copies_meets_in_few_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for k in range(240):
+        words = list(base)
+        for at in rng.sample(range(120), 2):
+            words[at] = f"n{k}x{at}"
+        rows.append((k, " ".join(words)))
+    met, stage = [], similar.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        if name == "met":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "stage", counted)
+    docs = spark.createDataFrame([*rows, (900, "something else that stands alone")], "doc_id long, text string")
+    # no bits may differ, so that fingerprints leave the copies apart
+    got = {r.id: r.group for r in similar.similar_groups(docs, radius=0, block=64).collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for _, t in rows]
+    root = list(range(240))
+    for a in range(240):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                ra, rb = root[a], root[b]
+                root = [min(ra, rb) if x in (ra, rb) else x for x in root]
+    assert [got[k] for k in range(240)] == root and got[900] == 900
+    assert sum(met) < 240 * 239 / 4

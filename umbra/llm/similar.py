@@ -9,8 +9,9 @@ prefixes of several groups are sent on.
 Each text has sketches: bit j is the parity of its shingles that hash to j. Two texts of a and b shingles and the asked similarity s
 differ in at most (a + b)(1 - s)/(1 + s) shingles, so in at most as many bits; what is beyond is no pair, and no pair is lost. A
 sketch of 256 bits goes with each place of a prefix, one of at least 4 bits a shingle stays with the text and is looked at before
-whole texts are. First one pair of any two groups is checked, as most groups join then; where that pair fails and others met, all
-others are checked in a second round.
+whole texts are. First some texts of a bucket are checked against its others, again with other ones for as long as many groups join by that,
+so that large groups of near copies join by pairs in proportion to their texts, not to the square of that. Then one pair of any two groups that are
+left is checked; where that pair fails and others met, all others are checked in a last round.
 
 Words and shingles are 64-bit hashes, and texts 128-bit ones of which the links carry 64, taken as equal when equal.
 """
@@ -35,6 +36,8 @@ from .simhash import blocked, links, majority_bits, signed, words_of
 SAMPLE = 32
 #: 64-bit words of a sketch; rows of a bucket that is compared together with others.
 SKETCH, SMALL = 4, 16
+#: Texts of a bucket that are compared with all its others; stars are made again where one of so many groups that met joined another.
+LEADERS, JOINING = 16, 8
 _SKETCHES = [f"s{k}" for k in range(SKETCH)]
 #: What tells rows apart; the first row of a group is the least in this order, so null ids come last.
 ROW = ["none", "id", "raw"]
@@ -179,14 +182,17 @@ def _checked(named: DataFrame, texts: DataFrame, pairs: DataFrame, size: int, si
     return found
 
 
-def _candidates(rows: DataFrame, similarity: float, block: int, every: bool) -> DataFrame:
-    """(ga, gb, a, b, more): pairs of texts of different groups ga < gb that meet in a prefix and may be similar: one of any two groups, and whether more met, or every one.
+def _candidates(rows: DataFrame, similarity: float, block: int, which: str, turn: int = 0) -> DataFrame:
+    """(ga, gb, a, b, more): pairs of texts of different groups ga < gb that meet in a prefix and may be similar.
+
+    which: "star", those of LEADERS texts of each bucket, others at each turn; "one", one of any two groups, and whether more met; "every", every one.
 
     rows(h, place, n, node, group, sketch): the places of prefixes. A shingle in over `block` prefixes is split by size: texts are as
     similar as asked only if their sizes are, so each goes to the band of its own size and as a guest to the next larger one, where guests
     do not meet guests. What is still large is dealt by blocks.
     """
     keys, out = ["h", "band", "x", "y"], pa.schema([(k, pa.int64()) for k in ("ga", "gb", "a", "b")] + [("more", pa.bool_())])
+    every = which == "every"
 
     def passes(place: list, n: list, guest: list, sketch: list) -> np.ndarray:
         """Of two sides: whether places, sizes and sketches leave room for the similarity, and not both are guests."""
@@ -233,8 +239,26 @@ def _candidates(rows: DataFrame, similarity: float, block: int, every: bool) ->
                 i = i[passes([place[i], place[i + step]], [n[i], n[i + step]], [guest[i], guest[i + step]], [sketch[i], sketch[i + step]])]
                 yield batch_of(group[i], group[i + step], node[i], node[i + step], np.zeros(len(i), bool))
 
+    def star(key: np.ndarray, place: np.ndarray, n: np.ndarray, guest: np.ndarray, node: np.ndarray, group: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of LEADERS texts of each bucket with its others: of those that are no guests the ones of the least hashes, mostly the same in buckets of one group."""
+        lot = (node.view(np.uint64) ^ np.uint64(turn)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        lot = (lot ^ (lot >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        order = np.lexsort((lot ^ (lot >> np.uint64(29)), guest, key))
+        key, place, n, guest, node, group, sketch = key[order], place[order], n[order], guest[order], node[order], group[order], sketch[order]
+        first = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(key)), 0))
+        for step in range(LEADERS):
+            j = np.flatnonzero(np.arange(len(key)) - first > step)
+            j = j[group[j] != group[first[j] + step]]
+            i = first[j] + step
+            at = passes([place[i], place[j]], [n[i], n[j]], [guest[i], guest[j]], [sketch[i], sketch[j]])
+            i, j = i[at], j[at]
+            yield batch_of(group[i], group[j], node[i], node[j], np.zeros(len(i), bool))
+
     def buckets(key: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         columns = [*columns[:5], np.stack(columns[5:], axis=1).view(np.uint64)]
+        if which == "star":
+            yield from star(key, *columns)
+            return
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
         few = np.repeat(sizes <= SMALL, sizes)
@@ -264,8 +288,9 @@ def _candidates(rows: DataFrame, similarity: float, block: int, every: bool) ->
     bands = F.when(F.col("_hot"), F.array(one(band, False), one(band + 1, True))).otherwise(F.array(one(F.lit(-1).cast("long"), False)))
     rows = rows.join(hot, "h", "left").withColumn("_d", F.explode(bands)).select("h", "_d.band", "place", "n", "_d.guest", "node", "group", *_SKETCHES)
     dealt = blocked(rows, ["h", "band"], "node", block).select(*keys, "place", "n", "guest", "node", "group", *_SKETCHES)
+    dealt = dealt.filter("x = y") if which == "star" else dealt  # a block has its own star
     found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "ga long, gb long, a long, b long, more boolean")
-    if every:
+    if which != "one":
         return found.distinct()
     several = (F.min("a") < F.max("a")) | (F.min("b") < F.max("b")) | F.max("more")
     return found.groupBy("ga", "gb").agg(F.min("a").alias("a"), F.min_by("b", "a").alias("b"), several.alias("more"))
@@ -316,14 +341,22 @@ def _prints_and_groups(named: DataFrame, size: int, similarity: float, radius: i
             yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array((keep - offsets[row]).astype(np.int32)), *others], names=fields)
 
     rows = stage(sets.drop("whole").mapInArrow(let, "h long, place int, n int, node long, group long, " + ", ".join(f"{s} long" for s in _SKETCHES)), "places")
-    for every in (False, True):
-        pairs = stage(_sketched(sets, stage(_candidates(rows, similarity, block, every), "met"), similarity), "pairs")
+    which, turn = "star", 0
+    while True:
+        pairs = stage(_sketched(sets, stage(_candidates(rows, similarity, block, which, turn), "met"), similarity), "pairs")
         similar = _checked(named, texts, pairs.filter("fits"), size, similarity).withColumn("similar", F.lit(True))
         known = stage(pairs.join(similar, ["a", "b"], "left"), "known")
         moved = stage(connected_components(known.filter("similar").select(F.col("ga").alias("a"), F.col("gb").alias("b"))), "moved")
         groups = stage(_regrouped(groups, moved), "groups")
-        if every:
+        if which == "every":
             break
+        if which == "star":
+            many = pairs.filter("fits").select(F.explode(F.array("ga", "gb"))).distinct().count()
+            which, turn = "star" if moved.count() * JOINING > many else "one", turn + 1
+            before, rows = rows, stage(_regrouped(rows, moved).select(*fields), "places")
+            drop_stage(before)
+            continue
+        which = "every"
         # groups of which one pair failed and others met
         still = known.filter("more and similar is null").select("ga", "gb")
         still = _regrouped(_regrouped(still, moved, "ga"), moved, "gb").filter("ga <> gb")
