@@ -57,6 +57,18 @@ def test_paragraphs_match_replay(spark):
         assert got.get(page, []) == [t for t in replay(items) if t]
 
 
+def test_pages_of_one_row_need_no_shuffle(spark):
+    rng = random.Random(12)
+    items = {p: [(rng.choice(["ab", "c ", " d", " ", "e f"]), float(rng.randrange(60)), float(rng.randrange(40)), float(rng.randrange(1, 20)), rng.choice([8.0, 12.0])) for _ in range(rng.randrange(12))] for p in range(100)}
+    pages = spark.createDataFrame([(p, [(k, *i) for k, i in enumerate(x)][::-1]) for p, x in items.items()], "page int, items array<struct<k:int,str:string,x:double,y:double,w:double,h:double>>")
+    found = layout.page_paragraphs(pages, ["page"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in sorted(found.collect()):
+        got.setdefault(r.page, []).append(r.text)
+    assert got == {p: want for p, x in items.items() if (want := [t for t in replay(x) if t])}
+
+
 def test_runs_are_checked(spark):
     runs = spark.createDataFrame([(1, 0, "ab"), (1, 1, "cd"), (2, 0, "x")], "id int, run int, text string")
     edits = spark.createDataFrame([(1, 1, 3, "ZZ")], "id int, start int, end int, replacement string")

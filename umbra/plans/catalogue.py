@@ -770,8 +770,8 @@ def pdf_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
         item(F.lit("a"), 0.0, 20.0, 5.0), item(key, 40.0, 100.5, 30.0), item(F.lit("Order"), 0.0, 100.0, 36.0), item(F.lit("of"), 80.0, 100.0, 10.0), item(F.lit("part 0"), 0.0, 88.0, 30.0), item(F.lit(" "), 31.0, 88.0, 5.0),
         item(F.lit(" and"), 36.0, 88.0, 20.0), item(F.concat(F.lit("Order "), key), 0.0, 60.0, 60.0), item(F.lit("end"), 0.0, 48.0, 15.0), item(F.concat(F.lit("b"), key), 30.0, 16.0, 20.0), item(F.lit("c"), 15.0, last, 5.0), item(F.lit("late"), 60.0, 18.0, 10.0),
     )
-    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(items).alias("k", "i")).select("o_orderkey", "k", "i.*")
-    return layout.paragraphs(rows, ["o_orderkey"]).select("o_orderkey", F.col("paragraph").cast("long").alias("paragraph"), "text")
+    pages = _table(spark, sf_dir, "orders").select("o_orderkey", F.transform(items, lambda i, k: F.struct(k.alias("k"), *(i[c].alias(c) for c in ("str", "x", "y", "w", "h")))).alias("items"))
+    return layout.page_paragraphs(pages, ["o_orderkey"]).select("o_orderkey", F.col("paragraph").cast("long").alias("paragraph"), "text")
 
 
 _MERGED = """(WITH runs AS (SELECT c_custkey, CAST(r AS integer) AS run, CASE r WHEN 0 THEN 'Dear ' || left(c_name, 3) WHEN 1 THEN substr(c_name, 4, 5) ELSE substr(c_name, 9) || ', hi a@b.org!' END AS t FROM customer, (VALUES (0), (1), (2)) x(r)),
