@@ -520,6 +520,24 @@ def test_unlike_paragraphs_of_a_common_shingle_do_not_meet(spark, monkeypatch):
     assert met[1] < met[0] / 3
 
 
+def test_hot_band_values_lose_no_pair(spark, monkeypatch):
+    """Paragraphs that meet in one band only, of a value that many have, are still found: with all of them in one block and in many."""
+    rng = random.Random(31)
+    monkeypatch.setattr(passages, "tuned", lambda *_: (1, 1))  # one band; pairs that meet in it must all be found
+    owns = [" ".join(f"w{rng.randrange(9000)}" for _ in range(7)) for _ in range(120)]
+    cutter = passages.Paragraphs(1, 1)
+    values = lambda c: [cutter.of(f"{o} {c}")[5][0, 0] for o in owns]
+    common = next(c for c in (f"of all that was {k}" for k in range(1000)) if max(collections.Counter(values(c)).values()) > 90)
+    rows = [(2 * k + j, f"{o} {common}{' x' * j}") for k, o in enumerate(owns) for j in (0, 1)]
+    found = []
+    for block in (100_000, 8):
+        got = passages.repeated_passages(docs(spark, rows), min_words=10, block=block).collect()
+        found.append({(r.id, r.start, r.class_id) for r in got})
+    assert found[0] and found[0] <= found[1]
+    classes = collections.Counter(c for _, _, c in found[1])
+    assert set(classes.values()) == {2}
+
+
 def test_edited_passages_are_one_class(spark):
     rng = random.Random(13)
     line = [f"w{rng.randrange(1000)}" for _ in range(60)]

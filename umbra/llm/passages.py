@@ -12,9 +12,11 @@ The first pass over the texts counts band values; a bitmap holds those that occu
 that the bitmap lets through; a full bitmap lets through more, never less: from some 100 M repeated values on it lets more and more through,
 and in the end the second pass sends all paragraphs, in proportion to the texts.
 
-A value that over BLOCK different paragraphs have gets a second row: they meet where the least hash under one of the other permutations,
-of which there is one more than bands, is equal too. Paragraphs that share a common shingle and little else then do not meet. Only ids are
-dealt to where paragraphs meet; shingles are fetched for those that do.
+Paragraphs of a value that over BLOCK different ones have meet by prefixes, which lose no pair: shingles have one order, those that many of
+these paragraphs have come last; of n and m distinct shingles, two that are as similar as asked have common ones, the first of which is among
+the first n - ceil(similarity * n) + 1 of either, and the second among one more. A shingle that stands in over BLOCK such prefixes is taken with a
+second one. Paragraphs that share a common shingle and little else then do not meet. What is still large is compared in all pairs of blocks.
+Only ids are dealt to where paragraphs meet; shingles are fetched for those that do.
 """
 
 from __future__ import annotations
@@ -54,13 +56,10 @@ class Paragraphs:
     """Cuts texts into paragraphs and gives their shingles and band values."""
 
     def __init__(self, bands: int, rows: int):
-        self.memo, self.bands, self.rows, self.salts = _Hashes(), bands, rows, _salts((bands + 1) * rows)
+        self.memo, self.bands, self.rows, self.salts = _Hashes(), bands, rows, _salts(bands * rows)
 
     def of(self, text: str | None, named: bool = True):
-        """(first word, word after the last, ids, shingle hashes, first shingle of each, band values and one more) of the text, or None.
-
-        Without `named` there are no ids and no value more.
-        """
+        """(first word, word after the last, ids, shingle hashes, first shingle of each, band values) of the text, or None; without `named` no ids."""
         data = (text or "").encode("utf-8", "surrogatepass").lower()
         words = data.split()
         if not words:
@@ -97,7 +96,7 @@ class Paragraphs:
         shingles = whole[np.minimum(at, max(len(whole) - 1, 0))] if len(whole) else np.zeros(len(at), np.uint64)
         for k in np.flatnonzero(last - first < SHINGLE).tolist():
             shingles[start[k]] = run_hashes(h[first[k] : last[k]], int(last[k] - first[k]))[0] + np.uint64(last[k] - first[k])
-        return first, last, self._ids(shingles, start, many) if named else None, shingles, start, self._values(shingles, start, self.bands + named)
+        return first, last, self._ids(shingles, start, many) if named else None, shingles, start, self._values(shingles, start)
 
     @staticmethod
     def _ids(shingles: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -107,9 +106,9 @@ class Paragraphs:
         spread = (spread ^ (spread >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         return np.add.reduceat(spread ^ (spread >> np.uint64(32)), start) + many.astype(np.uint64)
 
-    def _values(self, shingles: np.ndarray, start: np.ndarray, bands: int) -> np.ndarray:
-        values = np.empty((bands, len(start)), np.uint64)
-        for b in range(bands):
+    def _values(self, shingles: np.ndarray, start: np.ndarray) -> np.ndarray:
+        values = np.empty((self.bands, len(start)), np.uint64)
+        for b in range(self.bands):
             value = np.full(len(start), b + 1, np.uint64)
             for salt in self.salts[b * self.rows : (b + 1) * self.rows]:
                 x = shingles ^ salt
@@ -128,6 +127,44 @@ class Paragraphs:
         return points[edge[::2]], points[edge[1::2]]
 
 
+def _prefixed(crowded: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(pid, v): any two of crowded(pid, shingles) that are as similar as asked have a v in common.
+
+    v is a shingle of the prefix, or where that stands in over `block` prefixes, a hash of it and of a later one; where one common shingle may
+    be enough, of it and itself too.
+    """
+    each = pa.schema([("v", pa.int64())])
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                held = [np.unique(np.frombuffer(s.as_py(), np.uint64)) for s in batch.column(0)[k : k + 1024]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], schema=each)
+
+    counted = crowded.select("shingles").mapInArrow(distinct, "v long").groupBy("v").agg(F.count("*").alias("n"))
+    last = crowded.sparkSession.sparkContext.broadcast(bitmap(stage(counted.filter(F.col("n") > block).select("v"), "common")))
+    schema = pa.schema([("pid", pa.int64()), ("v", pa.int64()), ("later", pa.list_(pa.int64()))])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[int]]]:
+            for pid, shingles in rows_of(batch):
+                own = np.unique(np.frombuffer(shingles, np.uint64))
+                late = within(own, last.value)
+                need = int(np.ceil(similarity * len(own) - 1e-9))
+                most = len(own) - need + 1
+                ahead = np.concatenate((own[~late], own[late]))[: most + 1].view(np.int64).tolist()
+                for k in range(min(most, len(own))):
+                    yield pid, ahead[k], ahead[k + 1 :] + ahead[k : k + (need < 2)]
+
+        for batch in batches:
+            yield from in_chunks(rows(batch), schema)
+
+    placed = stage(crowded.mapInArrow(prefixes, "pid long, v long, later array<long>"), "prefixes")
+    hot = stage(placed.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("v", F.lit(True).alias("hot")), "hot")
+    second = F.transform("later", lambda w: F.xxhash64("v", w))
+    return placed.join(hot, "v", "left").select("pid", F.explode(F.when(F.col("hot"), second).otherwise(F.array("v"))).alias("v"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.99, min_words: int = MIN_WORDS, bits: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row per copied paragraph that stands in a long enough run of them: id, start, end (code points), n_words, class_id, first_id, removed.
 
@@ -166,7 +203,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if (found := cutter.of(text)) is None:
                 return None
             first, last, ids, shingles, start, v = found
-            k = np.flatnonzero(within(v[:bands], repeated).any(axis=0))
+            k = np.flatnonzero(within(v, repeated).any(axis=0))
             if not len(k):
                 return None
             a, b = Paragraphs.offsets(text)
@@ -176,7 +213,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         def batch_of(held: list[tuple]) -> pa.RecordBatch:
             i, k, a, b, n, pid, v, size, shingles = (np.concatenate(c) for c in zip(*held, strict=True))
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype=np.int32) * (bands + 1)), pa.array(v))
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype=np.int32) * bands), pa.array(v))
             ends = np.concatenate(([0], np.cumsum(size * 8))).astype(np.int32)
             raw = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(shingles.tobytes())])
             return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k.astype(np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(pid), listed, raw], schema=schema)
@@ -197,10 +234,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         found = stage(named.mapInArrow(candidates, "id long, ord int, start long, end long, n_words int, pid long, bands array<long>, shingles binary"), "candidates")
         texts = stage(found.groupBy("pid").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.any_value("bands").alias("bands"), F.any_value("shingles").alias("shingles")), "paragraphs")
         keys = ["v", "x", "y"]
-        banded = texts.select("pid", F.posexplode(F.slice("bands", 1, bands)).alias("b", "v"), "bands")
+        banded = texts.select("pid", F.explode("bands").alias("v"))
         sizes = stage(banded.groupBy("v").agg(F.count("*").alias("_n")).filter("_n > 1"), "sizes")
-        others = F.filter(F.transform("bands", lambda w, j: F.when(j != F.col("b"), F.xxhash64("v", j, w))), lambda k: k.isNotNull())
-        keyed = banded.join(sizes, "v").select("pid", F.explode(F.when(F.col("_n") <= block, F.array("v")).otherwise(others)).alias("v"))
+        valued = stage(banded.join(sizes, "v").select("pid", "v", (F.col("_n") > block).alias("hot")), "valued")
+        crowded = stage(texts.join(valued.filter("hot").select("pid").distinct(), "pid", "left_semi").select("pid", "shingles"), "crowded")
+        keyed = valued.filter("not hot").select("pid", "v").unionByName(_prefixed(crowded, similarity, block))
         meet = blocked(keyed, ["v"], "pid", block).join(texts.select("pid", "shingles"), "pid")
         out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
