@@ -538,6 +538,23 @@ def test_hot_band_values_lose_no_pair(spark, monkeypatch):
     assert set(classes.values()) == {2}
 
 
+def test_texts_cut_together_are_cut_as_one_by_one():
+    rng = random.Random(32)
+    pieces = ["a ", "a a a a a a a a a ", "Bb ", "one two three four five six seven\n", "\n", "é 漢 ", "x\ty ", "\x85 ", "\r\n", " ".join(f"w{k}" for k in range(40)) + " "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(60)] + [None]
+    cutter = passages.Paragraphs(3, 1)
+    data, text, first, last, ids, shingles, start, values = cutter.of_several(texts)
+    begin, end = cutter.offsets(data)
+    many, upto = [len(d.split()) for d in data], 0
+    for k, t in enumerate(texts):
+        own, alone = text == k, cutter.of(t)
+        if alone is not None:
+            assert (first[own] - upto).tolist() == alone[0].tolist() and ids[own].tolist() == alone[2].tolist() and values[:, own].tolist() == alone[5].tolist()
+            spans = [m.span() for m in re.finditer("[^\x20\x09-\x0d]+", t)]
+            assert list(zip(begin[upto : upto + many[k]].tolist(), end[upto : upto + many[k]].tolist(), strict=True)) == spans
+        upto += many[k]
+
+
 def test_edited_passages_are_one_class(spark):
     rng = random.Random(13)
     line = [f"w{rng.randrange(1000)}" for _ in range(60)]

@@ -39,6 +39,8 @@ from .simhash import blocked
 REACH, SHINGLE, MIN_WORDS = 6, 5, 16
 #: Paragraphs of a band value that meet in one task as they are.
 BLOCK = 256
+#: Characters of texts that are cut at once.
+TOGETHER = 1 << 17
 
 
 def tuned(similarity: float, recall: float, most: int = 64) -> tuple[int, int]:
@@ -60,43 +62,55 @@ class Paragraphs:
 
     def of(self, text: str | None, named: bool = True):
         """(first word, word after the last, ids, shingle hashes, first shingle of each, band values) of the text, or None; without `named` no ids."""
-        data = (text or "").encode("utf-8", "surrogatepass").lower()
-        words = data.split()
-        if not words:
+        return found[2:] if (found := self.of_several([text], named)) is not None else None
+
+    def of_several(self, texts: list[str | None], named: bool = True):
+        """(texts' bytes, number of text of each paragraph), and of() with words numbered from the first text on, or None: all texts at once."""
+        data = [(text or "").encode("utf-8", "surrogatepass").lower() for text in texts]
+        split = [d.split() for d in data]
+        many = np.array([len(words) for words in split])
+        n = int(many.sum())
+        if not n:
             return None
-        raw = np.frombuffer(data, np.uint8)
+        raw = np.frombuffer(b"\n".join(data), np.uint8)
         blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
         begin = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
-        line = np.unique(np.concatenate(([0], np.cumsum(raw == 10)))[begin], return_inverse=True)[1]
-        short = np.bincount(line) < SHINGLE
-        line = np.cumsum(~(short & np.concatenate(([False], short[:-1]))))[line]  # short lines in a row are one
-        h = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
+        text = np.repeat(np.arange(len(data)), many)
+        # every text ends its last line
+        number = np.cumsum(raw == 10)[begin]
+        line = np.concatenate(([0], np.cumsum(number[1:] != number[:-1])))
+        opens = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+        short = np.diff(np.append(opens, n)) < SHINGLE
+        joined = short[1:] & short[:-1] & (text[opens][1:] == text[opens][:-1])
+        line = np.cumsum(np.concatenate(([True], ~joined)))[line]  # short lines in a row are one
+        h = np.fromiter(map(self.memo.__getitem__, itertools.chain.from_iterable(split)), np.uint64, n)
         cut = np.concatenate(([True], line[1:] != line[:-1]))
         pairs = run_hashes(h, 2)
         if len(pairs) > 2 * REACH:
+            behind = _least(pairs, REACH)
             least = _least(pairs, 2 * REACH + 1)
-            inner = np.zeros(len(words), bool)
-            here = pairs[REACH : REACH + len(least)]
             # of equal ones only the first: a word said over and over is no place to cut
-            inner[REACH : REACH + len(least)] = (here == least) & (here < _least(pairs, REACH)[: len(least)])
-            # a place whose window reaches over a line's end is no cut: the line end is
-            reach = line[np.minimum(np.arange(len(words)) + REACH, len(words) - 1)] == line[np.maximum(np.arange(len(words)) - REACH, 0)]
-            cut |= inner & reach
-        runs = np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h))
+            inner = (pairs[REACH : REACH + len(least)] == least) & (least < behind[: len(least)])
+            # a place whose window reaches over a line's or a text's end is no cut: that end is
+            at = np.flatnonzero(inner)
+            cut[at[(line[at] == line[at + 2 * REACH]) & (text[at] == text[at + 2 * REACH + 1])] + REACH] = True
+        first_of_text = np.concatenate(([True], text[1:] != text[:-1]))
+        runs = np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])) | first_of_text), n)
         long = np.flatnonzero(np.diff(runs) > REACH)  # a word said over and over is a paragraph, however often
         cut[runs[long]] = True
-        cut[runs[long + 1][runs[long + 1] < len(h)]] = True
+        cut[runs[long + 1][runs[long + 1] < n]] = True
         first = np.flatnonzero(cut)
-        last = np.append(first[1:], len(words))
+        last = np.append(first[1:], n)
         # shingles stay inside their paragraph; one of fewer words than a shingle is a shingle itself
-        many = np.maximum(last - first - SHINGLE + 1, 1)
-        start = np.concatenate(([0], np.cumsum(many)[:-1]))
+        size = np.maximum(last - first - SHINGLE + 1, 1)
+        start = np.concatenate(([0], np.cumsum(size)[:-1]))
         whole = run_hashes(h, SHINGLE)
-        at = np.repeat(first - start, many) + np.arange(many.sum())
+        at = np.repeat(first - start, size) + np.arange(size.sum())
         shingles = whole[np.minimum(at, max(len(whole) - 1, 0))] if len(whole) else np.zeros(len(at), np.uint64)
-        for k in np.flatnonzero(last - first < SHINGLE).tolist():
-            shingles[start[k]] = run_hashes(h[first[k] : last[k]], int(last[k] - first[k]))[0] + np.uint64(last[k] - first[k])
-        return first, last, self._ids(shingles, start, many) if named else None, shingles, start, self._values(shingles, start)
+        for k in range(1, SHINGLE):
+            few = np.flatnonzero(last - first == k)
+            shingles[start[few]] = run_hashes(h, k)[first[few]] + np.uint64(k)
+        return data, text[first], first, last, self._ids(shingles, start, size) if named else None, shingles, start, self._values(shingles, start)
 
     @staticmethod
     def _ids(shingles: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -118,13 +132,18 @@ class Paragraphs:
         return values
 
     @staticmethod
-    def offsets(text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each word, in code points."""
-        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        blank = np.concatenate(([True], (data == 32) | ((data >= 9) & (data <= 13)), [True]))
-        points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    def offsets(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each word of several texts, in code points of its text."""
+        raw = np.frombuffer(b"\n".join(data), np.uint8)
+        blank = np.concatenate(([True], (raw == 32) | ((raw >= 9) & (raw <= 13)), [True]))
         edge = np.flatnonzero(blank[1:] != blank[:-1])
-        return points[edge[::2]], points[edge[1::2]]
+        begin, end = edge[::2], edge[1::2]
+        front = np.concatenate(([0], np.cumsum([len(d) + 1 for d in data])))
+        own = front[np.searchsorted(front, begin, side="right") - 1]  # where the word's text begins
+        if raw.max(initial=0) < 128:
+            return begin - own, end - own
+        points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        return points[begin] - points[own], points[end] - points[own]
 
 
 def _prefixed(crowded: DataFrame, similarity: float, block: int) -> DataFrame:
@@ -177,18 +196,24 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     value_schema = pa.schema([("v", pa.int64())])
 
+    def together(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+        """Rows, their text last, in groups of some TOGETHER characters."""
+        held, many = [], 0
+        for row in rows:
+            held.append(row)
+            many += len(row[-1])
+            if many >= TOGETHER:
+                yield held
+                held, many = [], 0
+        if held:
+            yield held
+
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Paragraphs(bands, rows)
         for batch in batches:
-            held = []
-            for value in batch.column(0):
-                if (found := cutter.of(value.as_py(), named=False)) is not None:
-                    held.append(found[5].ravel())
-                    if len(held) >= 512:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], schema=value_schema)
-                        held = []
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], schema=value_schema)
+            for texts in together(rows_of(batch)):
+                if (found := cutter.of_several([t for (t,) in texts], named=False)) is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(found[7].ravel().view(np.int64))], schema=value_schema)
 
     counted = named.select("text").mapInArrow(values, "v long").groupBy("v").agg(F.count("*").alias("n"))
     with passing():
@@ -198,37 +223,27 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, repeated = Paragraphs(bands, rows), sent.value
 
-        def columns(i: int, text: str) -> tuple | None:
-            """Columns of the text's paragraphs that the bitmap lets through."""
-            if (found := cutter.of(text)) is None:
+        def batch_of(group: list[tuple[int, str]]) -> pa.RecordBatch | None:
+            """The texts' paragraphs that the bitmap lets through."""
+            if (found := cutter.of_several([t for _, t in group])) is None:
                 return None
-            first, last, ids, shingles, start, v = found
-            k = np.flatnonzero(within(v, repeated).any(axis=0))
+            data, text, first, last, ids, shingles, start, v = found
+            k = np.flatnonzero(within(v.ravel(), repeated).reshape(v.shape).any(axis=0))
             if not len(k):
                 return None
-            a, b = Paragraphs.offsets(text)
+            a, b = Paragraphs.offsets(data)
             size = np.diff(np.append(start, len(shingles)))[k]
             at = np.repeat(start[k] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            return np.full(len(k), i), k, a[first[k]], b[last[k] - 1], (last - first)[k], ids[k].view(np.int64), v[:, k].T.ravel().view(np.int64), size, shingles[at]
-
-        def batch_of(held: list[tuple]) -> pa.RecordBatch:
-            i, k, a, b, n, pid, v, size, shingles = (np.concatenate(c) for c in zip(*held, strict=True))
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype=np.int32) * bands), pa.array(v))
+            i, ords = np.array([i for i, _ in group])[text[k]], k - np.searchsorted(text, text[k])
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * bands), pa.array(v[:, k].T.ravel().view(np.int64)))
             ends = np.concatenate(([0], np.cumsum(size * 8))).astype(np.int32)
-            raw = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(shingles.tobytes())])
-            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k.astype(np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(pid), listed, raw], schema=schema)
+            raw = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(shingles[at].tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(ords.astype(np.int32)), pa.array(a[first[k]].astype(np.int64)), pa.array(b[last[k] - 1].astype(np.int64)), pa.array((last - first)[k].astype(np.int32)), pa.array(ids[k].view(np.int64)), listed, raw], schema=schema)
 
         for batch in batches:
-            held, many = [], 0
-            for i, text in rows_of(batch):
-                if (found := columns(i, text)) is not None:
-                    held.append(found)
-                    many += len(found[0])
-                    if many >= 8192:
-                        yield batch_of(held)
-                        held, many = [], 0
-            if held:
-                yield batch_of(held)
+            for group in together(rows_of(batch)):
+                if (found := batch_of(group)) is not None:
+                    yield found
 
     with passing() as keep:
         found = stage(named.mapInArrow(candidates, "id long, ord int, start long, end long, n_words int, pid long, bands array<long>, shingles binary"), "candidates")
