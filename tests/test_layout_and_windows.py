@@ -178,3 +178,10 @@ def test_reports_are_rendered(spark):
     got = dict(report.restore_markdown(docs, back, ["id"]).collect())
     assert "| ⟦P-BBBBB⟧ | PERSON | 3 |" in got[1] and "- ⟦P-CCCCC⟧ (PERSON)" in got[1] and "Unknown" not in got[1]
     assert got[2].splitlines()[2:6] == ["## Unknown tokens", "", "| token | occurrences |", "|---|---:|"] and got[2].endswith("## Missing tokens\n\nnone\n")
+
+
+def test_split_windows_of_null_texts_and_counts(spark):
+    rows = [(1, "a b", [1, 1]), (2, None, [1]), (3, "a", None), (4, "", [])]
+    frame = spark.createDataFrame(rows, "id long, text string, counts array<int>").coalesce(1)
+    got = {r.id: r.w and [tuple(x) for x in r.w] for r in frame.select("id", ner.split_windows(F.col("text"), F.col("counts")).alias("w")).collect()}
+    assert got == {1: [(0, 3, 0, 3)], 2: None, 3: None, 4: [(0, 0, 0, 0)]}

@@ -7,10 +7,13 @@ no weights.
 from __future__ import annotations
 
 import itertools
+from array import array
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,8 +117,8 @@ def split_windows(text: Column, counts: Column, budget: int = PIECES, size: int
     left out. All levels are cut in one pass over a text, by sums of counts up to each word. In order of start, then longest first.
     """
 
-    @F.pandas_udf("array<struct<start:int,end:int,core_start:int,core_end:int>>")
-    def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<struct<start:int,end:int,core_start:int,core_end:int>>")
+    def cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
         word = regex.compile(r"[^\s\ufeff]+")
 
         def of(t: str, each: Sequence[int]) -> list[tuple[int, int, int, int]]:
@@ -137,7 +140,19 @@ def split_windows(text: Column, counts: Column, budget: int = PIECES, size: int
                         out.append((start, stop, core, until))
             return sorted(out, key=lambda w: (w[0], -w[1], w[2]))
 
-        return pd.Series([None if t is None or c is None else of(t, c) for t, c in zip(texts, lists, strict=True)], dtype=object)
+        # one text at a time is held as Python values, its windows as plain numbers
+        values, offsets = [array("i") for _ in range(4)], array("i", [0])
+        none = []
+        for t, c in zip(texts, lists, strict=True):
+            none.append(not (t.is_valid and c.is_valid))
+            if not none[-1]:
+                for window in of(t.as_py(), c.as_py()):
+                    for column, x in zip(values, window, strict=True):
+                        column.append(x)
+            offsets.append(len(values[0]))
+        names = ["start", "end", "core_start", "core_end"]
+        structs = pa.StructArray.from_arrays([pa.array(np.array(v, np.int32)) for v in values], names)
+        return pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), structs, mask=pa.array(none, pa.bool_()))
 
     return cut(text, counts)
 
