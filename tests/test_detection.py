@@ -119,3 +119,9 @@ def test_long_lists_of_names_find_what_short_ones_do(spark):
     known = spark.createDataFrame([(t,) for t in [*terms, None, " "]], "term string")
     long = {r.id: r.names for r in detect.names_detections(texts, known, ["id"]).collect()}
     assert short == long and (2, 5) in [(d.start, d.end) for d in long[901]]
+
+
+def test_words_of_ascii_fold_as_others_do(spark):
+    words = ["", "Abc", "I1_x", "İx", "ıX", "Straße", "STRASSE", "ΑΣ", "ας", "É", "e\u0301"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select(detect._folded_word(F.col("w")).alias("a"), detect._folded(F.col("w")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
