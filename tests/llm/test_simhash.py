@@ -175,3 +175,25 @@ def test_a_large_group_of_near_copies_meets_in_few_pairs(spark, monkeypatch):
                 root = [min(ra, rb) if x in (ra, rb) else x for x in root]
     assert [got[k] for k in range(240)] == root and got[900] == 900
     assert sum(met) < 240 * 239 / 4
+
+
+def test_stars_read_large_buckets_only_and_places_are_dealt_once(spark, monkeypatch):
+    """Places were counted, joined and sent anew for each turn of stars, small buckets with them."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(10):  # pairs of near copies that no large bucket holds
+        base = [f"p{k}x{rng.randrange(10**6)}" for _ in range(120)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:60], "other", *base[61:]]))]
+    large = [f"w{k}" for k in range(120)]
+    copies = [(1000 + k, " ".join([*large[: 3 * k], f"n{k}", *large[3 * k + 1 :]])) for k in range(40)]
+    dealt, turns, one_stage, candidates = [], [], similar.stage, similar._candidates
+
+    def told(rows, similarity, which, *rest):
+        turns.append((which, rows.select("node").distinct().count()))
+        return candidates(rows, similarity, which, *rest)
+
+    monkeypatch.setattr(similar, "stage", lambda df, name: dealt.append(name) or one_stage(df, name))
+    monkeypatch.setattr(similar, "_candidates", told)
+    got = {r.id: r.group for r in similar.similar_groups(spark.createDataFrame(rows + copies, "doc_id long, text string"), radius=0, block=8).collect()}
+    assert got == {k: k - k % 2 for k in range(20)} | {1000 + k: 1000 for k in range(40)}
+    assert turns[0] == ("star", 40) and dealt.count("sizes") <= 2

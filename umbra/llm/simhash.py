@@ -19,7 +19,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_chunks, passing, rows_of, stage
@@ -177,6 +177,13 @@ def probes(distinct: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
     return distinct.select("fp").mapInArrow(run, "part int, sig long, fp long")
 
 
+def block_pairs(cut: str, own: str) -> Column:
+    """(x, y) of each pair of `cut` blocks that has the block `own`."""
+    return F.when(F.col(cut) == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col(cut) - 1), lambda o: F.struct(F.least(o, own).alias("x"), F.greatest(o, own).alias("y")))
+    )
+
+
 def blocked(rows: DataFrame, keys: list[str], by: str, block: int) -> DataFrame:
     """Adds x and y: buckets of over `block` rows are cut by a hash of `by`, and a row goes to each pair that has its block.
 
@@ -186,10 +193,7 @@ def blocked(rows: DataFrame, keys: list[str], by: str, block: int) -> DataFrame:
     size = stage(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1"), "sizes")
     cut = F.ceil(F.col("_n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64(by), F.col("_k").cast("long")).cast("int")
-    pairs = F.when(F.col("_k") == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda o: F.struct(F.least(o, "_b").alias("x"), F.greatest(o, "_b").alias("y")))
-    )
-    return rows.join(size, keys).withColumn("_k", cut).withColumn("_b", own).withColumn("_xy", F.explode(pairs)).select(*rows.columns, "_xy.x", "_xy.y")
+    return rows.join(size, keys).withColumn("_k", cut).withColumn("_b", own).withColumn("_xy", F.explode(block_pairs("_k", "_b"))).select(*rows.columns, "_xy.x", "_xy.y")
 
 
 def forest(values: np.ndarray, radius: int) -> Iterator[tuple[np.uint64, np.ndarray]]:

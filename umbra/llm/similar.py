@@ -9,7 +9,7 @@ prefixes of several groups are sent on.
 Each text has sketches: bit j is the parity of its shingles that hash to j. Two texts of a and b shingles and the asked similarity s
 differ in at most (a + b)(1 - s)/(1 + s) shingles, so in at most as many bits; what is beyond is no pair, and no pair is lost. A
 sketch of 256 bits goes with each place of a prefix, one of at least 4 bits a shingle stays with the text and is looked at before
-whole texts are. First some texts of a bucket are checked against its others, again with other ones for as long as many groups join by that,
+whole texts are. First some texts of a large bucket are checked against its others, again with other ones for as long as many groups join by that,
 so that large groups of near copies join by pairs in proportion to their texts, not to the square of that. Then one pair of any two groups that are
 left is checked; where that pair fails and others met, all others are checked in a last round.
 
@@ -30,7 +30,7 @@ from .bitmaps import bitmap, within
 from .common import drop_stage, forget_shuffles, in_chunks, passing, rows_of, stage
 from .components import connected_components
 from .decontaminate import _Hashes, run_hashes
-from .simhash import blocked, links, majority_bits, signed, words_of
+from .simhash import block_pairs, links, majority_bits, signed, words_of
 
 #: One text of so many is looked at for shingles that are often used.
 SAMPLE = 32
@@ -124,9 +124,18 @@ def _first(name: str, of: str = ""):
     return F.min(F.struct(*(F.col(of + c).alias(c) for c in ROW))).alias(name)
 
 
-def _sketched(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose whole sketches leave room for the similarity."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("whole").alias(f"w{x}"))
+def _sketched(wholes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose whole sketches leave room for the similarity. Only sketches that a bitmap of the pairs' texts lets through are sent."""
+    with passing():
+        asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "asked")
+        sent = wholes.sparkSession.sparkContext.broadcast(bitmap(asked))
+
+    def let(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(within(batch.column(0).to_numpy().view(np.uint64), sent.value)))
+
+    held = wholes.mapInArrow(let, wholes.schema)
+    side = lambda x: held.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("whole").alias(f"w{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("ga", "gb", "a", "b", "more", "na", "nb", "wa", "wb")
     out = pa.schema([(k, pa.int64()) for k in ("ga", "gb", "a", "b")] + [("more", pa.bool_()), ("fits", pa.bool_())])
 
@@ -182,14 +191,28 @@ def _checked(named: DataFrame, texts: DataFrame, pairs: DataFrame, size: int, si
     return found
 
 
-def _candidates(rows: DataFrame, similarity: float, block: int, which: str, turn: int = 0) -> DataFrame:
-    """(ga, gb, a, b, more): pairs of texts of different groups ga < gb that meet in a prefix and may be similar.
+def _dealt(rows: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Adds band, guest and cut to rows(h, place, n, node, group, sketch), the places of prefixes: the bucket of a row and the number of its blocks.
+
+    A shingle in over `block` prefixes is split by size: texts are as similar as asked only if their sizes are, so each goes to the band of
+    its own size and as a guest to the next larger one, where guests do not meet guests. What is still large is dealt by blocks of `block`
+    rows; cut is 0 in buckets of at most SMALL rows. Counts are combined before they are shuffled, and stored, so that Spark can split a hot
+    bucket's rows in the join.
+    """
+    hot = stage(rows.groupBy("h").agg(F.count("*").alias("_n")).filter(F.col("_n") > block).select("h", F.lit(True).alias("_hot")), "hot")  # few: at most a row for each `block` rows
+    band, one = F.floor(F.log(F.col("n").cast("double")) / (1e-9 - np.log(similarity))).cast("long"), lambda b, g: F.struct(b.alias("band"), F.lit(g).alias("guest"))
+    bands = F.when(F.col("_hot"), F.array(one(band, False), one(band + 1, True))).otherwise(F.array(one(F.lit(-1).cast("long"), False)))
+    rows = rows.join(hot, "h", "left").withColumn("_d", F.explode(bands)).select("h", "_d.band", "place", "n", "_d.guest", "node", "group", *_SKETCHES)
+    size = rows.groupBy("h", "band").agg(F.count("*").alias("_n")).filter(F.col("_n") > SMALL)
+    size = stage(size.select("h", "band", F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_cut")), "sizes")
+    return rows.join(size, ["h", "band"], "left").withColumn("cut", F.coalesce("_cut", F.lit(0))).drop("_cut")
+
 
-    which: "star", those of LEADERS texts of each bucket, others at each turn; "one", one of any two groups, and whether more met; "every", every one.
+def _candidates(dealt: DataFrame, similarity: float, which: str, turn: int = 0) -> DataFrame:
+    """(ga, gb, a, b, more): pairs of texts of different groups ga < gb that meet in a prefix and may be similar.
 
-    rows(h, place, n, node, group, sketch): the places of prefixes. A shingle in over `block` prefixes is split by size: texts are as
-    similar as asked only if their sizes are, so each goes to the band of its own size and as a guest to the next larger one, where guests
-    do not meet guests. What is still large is dealt by blocks.
+    which: "star", those of LEADERS texts of each bucket of over SMALL rows, others at each turn; "one", one of any two groups, and whether more
+    met; "every", every one. dealt: see _dealt.
     """
     keys, out = ["h", "band", "x", "y"], pa.schema([(k, pa.int64()) for k in ("ga", "gb", "a", "b")] + [("more", pa.bool_())])
     every = which == "every"
@@ -283,12 +306,12 @@ def _candidates(rows: DataFrame, similarity: float, block: int, which: str, turn
         if held is not None:
             yield from buckets(np.zeros(len(held[0]), int), held[len(keys) :])
 
-    hot = stage(rows.groupBy("h").agg(F.count("*").alias("_n")).filter(F.col("_n") > block).select("h", F.lit(True).alias("_hot")), "hot")  # few: at most a row for each `block` rows
-    band, one = F.floor(F.log(F.col("n").cast("double")) / (1e-9 - np.log(similarity))).cast("long"), lambda b, g: F.struct(b.alias("band"), F.lit(g).alias("guest"))
-    bands = F.when(F.col("_hot"), F.array(one(band, False), one(band + 1, True))).otherwise(F.array(one(F.lit(-1).cast("long"), False)))
-    rows = rows.join(hot, "h", "left").withColumn("_d", F.explode(bands)).select("h", "_d.band", "place", "n", "_d.guest", "node", "group", *_SKETCHES)
-    dealt = blocked(rows, ["h", "band"], "node", block).select(*keys, "place", "n", "guest", "node", "group", *_SKETCHES)
-    dealt = dealt.filter("x = y") if which == "star" else dealt  # a block has its own star
+    rows = dealt.withColumn("_k", F.greatest("cut", F.lit(1))).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_k").cast("long")).cast("int"))
+    if which == "star":  # a block has its own star
+        rows = rows.filter("cut > 0").withColumn("_xy", F.struct(F.col("_b").alias("x"), F.col("_b").alias("y")))
+    else:
+        rows = rows.withColumn("_xy", F.explode(block_pairs("_k", "_b")))
+    dealt = rows.select("h", "band", "_xy.x", "_xy.y", "place", "n", "guest", "node", "group", *_SKETCHES)
     found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "ga long, gb long, a long, b long, more boolean")
     if which != "one":
         return found.distinct()
@@ -301,14 +324,21 @@ def _regrouped(df: DataFrame, moved: DataFrame, name: str = "group") -> DataFram
     return df.join(to, name, "left").withColumn(name, F.coalesce("_to", name)).select(*df.columns)
 
 
+def _replaced(before: DataFrame, after: DataFrame) -> DataFrame:
+    """after, stored in place of before."""
+    after = stage(after, "places")
+    drop_stage(before)
+    return after
+
+
 def _grouped(named: DataFrame, size: int, similarity: float, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """prints (see _printed) of the rows of named, and (node, first, group) of each distinct text."""
+    """(none, id, raw, node) of the rows of named, and (node, first, group) of each distinct text."""
     with passing() as keep:
-        prints, groups = _prints_and_groups(named, size, similarity, radius, block)
-        return keep(prints), keep(groups)
+        nodes, groups = _nodes_and_groups(named, size, similarity, radius, block)
+        return keep(nodes), keep(groups)
 
 
-def _prints_and_groups(named: DataFrame, size: int, similarity: float, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
+def _nodes_and_groups(named: DataFrame, size: int, similarity: float, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
     spark = named.sparkSession
     prints = stage(_printed(named, size, similarity), "prints")
     texts = stage(prints.groupBy("node").agg(_first("first"), F.any_value("fp").alias("fp")), "texts")
@@ -322,6 +352,9 @@ def _prints_and_groups(named: DataFrame, size: int, similarity: float, radius: i
     keys = ["node", *ROW]
     sets = prints.join(groups.select("node", "first.*", "group").hint("merge"), keys).select(*keys, "group", "n", *_SKETCHES, "whole", "prefix").dropDuplicates(keys).drop(*ROW)
     sets = stage(sets, "sets")
+    nodes = stage(prints.select(*ROW, "node"), "nodes")
+    drop_stage(prints)
+    forget_shuffles(spark)
     mixed = sets.select("group", F.explode("prefix").alias("v")).groupBy("v").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
     mixed = stage(mixed.select("v"), "mixed")
     sent = spark.sparkContext.broadcast(bitmap(mixed))
@@ -341,9 +374,16 @@ def _prints_and_groups(named: DataFrame, size: int, similarity: float, radius: i
             yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array((keep - offsets[row]).astype(np.int32)), *others], names=fields)
 
     rows = stage(sets.drop("whole").mapInArrow(let, "h long, place int, n int, node long, group long, " + ", ".join(f"{s} long" for s in _SKETCHES)), "places")
-    which, turn = "star", 0
+    wholes = stage(sets.select("node", "n", "whole"), "wholes")
+    drop_stage(sets)
+    rows = _replaced(rows, _dealt(rows, similarity, block))
+    forget_shuffles(spark)
+    # stars are for large buckets alone: what meets elsewhere is at most SMALL / 2 pairs for each row, and waits for the turn after them
+    large, turn = rows.filter("cut > 0"), 0
+    which = "one" if large.isEmpty() else "star"
     while True:
-        pairs = stage(_sketched(sets, stage(_candidates(rows, similarity, block, which, turn), "met"), similarity), "pairs")
+        met = _candidates(large if which == "star" else rows, similarity, which, turn)
+        pairs = stage(_sketched(wholes, stage(met, "met"), similarity), "pairs")
         similar = _checked(named, texts, pairs.filter("fits"), size, similarity).withColumn("similar", F.lit(True))
         known = stage(pairs.join(similar, ["a", "b"], "left"), "known")
         moved = stage(connected_components(known.filter("similar").select(F.col("ga").alias("a"), F.col("gb").alias("b"))), "moved")
@@ -352,9 +392,11 @@ def _prints_and_groups(named: DataFrame, size: int, similarity: float, radius: i
             break
         if which == "star":
             many = pairs.filter("fits").select(F.explode(F.array("ga", "gb"))).distinct().count()
-            which, turn = "star" if moved.count() * JOINING > many else "one", turn + 1
-            before, rows = rows, stage(_regrouped(rows, moved).select(*fields), "places")
-            drop_stage(before)
+            if moved.count() * JOINING > many:
+                large, turn = _replaced(large, _regrouped(large, moved)), turn + 1
+            else:
+                drop_stage(large)
+                rows, which = _replaced(rows, rows.drop("group").join(groups.select("node", "group"), "node")), "one"
             continue
         which = "every"
         # groups of which one pair failed and others met
@@ -363,8 +405,9 @@ def _prints_and_groups(named: DataFrame, size: int, similarity: float, radius: i
         still = stage(still.select(F.explode(F.array("ga", "gb")).alias("group")).distinct(), "still")
         if still.isEmpty():
             break
-        rows = stage(_regrouped(rows, moved).join(still, "group", "left_semi").select(*fields), "places")
-    return prints, groups
+        left = _regrouped(rows.filter("not guest").select(*fields), moved).join(still, "group", "left_semi").select(*fields)
+        rows = stage(_dealt(stage(left, "places"), similarity, block), "places")
+    return nodes, groups
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 7, block: int = 1024) -> DataFrame:
@@ -374,11 +417,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told apart by their texts. Rows with a null id count as after all others: their group has a null id only if all its rows do.
     Very long texts are compared whole. Repeated rows stay repeated; empty tables stay empty; other columns are not read.
     """
-    prints, groups = _grouped(_keyed(docs, id_col, text_col), shingle, similarity, radius, block)
+    nodes, groups = _grouped(_keyed(docs, id_col, text_col), shingle, similarity, radius, block)
     least = groups.groupBy("group").agg(_first("least", "first."))
     of = stage(groups.join(least, "group").select("node", F.when(~F.col("least.none"), F.col("least.id")).alias("group")), "classes")
     drop_stage(groups)
-    return prints.join(of, "node").select(F.when(~F.col("none"), F.col("id")).alias("id"), "group")
+    return nodes.join(of, "node").select(F.when(~F.col("none"), F.col("id")).alias("id"), "group")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 7, block: int = 1024) -> DataFrame:
@@ -388,9 +431,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id and text that differ in other columns any one does. A row with a null id stays if no row with an id is in its group.
     """
     named = _keyed(docs, id_col, text_col)
-    prints, groups = _grouped(named, shingle, similarity, radius, block)
+    nodes, groups = _grouped(named, shingle, similarity, radius, block)
     kept = stage(groups.groupBy("group").agg(_first("k", "first.")).select("k.*"), "kept")
-    for table in (prints, groups):
+    for table in (nodes, groups):
         drop_stage(table)
     forget_shuffles(docs.sparkSession)
     # equal rows are combined before the one shuffle of whole texts, which the join takes over
