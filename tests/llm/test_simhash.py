@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 
 from umbra.llm import similar, simhash
+from umbra.llm.bitmaps import bitmap, within
 from umbra.llm.components import connected_components
 
 
@@ -197,3 +198,36 @@ def test_stars_read_large_buckets_only_and_places_are_dealt_once(spark, monkeypa
     got = {r.id: r.group for r in similar.similar_groups(spark.createDataFrame(rows + copies, "doc_id long, text string"), radius=0, block=8).collect()}
     assert got == {k: k - k % 2 for k in range(20)} | {1000 + k: 1000 for k in range(40)}
     assert turns[0] == ("star", 40) and dealt.count("sizes") <= 2
+
+
+def test_a_bitmap_takes_few_jobs_whatever_the_partitions(spark):
+    """Its segments came by a job for each shuffle partition: 211 of them took 23 s for a bitmap of a few KB."""
+    members = [(k * 0x9E3779B97F4A7C15 % 2**64) - 2**63 for k in range(2000)]
+    held = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("bitmap", "one bitmap")
+        bits = bitmap(spark.createDataFrame([(m,) for m in members], "v long"))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap")
+    finally:
+        spark.sparkContext.setJobGroup("others", "others")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert within(np.array(members).view(np.uint64), bits).all() and 1 <= len(jobs) <= 8
+
+
+def test_a_turn_of_stars_that_joins_few_groups_is_the_last(spark, monkeypatch):
+    """Stars were made again for a handful of groups: each turn reads all large buckets, and the pairs that it spares are few."""
+    large = [f"w{k}" for k in range(120)]
+    copies = [(k, " ".join([*large[: 3 * k], f"n{k}", *large[3 * k + 1 :]])) for k in range(40)]
+    turns, candidates = [], similar._candidates
+
+    def told(dealt, similarity, which, *rest):
+        turns.append(which)
+        return candidates(dealt, similarity, which, *rest)
+
+    monkeypatch.setattr(similar, "_candidates", told)
+    got = {r.id: r.group for r in similar.similar_groups(spark.createDataFrame(copies, "doc_id long, text string"), radius=0, block=8).collect()}
+    assert got == {k: 0 for k in range(40)} and turns.count("star") == 1

@@ -24,7 +24,8 @@ def bits_for(members: int) -> int:
 def bitmap(values: DataFrame, bits: int | None = None) -> np.ndarray:
     """The bitmap of values(v long): two bits for each value, of its lower and its upper half. Without `bits`, values are counted: give a stored table.
 
-    Values are dealt to tasks by segments of the bitmap, which come to the driver once each.
+    Values are dealt to tasks by segments of the bitmap, which come to the driver once each and in one job: 64 MB at most. (Partition by
+    partition they would come in a job for each shuffle partition, one after the other, however few segments there are.)
     """
     bits = bits or bits_for(values.count())
     schema = pa.schema([("segment", pa.int32()), ("data", pa.binary())])
@@ -44,7 +45,7 @@ def bitmap(values: DataFrame, bits: int | None = None) -> np.ndarray:
     low, high = F.col("v").bitwiseAND(bits - 1), F.shiftrightunsigned("v", 32).bitwiseAND(bits - 1)
     both = values.select(F.explode(F.array(low.cast("int"), high.cast("int"))).alias("slot"))
     slots = both.select(F.floor(F.col("slot") / per).cast("int").alias("segment"), "slot").repartition("segment")
-    for segment, data in slots.mapInArrow(setbits, "segment int, data binary").toLocalIterator():
+    for segment, data in slots.mapInArrow(setbits, "segment int, data binary").collect():
         out[segment * per // 8 : (segment + 1) * per // 8] = np.frombuffer(data, np.uint8)
     return out
 

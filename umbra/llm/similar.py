@@ -9,9 +9,9 @@ prefixes of several groups are sent on.
 Each text has sketches: bit j is the parity of its shingles that hash to j. Two texts of a and b shingles and the asked similarity s
 differ in at most (a + b)(1 - s)/(1 + s) shingles, so in at most as many bits; what is beyond is no pair, and no pair is lost. A
 sketch of 256 bits goes with each place of a prefix, one of at least 4 bits a shingle stays with the text and is looked at before
-whole texts are. First some texts of a large bucket are checked against its others, again with other ones for as long as many groups join by that,
-so that large groups of near copies join by pairs in proportion to their texts, not to the square of that. Then one pair of any two groups that are
-left is checked; where that pair fails and others met, all others are checked in a last round.
+whole texts are. First some texts of a large bucket are checked against its others, again with other ones for as long as many groups join
+by that (FEW at least), so that large groups of near copies join by pairs in proportion to their texts, not to the square of that. Then one
+pair of any two groups that are left is checked; where that pair fails and others met, all others are checked in a last round.
 
 Words and shingles are 64-bit hashes, and texts 128-bit ones of which the links carry 64, taken as equal when equal.
 """
@@ -36,8 +36,9 @@ from .simhash import block_pairs, links, majority_bits, signed, words_of
 SAMPLE = 32
 #: 64-bit words of a sketch; rows of a bucket that is compared together with others.
 SKETCH, SMALL = 4, 16
-#: Texts of a bucket that are compared with all its others; stars are made again where one of so many groups that met joined another.
-LEADERS, JOINING = 16, 8
+#: Texts of a bucket that are compared with all its others; stars are made again where one of so many groups that met joined another, and
+#: at least FEW did: fewer leave fewer pairs to the turn after the stars than another turn of stars costs.
+LEADERS, JOINING, FEW = 16, 8, 256
 _SKETCHES = [f"s{k}" for k in range(SKETCH)]
 #: What tells rows apart; the first row of a group is the least in this order, so null ids come last.
 ROW = ["none", "id", "raw"]
@@ -392,7 +393,8 @@ def _nodes_and_groups(named: DataFrame, size: int, similarity: float, radius: in
             break
         if which == "star":
             many = pairs.filter("fits").select(F.explode(F.array("ga", "gb"))).distinct().count()
-            if moved.count() * JOINING > many:
+            joined = moved.count()
+            if joined >= FEW and joined * JOINING > many:
                 large, turn = _replaced(large, _regrouped(large, moved)), turn + 1
             else:
                 drop_stage(large)
