@@ -1,11 +1,12 @@
 import random
+import tracemalloc
 import unicodedata
 
 import pytest
 import regex
 from pyspark.sql import functions as F
 
-from umbra.functions import places
+from umbra.functions import places, runs
 from umbra.operators import detect, flow, mapping, rewrite
 
 BLANK = r"[\s\ufeff]"
@@ -102,6 +103,47 @@ def test_long_values_both_ways(spark):
         assert got == sorted((i, a, b, values[k]) for i, t in rows for a, b, k in brute(values, t)) and len(got) >= len(values)
 
 
+def rows_of_words(text, sizes):
+    words = runs.WORD.findall(unicodedata.normalize("NFKC", text))
+    bare, at = "".join(words), 0
+    for k, w in enumerate(words):
+        for j in range(k + 1, len(words) + 1):
+            if sum(map(len, words[k:j])) in sizes:
+                yield "".join(words[k:j])
+        yield from (bare[at : at + n] for n in sizes if n >= rewrite.WHOLE_KEY and at + n <= len(bare))
+        at += len(w)
+
+
+def bits_of(spark, keys):
+    found = spark.createDataFrame([(int(h),) for h in runs.hashes_of(keys).view("int64")], "h long")
+    return runs.bitmap(found, len(keys))
+
+
+def test_few_rows_of_words_leave_a_text(spark):
+    rng = random.Random(9)
+    texts = [None, "", " \n", *(made(rng, "abc  \ufb01\u0301\U0001f600\uff21,\n", 200) for _ in range(300)), "x" * 70 + " " + "y" * 200]
+    every = [set() if t is None else set(rows_of_words(t, {1, 2, 5, 9, 64, 128})) for t in texts]
+    keys = sorted({k for own in every for k in own})
+    wanted, sizes = rng.sample(keys, 40) + ["x" * 64, "nowhere"], (1, 2, 5, 9)
+    assert len(set(runs.hashes_of(keys).tolist())) == len(keys)
+    got = runs.Wanted(sizes, (64, 128), bits_of(spark, wanted)).keys(texts)
+    assert got[0] is None and got[1] == got[2] == []
+    for own, held in zip(got[1:], every[1:], strict=True):
+        assert len(own) == len(set(own)) and held & set(wanted) <= set(own) <= held
+    assert sum(map(len, got[1:])) - sum(len(x & set(wanted)) for x in every) <= 0.01 * sum(map(len, every))
+
+
+def test_memory_of_a_task_that_looks_for_many_values(spark):
+    rng = random.Random(10)
+    texts = [" ".join(rng.choice(("ab", "cde", "fghi")) + str(k) for k in range(400)) for _ in range(500)]
+    held = runs.Wanted(range(4, 31), (), bits_of(spark, [f"no{k}" for k in range(20_000)]))
+    held.keys(texts[:1])
+    tracemalloc.start()
+    assert sum(map(len, held.keys(texts))) < 100_000  # of some 800,000 rows of words
+    assert tracemalloc.get_traced_memory()[1] < 8 * sum(map(len, texts)) + (48 << 20)
+    tracemalloc.stop()
+
+
 def test_first_token_wins(spark):
     found = spark.createDataFrame([(2, [(0, 1, "x", "URL", "regex", 1.0)]), (1, [(5, 6, "x", "PERSON", "names", 1.0)])], f"id int, detections {detect.DETECTIONS.simpleString()}")
     entities = mapping.allocated(mapping.occurrences(found, ["id"]), bytes(16))

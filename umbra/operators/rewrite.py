@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
 import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import runs
 from ..functions.kinds import BLANK
 from ..functions.places import Values, values_of
 from ..functions.tokens import TOKEN, derive_token, tokens_in
@@ -150,41 +150,33 @@ def _key(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = regex.compile(r"[\p{L}\p{N}]+")
         for batch in batches:
-            bare = ["".join(run.findall(unicodedata.normalize("NFKC", v))) for v in batch]
+            bare = ["".join(runs.WORD.findall(unicodedata.normalize("NFKC", v))) for v in batch]
             yield pd.Series([v[: _size_of(len(v))] for v in bare], dtype=object)
 
     return key(text)
 
 
-def _keys(text: Column, sizes: Sequence[int]) -> Column:
-    """What may be keys of these sizes in a text: letters and digits from a word's start on, fewer than WHOLE_KEY of them ending with a word."""
-    whole, longer = frozenset(n for n in sizes if n < WHOLE_KEY), sorted(n for n in sizes if n >= WHOLE_KEY)
-    most = max(whole, default=0)
+def _hashes(key: Column) -> Column:
+    @F.pandas_udf("bigint")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(runs.hashes_of(list(batch)).view("int64"))
+
+    return found(key)
+
+
+def _keys(text: Column, sizes: Sequence[int], marks: Broadcast) -> Column:
+    """What may be keys of these sizes in a text: letters and digits from a word's start on, fewer than WHOLE_KEY of them ending with a word.
+
+    Only what the bitmap of wanted keys lets through is returned, so a task holds little more than the texts themselves.
+    """
 
     @F.pandas_udf("array<string>")
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = regex.compile(r"[\p{L}\p{N}]+")
-
-        def of(t: str | None) -> list[str] | None:
-            if t is None:
-                return None
-            words = run.findall(t if t.isascii() else unicodedata.normalize("NFKC", t))
-            bare, ends = "".join(words), list(itertools.accumulate(map(len, words)))
-            found: set[str] = set()
-            for k, w in enumerate(words):
-                start = ends[k] - len(w)
-                for j in range(k, len(ends)):
-                    if ends[j] - start > most:
-                        break
-                    if ends[j] - start in whole:
-                        found.add(bare[start : ends[j]])
-                found.update(bare[start : start + n] for n in longer if start + n <= len(bare))
-            return list(found)
-
+        wanted = runs.Wanted([n for n in sizes if n < WHOLE_KEY], [n for n in sizes if n >= WHOLE_KEY], marks.value)
         for batch in batches:
-            yield pd.Series([of(t) for t in batch], dtype=object)
+            yield pd.Series(wanted.keys(batch), dtype=object)
 
     return keys(text)
 
@@ -194,8 +186,10 @@ def _met(texts: DataFrame, wanted: DataFrame, keys: list[str], text_col: str) ->
 
     A place's ends are ends of words, so its letters and digits are whole words of the text, however blanks cut them.
     """
-    sizes = [r["n"] for r in wanted.select(F.length("_key").alias("n")).distinct().collect()]  # WHOLE_KEY at most, and the powers of two beyond
-    words = texts.select(*keys, F.explode(_keys(F.col(text_col), sizes)).alias("_key"))
+    counts = wanted.groupBy(F.length("_key").alias("size")).agg(F.count("*").alias("n")).collect()  # WHOLE_KEY at most, and the powers of two beyond
+    marks = runs.bitmap(wanted.select(_hashes(F.col("_key")).alias("h")), sum(r["n"] for r in counts))
+    sent = texts.sparkSession.sparkContext.broadcast(marks)
+    words = texts.select(*keys, F.explode(_keys(F.col(text_col), [r["size"] for r in counts], sent)).alias("_key"))
     return words.join(wanted.select("value", "token", "_order", "_key"), "_key").drop("_key")
 
 
